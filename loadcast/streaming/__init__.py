@@ -1,0 +1,6 @@
+"""Streaming.
+
+Intentionally empty: the workload re-expressed here is a batch job (a table of
+readings in, a table of forecasts out) with no stream, watermark or state to
+carry between micro-batches.
+"""
