@@ -140,3 +140,312 @@ SELECT CAST(SUM(CAST(abs(t.load_milli / 1000.0 - n.prediction) AS DECIMAL(28,6))
          / COUNT(*) AS mae,
        COUNT(*) AS n_slots
 FROM naive n JOIN total t ON t.datetime_local = n.datetime_local"""
+
+# ------------------------------------------------------------------ windows
+
+PE = P.PROFILE_END
+KEY = "community_code"
+WIN = f"WINDOW w AS (PARTITION BY {KEY} ORDER BY datetime_utc)"
+
+
+def frame(lo: int, hi: int) -> str:
+    return (f"(PARTITION BY {KEY} ORDER BY datetime_utc "
+            f"ROWS BETWEEN {-lo} PRECEDING AND {-hi} PRECEDING)")
+
+
+def frame_mean(lo: int, hi: int) -> str:
+    f = frame(lo, hi)
+    return (f"CASE WHEN COUNT(load_milli) OVER {f} > 0 THEN "
+            f"(SUM(load_milli) OVER {f} / 1000.0) / COUNT(load_milli) OVER {f} END")
+
+
+FEATURES = f"""{COMMUNITY_SERIES},
+feat AS (
+  SELECT {KEY}, datetime_utc, datetime_local, load_milli, sum_active_kw,
+         lag(sum_active_kw, 192) OVER w AS lag_2d_same_slot,
+         lag(sum_active_kw, 672) OVER w AS lag_7d_same_slot,
+         lag(sum_active_kw, 1344) OVER w AS lag_14d_same_slot,
+         lag(sum_active_kw, 2016) OVER w AS lag_21d_same_slot,
+         lag(sum_active_kw, 2688) OVER w AS lag_28d_same_slot,
+         lag(sum_active_kw, 288) OVER w AS l288,
+         lag(sum_active_kw, 384) OVER w AS l384,
+         lag(sum_active_kw, 960) OVER w AS l960,
+         lag(sum_active_kw, 1056) OVER w AS l1056,
+         lag(sum_active_kw, 1) OVER w AS last_measured_value,
+         CASE WHEN lag(sum_active_kw, 1) OVER w IS NOT NULL THEN 1 END AS time_slots_distance,
+         {frame_mean(-383, -193)} AS rolling_mean_48h_safe,
+         {frame_mean(-863, -193)} AS rolling_mean_7d_safe
+  FROM cseries
+  {WIN}
+),
+feat2 AS (
+  SELECT *,
+         ((((0.0 + COALESCE(lag_7d_same_slot, 0.0)) + COALESCE(lag_14d_same_slot, 0.0))
+            + COALESCE(lag_21d_same_slot, 0.0)) + COALESCE(lag_28d_same_slot, 0.0))
+         / greatest((CASE WHEN lag_7d_same_slot IS NOT NULL THEN 1 ELSE 0 END)
+                  + (CASE WHEN lag_14d_same_slot IS NOT NULL THEN 1 ELSE 0 END)
+                  + (CASE WHEN lag_21d_same_slot IS NOT NULL THEN 1 ELSE 0 END)
+                  + (CASE WHEN lag_28d_same_slot IS NOT NULL THEN 1 ELSE 0 END), 1) AS same_slot_mean_4w,
+         rolling_mean_48h_safe - rolling_mean_7d_safe AS short_ma_minus_long_ma,
+         ((l288 - l384) + (l960 - l1056)) / 2.0 AS weekly_trend_smooth
+  FROM feat
+)"""
+
+MASKED = f"""{COMMUNITY_SERIES},
+masked AS (
+  SELECT {KEY}, datetime_utc, datetime_local,
+         CASE WHEN datetime_local < {ts(S0)} THEN load_milli END AS load_milli,
+         CASE WHEN datetime_local < {ts(S0)} THEN load_milli END / 1000.0 AS sum_active_kw
+  FROM cseries
+)"""
+
+PREV = f"(PARTITION BY {KEY} ORDER BY datetime_utc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _pick(cols: str) -> str:
+    return f"WITH {FEATURES} SELECT {KEY}, datetime_utc, {cols} FROM feat2"
+
+
+FLAGSHIP_FEATURES = ("lag_2d_same_slot, lag_7d_same_slot, same_slot_mean_4w, rolling_mean_48h_safe, "
+                     "rolling_mean_7d_safe, short_ma_minus_long_ma, last_measured_value, "
+                     "time_slots_distance, weekly_trend_smooth")
+
+ORACLE["series_load"] = f"""WITH {CONSUMPTION}
+SELECT {KEY}, datetime_utc, MIN(datetime_local) AS datetime_local,
+       CAST(SUM(kw_milli) AS BIGINT) AS load_milli, CAST(SUM(kw_milli) AS BIGINT) / 1000.0 AS sum_active_kw
+FROM consumption GROUP BY 1, 2"""
+ORACLE["lag_features"] = _pick("lag_2d_same_slot, lag_7d_same_slot, lag_14d_same_slot, lag_21d_same_slot, lag_28d_same_slot")
+ORACLE["rolling_48h"] = _pick("rolling_mean_48h_safe")
+ORACLE["rolling_7d"] = _pick("rolling_mean_7d_safe")
+ORACLE["same_slot_mean_4w"] = _pick("same_slot_mean_4w")
+ORACLE["ma_spread"] = _pick("short_ma_minus_long_ma")
+ORACLE["weekly_trend_smooth"] = _pick("weekly_trend_smooth")
+ORACLE["last_measured"] = f"""WITH {MASKED}
+SELECT {KEY}, datetime_utc,
+       lag(sum_active_kw, 1) OVER (PARTITION BY {KEY} ORDER BY datetime_utc) AS last_measured_value,
+       last_value(sum_active_kw IGNORE NULLS) OVER {PREV} AS last_measured_gap
+FROM masked"""
+ORACLE["slots_since_measured"] = f"""WITH {MASKED}
+SELECT {KEY}, datetime_utc,
+       CASE WHEN lag(sum_active_kw, 1) OVER (PARTITION BY {KEY} ORDER BY datetime_utc) IS NOT NULL
+            THEN 1 END AS time_slots_distance,
+       CAST({idx('datetime_utc')} - last_value(CASE WHEN sum_active_kw IS NOT NULL THEN {idx('datetime_utc')} END
+            IGNORE NULLS) OVER {PREV} AS INTEGER) AS slots_since_gap
+FROM masked"""
+ORACLE["filter_series"] = f"""WITH {COMMUNITY_SERIES}
+SELECT {KEY}, datetime_utc, datetime_local, load_milli, sum_active_kw FROM cseries
+WHERE {KEY} = '{P.ONE_SERIES}'"""
+ORACLE["time_split"] = f"""WITH {COMMUNITY_SERIES}
+SELECT {KEY}, datetime_utc, datetime_local,
+       CASE WHEN datetime_local < {ts(S0)} THEN 'train'
+            WHEN datetime_local >= {ts(S0)} AND datetime_local < {ts(S1)} THEN 'predict' END AS split
+FROM cseries"""
+ORACLE["drop_incomplete"] = f"""WITH {FEATURES}
+SELECT {KEY}, datetime_utc, sum_active_kw, {FLAGSHIP_FEATURES} FROM feat2
+WHERE datetime_local < {ts(S0)}
+  AND {' AND '.join(c.strip() + ' IS NOT NULL' for c in ('sum_active_kw, ' + FLAGSHIP_FEATURES).split(','))}"""
+ORACLE["feature_columns"] = f"""WITH {FEATURES}
+""" + "\nUNION ALL\n".join(
+    f"SELECT '{c.strip()}' AS feature, COUNT(*) AS n_rows, COUNT({c.strip()}) AS n_non_null FROM feat2"
+    for c in FLAGSHIP_FEATURES.split(",")
+)
+
+# ------------------------------------------------------------------ functions
+
+ORACLE["project_rename"] = f"""WITH {CONSUMPTION}
+SELECT client_id, datetime_utc, datetime_local AS datetime_15min, community_code, active_kw FROM consumption"""
+ORACLE["clock_parts"] = f"""WITH {READINGS}
+SELECT client_id, datetime_utc, CAST(hour(datetime_local) AS INTEGER) AS hour,
+       CAST(minute(datetime_local) AS INTEGER) AS minute,
+       CAST(dayofweek(datetime_local) + 1 AS INTEGER) AS day_of_week
+FROM readings"""
+ORACLE["clock_floor"] = f"""WITH {READINGS}
+SELECT client_id, datetime_utc, date_trunc('hour', datetime_utc) AS hour_start,
+       CAST(datetime_local AS DATE) AS date_local
+FROM readings"""
+ORACLE["conditional_exprs"] = f"""WITH {READINGS}
+SELECT client_id, datetime_utc,
+       CAST(dayofweek(datetime_local) IN (0, 6) AS INTEGER) AS is_weekend,
+       CAST(kw_milli = 0 AS INTEGER) AS is_zero,
+       minute(datetime_utc) / 60.0 AS alpha,
+       CASE WHEN hour(datetime_local) = 0 THEN kw_milli / 1000.0 END AS kw_hour00
+FROM readings"""
+ORACLE["null_guards"] = f"""WITH {FEATURES}
+SELECT {KEY}, datetime_utc,
+       COALESCE(lag_7d_same_slot, sum_active_kw) AS lag_or_current,
+       CAST((CASE WHEN lag_7d_same_slot IS NOT NULL THEN 1 ELSE 0 END)
+          + (CASE WHEN lag_14d_same_slot IS NOT NULL THEN 1 ELSE 0 END)
+          + (CASE WHEN lag_21d_same_slot IS NOT NULL THEN 1 ELSE 0 END)
+          + (CASE WHEN lag_28d_same_slot IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS safe_lag_count,
+       CAST(greatest((CASE WHEN lag_7d_same_slot IS NOT NULL THEN 1 ELSE 0 END)
+          + (CASE WHEN lag_14d_same_slot IS NOT NULL THEN 1 ELSE 0 END)
+          + (CASE WHEN lag_21d_same_slot IS NOT NULL THEN 1 ELSE 0 END)
+          + (CASE WHEN lag_28d_same_slot IS NOT NULL THEN 1 ELSE 0 END), 1) AS INTEGER) AS safe_denominator
+FROM feat2"""
+
+# ------------------------------------------------------------------ lookups and enrichment
+
+HOURLY = f"""
+hourly AS (
+  SELECT date_trunc('hour', ts) AS datetime_utc,
+         SUM({MILLI}) FILTER (WHERE event_type = 'view') / 1000.0 AS demand_forecast,
+         SUM({MILLI}) FILTER (WHERE event_type = 'click') / 1000.0 AS pv_forecast,
+         SUM({MILLI}) FILTER (WHERE event_type = 'signup') / 1000.0 AS wind_forecast,
+         CASE WHEN COUNT(value) FILTER (WHERE event_type = 'purchase') > 0 THEN
+           (SUM({MILLI}) FILTER (WHERE event_type = 'purchase') / 1000.0)
+             / COUNT(value) FILTER (WHERE event_type = 'purchase') END AS "AvgPrice"
+  FROM events
+  WHERE ts >= {ts(H0)} AND ts < {ts(H1)} AND event_type IN ('view', 'click', 'signup', 'purchase')
+  GROUP BY 1
+)"""
+
+HOLIDAYS = f"""{CONSUMPTION},
+holidays AS (
+  SELECT DISTINCT datetime_utc, community_code,
+         CAST((day(datetime_utc) + nation_key) % 7 = 0 AS INTEGER) AS is_normal_holiday
+  FROM consumption WHERE community_code IS NOT NULL
+)"""
+
+LOCAL_DATES = f"""
+ldates AS (
+  SELECT CAST({FLOOR15} + {LOCAL} AS DATE) AS date, user_id
+  FROM events WHERE ts >= {ts(H0)} AND ts < {ts(H1)}
+)"""
+
+
+def carry(col: str) -> str:
+    return f"""
+carry AS (
+  SELECT h.datetime_utc AS hour_start, h.{col} AS {col}_curr, COALESCE(n.{col}, h.{col}) AS {col}_next
+  FROM hourly h LEFT JOIN hourly n ON n.datetime_utc = h.datetime_utc + INTERVAL 1 HOUR
+)"""
+
+
+def interp(cols: list[str]) -> str:
+    sel = ", ".join(
+        f"h.{c} * (1.0 - minute(s.datetime_utc) / 60.0) + COALESCE(n.{c}, h.{c}) * (minute(s.datetime_utc) / 60.0) AS {c}"
+        for c in cols
+    )
+    return f"""WITH {TOTAL}, {HOURLY}
+SELECT s.datetime_utc, {sel}
+FROM total s
+LEFT JOIN hourly h ON h.datetime_utc = date_trunc('hour', s.datetime_utc)
+LEFT JOIN hourly n ON n.datetime_utc = h.datetime_utc + INTERVAL 1 HOUR"""
+
+
+ORACLE["scan_hourly_forecast"] = f"""WITH {HOURLY}
+SELECT datetime_utc AS hour_start, demand_forecast AS demand_curr FROM hourly"""
+ORACLE["scan_holidays"] = f"""WITH {HOLIDAYS}
+SELECT datetime_utc, community_code, is_normal_holiday FROM holidays"""
+ORACLE["scan_weekday"] = f"""WITH {LOCAL_DATES}
+SELECT DISTINCT date, CAST(dayofweek(date) + 1 AS INTEGER) AS day_of_week,
+       CAST(dayofweek(date) IN (0, 6) AS INTEGER) AS is_weekend
+FROM ldates"""
+ORACLE["scan_visitors"] = f"""WITH {LOCAL_DATES}
+SELECT date, COUNT(DISTINCT user_id) AS visitors FROM ldates GROUP BY 1"""
+ORACLE["dedup_by_key"] = f"""WITH {HOLIDAYS}
+SELECT datetime_utc, MAX(is_normal_holiday) AS is_normal_holiday FROM holidays GROUP BY 1"""
+ORACLE["lead_carry"] = f"""WITH {HOURLY}, {carry('demand_forecast')}
+SELECT hour_start, demand_forecast_curr, demand_forecast_next FROM carry"""
+ORACLE["enrich_holiday"] = f"""WITH {HOLIDAYS}, {SPINE}
+SELECT s.datetime_utc, h.is_normal_holiday
+FROM spine s LEFT JOIN (SELECT datetime_utc, MAX(is_normal_holiday) AS is_normal_holiday
+                        FROM holidays GROUP BY 1) h ON h.datetime_utc = s.datetime_utc"""
+ORACLE["enrich_demand_interp"] = interp(["demand_forecast"])
+ORACLE["interp_many"] = interp(["demand_forecast", "pv_forecast", "wind_forecast"])
+ORACLE["enrich_weekday"] = f"""WITH {SPINE}, {LOCAL_DATES},
+wd AS (SELECT DISTINCT date FROM ldates)
+SELECT s.datetime_utc,
+       CASE WHEN wd.date IS NOT NULL THEN CAST(dayofweek(wd.date) + 1 AS INTEGER) END AS day_of_week,
+       CASE WHEN wd.date IS NOT NULL THEN CAST(dayofweek(wd.date) IN (0, 6) AS INTEGER) END AS is_weekend
+FROM spine s LEFT JOIN wd ON wd.date = CAST(s.datetime_local AS DATE)"""
+ORACLE["enrich_visitors"] = f"""WITH {SPINE}, {LOCAL_DATES},
+v AS (SELECT date, COUNT(DISTINCT user_id) AS visitors FROM ldates GROUP BY 1)
+SELECT s.datetime_utc, v.visitors
+FROM spine s LEFT JOIN v ON v.date = CAST(s.datetime_local AS DATE)"""
+ORACLE["enrich_price"] = f"""WITH {SPINE}, {HOURLY}
+SELECT s.datetime_utc, h."AvgPrice"
+FROM spine s LEFT JOIN hourly h ON h.datetime_utc = date_trunc('hour', s.datetime_utc)"""
+ORACLE["community_code_num"] = f"""WITH {CONSUMPTION},
+clients AS (SELECT DISTINCT client_id, community_code FROM consumption),
+codes AS (SELECT community_code, CAST(dense_rank() OVER (ORDER BY community_code) - 1 AS INTEGER) AS community_code_num
+          FROM (SELECT DISTINCT community_code FROM clients WHERE community_code IS NOT NULL))
+SELECT c.community_code, c.client_id, k.community_code_num
+FROM clients c LEFT JOIN codes k ON k.community_code = c.community_code"""
+
+# ------------------------------------------------------------------ profiles and clusters
+
+HOURS = list(range(24))
+
+
+def _hmean(h: int) -> str:
+    return (f"(SUM(milli) FILTER (WHERE hour(datetime_local) = {h}) / 1000.0)"
+            f" / COUNT(*) FILTER (WHERE hour(datetime_local) = {h}) AS h{h:02d}")
+
+
+PROFILES = f"""{READINGS},
+pr AS (SELECT * FROM readings WHERE datetime_utc >= {ts(H0)} AND datetime_utc < {ts(PE)}),
+clients AS (SELECT DISTINCT client_id FROM pr),
+grid AS (
+  SELECT c.client_id, g.range AS datetime_utc, g.range + {LOCAL} AS datetime_local
+  FROM clients c CROSS JOIN range({ts(H0)}, {ts(PE)}, INTERVAL 15 MINUTE) g
+),
+cells AS (
+  SELECT g.client_id, g.datetime_local, COALESCE(r.kw_milli, 0) AS milli
+  FROM grid g LEFT JOIN pr r ON r.client_id = g.client_id AND r.datetime_utc = g.datetime_utc
+),
+prof0 AS (
+  SELECT client_id,
+         {', '.join(_hmean(h) for h in HOURS)},
+         (SUM(milli) / 1000.0) / COUNT(*) AS mean_kw,
+         COUNT(*) FILTER (WHERE milli = 0) / COUNT(*) AS pct_zero,
+         (SUM(milli) FILTER (WHERE dayofweek(datetime_local) NOT IN (0, 6)) / 1000.0)
+           / COUNT(*) FILTER (WHERE dayofweek(datetime_local) NOT IN (0, 6)) AS wd_avg,
+         (SUM(milli) FILTER (WHERE dayofweek(datetime_local) IN (0, 6)) / 1000.0)
+           / COUNT(*) FILTER (WHERE dayofweek(datetime_local) IN (0, 6)) AS we_avg
+  FROM cells GROUP BY client_id
+),
+prof AS (
+  SELECT *, CASE WHEN wd_avg > 0 THEN we_avg / wd_avg ELSE 1.0 END AS we_wd_ratio FROM prof0
+),
+vmax AS (
+  SELECT *, greatest({', '.join(f'COALESCE(h{h:02d}, 0.0)' for h in HOURS)}) AS row_max FROM prof
+),
+vec AS (
+  SELECT client_id,
+         {', '.join(f'COALESCE(h{h:02d}, 0.0) / (CASE WHEN row_max = 0 THEN 1.0 ELSE row_max END) AS p{h:02d}' for h in HOURS)},
+         least(greatest(COALESCE(we_wd_ratio, 1.0), 0.0), 3.0) AS ratio_feat,
+         COALESCE(pct_zero, 0.0) AS zero_feat
+  FROM vmax
+)"""
+
+VCOLS = [f"p{h:02d}" for h in HOURS] + ["ratio_feat", "zero_feat"]
+
+ASSIGN = f"""
+cent AS (
+  SELECT CAST(row_number() OVER (ORDER BY client_id) - 1 AS INTEGER) AS j, *
+  FROM (SELECT * FROM vec ORDER BY client_id LIMIT {P.FLAGSHIP_K})
+),
+dist AS (
+  SELECT v.client_id, c.j,
+         {' + '.join(f'(v.{x} - c.{x}) * (v.{x} - c.{x})' for x in VCOLS)} AS d
+  FROM vec v CROSS JOIN cent c
+),
+assign AS (
+  SELECT client_id, j AS cluster_id FROM (
+    SELECT client_id, j, row_number() OVER (PARTITION BY client_id ORDER BY d, j) AS rn FROM dist
+  ) WHERE rn = 1
+)"""
+
+ORACLE["profile_hourly"] = f"""WITH {PROFILES} SELECT client_id, {', '.join(f'h{h:02d}' for h in HOURS)} FROM prof"""
+ORACLE["profile_scalars"] = f"""WITH {PROFILES} SELECT client_id, mean_kw, pct_zero FROM prof"""
+ORACLE["profile_weekend"] = f"""WITH {PROFILES} SELECT client_id, wd_avg, we_avg, we_wd_ratio FROM prof"""
+ORACLE["join_profile_ratio"] = f"""WITH {PROFILES}
+SELECT client_id, {', '.join(f'h{h:02d}' for h in HOURS)}, mean_kw, pct_zero, we_wd_ratio FROM prof"""
+ORACLE["profile_vector"] = f"""WITH {PROFILES} SELECT client_id, {', '.join(VCOLS)} FROM vec"""
+ORACLE["kmeans_step"] = f"""WITH {PROFILES}, {ASSIGN}
+SELECT a.cluster_id, COUNT(*) AS n_clients, {', '.join(f'round(AVG(v.{x}), 9) AS {x}' for x in VCOLS)}
+FROM assign a JOIN vec v ON v.client_id = a.client_id GROUP BY a.cluster_id"""
+ORACLE["attach_cluster"] = f"""WITH {PROFILES}, {ASSIGN}
+SELECT r.client_id, r.datetime_utc, a.cluster_id, r.kw_milli / 1000.0 AS active_kw
+FROM readings r JOIN assign a ON a.client_id = r.client_id"""

@@ -27,3 +27,11 @@ FLAGSHIP_K = 5
 FLAGSHIP_N_INIT = 4
 FLAGSHIP_ROUNDS = 20
 FLAGSHIP_DEPTH = 4
+
+# Profile (clustering) window: the UTC slots whose local time is before the
+# forecast start, so clusters never see the forecast window.
+PROFILE_START = HISTORY_START
+PROFILE_END = "2024-01-23 23:00:00"
+
+# The one series kept by the filter query.
+ONE_SERIES = "NATION_7"

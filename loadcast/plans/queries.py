@@ -10,9 +10,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.operators import baseline, evaluate, series
+from loadcast.functions import clock
+from loadcast.functions.exprs import from_milli
+from loadcast.operators import baseline, cluster, enrich, evaluate, features, profile, series
 from loadcast.plans import params as P
-from loadcast.sources import Catalog, consumption, readings_from_events
+from loadcast.sources import (
+    Catalog,
+    attach_community,
+    community_map,
+    consumption,
+    lookups,
+    readings_from_events,
+    restrict_time,
+)
+
+# Feature set of the flagship on 30 days of data: lags up to 1,056 slots, so
+# complete training rows exist before the forecast window.
+FLAGSHIP_SPEC = features.FeatureSpec(
+    lags={"lag_2d_same_slot": 192, "lag_7d_same_slot": 672},
+)
 
 
 def _cat(spark: SparkSession, root: str) -> Catalog:
@@ -90,6 +106,278 @@ def q_mae_total(spark, root):
     return evaluate.mae(actual, pred)
 
 
+
+# ---------------------------------------------------------------- windows
+
+KEY = "community_code"
+
+
+def _masked_series(c: Catalog) -> DataFrame:
+    s = series.mask_from(_community_series(c), P.PREDICT_START)
+    return s.withColumn("sum_active_kw", from_milli("load_milli"))
+
+
+def _features(c: Catalog, spec: features.FeatureSpec | None = None, masked: bool = False) -> DataFrame:
+    base = _masked_series(c) if masked else _community_series(c)
+    return features.build_features(base, KEY, spec or features.FeatureSpec())
+
+
+def _pick(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(KEY, "datetime_utc", *cols)
+
+
+def q_series_load(spark, root):
+    s = series.series_load(_consumption(_cat(spark, root)), KEY)
+    return s.withColumn("sum_active_kw", from_milli("load_milli"))
+
+
+def q_lag_features(spark, root):
+    return _pick(_features(_cat(spark, root)), list(features.REFERENCE_LAGS))
+
+
+def q_rolling_48h(spark, root):
+    return _pick(_features(_cat(spark, root)), ["rolling_mean_48h_safe"])
+
+
+def q_rolling_7d(spark, root):
+    return _pick(_features(_cat(spark, root)), ["rolling_mean_7d_safe"])
+
+
+def q_same_slot_mean_4w(spark, root):
+    return _pick(_features(_cat(spark, root)), ["same_slot_mean_4w"])
+
+
+def q_ma_spread(spark, root):
+    return _pick(_features(_cat(spark, root)), ["short_ma_minus_long_ma"])
+
+
+def q_weekly_trend_smooth(spark, root):
+    return _pick(_features(_cat(spark, root)), ["weekly_trend_smooth"])
+
+
+def q_last_measured(spark, root):
+    s = _masked_series(_cat(spark, root))
+    return s.select(
+        KEY, "datetime_utc",
+        features.last_measured(KEY, mode="parity").alias("last_measured_value"),
+        features.last_measured(KEY, mode="gap").alias("last_measured_gap"),
+    )
+
+
+def q_slots_since_measured(spark, root):
+    s = _masked_series(_cat(spark, root))
+    return s.select(
+        KEY, "datetime_utc",
+        features.slots_since_measured(KEY, mode="parity").alias("time_slots_distance"),
+        features.slots_since_measured(KEY, mode="gap").alias("slots_since_gap"),
+    )
+
+
+def q_filter_series(spark, root):
+    return series.filter_series(_community_series(_cat(spark, root)), KEY, P.ONE_SERIES)
+
+
+def q_time_split(spark, root):
+    s = series.label_split(_community_series(_cat(spark, root)), P.PREDICT_START, P.PREDICT_END)
+    return s.select(KEY, "datetime_utc", "datetime_local", "split")
+
+
+def q_drop_incomplete(spark, root):
+    feats = _features(_cat(spark, root), FLAGSHIP_SPEC)
+    train, _ = series.time_split(feats, P.PREDICT_START, P.PREDICT_END)
+    return train.na.drop(how="any").select(KEY, "datetime_utc", "sum_active_kw", *FLAGSHIP_SPEC.names())
+
+
+def q_feature_columns(spark, root):
+    feats = _features(_cat(spark, root), FLAGSHIP_SPEC)
+    names = FLAGSHIP_SPEC.names()
+    long = feats.select(KEY, "datetime_utc", *[F.col(n).cast("double").alias(n) for n in names]).unpivot(
+        [KEY, "datetime_utc"], names, "feature", "value"
+    )
+    return long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_non_null")
+    )
+
+
+# ---------------------------------------------------------------- functions
+
+def q_project_rename(spark, root):
+    return (
+        _consumption(_cat(spark, root))
+        .withColumnsRenamed({"datetime_local": "datetime_15min"})
+        .drop("kw_milli", "no_such_column")
+    )
+
+
+def q_clock_parts(spark, root):
+    r = _readings(_cat(spark, root))
+    parts = clock.clock_parts("datetime_local")
+    return r.select("client_id", "datetime_utc", *[v.alias(k) for k, v in parts.items()])
+
+
+def q_clock_floor(spark, root):
+    r = _readings(_cat(spark, root))
+    return r.select(
+        "client_id", "datetime_utc",
+        clock.floor_hour("datetime_utc").alias("hour_start"),
+        F.to_date("datetime_local").alias("date_local"),
+    )
+
+
+def q_conditional_exprs(spark, root):
+    r = _readings(_cat(spark, root))
+    return r.select(
+        "client_id", "datetime_utc",
+        clock.is_weekend("datetime_local").cast("int").alias("is_weekend"),
+        (F.col("kw_milli") == 0).cast("int").alias("is_zero"),
+        enrich.interpolation_weight("datetime_utc").alias("alpha"),
+        F.when(F.hour("datetime_local") == 0, F.col("active_kw")).alias("kw_hour00"),
+    )
+
+
+def q_null_guards(spark, root):
+    f = _features(_cat(spark, root))
+    lags = [f"lag_{d}d_same_slot" for d in (7, 14, 21, 28)]
+    count = sum(F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in lags)
+    return f.select(
+        KEY, "datetime_utc",
+        F.coalesce(F.col("lag_7d_same_slot"), F.col("sum_active_kw")).alias("lag_or_current"),
+        count.alias("safe_lag_count"),
+        F.greatest(count, F.lit(1)).alias("safe_denominator"),
+    )
+
+
+# ---------------------------------------------------------------- lookups and enrichment
+
+def _hourly(c: Catalog) -> DataFrame:
+    return lookups.hourly_forecasts(c.events, P.HISTORY_START, P.HISTORY_END)
+
+
+def _holidays(c: Catalog) -> DataFrame:
+    return lookups.holiday_flags(_consumption_keyed(c))
+
+
+def _consumption_keyed(c: Catalog) -> DataFrame:
+    readings = _readings(c)
+    return attach_community(readings, community_map(c.customer, c.nation))
+
+
+def _weekday(c: Catalog) -> DataFrame:
+    return lookups.weekday_table(restrict_time(c.events, P.HISTORY_START, P.HISTORY_END), P.LOCAL_SHIFT)
+
+
+def _visitors(c: Catalog) -> DataFrame:
+    return lookups.daily_visitors(restrict_time(c.events, P.HISTORY_START, P.HISTORY_END), P.LOCAL_SHIFT)
+
+
+def _total_slots(c: Catalog) -> DataFrame:
+    return _total(c).select("datetime_utc", "datetime_local")
+
+
+def q_scan_hourly_forecast(spark, root):
+    return _hourly(_cat(spark, root)).select(
+        F.col("datetime_utc").alias("hour_start"), F.col("demand_forecast").alias("demand_curr")
+    )
+
+
+def q_scan_holidays(spark, root):
+    return _holidays(_cat(spark, root))
+
+
+def q_scan_weekday(spark, root):
+    return _weekday(_cat(spark, root))
+
+
+def q_scan_visitors(spark, root):
+    return _visitors(_cat(spark, root))
+
+
+def q_dedup_by_key(spark, root):
+    return enrich.holiday_per_instant(_holidays(_cat(spark, root)))
+
+
+def q_lead_carry(spark, root):
+    return enrich.next_hour_carry(_hourly(_cat(spark, root)), ["demand_forecast"])
+
+
+def q_enrich_holiday(spark, root):
+    c = _cat(spark, root)
+    return enrich.enrich_holiday(_total_slots(c), _holidays(c)).select("datetime_utc", "is_normal_holiday")
+
+
+def q_enrich_demand_interp(spark, root):
+    c = _cat(spark, root)
+    return enrich.enrich_interpolated(_total_slots(c), _hourly(c), ["demand_forecast"]).select(
+        "datetime_utc", "demand_forecast"
+    )
+
+
+def q_interp_many(spark, root):
+    c = _cat(spark, root)
+    cols = list(lookups.HOURLY_SIGNALS)
+    return enrich.enrich_interpolated(_total_slots(c), _hourly(c), cols).select("datetime_utc", *cols)
+
+
+def q_enrich_weekday(spark, root):
+    c = _cat(spark, root)
+    return enrich.enrich_weekday(_total_slots(c), _weekday(c)).select("datetime_utc", "day_of_week", "is_weekend")
+
+
+def q_enrich_visitors(spark, root):
+    c = _cat(spark, root)
+    return enrich.enrich_visitors(_total_slots(c), _visitors(c)).select("datetime_utc", "visitors")
+
+
+def q_enrich_price(spark, root):
+    c = _cat(spark, root)
+    return enrich.enrich_price(_total_slots(c), _hourly(c)).select("datetime_utc", "AvgPrice")
+
+
+def q_community_code_num(spark, root):
+    c = _cat(spark, root)
+    clients = _consumption(c).select("client_id", "community_code").distinct()
+    return enrich.dense_code(clients, "community_code")
+
+
+# ---------------------------------------------------------------- profiles and clusters
+
+def _profiles(c: Catalog) -> DataFrame:
+    return profile.client_profiles(_readings(c), P.PROFILE_START, P.PROFILE_END, P.LOCAL_SHIFT)
+
+
+def q_profile_hourly(spark, root):
+    return _profiles(_cat(spark, root)).select("client_id", *profile.HOUR_COLS)
+
+
+def q_profile_scalars(spark, root):
+    return _profiles(_cat(spark, root)).select("client_id", "mean_kw", "pct_zero")
+
+
+def q_profile_weekend(spark, root):
+    return _profiles(_cat(spark, root)).select("client_id", "wd_avg", "we_avg", "we_wd_ratio")
+
+
+def q_join_profile_ratio(spark, root):
+    return _profiles(_cat(spark, root)).select("client_id", *profile.HOUR_COLS, "mean_kw", "pct_zero", "we_wd_ratio")
+
+
+def q_profile_vector(spark, root):
+    return profile.profile_vector(_profiles(_cat(spark, root)))
+
+
+def q_kmeans_step(spark, root):
+    vec = profile.profile_vector(_profiles(_cat(spark, root)))
+    return cluster.kmeans_step(vec, P.FLAGSHIP_K)
+
+
+def q_attach_cluster(spark, root):
+    c = _cat(spark, root)
+    vec = profile.profile_vector(_profiles(c))
+    centres = cluster.initial_centres(vec, P.FLAGSHIP_K)
+    mapping = cluster.assign_nearest(vec, centres).select("client_id", "cluster_id")
+    return cluster.attach_cluster(_readings(c), mapping).select("client_id", "datetime_utc", "cluster_id", "active_kw")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_consumption": q_scan_consumption,
     "resample_15min": q_resample_15min,
@@ -97,4 +385,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "total_load": q_total_load,
     "seasonal_naive": q_seasonal_naive,
     "mae_total": q_mae_total,
+    "series_load": q_series_load,
+    "lag_features": q_lag_features,
+    "rolling_48h": q_rolling_48h,
+    "rolling_7d": q_rolling_7d,
+    "same_slot_mean_4w": q_same_slot_mean_4w,
+    "ma_spread": q_ma_spread,
+    "weekly_trend_smooth": q_weekly_trend_smooth,
+    "last_measured": q_last_measured,
+    "slots_since_measured": q_slots_since_measured,
+    "filter_series": q_filter_series,
+    "time_split": q_time_split,
+    "drop_incomplete": q_drop_incomplete,
+    "feature_columns": q_feature_columns,
+    "project_rename": q_project_rename,
+    "clock_parts": q_clock_parts,
+    "clock_floor": q_clock_floor,
+    "conditional_exprs": q_conditional_exprs,
+    "null_guards": q_null_guards,
+    "scan_hourly_forecast": q_scan_hourly_forecast,
+    "scan_holidays": q_scan_holidays,
+    "scan_weekday": q_scan_weekday,
+    "scan_visitors": q_scan_visitors,
+    "dedup_by_key": q_dedup_by_key,
+    "lead_carry": q_lead_carry,
+    "enrich_holiday": q_enrich_holiday,
+    "enrich_demand_interp": q_enrich_demand_interp,
+    "interp_many": q_interp_many,
+    "enrich_weekday": q_enrich_weekday,
+    "enrich_visitors": q_enrich_visitors,
+    "enrich_price": q_enrich_price,
+    "community_code_num": q_community_code_num,
+    "profile_hourly": q_profile_hourly,
+    "profile_scalars": q_profile_scalars,
+    "profile_weekend": q_profile_weekend,
+    "join_profile_ratio": q_join_profile_ratio,
+    "profile_vector": q_profile_vector,
+    "kmeans_step": q_kmeans_step,
+    "attach_cluster": q_attach_cluster,
 }
