@@ -81,35 +81,36 @@ def idx(col: str) -> str:
     return f"(CAST(epoch({col}) AS BIGINT) // 900)"
 
 
-def naive(series_cte: str, key: str | None) -> str:
+def naive(series_cte: str, key: str | None, s0: str = S0, s1: str = S1, name: str = "naive") -> str:
     """Seasonal naive over a dense series CTE named ``ser`` (columns key?,
     datetime_utc, datetime_local, load_milli)."""
     k_sel = f"{key}, " if key else ""
     k_on = f"h.{key} IS NOT DISTINCT FROM w.{key} AND " if key else ""
     k_fb = f"f.{key} IS NOT DISTINCT FROM w.{key}" if key else "TRUE"
     k_grp = f"GROUP BY {key}" if key else ""
-    start_idx = idx(ts(S0))
+    start_idx = idx(ts(s0))
+    n = name
     return f"""
-hist AS (
+{n}_hist AS (
   SELECT {k_sel}{idx('datetime_local')} AS src_idx, load_milli AS src_milli
-  FROM ser WHERE datetime_local < {ts(S0)}
+  FROM {series_cte} WHERE datetime_local < {ts(s0)}
 ),
-fb AS (
+{n}_fb AS (
   SELECT {k_sel}(SUM(load_milli) / 1000.0) / COUNT(load_milli) AS fallback
-  FROM ser WHERE datetime_local < {ts(S0)} {k_grp}
+  FROM {series_cte} WHERE datetime_local < {ts(s0)} {k_grp}
 ),
-win AS (
+{n}_win AS (
   SELECT {k_sel}datetime_utc, datetime_local,
          {idx('datetime_local')}
            - 672 * ((({idx('datetime_local')}) - {start_idx}) // 672 + 1) AS src_idx
-  FROM ser WHERE datetime_local >= {ts(S0)} AND datetime_local < {ts(S1)}
+  FROM {series_cte} WHERE datetime_local >= {ts(s0)} AND datetime_local < {ts(s1)}
 ),
-naive AS (
+{n} AS (
   SELECT {', '.join('w.' + c for c in ([key] if key else []) + ['datetime_utc', 'datetime_local'])},
          COALESCE(h.src_milli / 1000.0, f.fallback) AS prediction
-  FROM win w
-  LEFT JOIN hist h ON {k_on}h.src_idx = w.src_idx
-  LEFT JOIN fb f ON {k_fb}
+  FROM {n}_win w
+  LEFT JOIN {n}_hist h ON {k_on}h.src_idx = w.src_idx
+  LEFT JOIN {n}_fb f ON {k_fb}
 )"""
 
 
@@ -159,8 +160,10 @@ def frame_mean(lo: int, hi: int) -> str:
             f"(SUM(load_milli) OVER {f} / 1000.0) / COUNT(load_milli) OVER {f} END")
 
 
-FEATURES = f"""{COMMUNITY_SERIES},
-feat AS (
+def feature_ctes(src: str, out: str) -> str:
+    """Window features over the dense series CTE ``src`` -> CTE ``out``."""
+    return f"""
+{out}_1 AS (
   SELECT {KEY}, datetime_utc, datetime_local, load_milli, sum_active_kw,
          lag(sum_active_kw, 192) OVER w AS lag_2d_same_slot,
          lag(sum_active_kw, 672) OVER w AS lag_7d_same_slot,
@@ -175,10 +178,10 @@ feat AS (
          CASE WHEN lag(sum_active_kw, 1) OVER w IS NOT NULL THEN 1 END AS time_slots_distance,
          {frame_mean(-383, -193)} AS rolling_mean_48h_safe,
          {frame_mean(-863, -193)} AS rolling_mean_7d_safe
-  FROM cseries
+  FROM {src}
   {WIN}
 ),
-feat2 AS (
+{out} AS (
   SELECT *,
          ((((0.0 + COALESCE(lag_7d_same_slot, 0.0)) + COALESCE(lag_14d_same_slot, 0.0))
             + COALESCE(lag_21d_same_slot, 0.0)) + COALESCE(lag_28d_same_slot, 0.0))
@@ -188,9 +191,12 @@ feat2 AS (
                   + (CASE WHEN lag_28d_same_slot IS NOT NULL THEN 1 ELSE 0 END), 1) AS same_slot_mean_4w,
          rolling_mean_48h_safe - rolling_mean_7d_safe AS short_ma_minus_long_ma,
          ((l288 - l384) + (l960 - l1056)) / 2.0 AS weekly_trend_smooth
-  FROM feat
+  FROM {out}_1
 )"""
 
+
+FEATURES = f"""{COMMUNITY_SERIES},{feature_ctes('cseries', 'feat2')}"""
+
 MASKED = f"""{COMMUNITY_SERIES},
 masked AS (
   SELECT {KEY}, datetime_utc, datetime_local,
@@ -449,3 +455,86 @@ FROM assign a JOIN vec v ON v.client_id = a.client_id GROUP BY a.cluster_id"""
 ORACLE["attach_cluster"] = f"""WITH {PROFILES}, {ASSIGN}
 SELECT r.client_id, r.datetime_utc, a.cluster_id, r.kw_milli / 1000.0 AS active_kw
 FROM readings r JOIN assign a ON a.client_id = r.client_id"""
+
+# ------------------------------------------------------------------ combine, sink, audits
+
+NAIVE_TOTAL = f"""{TOTAL}, ser AS (SELECT * FROM total), {naive('ser', None)}"""
+
+ORACLE["combine_outer"] = f"""WITH {COMMUNITY_SERIES}, {naive('cseries', KEY)}
+SELECT datetime_local AS datetime_15min,
+       list_reduce(list(COALESCE(prediction, 0.0) ORDER BY {KEY}), lambda acc, x: acc + x) AS prediction
+FROM naive GROUP BY datetime_local"""
+ORACLE["sorted_result"] = f"""WITH {NAIVE_TOTAL}
+SELECT datetime_local AS datetime_15min, prediction FROM naive ORDER BY 1"""
+ORACLE["stamp_submission"] = f"""WITH {NAIVE_TOTAL}
+SELECT '{P.TEAM_NAME}' AS team_name, datetime_local AS datetime_15min, prediction FROM naive"""
+ORACLE["count_predictions"] = f"""WITH {NAIVE_TOTAL}
+SELECT COUNT(*) AS n_predictions FROM naive"""
+ORACLE["submission_audit"] = f"""WITH {NAIVE_TOTAL},
+wspine AS (SELECT range AS datetime_15min, 1 AS expected FROM range({ts(S0)}, {ts(S1)}, INTERVAL 15 MINUTE)),
+per_slot AS (
+  SELECT datetime_local AS datetime_15min, COUNT(*) AS n,
+         COUNT(*) FILTER (WHERE prediction IS NULL) AS n_null
+  FROM naive GROUP BY 1
+),
+j AS (SELECT COALESCE(s.datetime_15min, p.datetime_15min) AS datetime_15min, s.expected, p.n, p.n_null
+      FROM wspine s FULL OUTER JOIN per_slot p ON p.datetime_15min = s.datetime_15min)
+SELECT CAST(COALESCE(SUM(n), 0) AS BIGINT) AS n_rows,
+       COUNT(expected) AS n_slots_expected,
+       COUNT(*) FILTER (WHERE expected IS NOT NULL AND n IS NULL) AS n_missing_slots,
+       CAST(COALESCE(SUM(CASE WHEN n > 1 THEN n - 1 END), 0) AS BIGINT) AS n_duplicate_rows,
+       CAST(COALESCE(SUM(n_null), 0) AS BIGINT) AS n_null_predictions,
+       CAST(COALESCE(SUM(CASE WHEN NOT (datetime_15min >= {ts(S0)} AND datetime_15min < {ts(S1)}
+                                      AND minute(datetime_15min) % 15 = 0 AND second(datetime_15min) = 0)
+                              THEN n END), 0) AS BIGINT) AS n_out_of_window
+FROM j"""
+
+
+def _fold_sql() -> str:
+    import datetime as dt
+
+    first = dt.datetime.fromisoformat(P.BACKTEST_FIRST)
+    parts, ctes = [], []
+    for f in range(P.BACKTEST_FOLDS):
+        s0 = first + dt.timedelta(days=P.BACKTEST_STEP_DAYS * f)
+        s1 = s0 + dt.timedelta(days=P.BACKTEST_HORIZON_DAYS)
+        a, b = s0.strftime("%Y-%m-%d %H:%M:%S"), s1.strftime("%Y-%m-%d %H:%M:%S")
+        ctes.append(naive("total", None, a, b, name=f"nv{f}"))
+        parts.append(
+            f"""SELECT {f} AS fold, {ts(a)} AS fold_start,
+       CAST(SUM(CAST(abs(t.load_milli / 1000.0 - n.prediction) AS DECIMAL(28,6))) AS DOUBLE) / COUNT(*) AS mae,
+       COUNT(*) AS n_slots
+FROM nv{f} n JOIN total t ON t.datetime_utc = n.datetime_utc"""
+        )
+    return f"WITH {TOTAL}, {', '.join(ctes)}\n" + "\nUNION ALL\n".join(parts)
+
+
+ORACLE["backtest_folds"] = _fold_sql()
+
+LEAK_NAMES = {
+    "lag_2d_same_slot": 192, "lag_7d_same_slot": 672, "same_slot_mean_4w": 672,
+    "rolling_mean_48h_safe": 193, "rolling_mean_7d_safe": 193, "short_ma_minus_long_ma": 193,
+    "last_measured_value": 1, "time_slots_distance": 1, "weekly_trend_smooth": 288,
+}
+
+ORACLE["leak_audit"] = f"""WITH {COMMUNITY_SERIES},
+hid AS (
+  SELECT {KEY}, datetime_utc, datetime_local,
+         CASE WHEN datetime_local < {ts(S0)} THEN load_milli END AS load_milli,
+         CASE WHEN datetime_local < {ts(S0)} THEN load_milli END / 1000.0 AS sum_active_kw
+  FROM cseries
+),
+{feature_ctes('cseries', 'fa')},
+{feature_ctes('hid', 'fb')},
+j AS (
+  SELECT {', '.join(f'a.{n} AS a_{n}, b.{n} AS b_{n}' for n in LEAK_NAMES)}
+  FROM fa a JOIN fb b ON a.{KEY} IS NOT DISTINCT FROM b.{KEY} AND a.datetime_utc = b.datetime_utc
+  WHERE a.datetime_local >= {ts(S0)} AND a.datetime_local < {ts(S1)}
+)
+""" + "\nUNION ALL\n".join(
+    f"""SELECT '{n}' AS feature, {lag} AS min_lag_slots, 672 AS horizon_slots,
+       CAST(COALESCE(SUM(CASE WHEN a_{n} IS DISTINCT FROM b_{n} THEN 1 ELSE 0 END), 0) AS BIGINT) AS changed_rows,
+       COALESCE(SUM(CASE WHEN a_{n} IS DISTINCT FROM b_{n} THEN 1 ELSE 0 END), 0) > 0 AS leaks
+FROM j"""
+    for n, lag in LEAK_NAMES.items()
+)

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from loadcast.functions import clock
 from loadcast.functions.exprs import from_milli
-from loadcast.operators import baseline, cluster, enrich, evaluate, features, profile, series
+from loadcast.operators import audit, baseline, cluster, combine, enrich, evaluate, features, model, profile, series, sink
 from loadcast.plans import params as P
+from loadcast.session import cut_lineage
+from loadcast.plans.forecast import ClusterBoostForecaster, Lookups, SeasonalNaiveForecaster
 from loadcast.sources import (
     Catalog,
     attach_community,
@@ -378,6 +380,108 @@ def q_attach_cluster(spark, root):
     return cluster.attach_cluster(_readings(c), mapping).select("client_id", "datetime_utc", "cluster_id", "active_kw")
 
 
+# ---------------------------------------------------------------- models and the flagship
+
+def _lookups(c: Catalog) -> Lookups:
+    return Lookups(hourly=_hourly(c), holidays=_holidays(c), weekday=_weekday(c), visitors=_visitors(c))
+
+
+def _forecaster(c: Catalog) -> ClusterBoostForecaster:
+    return ClusterBoostForecaster(
+        history_start=P.HISTORY_START,
+        lookups=_lookups(c),
+        k=P.FLAGSHIP_K,
+        n_init=P.FLAGSHIP_N_INIT,
+        boost=model.BoostParams(rounds=P.FLAGSHIP_ROUNDS, depth=P.FLAGSHIP_DEPTH),
+        spec=FLAGSHIP_SPEC,
+        local_shift=P.LOCAL_SHIFT,
+    )
+
+
+def q_cluster_clients(spark, root):
+    c = _cat(spark, root)
+    mapping = _forecaster(c).cluster(_readings(c), P.PREDICT_START)
+    return mapping.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_clients"))
+
+
+def q_cluster_map(spark, root):
+    c = _cat(spark, root)
+    return _forecaster(c).cluster(_readings(c), P.PREDICT_START)
+
+
+def _fitted(c: Catalog):
+    fc = _forecaster(c)
+    readings = _readings(c)
+    mapping = fc.cluster(readings, P.PREDICT_START)
+    feats = fc.feature_frame(readings, mapping, P.PREDICT_START, P.PREDICT_END)
+    models = fc.fit(feats, P.PREDICT_START)
+    return fc, feats, models
+
+
+def q_train_per_series(spark, root):
+    fc, feats, models = _fitted(_cat(spark, root))
+    train, _ = series.time_split(feats, P.PREDICT_START)
+    return model.training_error(models, train, fc.key, fc.feature_names())
+
+
+def q_predict_per_series(spark, root):
+    fc, feats, models = _fitted(_cat(spark, root))
+    return fc.predict_rows(models, feats, P.PREDICT_START, P.PREDICT_END)
+
+
+def q_forecast_total(spark, root):
+    c = _cat(spark, root)
+    return _forecaster(c).predict(_readings(c), P.PREDICT_START, P.PREDICT_END)
+
+
+FLAGSHIP = q_forecast_total
+
+
+# ---------------------------------------------------------------- combine, sink, audits
+
+def _naive_forecast(c: Catalog) -> DataFrame:
+    return SeasonalNaiveForecaster(P.HISTORY_START, P.LOCAL_SHIFT).predict(
+        _readings(c), P.PREDICT_START, P.PREDICT_END
+    )
+
+
+def q_combine_outer(spark, root):
+    c = _cat(spark, root)
+    # the per-series forecasts are materialised once, as any combine step
+    # reads its inputs from stored frames
+    per = cut_lineage(baseline.seasonal_naive(_community_series(c), KEY, P.PREDICT_START, P.PREDICT_END))
+    keys = [r[KEY] for r in per.select(KEY).distinct().collect()]
+    frames = {k: per.filter(F.col(KEY) == k) for k in keys}
+    return combine.combine_outer(frames)
+
+
+def q_sorted_result(spark, root):
+    return _naive_forecast(_cat(spark, root)).orderBy("datetime_15min")
+
+
+def q_stamp_submission(spark, root):
+    return sink.stamp_submission(_naive_forecast(_cat(spark, root)), P.TEAM_NAME, with_clock=False)
+
+
+def q_count_predictions(spark, root):
+    return sink.count_predictions(_naive_forecast(_cat(spark, root)))
+
+
+def q_submission_audit(spark, root):
+    return audit.submission_audit(_naive_forecast(_cat(spark, root)), P.PREDICT_START, P.PREDICT_END)
+
+
+def q_backtest_folds(spark, root):
+    return evaluate.backtest_seasonal_naive(
+        _total(_cat(spark, root)), "series_id", P.BACKTEST_FIRST, P.BACKTEST_FOLDS,
+        P.BACKTEST_STEP_DAYS, P.BACKTEST_HORIZON_DAYS,
+    ).drop("series_id")
+
+
+def q_leak_audit(spark, root):
+    return audit.leak_audit(_community_series(_cat(spark, root)), KEY, FLAGSHIP_SPEC, P.PREDICT_START, P.PREDICT_END)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_consumption": q_scan_consumption,
     "resample_15min": q_resample_15min,
@@ -423,4 +527,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_vector": q_profile_vector,
     "kmeans_step": q_kmeans_step,
     "attach_cluster": q_attach_cluster,
+    "cluster_clients": q_cluster_clients,
+    "cluster_map": q_cluster_map,
+    "train_per_series": q_train_per_series,
+    "predict_per_series": q_predict_per_series,
+    "forecast_total": q_forecast_total,
+    "combine_outer": q_combine_outer,
+    "sorted_result": q_sorted_result,
+    "stamp_submission": q_stamp_submission,
+    "count_predictions": q_count_predictions,
+    "submission_audit": q_submission_audit,
+    "backtest_folds": q_backtest_folds,
+    "leak_audit": q_leak_audit,
 }
