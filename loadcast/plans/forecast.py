@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, ntz, parse_instant
+from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, ntz, parse_instant, py_slot_index
 from loadcast.functions.exprs import from_milli
 from loadcast.operators import audit, baseline, cluster, combine, enrich, features, model, profile, series
 from loadcast.operators.calendar import _parse_shift
@@ -83,11 +83,16 @@ class Lookups:
         return out
 
     def apply(self, df: DataFrame) -> DataFrame:
+        """Join every lookup.  As model inputs, an instant without a holiday
+        row is not a holiday, and a signal with no event in an hour that is
+        present is zero; a missing hour (a hole) stays missing."""
         if self.holidays is not None:
             df = enrich.enrich_holiday(df, self.holidays)
+            df = df.withColumn("is_normal_holiday", F.coalesce(F.col("is_normal_holiday"), F.lit(0)))
         if self.hourly is not None:
-            df = enrich.enrich_interpolated(df, self.hourly, ["demand_forecast"])
-            df = enrich.enrich_price(df, self.hourly)
+            hourly = self.hourly.withColumn("demand_forecast", F.coalesce(F.col("demand_forecast"), F.lit(0.0)))
+            df = enrich.enrich_interpolated(df, hourly, ["demand_forecast"])
+            df = enrich.enrich_price(df, hourly)
         if self.weekday is not None:
             df = enrich.enrich_weekday(df, self.weekday)
         if self.visitors is not None:
@@ -114,6 +119,10 @@ class ClusterBoostForecaster(Forecaster):
     local_shift: str = DEFAULT_LOCAL_SHIFT
     parallelism: int = 8
     key: str = "cluster_id"
+    # Use only window features that every slot of the forecast window can
+    # see (nearest lag >= horizon); False keeps the reference's full set,
+    # whose short lags are missing for most of a multi-day window.
+    horizon_safe_only: bool = True
     info: dict = field(default_factory=dict)
 
     # -- steps ---------------------------------------------------------
@@ -127,8 +136,18 @@ class ClusterBoostForecaster(Forecaster):
         self.info.update(info)
         return mapping
 
-    def feature_names(self) -> list[str]:
-        return self.spec.names() + self.lookups.feature_names()
+    def window_features(self, predict_start: str | None = None, predict_end: str | None = None) -> list[str]:
+        lags = self.spec.min_lag()
+        if not self.horizon_safe_only or predict_start is None or predict_end is None:
+            return list(lags)
+        horizon = py_slot_index(predict_end) - py_slot_index(predict_start)
+        return [n for n, lag in lags.items() if lag >= horizon]
+
+    def feature_names(self, predict_start: str | None = None, predict_end: str | None = None) -> list[str]:
+        if predict_start is not None:
+            self._window = (predict_start, predict_end)
+        window = getattr(self, "_window", (None, None))
+        return self.window_features(*window) + self.lookups.feature_names()
 
     def feature_frame(self, readings: DataFrame, mapping: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
         """Dense per-cluster series, actuals hidden from the window start,
@@ -141,7 +160,8 @@ class ClusterBoostForecaster(Forecaster):
         feats = features.build_features(hidden, self.key, self.spec)
         feats = self.lookups.apply(feats)
         feats = feats.filter(F.col("datetime_local") < ntz(predict_end))
-        cols = [self.key, "datetime_utc", "datetime_local", "load_milli", "sum_active_kw", *self.feature_names()]
+        names = self.feature_names(predict_start, predict_end)
+        cols = [self.key, "datetime_utc", "datetime_local", "load_milli", "sum_active_kw", *names]
         return cut_lineage(feats.select(*cols))
 
     def fit(self, feats: DataFrame, predict_start: str) -> dict:
