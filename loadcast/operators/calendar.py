@@ -11,7 +11,7 @@ import datetime as _dt
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcast.functions.clock import (
@@ -52,23 +52,33 @@ def densify(
 ) -> DataFrame:
     """Lay a sparse (key, datetime_utc) series on its spine.
 
-    Series keys come from the data itself; slots without a row get
-    ``fill`` values (``{"load_milli": 0}`` = "no reading is zero load").
-    Spine rows are joined to the sparse side, which is already hash
-    partitioned on (key, datetime_utc) by the aggregation that built it.
+    Gap filling inside one window pass: every row generates the slots from
+    itself up to the next row of its series (``lead``), the first row also
+    the slots from the window start, the last row those up to the window
+    end.  Generated slots get the ``fill`` values (``{"load_milli": 0}`` =
+    "no reading is zero load").  The series keys are the ones present in the
+    data; no key list, no spine join and no second scan of the input are
+    needed, and the output keeps the ``key`` partitioning, so the feature
+    windows that follow only sort.
     """
     fill = fill or {}
-    sparse = series.filter((F.col("datetime_utc") >= ntz(start)) & (F.col("datetime_utc") < ntz(end)))
-    keys = sparse.select(key).distinct()
-    spine = keyed_spine(keys, start, end, local_shift)
+    t = F.col("datetime_utc")
+    sparse = series.filter((t >= ntz(start)) & (t < ntz(end)))
     value_cols = [c for c in sparse.columns if c not in (key, "datetime_utc", "datetime_local")]
-    joined = spine.join(sparse.drop("datetime_local"), [key, "datetime_utc"], "left")
-    return joined.select(
+    w = Window.partitionBy(key).orderBy("datetime_utc")
+    upto = F.coalesce(F.lead("datetime_utc").over(w), ntz(end)) - _step()
+    first = F.when(F.lag("datetime_utc").over(w).isNull(), ntz(start)).otherwise(t)
+    spans = sparse.select(
+        key, t.alias("_t"), *value_cols, F.sequence(first, upto, _step()).alias("_slots")
+    )
+    dense = spans.select(key, "_t", *value_cols, F.explode("_slots").alias("datetime_utc"))
+    own = F.col("datetime_utc") == F.col("_t")
+    return dense.select(
         key,
         "datetime_utc",
-        "datetime_local",
+        to_local("datetime_utc", local_shift).alias("datetime_local"),
         *[
-            (F.coalesce(F.col(c), F.lit(fill[c])) if c in fill else F.col(c)).alias(c)
+            F.when(own, F.col(c)).otherwise(F.lit(fill.get(c))).alias(c)
             for c in value_cols
         ],
     )

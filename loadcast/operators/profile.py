@@ -41,13 +41,18 @@ def client_profiles(
     end: str,
     local_shift: str = DEFAULT_LOCAL_SHIFT,
 ) -> DataFrame:
-    """A1-A5 and J1 in one aggregation: ``client_id, h00..h23, mean_kw,
-    pct_zero, wd_avg, we_avg, we_wd_ratio`` for every client with a reading
-    in the window."""
+    """``client_id, h00..h23, mean_kw, pct_zero, wd_avg,
+    we_avg, we_wd_ratio`` for every client with a reading in the window.
+    ``readings`` may hold several readings per (client, slot)."""
     from loadcast.operators.calendar import slot_counts
 
+    from loadcast.sources.consumption import to_cells
+
     counts = slot_counts(start, end, local_shift)
-    rows = readings.filter((F.col("datetime_utc") >= ntz(start)) & (F.col("datetime_utc") < ntz(end)))
+    window = (F.col("datetime_utc") >= ntz(start)) & (F.col("datetime_utc") < ntz(end))
+    # grid cells: the zero share counts slots, so readings of one slot are
+    # added first (a (client, slot) shuffle of three narrow columns)
+    rows = to_cells(readings.filter(window))
     hour = F.hour("datetime_local")
     weekend = is_weekend("datetime_local")
     milli = F.col("kw_milli")

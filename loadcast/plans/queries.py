@@ -22,6 +22,7 @@ from loadcast.sources import (
     community_map,
     consumption,
     lookups,
+    raw_readings,
     readings_from_events,
     restrict_time,
 )
@@ -38,20 +39,30 @@ def _cat(spark: SparkSession, root: str) -> Catalog:
 
 
 def _readings(c: Catalog) -> DataFrame:
+    """Cells: one row per (client, slot)."""
     return readings_from_events(c.events, P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
 
 
+def _raw(c: Catalog) -> DataFrame:
+    """Raw readings (a projection of the scan)."""
+    return raw_readings(c.events, P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
+
+
 def _consumption(c: Catalog) -> DataFrame:
     return consumption(c.events, c.customer, c.nation, P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
 
 
 def _total(c: Catalog) -> DataFrame:
-    return series.total_load(_readings(c), P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
+    return series.total_load(_raw(c), P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
+
+
+def _raw_with_community(c: Catalog) -> DataFrame:
+    return attach_community(_raw(c), community_map(c.customer, c.nation))
 
 
 def _community_series(c: Catalog) -> DataFrame:
     return series.dense_series(
-        _consumption(c), "community_code", P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT
+        _raw_with_community(c), "community_code", P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT
     )
 
 
@@ -129,7 +140,7 @@ def _pick(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def q_series_load(spark, root):
-    s = series.series_load(_consumption(_cat(spark, root)), KEY)
+    s = series.series_load(_raw_with_community(_cat(spark, root)), KEY)
     return s.withColumn("sum_active_kw", from_milli("load_milli"))
 
 
@@ -260,7 +271,7 @@ def _holidays(c: Catalog) -> DataFrame:
 
 
 def _consumption_keyed(c: Catalog) -> DataFrame:
-    readings = _readings(c)
+    readings = _raw(c)
     return attach_community(readings, community_map(c.customer, c.nation))
 
 
@@ -344,7 +355,7 @@ def q_community_code_num(spark, root):
 # ---------------------------------------------------------------- profiles and clusters
 
 def _profiles(c: Catalog) -> DataFrame:
-    return profile.client_profiles(_readings(c), P.PROFILE_START, P.PROFILE_END, P.LOCAL_SHIFT)
+    return profile.client_profiles(_raw(c), P.PROFILE_START, P.PROFILE_END, P.LOCAL_SHIFT)
 
 
 def q_profile_hourly(spark, root):
@@ -400,18 +411,18 @@ def _forecaster(c: Catalog) -> ClusterBoostForecaster:
 
 def q_cluster_clients(spark, root):
     c = _cat(spark, root)
-    mapping = _forecaster(c).cluster(_readings(c), P.PREDICT_START)
+    mapping = _forecaster(c).cluster(_raw(c), P.PREDICT_START)
     return mapping.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_clients"))
 
 
 def q_cluster_map(spark, root):
     c = _cat(spark, root)
-    return _forecaster(c).cluster(_readings(c), P.PREDICT_START)
+    return _forecaster(c).cluster(_raw(c), P.PREDICT_START)
 
 
 def _fitted(c: Catalog):
     fc = _forecaster(c)
-    readings = _readings(c)
+    readings = _raw(c)
     mapping = fc.cluster(readings, P.PREDICT_START)
     feats = fc.feature_frame(readings, mapping, P.PREDICT_START, P.PREDICT_END)
     models = fc.fit(feats, P.PREDICT_START)
@@ -431,7 +442,7 @@ def q_predict_per_series(spark, root):
 
 def q_forecast_total(spark, root):
     c = _cat(spark, root)
-    return _forecaster(c).predict(_readings(c), P.PREDICT_START, P.PREDICT_END)
+    return _forecaster(c).predict(_raw(c), P.PREDICT_START, P.PREDICT_END)
 
 
 FLAGSHIP = q_forecast_total
@@ -441,7 +452,7 @@ FLAGSHIP = q_forecast_total
 
 def _naive_forecast(c: Catalog) -> DataFrame:
     return SeasonalNaiveForecaster(P.HISTORY_START, P.LOCAL_SHIFT).predict(
-        _readings(c), P.PREDICT_START, P.PREDICT_END
+        _raw(c), P.PREDICT_START, P.PREDICT_END
     )
 
 

@@ -4,8 +4,10 @@ from loadcast.sources.consumption import (  # noqa: F401
     attach_community,
     community_map,
     consumption,
+    raw_readings,
     readings_from_events,
     restrict_time,
+    to_cells,
 )
 from loadcast.sources.frames import (  # noqa: F401
     CLUSTER_MAP_SCHEMA,

@@ -11,7 +11,7 @@ Columns of a readings frame::
     datetime_utc    timestamp_ntz   start of the slot, the key
     datetime_local  timestamp_ntz   the same slot on the local clock
     kw_milli        long            exact load, milli-kW
-    active_kw       double          kw_milli / 1000
+    active_kw       double          kw_milli / 1000 (cells only)
 """
 
 from __future__ import annotations
@@ -35,35 +35,52 @@ def restrict_time(events: DataFrame, start: str | None, end: str | None, ts: str
     return events
 
 
-def readings_from_events(
+def raw_readings(
     events: DataFrame,
     start: str | None = None,
     end: str | None = None,
     local_shift: str = DEFAULT_LOCAL_SHIFT,
 ) -> DataFrame:
-    """Resample raw readings to one row per (client, slot).
-
-    The group key is (client, slot) rather than client alone, so a client
-    holding a large share of all rows is still spread over many shuffle
-    partitions; map-side partial aggregation combines readings first.
-    """
+    """Readings as stored, floored to their slot: a projection of the scan,
+    no shuffle.  Several readings of one client may share a slot; every
+    consumer that sums load (series, totals, profiles' sums) is indifferent
+    to that, and map-side partial aggregation collapses them."""
     ev = restrict_time(events.select("user_id", "ts", "value"), start, end)
-    return (
-        ev.groupBy(
-            F.col("user_id").alias("client_id"),
-            floor_15min("ts").alias("datetime_utc"),
-        )
-        .agg(F.sum(to_milli("value")).alias("kw_milli"))
-        .select(
-            "client_id",
-            "datetime_utc",
-            to_local("datetime_utc", local_shift).alias("datetime_local"),
-            "kw_milli",
-            from_milli("kw_milli").alias("active_kw"),
-        )
+    utc = floor_15min("ts")
+    return ev.select(
+        F.col("user_id").alias("client_id"),
+        utc.alias("datetime_utc"),
+        to_local(utc, local_shift).alias("datetime_local"),
+        to_milli("value").alias("kw_milli"),
+    )
+
+
+def to_cells(readings: DataFrame) -> DataFrame:
+    """One row per (client, slot), the load of the slot summed.
+
+    Grouped on (client, slot), not client alone, so a client holding a
+    large share of all rows still spreads over many shuffle partitions.
+    Only needed where the contract is "one reading per client and slot"
+    (the consumption table itself, the share of zero-load slots)."""
+    return readings.groupBy("client_id", "datetime_utc").agg(
+        F.min("datetime_local").alias("datetime_local"),
+        F.sum("kw_milli").alias("kw_milli"),
+    ).select(
+        "client_id", "datetime_utc", "datetime_local", "kw_milli",
+        from_milli("kw_milli").alias("active_kw"),
     )
 
 
+def readings_from_events(
+    events: DataFrame,
+    start: str | None = None,
+    end: str | None = None,
+    local_shift: str = DEFAULT_LOCAL_SHIFT,
+) -> DataFrame:
+    """Raw readings resampled to one row per (client, 15-minute slot)."""
+    return to_cells(raw_readings(events, start, end, local_shift))
+
+
 def community_map(customer: DataFrame, nation: DataFrame) -> DataFrame:
     """client_id -> community (nation name and key).
 
