@@ -40,19 +40,26 @@ def client_profiles(
     start: str,
     end: str,
     local_shift: str = DEFAULT_LOCAL_SHIFT,
+    readings_are_cells: bool = False,
 ) -> DataFrame:
     """``client_id, h00..h23, mean_kw, pct_zero, wd_avg,
     we_avg, we_wd_ratio`` for every client with a reading in the window.
-    ``readings`` may hold several readings per (client, slot)."""
+
+    ``readings`` may hold several readings per (client, slot); the zero
+    share counts slots, so they are added up per slot first (a shuffle of
+    three narrow columns on (client, slot)).  A source that already holds
+    one reading per client and slot (a meter table) passes
+    ``readings_are_cells=True`` and skips that shuffle: the per-client
+    aggregation then combines everything map side."""
     from loadcast.operators.calendar import slot_counts
 
     from loadcast.sources.consumption import to_cells
 
     counts = slot_counts(start, end, local_shift)
     window = (F.col("datetime_utc") >= ntz(start)) & (F.col("datetime_utc") < ntz(end))
-    # grid cells: the zero share counts slots, so readings of one slot are
-    # added first (a (client, slot) shuffle of three narrow columns)
-    rows = to_cells(readings.filter(window))
+    rows = readings.filter(window)
+    if not readings_are_cells:
+        rows = to_cells(rows)
     hour = F.hour("datetime_local")
     weekend = is_weekend("datetime_local")
     milli = F.col("kw_milli")

@@ -123,13 +123,17 @@ class ClusterBoostForecaster(Forecaster):
     # see (nearest lag >= horizon); False keeps the reference's full set,
     # whose short lags are missing for most of a multi-day window.
     horizon_safe_only: bool = True
+    # True when the readings hold one row per (client, slot) already
+    readings_are_cells: bool = False
     info: dict = field(default_factory=dict)
 
     # -- steps ---------------------------------------------------------
     def cluster(self, readings: DataFrame, predict_start: str) -> DataFrame:
         """Profiles over the history before the window -> k-means map."""
         start_utc = local_to_utc(predict_start, self.local_shift)
-        prof = profile.client_profiles(readings, self.history_start, start_utc, self.local_shift)
+        prof = profile.client_profiles(
+            readings, self.history_start, start_utc, self.local_shift, self.readings_are_cells
+        )
         mapping, info = cluster.cluster_clients(
             profile.profile_vector(prof), self.k, self.n_init, self.seed, parallelism=self.parallelism
         )

@@ -282,3 +282,15 @@ def test_raw_readings_floor_and_cells_add_up(spark):
 def test_empty_window_is_rejected(bad):
     with pytest.raises(ValueError):
         calendar.slot_sequence(*bad)
+
+
+def test_profiles_from_cells_equal_profiles_from_raw_readings(spark):
+    from loadcast.sources.consumption import to_cells
+
+    t = slots("2024-01-01 00:00:00", 96 * 2)
+    rows = [(c, x, float((i * 7 + c) % 5)) for c in range(3) for i, x in enumerate(t)]
+    rows += [(0, t[5], 1.5), (2, t[9], 0.25)]  # second readings in two slots
+    raw = readings_frame(spark, rows)
+    a = profile.client_profiles(raw, "2024-01-01 00:00:00", "2024-01-03 00:00:00")
+    b = profile.client_profiles(to_cells(raw), "2024-01-01 00:00:00", "2024-01-03 00:00:00", readings_are_cells=True)
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
