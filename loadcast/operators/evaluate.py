@@ -12,9 +12,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import SLOT_MINUTES, parse_instant
-from loadcast.operators.baseline import seasonal_naive
-from loadcast.operators.joins import broadcast_if_small
+from loadcast.functions.clock import SLOT_MINUTES, SLOTS_PER_DAY, parse_instant, py_slot_index
+from loadcast.operators.baseline import naive_columns
 
 ERROR_DECIMAL = "decimal(28,6)"
 
@@ -61,34 +60,29 @@ def backtest_seasonal_naive(
 
     Fold ``f`` forecasts ``[first_start + f*step, ... + horizon)`` from the
     data before its own start and is scored against the actuals.  Output:
-    ``fold, fold_start, <key>, mae, n_slots``.  Folds are a handful of
-    parameters; each is a plan over the whole series, unioned.
+    ``fold, fold_start, <key>, mae, n_slots``.
+
+    One pass: every series row is repeated once per fold (a generator over
+    a handful of fold starts), the forecast is a window over (key, fold),
+    which the series' key partitioning already satisfies, and the actual is
+    the row's own load, so scoring needs no join.
     """
-    horizon = _dt.timedelta(days=horizon_days)
-    results = []
-    for f, start in enumerate(fold_starts(first_start, n_folds, step_days)):
-        end = (parse_instant(start) + horizon).strftime("%Y-%m-%d %H:%M:%S")
-        pred = seasonal_naive(series, key, start, end)
-        actual = series.select(key, "datetime_utc", F.col("sum_active_kw").alias("actual"))
-        scored = mae(actual, pred.drop("datetime_local"), on="datetime_utc", by=[key])
-        results.append(
-            scored.select(
-                F.lit(f).alias("fold"),
-                F.lit(start).cast("timestamp_ntz").alias("fold_start"),
-                key,
-                "mae",
-                "n_slots",
-            )
-        )
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    starts = fold_starts(first_start, n_folds, step_days)
+    start_idx = F.array(*[F.lit(py_slot_index(s)) for s in starts])
+    start_ts = F.array(*[F.lit(s).cast("timestamp_ntz") for s in starts])
+    horizon = horizon_days * SLOTS_PER_DAY
+    folded = series.select("*", F.posexplode(start_idx).alias("fold", "_start_idx"))
+    pred, in_window = naive_columns([key, "fold"], F.col("_start_idx"), horizon)
+    scored = folded.select(key, "fold", "sum_active_kw", pred.alias("prediction"), in_window.alias("_in")).filter("_in")
+    err = scored.select(key, "fold", abs_error("sum_active_kw", "prediction").alias("_err"))
+    out = err.groupBy("fold", key).agg(
+        (F.sum("_err").cast("double") / F.count("_err")).alias("mae"),
+        F.count("_err").alias("n_slots"),
+    )
+    return out.select("fold", F.element_at(start_ts, F.col("fold") + 1).alias("fold_start"), key, "mae", "n_slots")
 
 
 def slots_between(start: str, end: str) -> int:
     delta = parse_instant(end) - parse_instant(start)
     return int(delta.total_seconds() // (SLOT_MINUTES * 60))
 
-
-__all__ = ["mae", "backtest_seasonal_naive", "fold_starts", "abs_error", "broadcast_if_small"]

@@ -20,6 +20,10 @@ from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, ntz, parse_instant, py
 from loadcast.functions.exprs import from_milli
 from loadcast.operators import audit, baseline, cluster, combine, enrich, features, model, profile, series
 from loadcast.operators.calendar import _parse_shift
+from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES
+
+# Bytes per (slot, prediction) row assumed when bounding a forecast's size.
+FORECAST_ROW_BYTES = 32
 from loadcast.session import cut_lineage
 
 
@@ -30,9 +34,14 @@ def local_to_utc(value: str, local_shift: str) -> str:
 
 def _on_window_spine(combined: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
     """Exactly one row per local slot of the window; a slot no series
-    forecast is zero load."""
+    forecast is zero load.  The combined forecast has at most one row per
+    slot of the window, a bound set by the window parameters, so it is
+    broadcast when that bound is small."""
     spine = audit.window_spine(combined.sparkSession, predict_start, predict_end)
     got = combined.select(F.col("datetime_local").alias("datetime_15min"), "prediction")
+    n_slots = py_slot_index(predict_end) - py_slot_index(predict_start)
+    if n_slots * FORECAST_ROW_BYTES <= DEFAULT_BROADCAST_BYTES:
+        got = F.broadcast(got)
     return spine.join(got, "datetime_15min", "left").select(
         "datetime_15min", F.coalesce(F.col("prediction"), F.lit(0.0)).alias("prediction")
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, floor_15min, ntz, to_local
 from loadcast.functions.exprs import from_milli, to_milli
-from loadcast.operators.joins import broadcast_if_small
+from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small, estimated_bytes
 
 
 def restrict_time(events: DataFrame, start: str | None, end: str | None, ts: str = "ts") -> DataFrame:
@@ -81,12 +81,16 @@ def readings_from_events(
     return to_cells(raw_readings(events, start, end, local_shift))
 
 
-def community_map(customer: DataFrame, nation: DataFrame) -> DataFrame:
+def community_map(customer: DataFrame, nation: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """client_id -> community (nation name and key).
 
-    One row per client: it grows with the client base, so it is *not* hinted
-    for broadcast; the planner (and AQE at run time) picks the join strategy
-    from its measured size.  The nation side is a fixed 25-row table.
+    One row per client (the nation key is unique, so the left join cannot
+    add rows): its size is bounded by the customer projection, whose
+    estimate is checked.  Under the bound the map is broadcast to the
+    readings; above it (a client base of billions) the readings are
+    shuffled on ``client_id`` and AQE splits a hot client's partition.
+    Without this check the planner multiplies the sizes of the two join
+    inputs and never broadcasts.
     """
     nations = broadcast_if_small(
         nation.select(
@@ -94,11 +98,10 @@ def community_map(customer: DataFrame, nation: DataFrame) -> DataFrame:
             F.col("n_name").alias("community_code"),
         )
     )
-    return (
-        customer.select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("nation_key"))
-        .join(nations, "nation_key", "left")
-        .select("client_id", "community_code", "nation_key")
-    )
+    clients = customer.select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("nation_key"))
+    out = clients.join(nations, "nation_key", "left").select("client_id", "community_code", "nation_key")
+    size = estimated_bytes(clients)
+    return F.broadcast(out) if size is not None and size <= max_bytes else out
 
 
 def attach_community(readings: DataFrame, communities: DataFrame) -> DataFrame:
