@@ -13,7 +13,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcast.functions.clock import floor_hour
-from loadcast.operators.joins import broadcast_if_small
+from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small
+
+# Bytes per lookup row assumed when a row-count bound decides a broadcast.
+LOOKUP_ROW_BYTES = 64
+
+
+def broadcast_bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast a lookup whose row count is bounded by the caller (hours or
+    days of a window it has filtered to); without a bound, fall back to the
+    planner's estimate."""
+    if max_rows is not None and max_rows * LOOKUP_ROW_BYTES <= DEFAULT_BROADCAST_BYTES:
+        return F.broadcast(df)
+    return broadcast_if_small(df)
 
 _AGGS = {"max": F.max, "min": F.min, "avg": F.avg, "sum": F.sum, "first": F.min}
 
@@ -30,23 +42,25 @@ def holiday_per_instant(holidays: DataFrame) -> DataFrame:
     return one_row_per_key(holidays, "datetime_utc", {"is_normal_holiday": "max"})
 
 
-def enrich_holiday(df: DataFrame, holidays: DataFrame) -> DataFrame:
+def enrich_holiday(df: DataFrame, holidays: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Left join of the per-instant flag on ``datetime_utc``."""
-    return df.join(broadcast_if_small(holiday_per_instant(holidays)), "datetime_utc", "left")
+    return df.join(broadcast_bounded(holiday_per_instant(holidays), max_rows), "datetime_utc", "left")
 
 
-def next_hour_carry(hourly: DataFrame, cols: list[str]) -> DataFrame:
+def next_hour_carry(hourly: DataFrame, cols: list[str], max_rows: int | None = None) -> DataFrame:
     """``hour_start, <c>_curr, <c>_next`` where next is the value one hour
     later, or the current value when that hour is missing (a hole or the
     last hour).  An equi-join on ``hour + 1h`` instead of ``lead`` over an
     unpartitioned window, so it runs in parallel and a hole never pulls in a
-    later hour."""
+    later hour.  One row per hour is enforced first (duplicate hours are
+    averaged), so the join cannot multiply rows."""
+    hourly = one_row_per_key(hourly, "datetime_utc", {c: "avg" for c in cols})
     base = hourly.select(F.col("datetime_utc").alias("hour_start"), *cols)
     nxt = hourly.select(
         (F.col("datetime_utc") - F.expr("INTERVAL 1 HOUR")).alias("hour_start"),
         *[F.col(c).alias(f"_{c}_next") for c in cols],
     )
-    joined = base.join(broadcast_if_small(nxt), "hour_start", "left")
+    joined = base.join(broadcast_bounded(nxt, max_rows), "hour_start", "left")
     return joined.select(
         "hour_start",
         *[F.col(c).alias(f"{c}_curr") for c in cols],
@@ -59,10 +73,10 @@ def interpolation_weight(ts: str = "datetime_utc") -> Column:
     return F.minute(ts) / F.lit(60.0)
 
 
-def enrich_interpolated(df: DataFrame, hourly: DataFrame, cols: list[str]) -> DataFrame:
+def enrich_interpolated(df: DataFrame, hourly: DataFrame, cols: list[str], max_rows: int | None = None) -> DataFrame:
     """Hourly signals to quarter hours by linear interpolation,
     ``(1 - alpha) * curr + alpha * next``."""
-    prep = broadcast_if_small(next_hour_carry(hourly, cols))
+    prep = broadcast_bounded(next_hour_carry(hourly, cols, max_rows), max_rows)
     alpha = interpolation_weight("datetime_utc")
     out = df.withColumn("hour_start", floor_hour("datetime_utc")).join(prep, "hour_start", "left")
     out = out.select(
@@ -75,9 +89,9 @@ def enrich_interpolated(df: DataFrame, hourly: DataFrame, cols: list[str]) -> Da
     return out
 
 
-def enrich_by_local_date(df: DataFrame, daily: DataFrame, cols: list[str]) -> DataFrame:
+def enrich_by_local_date(df: DataFrame, daily: DataFrame, cols: list[str], max_rows: int | None = None) -> DataFrame:
     """Left join of a daily table on ``to_date(datetime_local)``."""
-    day = broadcast_if_small(daily.select(F.col("date").alias("_date_local"), *cols))
+    day = broadcast_bounded(daily.select(F.col("date").alias("_date_local"), *cols), max_rows)
     return (
         df.withColumn("_date_local", F.to_date("datetime_local"))
         .join(day, "_date_local", "left")
@@ -85,15 +99,15 @@ def enrich_by_local_date(df: DataFrame, daily: DataFrame, cols: list[str]) -> Da
     )
 
 
-def enrich_weekday(df: DataFrame, weekday: DataFrame) -> DataFrame:
-    return enrich_by_local_date(df, weekday, ["day_of_week", "is_weekend"])
+def enrich_weekday(df: DataFrame, weekday: DataFrame, max_rows: int | None = None) -> DataFrame:
+    return enrich_by_local_date(df, weekday, ["day_of_week", "is_weekend"], max_rows)
 
 
-def enrich_visitors(df: DataFrame, visitors: DataFrame) -> DataFrame:
-    return enrich_by_local_date(df, visitors, ["visitors"])
+def enrich_visitors(df: DataFrame, visitors: DataFrame, max_rows: int | None = None) -> DataFrame:
+    return enrich_by_local_date(df, visitors, ["visitors"], max_rows)
 
 
-def enrich_price(df: DataFrame, hourly: DataFrame, price_col: str = "AvgPrice") -> DataFrame:
+def enrich_price(df: DataFrame, hourly: DataFrame, price_col: str = "AvgPrice", max_rows: int | None = None) -> DataFrame:
     """The hour's average price, when the table has that column (the
     column is optional).  One row per hour is enforced first; the key is the
     slot's hour (an equality on the slot instant itself would leave three of
@@ -105,7 +119,7 @@ def enrich_price(df: DataFrame, hourly: DataFrame, price_col: str = "AvgPrice")
     )
     return (
         df.withColumn("_price_hour", floor_hour("datetime_utc"))
-        .join(broadcast_if_small(price), "_price_hour", "left")
+        .join(broadcast_bounded(price, max_rows), "_price_hour", "left")
         .drop("_price_hour")
     )
 

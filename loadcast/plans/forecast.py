@@ -91,21 +91,38 @@ class Lookups:
             out.append("visitors")
         return out
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        """Join every lookup.  As model inputs, an instant without a holiday
-        row is not a holiday, and a signal with no event in an hour that is
-        present is zero; a missing hour (a hole) stays missing."""
+    def apply(self, df: DataFrame, start_utc: str, end_utc: str) -> DataFrame:
+        """Join every lookup onto rows of ``[start_utc, end_utc)``.
+
+        Each lookup is first cut to that span (the next hour and the local
+        dates at both ends included), which bounds it by the hours or days of
+        the window; it is then broadcast on that bound.  As model inputs, an
+        instant without a holiday row is not a holiday, and a signal with no
+        event in an hour that is present is zero; a missing hour (a hole)
+        stays missing."""
+        t0, t1 = ntz(start_utc), ntz(end_utc)
+        slots = py_slot_index(end_utc) - py_slot_index(start_utc)
+        hours, days = slots // 4 + 2, slots // 96 + 3
         if self.holidays is not None:
-            df = enrich.enrich_holiday(df, self.holidays)
+            hol = self.holidays.filter((F.col("datetime_utc") >= t0) & (F.col("datetime_utc") < t1))
+            df = enrich.enrich_holiday(df, hol, max_rows=slots)
             df = df.withColumn("is_normal_holiday", F.coalesce(F.col("is_normal_holiday"), F.lit(0)))
         if self.hourly is not None:
-            hourly = self.hourly.withColumn("demand_forecast", F.coalesce(F.col("demand_forecast"), F.lit(0.0)))
-            df = enrich.enrich_interpolated(df, hourly, ["demand_forecast"])
-            df = enrich.enrich_price(df, hourly)
+            hour_span = (F.col("datetime_utc") >= t0 - F.expr("INTERVAL 1 HOUR")) & (
+                F.col("datetime_utc") < t1 + F.expr("INTERVAL 1 HOUR")
+            )
+            hourly = self.hourly.filter(hour_span).withColumn(
+                "demand_forecast", F.coalesce(F.col("demand_forecast"), F.lit(0.0))
+            )
+            df = enrich.enrich_interpolated(df, hourly, ["demand_forecast"], max_rows=hours)
+            df = enrich.enrich_price(df, hourly, max_rows=hours)
+        day_span = (F.col("date") >= F.to_date(t0 - F.expr("INTERVAL 1 DAY"))) & (
+            F.col("date") <= F.to_date(t1 + F.expr("INTERVAL 1 DAY"))
+        )
         if self.weekday is not None:
-            df = enrich.enrich_weekday(df, self.weekday)
+            df = enrich.enrich_weekday(df, self.weekday.filter(day_span), max_rows=days)
         if self.visitors is not None:
-            df = enrich.enrich_visitors(df, self.visitors)
+            df = enrich.enrich_visitors(df, self.visitors.filter(day_span), max_rows=days)
         return df
 
 
@@ -171,7 +188,7 @@ class ClusterBoostForecaster(Forecaster):
         ser = series.dense_series(clustered, self.key, self.history_start, end_utc, self.local_shift)
         hidden = series.mask_from(ser, predict_start).withColumn("sum_active_kw", from_milli("load_milli"))
         feats = features.build_features(hidden, self.key, self.spec)
-        feats = self.lookups.apply(feats)
+        feats = self.lookups.apply(feats, self.history_start, end_utc)
         feats = feats.filter(F.col("datetime_local") < ntz(predict_end))
         names = self.feature_names(predict_start, predict_end)
         cols = [self.key, "datetime_utc", "datetime_local", "load_milli", "sum_active_kw", *names]

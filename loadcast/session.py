@@ -37,6 +37,8 @@ def build_session(
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": driver_memory,
+        # checkpoints are written to the shared folder; drop them with their frames
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # time-series windows sort whole series; keep spill-friendly buffers
         "spark.sql.windowExec.buffer.spill.threshold": "65536",
     }

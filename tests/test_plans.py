@@ -55,3 +55,15 @@ def test_cluster_map_is_broadcast_when_its_size_is_bounded(spark):
     # no bound given and no usable estimate: the planner decides
     big = cluster.attach_cluster(readings, mapping.repartition(4), n_clients=10**10)
     assert "BroadcastHashJoin" in _plan(big) or "SortMergeJoin" in _plan(big)
+
+
+def test_seasonal_naive_and_backtest_are_one_scan_without_joins(spark):
+    for name in ("seasonal_naive", "backtest_folds"):
+        plan = _plan(entry.queries()[name](spark, SMOKE_DIR))
+        assert _scans(plan, "events") == 1, name
+        assert "Join" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_forecast_window_spine_join_is_broadcast(spark):
+    plan = _plan(entry.queries()["sorted_result"](spark, SMOKE_DIR))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
