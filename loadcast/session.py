@@ -62,6 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a folder every executor can read "
+                "(a machine-local folder does not survive the loss of an executor)"
+            )
         configured = tempfile.mkdtemp(prefix="loadcast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
