@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from loadcast.functions.clock import ntz, py_slot_index, slot_start
 from loadcast.operators.features import FeatureSpec, build_features
-from loadcast.operators.series import mask_from
-from loadcast.functions.exprs import from_milli
 
 
 def leak_audit(
@@ -22,23 +20,26 @@ def leak_audit(
 ) -> DataFrame:
     """Which features read actuals from inside the forecast window.
 
-    Features are built twice, once on the series as stored and once with
-    every actual at or after ``predict_start`` hidden; a feature leaks when
-    any forecast-window row differs.  Output per feature: ``feature,
-    min_lag_slots`` (declared), ``horizon_slots``, ``changed_rows``,
-    ``leaks``.
+    Features are built twice in one sorted pass over the series: once on
+    the load as stored and once with every actual at or after
+    ``predict_start`` hidden; a feature leaks when any forecast-window row
+    differs.  Output per feature: ``feature, min_lag_slots`` (declared),
+    ``horizon_slots``, ``changed_rows``, ``leaks``.
     """
     names = spec.names()
     horizon = py_slot_index(predict_end) - py_slot_index(predict_start)
-    in_window = (F.col("datetime_local") >= ntz(predict_start)) & (F.col("datetime_local") < ntz(predict_end))
-    full = build_features(series, key, spec).filter(in_window)
-    hidden_series = mask_from(series, predict_start).withColumn("sum_active_kw", from_milli("load_milli"))
-    hidden = build_features(hidden_series, key, spec).filter(in_window)
-    a = full.select(key, "datetime_utc", *[F.col(n).alias(f"a_{n}") for n in names])
-    b = hidden.select(key, "datetime_utc", *[F.col(n).alias(f"b_{n}") for n in names])
-    joined = a.join(b, [key, "datetime_utc"], "inner")
-    wide = joined.agg(
-        *[F.sum(F.when(~F.col(f"a_{n}").eqNullSafe(F.col(f"b_{n}")), 1).otherwise(0)).alias(n) for n in names]
+    before = F.col("datetime_local") < ntz(predict_start)
+    in_window = ~before & (F.col("datetime_local") < ntz(predict_end))
+    both = series.select(
+        "*",
+        F.when(before, F.col("load_milli")).alias("_milli_hidden"),
+        F.when(before, F.col("sum_active_kw")).alias("_kw_hidden"),
+    )
+    both = build_features(both, key, spec)
+    both = build_features(both, key, spec, target="_kw_hidden", milli="_milli_hidden", suffix="__hidden")
+    rows = both.filter(in_window)
+    wide = rows.agg(
+        *[F.sum(F.when(~F.col(n).eqNullSafe(F.col(n + "__hidden")), 1).otherwise(0)).alias(n) for n in names]
     )
     long = wide.select(*[F.col(n).cast("long").alias(n) for n in names]).unpivot([], names, "feature", "changed_rows")
     lags = spec.min_lag()

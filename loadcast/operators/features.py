@@ -86,17 +86,17 @@ def add_lags(df: DataFrame, key: str, lags: dict[str, int], target: str = "sum_a
     return df.select("*", *[lag_column(target, n, w).alias(name) for name, n in lags.items()])
 
 
-def add_running_totals(df: DataFrame, key: str, milli: str = "load_milli") -> DataFrame:
+def add_running_totals(df: DataFrame, key: str, milli: str = "load_milli", tag: str = "") -> DataFrame:
     """Running sum and running count of the non-null exact load."""
     run = series_window(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.select(
         "*",
-        F.coalesce(F.sum(milli).over(run), F.lit(0)).alias("_run_sum"),
-        F.count(milli).over(run).alias("_run_n"),
+        F.coalesce(F.sum(milli).over(run), F.lit(0)).alias(f"_run_sum{tag}"),
+        F.count(milli).over(run).alias(f"_run_n{tag}"),
     )
 
 
-def frame_mean(key: str, lo: int, hi: int) -> Column:
+def frame_mean(key: str, lo: int, hi: int, tag: str = "") -> Column:
     """Mean of the non-null load over rows ``[i+lo, i+hi]`` (``hi <= 0``)
     from the running totals; null when the frame holds no value."""
     w = series_window(key)
@@ -109,21 +109,23 @@ def frame_mean(key: str, lo: int, hi: int) -> Column:
 
     # rows before the start read as running totals of 0, so a frame that
     # lies (partly) before the first row sums only the rows it really holds
-    s = at("_run_sum", -hi) - at("_run_sum", -(lo - 1))
-    n = at("_run_n", -hi) - at("_run_n", -(lo - 1))
+    s = at(f"_run_sum{tag}", -hi) - at(f"_run_sum{tag}", -(lo - 1))
+    n = at(f"_run_n{tag}", -hi) - at(f"_run_n{tag}", -(lo - 1))
     return F.when(n > 0, from_milli(s) / n)
 
 
-def add_rolling(df: DataFrame, key: str, frames: dict[str, tuple[int, int]], milli: str = "load_milli") -> DataFrame:
+def add_rolling(
+    df: DataFrame, key: str, frames: dict[str, tuple[int, int]], milli: str = "load_milli", suffix: str = ""
+) -> DataFrame:
     """Frame means, e.g. ``{"rolling_mean_7d_safe": (-863, -193)}``."""
     if not frames:
         return df
     for name, (lo, hi) in frames.items():
         if hi > 0 or lo > hi:
             raise ValueError(f"frame {name} must satisfy lo <= hi <= 0")
-    out = add_running_totals(df, key, milli)
-    out = out.select("*", *[frame_mean(key, lo, hi).alias(name) for name, (lo, hi) in frames.items()])
-    return out.drop("_run_sum", "_run_n")
+    out = add_running_totals(df, key, milli, suffix)
+    out = out.select("*", *[frame_mean(key, lo, hi, suffix).alias(name + suffix) for name, (lo, hi) in frames.items()])
+    return out.drop(f"_run_sum{suffix}", f"_run_n{suffix}")
 
 
 def same_slot_mean(lag_cols: list[str]) -> Column:
@@ -159,36 +161,48 @@ def last_measured(key: str, target: str = "sum_active_kw", mode: str = "parity")
     return F.last(F.col(target), ignorenulls=True).over(prev)
 
 
-def build_features(series: DataFrame, key: str, spec: FeatureSpec | None = None) -> DataFrame:
-    """All window features of ``spec`` on a dense series frame (must hold
-    ``load_milli`` and ``sum_active_kw``)."""
+def build_features(
+    series: DataFrame,
+    key: str,
+    spec: FeatureSpec | None = None,
+    target: str = "sum_active_kw",
+    milli: str = "load_milli",
+    suffix: str = "",
+) -> DataFrame:
+    """All window features of ``spec`` on a dense series frame.
+
+    ``target`` (kW, double) feeds lags and last values, ``milli`` (exact
+    load) the rolling means; every output is named ``<feature><suffix>``, so
+    two variants of one series (say, with and without the future) can be
+    built side by side in the same sorted pass."""
     spec = spec or FeatureSpec()
     w = series_window(key)
-    y = "sum_active_kw"
+    y = target
     # step 1: every plain lag the spec needs, under temporary names
-    needed = dict(spec.lags)
+    needed = {name + suffix: n for name, n in spec.lags.items()}
     tmp = {}
     for n in tuple(spec.same_slot_lags or ()) + tuple(spec.trend_lags or ()):
-        name = next((k for k, v in spec.lags.items() if v == n), None)
+        name = next((k + suffix for k, v in spec.lags.items() if v == n), None)
         if name is None:
-            name = f"_lag{n}"
+            name = f"_lag{n}{suffix}"
             needed[name] = n
         tmp[n] = name
     cols = [F.lag(y, n).over(w).alias(name) for name, n in needed.items()]
     if spec.last_measured:
-        cols.append(last_measured(key, y, "parity" if spec.distance == "parity" else "gap").alias("last_measured_value"))
-        cols.append(slots_since_measured(key, y, spec.distance).alias("time_slots_distance"))
+        mode = "parity" if spec.distance == "parity" else "gap"
+        cols.append(last_measured(key, y, mode).alias("last_measured_value" + suffix))
+        cols.append(slots_since_measured(key, y, spec.distance).alias("time_slots_distance" + suffix))
     out = series.select("*", *cols)
     # step 2: rolling means from running totals (same partitioning and order)
-    out = add_rolling(out, key, spec.rolling)
+    out = add_rolling(out, key, spec.rolling, milli, suffix)
     # step 3: row-local combinations
     derived = []
     if spec.same_slot_lags:
-        derived.append(same_slot_mean([tmp[n] for n in spec.same_slot_lags]).alias("same_slot_mean_4w"))
+        derived.append(same_slot_mean([tmp[n] for n in spec.same_slot_lags]).alias("same_slot_mean_4w" + suffix))
     if spec.spread:
         short, long_ = spec.spread
-        derived.append((F.col(short) - F.col(long_)).alias("short_ma_minus_long_ma"))
+        derived.append((F.col(short + suffix) - F.col(long_ + suffix)).alias("short_ma_minus_long_ma" + suffix))
     if spec.trend_lags:
-        derived.append(weekly_trend(*[tmp[n] for n in spec.trend_lags]).alias("weekly_trend_smooth"))
+        derived.append(weekly_trend(*[tmp[n] for n in spec.trend_lags]).alias("weekly_trend_smooth" + suffix))
     out = out.select("*", *derived)
     return out.drop(*[c for c in needed if c.startswith("_lag")])
