@@ -22,6 +22,12 @@ def abs_error(actual: str, predicted: str):
     return F.abs(F.col(actual) - F.col(predicted)).cast(ERROR_DECIMAL)
 
 
+def mean_error(err: str):
+    """Mean of the exact absolute errors; null (not an ANSI error) when a
+    group has no scored slot."""
+    return F.when(F.count(err) > 0, F.sum(err).cast("double") / F.count(err))
+
+
 def mae(
     actual: DataFrame,
     forecast: DataFrame,
@@ -34,10 +40,7 @@ def mae(
     by = by or []
     joined = actual.join(forecast, by + [on], "inner")
     err = joined.select(*by, abs_error(actual_col, forecast_col).alias("_err"))
-    return err.groupBy(*by).agg(
-        (F.sum("_err").cast("double") / F.count("_err")).alias("mae"),
-        F.count("_err").alias("n_slots"),
-    )
+    return err.groupBy(*by).agg(mean_error("_err").alias("mae"), F.count("_err").alias("n_slots"))
 
 
 def fold_starts(first_start: str, n_folds: int, step_days: int) -> list[str]:
@@ -75,10 +78,7 @@ def backtest_seasonal_naive(
     pred, in_window = naive_columns([key, "fold"], F.col("_start_idx"), horizon)
     scored = folded.select(key, "fold", "sum_active_kw", pred.alias("prediction"), in_window.alias("_in")).filter("_in")
     err = scored.select(key, "fold", abs_error("sum_active_kw", "prediction").alias("_err"))
-    out = err.groupBy("fold", key).agg(
-        (F.sum("_err").cast("double") / F.count("_err")).alias("mae"),
-        F.count("_err").alias("n_slots"),
-    )
+    out = err.groupBy("fold", key).agg(mean_error("_err").alias("mae"), F.count("_err").alias("n_slots"))
     return out.select("fold", F.element_at(start_ts, F.col("fold") + 1).alias("fold_start"), key, "mae", "n_slots")
 
 

@@ -56,6 +56,8 @@ def client_profiles(
     from loadcast.sources.consumption import to_cells
 
     counts = slot_counts(start, end, local_shift)
+    if counts["total"] == 0:
+        raise ValueError(f"empty profile window [{start}, {end})")
     window = (F.col("datetime_utc") >= ntz(start)) & (F.col("datetime_utc") < ntz(end))
     rows = readings.filter(window)
     if not readings_are_cells:
