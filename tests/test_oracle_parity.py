@@ -29,12 +29,21 @@ def _norm(rows):
     return sorted(out, key=lambda r: tuple((0, "") if v is None else (1, repr(v)) for v in r))
 
 
+SPARK_TO_DUCK = {
+    "IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+    "TimestampNTZType()": "TIMESTAMP", "DateType()": "DATE", "BooleanType()": "BOOLEAN",
+}
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_matches_duckdb(spark, duck, name):
     sdf = entry.queries()[name](spark, SMOKE_DIR)
     res = duck.execute(entry.oracle_sql()[name])
     d_cols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(d_cols)
+    d_types = {d[0]: str(d[1]) for d in res.description}
+    for f in sdf.schema.fields:
+        assert SPARK_TO_DUCK.get(repr(f.dataType)) == d_types[f.name], f.name
     order = sorted(sdf.columns)
     s_rows = [tuple(r[c] for c in order) for r in sdf.collect()]
     d_raw = res.fetchall()
