@@ -5,6 +5,7 @@ from loadcast.sources.consumption import (  # noqa: F401
     community_map,
     consumption,
     raw_readings,
+    readings_from_consumption,
     readings_from_events,
     restrict_time,
     to_cells,

@@ -81,6 +81,33 @@ def readings_from_events(
     return to_cells(raw_readings(events, start, end, local_shift))
 
 
+def readings_from_consumption(consumption_table: DataFrame, local_shift: str = DEFAULT_LOCAL_SHIFT) -> DataFrame:
+    """Readings from a stored consumption table with the reference's
+    contract: ``client_id``, ``datetime_local``, ``community_code``,
+    ``active_kw`` and, when present, ``datetime_utc``.
+
+    Timestamps are read as wall clocks (``timestamp_ntz``; a zoned timestamp
+    is read in the session time zone) and floored to their slot; a missing
+    ``datetime_utc`` is derived from the local clock by the shift.  A meter
+    table holds one reading per client and slot, so its readings can be
+    passed on with ``readings_are_cells=True``.
+    """
+    cols = consumption_table.columns
+    local = floor_15min(F.col("datetime_local").cast("timestamp_ntz"))
+    if "datetime_utc" in cols:
+        utc = floor_15min(F.col("datetime_utc").cast("timestamp_ntz"))
+    else:
+        utc = local - F.expr(f"INTERVAL {local_shift}")
+    extra = ["community_code"] if "community_code" in cols else []
+    return consumption_table.select(
+        F.col("client_id").cast("long").alias("client_id"),
+        utc.alias("datetime_utc"),
+        local.alias("datetime_local"),
+        to_milli("active_kw").alias("kw_milli"),
+        *extra,
+    )
+
+
 def community_map(customer: DataFrame, nation: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """client_id -> community (nation name and key).
 

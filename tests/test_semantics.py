@@ -294,3 +294,19 @@ def test_profiles_from_cells_equal_profiles_from_raw_readings(spark):
     a = profile.client_profiles(raw, "2024-01-01 00:00:00", "2024-01-03 00:00:00")
     b = profile.client_profiles(to_cells(raw), "2024-01-01 00:00:00", "2024-01-03 00:00:00", readings_are_cells=True)
     assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_consumption_table_contract_feeds_the_forecaster(spark):
+    from loadcast.plans.forecast import SeasonalNaiveForecaster
+    from loadcast.sources import readings_from_consumption
+
+    t = slots("2024-01-01 00:00:00", 96 * 8)
+    rows = [(3, x + dt.timedelta(hours=1), "X", float(i % 96)) for i, x in enumerate(t)]
+    table = spark.createDataFrame(rows, "client_id int, datetime_local timestamp, community_code string, active_kw double")
+    readings = readings_from_consumption(table)
+    assert readings.schema["datetime_utc"].dataType.typeName() == "timestamp_ntz"
+    first = readings.orderBy("datetime_utc").first()
+    assert first.datetime_utc == dt.datetime(2024, 1, 1) and first.kw_milli == 0
+    out = SeasonalNaiveForecaster("2024-01-01 00:00:00").predict(readings, "2024-01-08 01:00:00", "2024-01-09 01:00:00")
+    got = {r.datetime_15min: r.prediction for r in out.collect()}
+    assert len(got) == 96 and got[dt.datetime(2024, 1, 8, 2, 0)] == 4.0
