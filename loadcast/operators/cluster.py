@@ -103,15 +103,22 @@ def kmeans_step(vectors: DataFrame, k: int, cols: list[str] = VECTOR_COLS, digit
     )
 
 
-def attach_cluster(readings: DataFrame, cluster_map: DataFrame, n_clients: int | None = None) -> DataFrame:
+def attach_cluster(
+    readings: DataFrame,
+    cluster_map: DataFrame,
+    n_clients: int | None = None,
+    max_bytes: int = MAP_BROADCAST_BYTES,
+) -> DataFrame:
     """Readings of mapped clients with their ``cluster_id`` (inner join,
     as the reference: an unmapped client has no series).
 
     The map has one row per client.  It is broadcast when its size is
     proven small (client count times row size, or the planner's estimate);
     otherwise the join is left to a shuffle join that AQE may still convert
-    at run time.
+    at run time.  A broadcast map is built on the driver, so ``max_bytes``
+    must stay under ``spark.driver.maxResultSize``; past it, shuffling the
+    readings on ``client_id`` is the price (AQE splits a hot client).
     """
-    small = n_clients is not None and n_clients * MAP_ROW_BYTES <= MAP_BROADCAST_BYTES
+    small = n_clients is not None and n_clients * MAP_ROW_BYTES <= max_bytes
     side = F.broadcast(cluster_map) if small else broadcast_if_small(cluster_map)
     return readings.join(side, "client_id", "inner")

@@ -151,6 +151,8 @@ class ClusterBoostForecaster(Forecaster):
     horizon_safe_only: bool = True
     # True when the readings hold one row per (client, slot) already
     readings_are_cells: bool = False
+    # largest client -> cluster map broadcast to the readings (bytes)
+    map_broadcast_bytes: int = cluster.MAP_BROADCAST_BYTES
     info: dict = field(default_factory=dict)
 
     # -- steps ---------------------------------------------------------
@@ -184,7 +186,7 @@ class ClusterBoostForecaster(Forecaster):
         window features and lookups; checkpointed (it feeds k fits and k
         predictions)."""
         end_utc = local_to_utc(predict_end, self.local_shift)
-        clustered = cluster.attach_cluster(readings, mapping, self.info.get("n_clients"))
+        clustered = cluster.attach_cluster(readings, mapping, self.info.get("n_clients"), self.map_broadcast_bytes)
         ser = series.dense_series(clustered, self.key, self.history_start, end_utc, self.local_shift)
         hidden = series.mask_from(ser, predict_start).withColumn("sum_active_kw", from_milli("load_milli"))
         feats = features.build_features(hidden, self.key, self.spec)
