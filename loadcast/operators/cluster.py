@@ -94,7 +94,9 @@ def kmeans_step(vectors: DataFrame, k: int, cols: list[str] = VECTOR_COLS, digit
     """M2: assign to the k first clients' vectors, then move each centre to
     the mean of its members.  ``cluster_id, n_clients, <cols>`` with the new
     centres rounded to ``digits`` decimals (floating sums are order
-    dependent)."""
+    dependent).  The vectors are materialised once: the starting centres
+    and the assignment both read them."""
+    vectors = cut_lineage(vectors)
     centres = initial_centres(vectors, k, cols)
     assigned = assign_nearest(vectors, centres, cols)
     return assigned.groupBy("cluster_id").agg(

@@ -385,7 +385,7 @@ def q_kmeans_step(spark, root):
 
 def q_attach_cluster(spark, root):
     c = _cat(spark, root)
-    vec = profile.profile_vector(_profiles(c))
+    vec = cut_lineage(profile.profile_vector(_profiles(c)))
     centres = cluster.initial_centres(vec, P.FLAGSHIP_K)
     mapping = cluster.assign_nearest(vec, centres).select("client_id", "cluster_id")
     return cluster.attach_cluster(_readings(c), mapping).select("client_id", "datetime_utc", "cluster_id", "active_kw")
