@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import SLOT_MINUTES, SLOTS_PER_DAY, parse_instant, py_slot_index
+from loadcast.functions.clock import SLOTS_PER_DAY, parse_instant, py_slot_index
 from loadcast.operators.baseline import naive_columns
 
 ERROR_DECIMAL = "decimal(28,6)"
@@ -80,9 +80,3 @@ def backtest_seasonal_naive(
     err = scored.select(key, "fold", abs_error("sum_active_kw", "prediction").alias("_err"))
     out = err.groupBy("fold", key).agg(mean_error("_err").alias("mae"), F.count("_err").alias("n_slots"))
     return out.select("fold", F.element_at(start_ts, F.col("fold") + 1).alias("fold_start"), key, "mae", "n_slots")
-
-
-def slots_between(start: str, end: str) -> int:
-    delta = parse_instant(end) - parse_instant(start)
-    return int(delta.total_seconds() // (SLOT_MINUTES * 60))
-
