@@ -51,6 +51,32 @@ def build_session(
     return spark
 
 
+def recommended_conf(input_bytes: int, executors: int, cores_per_executor: int) -> dict[str, str]:
+    """Settings sized for a cluster reading ``input_bytes`` of readings.
+
+    Scans split at 256 MB.  The largest shuffle of the flagship is the
+    (client, slot) resampling of three narrow columns when the source is not
+    one row per client and slot; it is taken as a third of the input, cut
+    into ~200 MB partitions, never fewer than three waves of tasks; AQE
+    then coalesces small partitions and splits skewed ones.
+    """
+    cores = max(1, executors * cores_per_executor)
+    shuffle_bytes = input_bytes // 3
+    partitions = max(3 * cores, -(-shuffle_bytes // (200 * 1024 * 1024)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(200 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        # a broadcast map is built on the driver: keep room for the cluster map
+        "spark.driver.maxResultSize": "2g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
