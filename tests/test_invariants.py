@@ -121,3 +121,13 @@ def test_kmeans_step_assigns_every_client_to_its_nearest_start(spark, planted):
         assert r.cluster_id == d.index(min(d))
     step = cluster.kmeans_step(vec, 2).collect()
     assert sum(r.n_clients for r in step) == 8
+
+
+def test_kmeans_cost_never_rises_with_more_iterations(spark, planted):
+    from pyspark.ml.clustering import KMeans
+
+    vec = profile.profile_vector(profile.client_profiles(planted, START, "2024-02-04 23:00:00"))
+    feats = cluster.assemble(vec).cache()
+    costs = [KMeans(k=3, seed=5, maxIter=it, tol=0.0).fit(feats).summary.trainingCost for it in (1, 2, 4, 8)]
+    assert all(b <= a + 1e-9 for a, b in zip(costs, costs[1:]))
+    feats.unpersist()
