@@ -131,3 +131,21 @@ def test_kmeans_cost_never_rises_with_more_iterations(spark, planted):
     costs = [KMeans(k=3, seed=5, maxIter=it, tol=0.0).fit(feats).summary.trainingCost for it in (1, 2, 4, 8)]
     assert all(b <= a + 1e-9 for a, b in zip(costs, costs[1:]))
     feats.unpersist()
+
+
+def test_scoring_run_writes_one_row_per_slot_for_its_team(spark, tmp_path):
+    from loadcast.plans.forecast import SeasonalNaiveForecaster
+    from loadcast.plans.score import lookups_from_tables, score
+    from loadcast.sources import Catalog, raw_readings
+
+    from .conftest import SMOKE_DIR
+
+    tables = Catalog(spark, SMOKE_DIR)
+    readings = raw_readings(tables.events, "2024-01-01 00:00:00", "2024-01-31 00:00:00")
+    out = str(tmp_path / "subs")
+    fc = SeasonalNaiveForecaster("2024-01-01 00:00:00")
+    assert score(spark, fc, readings, "2024-01-24 00:00:00", "2024-01-31 00:00:00", "a", out) == 672
+    assert score(spark, fc, readings, "2024-01-24 00:00:00", "2024-01-25 00:00:00", "b", out) == 96
+    assert spark.read.parquet(out).count() == 672 + 96
+    lk = lookups_from_tables(tables, "2024-01-01 00:00:00", "2024-01-31 00:00:00", "1 hour")
+    assert lk.feature_names()[:2] == ["is_normal_holiday", "demand_forecast"]
