@@ -107,20 +107,30 @@ def enrich_visitors(df: DataFrame, visitors: DataFrame, max_rows: int | None = N
     return enrich_by_local_date(df, visitors, ["visitors"], max_rows)
 
 
-def enrich_price(df: DataFrame, hourly: DataFrame, price_col: str = "AvgPrice", max_rows: int | None = None) -> DataFrame:
+def enrich_price(
+    df: DataFrame,
+    hourly: DataFrame,
+    price_col: str = "AvgPrice",
+    max_rows: int | None = None,
+    match: str = "hour",
+) -> DataFrame:
     """The hour's average price, when the table has that column (the
-    column is optional).  One row per hour is enforced first; the key is the
-    slot's hour (an equality on the slot instant itself would leave three of
-    every four quarter hours without a price)."""
+    column is optional).  One row per key is enforced first.  ``match="hour"``
+    keys on the slot's hour; ``match="instant"`` is the reference's equality
+    on the slot instant itself, which leaves three of every four quarter
+    hours of an hourly table without a price."""
     if price_col not in hourly.columns:
         return df
+    if match not in ("hour", "instant"):
+        raise ValueError(f"match must be 'hour' or 'instant', not {match!r}")
     price = one_row_per_key(
-        hourly.select(F.col("datetime_utc").alias("_price_hour"), price_col), "_price_hour", {price_col: "avg"}
+        hourly.select(F.col("datetime_utc").alias("_price_key"), price_col), "_price_key", {price_col: "avg"}
     )
+    key = floor_hour("datetime_utc") if match == "hour" else F.col("datetime_utc")
     return (
-        df.withColumn("_price_hour", floor_hour("datetime_utc"))
-        .join(broadcast_bounded(price, max_rows), "_price_hour", "left")
-        .drop("_price_hour")
+        df.withColumn("_price_key", key)
+        .join(broadcast_bounded(price, max_rows), "_price_key", "left")
+        .drop("_price_key")
     )
 
 

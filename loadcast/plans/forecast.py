@@ -149,6 +149,9 @@ class ClusterBoostForecaster(Forecaster):
     # see (nearest lag >= horizon); False keeps the reference's full set,
     # whose short lags are missing for most of a multi-day window.
     horizon_safe_only: bool = True
+    # Hide actuals at or after the forecast start before building features.
+    # False reproduces the reference, whose features read the window's actuals.
+    hide_future: bool = True
     # True when the readings hold one row per (client, slot) already
     readings_are_cells: bool = False
     # largest client -> cluster map broadcast to the readings (bytes)
@@ -188,7 +191,8 @@ class ClusterBoostForecaster(Forecaster):
         end_utc = local_to_utc(predict_end, self.local_shift)
         clustered = cluster.attach_cluster(readings, mapping, self.info.get("n_clients"), self.map_broadcast_bytes)
         ser = series.dense_series(clustered, self.key, self.history_start, end_utc, self.local_shift)
-        hidden = series.mask_from(ser, predict_start).withColumn("sum_active_kw", from_milli("load_milli"))
+        hidden = series.mask_from(ser, predict_start) if self.hide_future else ser
+        hidden = hidden.withColumn("sum_active_kw", from_milli("load_milli"))
         feats = features.build_features(hidden, self.key, self.spec)
         feats = self.lookups.apply(feats, self.history_start, end_utc)
         feats = feats.filter(F.col("datetime_local") < ntz(predict_end))

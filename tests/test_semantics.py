@@ -310,3 +310,12 @@ def test_consumption_table_contract_feeds_the_forecaster(spark):
     out = SeasonalNaiveForecaster("2024-01-01 00:00:00").predict(readings, "2024-01-08 01:00:00", "2024-01-09 01:00:00")
     got = {r.datetime_15min: r.prediction for r in out.collect()}
     assert len(got) == 96 and got[dt.datetime(2024, 1, 8, 2, 0)] == 4.0
+
+
+def test_price_match_by_hour_or_by_instant(spark):
+    h = dt.datetime(2024, 1, 1, 5)
+    hourly = spark.createDataFrame([(h, 10.0)], "datetime_utc timestamp_ntz, AvgPrice double")
+    base = spark.createDataFrame([(h,), (h + dt.timedelta(minutes=15),)], "datetime_utc timestamp_ntz")
+    by_hour = sorted(r.AvgPrice for r in enrich.enrich_price(base, hourly).collect())
+    by_instant = [r.AvgPrice for r in enrich.enrich_price(base, hourly, match="instant").orderBy("datetime_utc").collect()]
+    assert by_hour == [10.0, 10.0] and by_instant == [10.0, None]
