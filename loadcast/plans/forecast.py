@@ -179,10 +179,13 @@ class ClusterBoostForecaster(Forecaster):
         return [n for n, lag in lags.items() if lag >= horizon]
 
     def feature_names(self, predict_start: str | None = None, predict_end: str | None = None) -> list[str]:
-        if predict_start is not None:
-            self._window = (predict_start, predict_end)
-        window = getattr(self, "_window", (None, None))
-        return self.window_features(*window) + self.lookups.feature_names()
+        return self.window_features(predict_start, predict_end) + self.lookups.feature_names()
+
+    def feature_columns(self, feats: DataFrame) -> list[str]:
+        """Every column of the feature frame except the series key, the
+        clocks and the target."""
+        base = {self.key, "datetime_utc", "datetime_local", "load_milli", "sum_active_kw"}
+        return [c for c in feats.columns if c not in base]
 
     def feature_frame(self, readings: DataFrame, mapping: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
         """Dense per-cluster series, actuals hidden from the window start,
@@ -202,7 +205,9 @@ class ClusterBoostForecaster(Forecaster):
 
     def fit(self, feats: DataFrame, predict_start: str) -> dict:
         train, _ = series.time_split(feats, predict_start)
-        models, counts = model.train_per_series(train, self.key, self.feature_names(), self.boost, parallelism=self.parallelism)
+        models, counts = model.train_per_series(
+            train, self.key, self.feature_columns(feats), self.boost, parallelism=self.parallelism
+        )
         self.info["train_rows"] = counts
         return models
 
@@ -211,7 +216,7 @@ class ClusterBoostForecaster(Forecaster):
         seasonal-naive forecast of its own series."""
         _, rows = series.time_split(feats, predict_start, predict_end)
         parts = []
-        modelled = model.predict_per_series(models, rows, self.key, self.feature_names())
+        modelled = model.predict_per_series(models, rows, self.key, self.feature_columns(feats))
         if modelled is not None:
             parts.append(modelled)
         # series keys of the (checkpointed, small) frame: k values

@@ -432,7 +432,7 @@ def _fitted(c: Catalog):
 def q_train_per_series(spark, root):
     fc, feats, models = _fitted(_cat(spark, root))
     train, _ = series.time_split(feats, P.PREDICT_START)
-    return model.training_error(models, train, fc.key, fc.feature_names())
+    return model.training_error(models, train, fc.key, fc.feature_columns(feats))
 
 
 def q_predict_per_series(spark, root):
