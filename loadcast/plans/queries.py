@@ -348,7 +348,9 @@ def q_enrich_price(spark, root):
 
 def q_community_code_num(spark, root):
     c = _cat(spark, root)
-    clients = _consumption(c).select("client_id", "community_code").distinct()
+    # one row per client: materialised once, read by the code ranking and
+    # by the join back (instead of two passes over the fact)
+    clients = cut_lineage(_consumption(c).select("client_id", "community_code").distinct())
     return enrich.dense_code(clients, "community_code")
 
 
