@@ -55,3 +55,32 @@ def test_gap_fill_equals_spine_left_join(spark, present, keys):
         for k in range(keys) for i in range(48)
     }
     assert got == expect
+
+
+@SETTINGS
+@given(
+    n_weeks=st.integers(1, 3),
+    start_day=st.integers(0, 9),
+    horizon_days=st.integers(1, 16),
+    holes=st.sets(st.integers(0, 96 * 24 - 1), max_size=30),
+)
+def test_seasonal_naive_equals_brute_force(spark, n_weeks, start_day, horizon_days, holes):
+    from loadcast.operators import baseline
+
+    n = 96 * 24  # 24 days of slots
+    vals = [None if i in holes else (i * 7919) % 1000 for i in range(n)]
+    rows = [("s", T0 + dt.timedelta(minutes=15 * i), T0 + dt.timedelta(minutes=15 * i), v) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "sid string, datetime_utc timestamp_ntz, datetime_local timestamp_ntz, load_milli long")
+    s0 = 96 * (7 * n_weeks + start_day) if 7 * n_weeks + start_day < 24 else 96 * 7
+    s1 = min(n, s0 + 96 * horizon_days)
+    start = (T0 + dt.timedelta(minutes=15 * s0)).strftime("%Y-%m-%d %H:%M:%S")
+    end = (T0 + dt.timedelta(minutes=15 * s1)).strftime("%Y-%m-%d %H:%M:%S")
+    got = {r.datetime_utc: r.prediction for r in baseline.seasonal_naive(df, "sid", start, end).collect()}
+    hist = [v for v in vals[:s0] if v is not None]
+    fallback = (sum(hist) / 1000.0) / len(hist) if hist else None
+    for i in range(s0, s1):
+        src = i - 672 * ((i - s0) // 672 + 1)
+        v = vals[src] if src >= 0 else None
+        expect = v / 1000.0 if v is not None else fallback
+        assert got[T0 + dt.timedelta(minutes=15 * i)] == expect
+    assert len(got) == s1 - s0
