@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -106,12 +105,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (reliable, survives
     executor loss) and return a frame that reads it back.
 
-    The frame is persisted while the checkpoint is written: writing the
-    checkpoint files is a second job over the same data, which would
-    otherwise compute the whole plan again."""
+    Writing the checkpoint files reruns only the last stage (earlier stages
+    are read back from their shuffle files); persisting first was measured
+    slower for the frames that the model fits read."""
     ensure_checkpoint_dir(df.sparkSession)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return held.checkpoint(eager=True)
-    finally:
-        held.unpersist()
+    return df.checkpoint(eager=True)
