@@ -3,13 +3,16 @@
 All instants are ``timestamp_ntz``: a wall-clock reading without a zone, so
 results never depend on the session time zone.  Two clocks exist side by side:
 ``datetime_utc`` is the key of every series, ``datetime_local`` an attribute
-derived from it by a fixed shift (the test-data mapping; a zone-aware shift can
-be passed instead).
+derived from it either by a fixed shift (``"1 hour"``, the test-data mapping)
+or by a time zone (``"Europe/Madrid"``), in which case the local clock repeats
+an hour in autumn and skips one in spring while the UTC key stays gap-free.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import re
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,15 +49,57 @@ def floor_hour(ts: str | Column) -> Column:
     )
 
 
+_FIXED = re.compile(r"\s*(-?\d+)\s*(hour|hours|minute|minutes)\s*", re.I)
+
+
+def is_zone(local_shift: str) -> bool:
+    """True for a zone name, False for a fixed shift such as ``"1 hour"``."""
+    return _FIXED.fullmatch(local_shift) is None
+
+
+def fixed_shift(local_shift: str) -> _dt.timedelta:
+    m = _FIXED.fullmatch(local_shift)
+    if not m:
+        raise ValueError(f"not a fixed shift: {local_shift!r}")
+    n = int(m.group(1))
+    return _dt.timedelta(hours=n) if m.group(2).lower().startswith("hour") else _dt.timedelta(minutes=n)
+
+
 def shift(ts: str | Column, interval: str) -> Column:
     """Wall-clock shift, e.g. ``shift('datetime_utc', '1 hour')``."""
     return _c(ts) + F.expr(f"INTERVAL {interval}")
 
 
 def to_local(ts_utc: str | Column, local_shift: str = DEFAULT_LOCAL_SHIFT) -> Column:
+    """Local wall clock of a UTC instant (both ``timestamp_ntz``)."""
+    if is_zone(local_shift):
+        return F.convert_timezone(F.lit("UTC"), F.lit(local_shift), _c(ts_utc))
     return shift(ts_utc, local_shift)
 
 
+def to_utc(ts_local: str | Column, local_shift: str = DEFAULT_LOCAL_SHIFT) -> Column:
+    """UTC instant of a local wall clock (a repeated autumn hour resolves to
+    its first occurrence)."""
+    if is_zone(local_shift):
+        return F.convert_timezone(F.lit(local_shift), F.lit("UTC"), _c(ts_local))
+    return _c(ts_local) - F.expr(f"INTERVAL {local_shift}")
+
+
+def py_to_local(t_utc: _dt.datetime, local_shift: str = DEFAULT_LOCAL_SHIFT) -> _dt.datetime:
+    """Parameter arithmetic on the driver (window bounds, slot counts)."""
+    if is_zone(local_shift):
+        aware = t_utc.replace(tzinfo=_dt.timezone.utc).astimezone(ZoneInfo(local_shift))
+        return aware.replace(tzinfo=None)
+    return t_utc + fixed_shift(local_shift)
+
+
+def py_to_utc(t_local: _dt.datetime, local_shift: str = DEFAULT_LOCAL_SHIFT) -> _dt.datetime:
+    if is_zone(local_shift):
+        aware = t_local.replace(tzinfo=ZoneInfo(local_shift)).astimezone(_dt.timezone.utc)
+        return aware.replace(tzinfo=None)
+    return t_local - fixed_shift(local_shift)
+
+
 def slot_index(ts: str | Column) -> Column:
     """Quarter-hours since 1970-01-01 00:00 (long); slot arithmetic and
     equi-joins on "the same slot n days earlier" use it."""

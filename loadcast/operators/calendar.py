@@ -8,7 +8,6 @@ series is laid on a spine before windows run over it.
 from __future__ import annotations
 
 import datetime as _dt
-import re
 from collections import Counter
 
 from pyspark.sql import DataFrame, Window
@@ -19,6 +18,7 @@ from loadcast.functions.clock import (
     SLOT_MINUTES,
     ntz,
     parse_instant,
+    py_to_local,
     to_local,
 )
 
@@ -84,26 +84,17 @@ def densify(
     )
 
 
-def _parse_shift(local_shift: str) -> _dt.timedelta:
-    m = re.fullmatch(r"\s*(-?\d+)\s*(hour|hours|minute|minutes)\s*", local_shift, re.I)
-    if not m:
-        raise ValueError(f"unsupported local shift {local_shift!r}")
-    n = int(m.group(1))
-    return _dt.timedelta(hours=n) if m.group(2).lower().startswith("hour") else _dt.timedelta(minutes=n)
-
-
 def slot_counts(start: str, end: str, local_shift: str = DEFAULT_LOCAL_SHIFT) -> dict[str, object]:
     """How many slots of ``[start, end)`` fall in each local hour, on local
     weekdays and on local weekend days.  Parameter arithmetic (the window is
     a parameter, not data): the denominators of per-client grid means."""
     t0, t1 = parse_instant(start), parse_instant(end)
-    shift_td = _parse_shift(local_shift)
     step = _dt.timedelta(minutes=SLOT_MINUTES)
     per_hour: Counter = Counter()
     weekend = weekday = 0
     t = t0
     while t < t1:
-        local = t + shift_td
+        local = py_to_local(t, local_shift)
         per_hour[local.hour] += 1
         if local.isoweekday() in (6, 7):
             weekend += 1

@@ -16,10 +16,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, ntz, parse_instant, py_slot_index
+from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, ntz, parse_instant, py_slot_index, py_to_utc, to_local
 from loadcast.functions.exprs import from_milli
 from loadcast.operators import audit, baseline, cluster, combine, enrich, features, model, profile, series
-from loadcast.operators.calendar import _parse_shift
 from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES
 
 # Bytes per (slot, prediction) row assumed when bounding a forecast's size.
@@ -28,22 +27,29 @@ from loadcast.session import cut_lineage
 
 
 def local_to_utc(value: str, local_shift: str) -> str:
-    t = parse_instant(value) - _parse_shift(local_shift)
+    t = py_to_utc(parse_instant(value), local_shift)
     return t.strftime("%Y-%m-%d %H:%M:%S")
 
 
-def _on_window_spine(combined: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
-    """Exactly one row per local slot of the window; a slot no series
-    forecast is zero load.  The combined forecast has at most one row per
-    slot of the window, a bound set by the window parameters, so it is
-    broadcast when that bound is small."""
-    spine = audit.window_spine(combined.sparkSession, predict_start, predict_end)
-    got = combined.select(F.col("datetime_local").alias("datetime_15min"), "prediction")
-    n_slots = py_slot_index(predict_end) - py_slot_index(predict_start)
+def _on_window_spine(
+    combined: DataFrame, predict_start: str, predict_end: str, local_shift: str = DEFAULT_LOCAL_SHIFT
+) -> DataFrame:
+    """Exactly one row per real 15-minute interval of the local window,
+    labelled with its local start; an interval no series forecast is zero
+    load.  The spine runs over UTC instants and is joined on them, so a
+    clock change neither merges nor drops intervals (in autumn a local label
+    appears twice, once per instant).  The combined forecast has at most one
+    row per instant of the window, a bound set by the window parameters, so
+    it is broadcast when that bound is small."""
+    u0, u1 = local_to_utc(predict_start, local_shift), local_to_utc(predict_end, local_shift)
+    spine = audit.window_spine(combined.sparkSession, u0, u1, name="datetime_utc")
+    got = combined.select("datetime_utc", "prediction")
+    n_slots = py_slot_index(u1) - py_slot_index(u0)
     if n_slots * FORECAST_ROW_BYTES <= DEFAULT_BROADCAST_BYTES:
         got = F.broadcast(got)
-    return spine.join(got, "datetime_15min", "left").select(
-        "datetime_15min", F.coalesce(F.col("prediction"), F.lit(0.0)).alias("prediction")
+    return spine.join(got, "datetime_utc", "left").select(
+        to_local("datetime_utc", local_shift).alias("datetime_15min"),
+        F.coalesce(F.col("prediction"), F.lit(0.0)).alias("prediction"),
     )
 
 
@@ -65,7 +71,7 @@ class SeasonalNaiveForecaster(Forecaster):
         end_utc = local_to_utc(predict_end, self.local_shift)
         total = series.total_load(readings, self.history_start, end_utc, self.local_shift)
         pred = baseline.seasonal_naive(total, "series_id", predict_start, predict_end)
-        return _on_window_spine(pred, predict_start, predict_end)
+        return _on_window_spine(pred, predict_start, predict_end, self.local_shift)
 
 
 @dataclass
@@ -242,7 +248,7 @@ class ClusterBoostForecaster(Forecaster):
         models = self.fit(feats, predict_start)
         per_series = self.predict_rows(models, feats, predict_start, predict_end)
         combined = combine.combine_by_instant(per_series)
-        return _on_window_spine(combined, predict_start, predict_end)
+        return _on_window_spine(combined, predict_start, predict_end, self.local_shift)
 
 
 __all__ = [

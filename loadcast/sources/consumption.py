@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, floor_15min, ntz, to_local
+from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, floor_15min, ntz, to_local, to_utc
 from loadcast.functions.exprs import from_milli, to_milli
 from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small, estimated_bytes
 
@@ -97,7 +97,7 @@ def readings_from_consumption(consumption_table: DataFrame, local_shift: str = D
     if "datetime_utc" in cols:
         utc = floor_15min(F.col("datetime_utc").cast("timestamp_ntz"))
     else:
-        utc = local - F.expr(f"INTERVAL {local_shift}")
+        utc = to_utc(local, local_shift)
     extra = ["community_code"] if "community_code" in cols else []
     return consumption_table.select(
         F.col("client_id").cast("long").alias("client_id"),

@@ -319,3 +319,24 @@ def test_price_match_by_hour_or_by_instant(spark):
     by_hour = sorted(r.AvgPrice for r in enrich.enrich_price(base, hourly).collect())
     by_instant = [r.AvgPrice for r in enrich.enrich_price(base, hourly, match="instant").orderBy("datetime_utc").collect()]
     assert by_hour == [10.0, 10.0] and by_instant == [10.0, None]
+
+
+def test_zone_clock_keeps_every_real_interval_across_the_autumn_change(spark):
+    from collections import Counter
+
+    from loadcast.functions.clock import to_local
+    from loadcast.plans.forecast import SeasonalNaiveForecaster
+
+    zone = "Europe/Madrid"  # 2024-10-27: 03:00 CEST -> 02:00 CET
+    t = slots("2024-10-13 00:00:00", 96 * 15)
+    df = spark.createDataFrame([(1, x, 1000) for x in t], "client_id long, datetime_utc timestamp_ntz, kw_milli long")
+    readings = df.withColumn("datetime_local", to_local("datetime_utc", zone))
+    out = SeasonalNaiveForecaster("2024-10-13 00:00:00", local_shift=zone).predict(
+        readings, "2024-10-27 00:00:00", "2024-10-28 00:00:00"
+    ).collect()
+    assert len(out) == 100  # a 25-hour local day
+    twice = sorted(k for k, v in Counter(r.datetime_15min for r in out).items() if v == 2)
+    assert twice == [dt.datetime(2024, 10, 27, 2, m) for m in (0, 15, 30, 45)]
+    assert all(r.prediction == 1.0 for r in out)
+    c = calendar.slot_counts("2024-10-26 22:00:00", "2024-10-27 23:00:00", zone)
+    assert c["total"] == 100 and c["per_hour"][2] == 8
