@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, ntz, parse_instant, py_slot_index, py_to_utc, to_local
@@ -103,9 +103,9 @@ class Lookups:
         Each lookup is first cut to that span (the next hour and the local
         dates at both ends included), which bounds it by the hours or days of
         the window; it is then broadcast on that bound.  As model inputs, an
-        instant without a holiday row is not a holiday, and a signal with no
-        event in an hour that is present is zero; a missing hour (a hole)
-        stays missing."""
+        instant without a holiday row is not a holiday, a signal with no
+        event in an hour that is present is zero, a price holds until the next
+        quote; a missing hour (a hole) stays missing."""
         t0, t1 = ntz(start_utc), ntz(end_utc)
         slots = py_slot_index(end_utc) - py_slot_index(start_utc)
         hours, days = slots // 4 + 2, slots // 96 + 3
@@ -120,6 +120,11 @@ class Lookups:
             hourly = self.hourly.filter(hour_span).withColumn(
                 "demand_forecast", F.coalesce(F.col("demand_forecast"), F.lit(0.0))
             )
+            if "AvgPrice" in hourly.columns:
+                # a price holds until the next quote: carry the last known one
+                # (one ordered pass over the window's hours, a bounded table)
+                upto_now = Window.orderBy("datetime_utc").rowsBetween(Window.unboundedPreceding, 0)
+                hourly = hourly.withColumn("AvgPrice", F.last("AvgPrice", ignorenulls=True).over(upto_now))
             df = enrich.enrich_interpolated(df, hourly, ["demand_forecast"], max_rows=hours)
             df = enrich.enrich_price(df, hourly, max_rows=hours)
         day_span = (F.col("date") >= F.to_date(t0 - F.expr("INTERVAL 1 DAY"))) & (
