@@ -315,7 +315,12 @@ def q_lead_carry(spark, root):
 
 def q_enrich_holiday(spark, root):
     c = _cat(spark, root)
-    return enrich.enrich_holiday(_total_slots(c), _holidays(c)).select("datetime_utc", "is_normal_holiday")
+    # the holiday table is built from the history window: at most one row per
+    # slot of it after the per-instant reduction
+    n_slots = clock.py_slot_index(P.HISTORY_END) - clock.py_slot_index(P.HISTORY_START)
+    return enrich.enrich_holiday(_total_slots(c), _holidays(c), max_rows=n_slots).select(
+        "datetime_utc", "is_normal_holiday"
+    )
 
 
 def q_enrich_demand_interp(spark, root):
