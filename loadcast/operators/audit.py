@@ -7,7 +7,15 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import ntz, py_slot_index, slot_start
+from loadcast.functions.clock import (
+    DEFAULT_LOCAL_SHIFT,
+    ntz,
+    parse_instant,
+    py_slot_index,
+    py_to_utc,
+    slot_start,
+    to_local,
+)
 from loadcast.operators.features import FeatureSpec, build_features
 
 
@@ -60,13 +68,24 @@ def window_spine(spark: SparkSession, start: str, end: str, name: str = "datetim
     return spark.range(lo, hi).select(slot_start("id").alias(name))
 
 
-def submission_audit(forecast: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
+def submission_audit(
+    forecast: DataFrame, predict_start: str, predict_end: str, local_shift: str = DEFAULT_LOCAL_SHIFT
+) -> DataFrame:
     """Format check of ``datetime_15min, prediction`` against the window.
 
-    One row: ``n_rows, n_slots_expected, n_missing_slots, n_duplicate_rows,
+    The expected rows are the real 15-minute intervals of the local window,
+    counted per local label (two for each label of a repeated autumn hour
+    when ``local_shift`` is a zone, one otherwise).  One row:
+    ``n_rows, n_slots_expected, n_missing_slots, n_duplicate_rows,
     n_null_predictions, n_out_of_window``."""
     spark = forecast.sparkSession
-    spine = window_spine(spark, predict_start, predict_end).withColumn("_expected", F.lit(1))
+    u0 = py_to_utc(parse_instant(predict_start), local_shift).strftime("%Y-%m-%d %H:%M:%S")
+    u1 = py_to_utc(parse_instant(predict_end), local_shift).strftime("%Y-%m-%d %H:%M:%S")
+    spine = (
+        window_spine(spark, u0, u1, name="datetime_utc")
+        .groupBy(to_local("datetime_utc", local_shift).alias("datetime_15min"))
+        .agg(F.count(F.lit(1)).alias("_expected"))
+    )
     per_slot = forecast.groupBy("datetime_15min").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count(F.when(F.col("prediction").isNull(), 1)).alias("_null"),
@@ -76,11 +95,14 @@ def submission_audit(forecast: DataFrame, predict_start: str, predict_end: str)
     in_window = (
         (F.col("datetime_15min") >= ntz(predict_start)) & (F.col("datetime_15min") < ntz(predict_end)) & on_grid
     )
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    expected = F.coalesce(F.col("_expected"), F.lit(0))
     return j.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_rows"),
-        F.count("_expected").alias("n_slots_expected"),
-        F.count(F.when(F.col("_expected").isNotNull() & F.col("_n").isNull(), 1)).alias("n_missing_slots"),
-        F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n") - 1)), F.lit(0)).cast("long").alias("n_duplicate_rows"),
+        F.coalesce(F.sum("_expected"), F.lit(0)).cast("long").alias("n_slots_expected"),
+        F.coalesce(F.sum(F.when(expected > n, expected - n)), F.lit(0)).cast("long").alias("n_missing_slots"),
+        F.coalesce(F.sum(F.when((expected > 0) & (n > expected), n - expected)), F.lit(0))
+        .cast("long").alias("n_duplicate_rows"),
         F.coalesce(F.sum("_null"), F.lit(0)).cast("long").alias("n_null_predictions"),
         F.coalesce(F.sum(F.when(~in_window, F.col("_n"))), F.lit(0)).cast("long").alias("n_out_of_window"),
     )

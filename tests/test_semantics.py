@@ -331,9 +331,12 @@ def test_zone_clock_keeps_every_real_interval_across_the_autumn_change(spark):
     t = slots("2024-10-13 00:00:00", 96 * 15)
     df = spark.createDataFrame([(1, x, 1000) for x in t], "client_id long, datetime_utc timestamp_ntz, kw_milli long")
     readings = df.withColumn("datetime_local", to_local("datetime_utc", zone))
-    out = SeasonalNaiveForecaster("2024-10-13 00:00:00", local_shift=zone).predict(
+    fc_df = SeasonalNaiveForecaster("2024-10-13 00:00:00", local_shift=zone).predict(
         readings, "2024-10-27 00:00:00", "2024-10-28 00:00:00"
-    ).collect()
+    )
+    a = audit.submission_audit(fc_df, "2024-10-27 00:00:00", "2024-10-28 00:00:00", zone).collect()[0]
+    assert (a.n_rows, a.n_slots_expected, a.n_missing_slots, a.n_duplicate_rows) == (100, 100, 0, 0)
+    out = fc_df.collect()
     assert len(out) == 100  # a 25-hour local day
     twice = sorted(k for k, v in Counter(r.datetime_15min for r in out).items() if v == 2)
     assert twice == [dt.datetime(2024, 10, 27, 2, m) for m in (0, 15, 30, 45)]
