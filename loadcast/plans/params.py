@@ -27,6 +27,9 @@ FLAGSHIP_K = 5
 FLAGSHIP_N_INIT = 4
 FLAGSHIP_ROUNDS = 20
 FLAGSHIP_DEPTH = 4
+# at least 50 training rows per leaf: the per-cluster series are noisy, and
+# single-row leaves fit the noise (MAE 113.9 -> 103.6 at sf0.01)
+FLAGSHIP_MIN_INSTANCES = 50
 
 # Profile (clustering) window: the UTC slots whose local time is before the
 # forecast start, so clusters never see the forecast window.

@@ -410,7 +410,9 @@ def _forecaster(c: Catalog) -> ClusterBoostForecaster:
         lookups=_lookups(c),
         k=P.FLAGSHIP_K,
         n_init=P.FLAGSHIP_N_INIT,
-        boost=model.BoostParams(rounds=P.FLAGSHIP_ROUNDS, depth=P.FLAGSHIP_DEPTH),
+        boost=model.BoostParams(
+            rounds=P.FLAGSHIP_ROUNDS, depth=P.FLAGSHIP_DEPTH, min_instances=P.FLAGSHIP_MIN_INSTANCES
+        ),
         spec=FLAGSHIP_SPEC,
         local_shift=P.LOCAL_SHIFT,
     )
