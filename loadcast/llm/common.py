@@ -35,6 +35,14 @@ def spread(*columns: Column | str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
+def checked_broadcast(df: DataFrame, *strings: str, rows: int = 100_000, chars: int = 8_000_000) -> DataFrame:
+    """Broadcasts a materialised frame if it has at most ``rows`` rows and its
+    string columns at most ``chars`` bytes in all; else leaves the join to the shuffle."""
+    long = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(0))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(long), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if r["n"] <= rows and r["b"] <= chars else df
+
+
 def running_total(
     df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str], value: Column, out: str,
     *, rows: int | None = None, rows_per_bucket: int = 10_000,

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadcast.llm import licenses
+from loadcast.llm import licenses, mixing, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_curriculum_mix": mixing.op5_curriculum_mix,
+    "op7_balanced_shards": sharding.op7_balanced_shards,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
