@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loadcast.session import cut_lineage
+from loadcast.session import cut_lineage, ensure_checkpoint_dir
 from loadcast.sources.tables import read_table
 
 #: Separators of words: every ASCII character but digits and lower-case letters.
@@ -24,6 +26,32 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
     return read_table(spark, root, name).select(*columns)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table of its own below the shared checkpoint folder and
+    reads it back: columns that a later step does not need are not read.
+    The driver removes the tables when it ends."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _TABLES.append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+_TABLES: list[str] = []
+
+
+@atexit.register
+def _remove_tables() -> None:
+    spark = SparkSession.getActiveSession()
+    for folder in _TABLES if spark is not None else []:
+        try:
+            jvm = spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may have ended before; the folder is scratch space
+            return
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Lower-cases A-Z only; null counts as the empty text."""
     return F.translate(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), ASCII_UPPER, ASCII_UPPER.lower())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadcast.llm import licenses, mixing, packing, quality, sharding, toxicity
+from loadcast.llm import licenses, lines, mixing, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,9 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op7_balanced_shards": sharding.op7_balanced_shards,
+    "op9_site_line_dedup": lines.op9_site_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.op1_sql(),
+    "op9_site_line_dedup": lines.op9_sql(),
 }

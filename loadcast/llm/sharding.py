@@ -28,10 +28,10 @@ def _of_shard(values: list, shard: str) -> Column:
 
 
 def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int = ROUNDS) -> DataFrame:
-    """Rounds of label propagation over (row, link, size, shard): in each, a
+    """Rounds of label propagation over (row, link, u, size, shard): in each, a
     link's members are tallied by shard (joined back on the link), and those
     elsewhere ask for the shard with most of their bytes that has room; a
-    shard admits askers in hashed order of their links up to its room.
+    shard admits askers in the order of ``u`` up to its room.
 
     A link's tally has a row for each shard at most.  Ties go by hash, so no
     shard is preferred as such.
@@ -52,11 +52,11 @@ def propagate(linked: DataFrame, shards: int, capacity: float, rounds: int = ROU
         n = movers.count()
         if not n:
             break
-        placed = running_total(movers.withColumn("u", spread("link", seed=42)), ["wish"], "u", ["link", "row"], F.col("size"), "before", rows=n)
+        placed = running_total(movers, ["wish"], "u", ["link", "row"], F.col("size"), "before", rows=n)
         admitted = F.col("before") + F.col("size") <= _of_shard(room, "wish")
         moved = placed.withColumn("shard", F.when(admitted, F.col("wish")).otherwise(F.col("shard")))
         linked = cut_lineage(
-            asking.where("wish is null").select("row", "link", "size", "shard").union(moved.select("row", "link", "size", "shard"))
+            asking.where("wish is null").select(linked.columns).union(moved.select(linked.columns))
         )
     return linked
 
@@ -84,16 +84,23 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     share = F.least(F.floor((F.col("before") + F.col("size") / 2.0) * shards / max(total, 1)), last).cast("int")
     copies = F.count(F.lit(1)).alias("copies")
     twins = rows.groupBy(F.col("link").alias("l")).agg(copies).where("copies > 1")
+    # Whole links stand together in the order, but a link that holds much of
+    # all rows is spread over as much of it; single documents come after all
+    # links, roughly from long to short, so the even-out moves short ones.
+    weight = F.col("copies") / float(max(n, 1))
+    of_link = spread("link", seed=44) * (1 - weight) + spread("row", seed=45) * weight
+    of_size = 0.9 / (1 + F.col("size") / 1024.0) + 0.1 * spread("row", seed=46)
     labels = cut_lineage(
-        started.withColumn("shard", share).join(twins, F.col("link") == F.col("l"), "left")
-        .select("row", "id", "size", "text_crc32", "link", "shard", F.col("l").isNotNull().alias("linked"))
+        started.drop("u").withColumn("shard", share).join(twins, F.col("link") == F.col("l"), "left")
+        .withColumn("linked", F.col("l").isNotNull())
+        .withColumn("u", F.when(F.col("linked"), of_link / 2).otherwise(0.5 + of_size / 2))
+        .drop("l", "copies", "before")
     )
-    moved = propagate(labels.where("linked").select("row", "link", "size", "shard"), shards, capacity, rounds)
+    moved = propagate(labels.where("linked").select("row", "link", F.col("u") * 2, "size", "shard").toDF("row", "link", "u", "size", "shard"),
+                      shards, capacity, rounds)
     labels = cut_lineage(
         labels.join(moved.select(F.col("row").alias("r"), F.col("shard").alias("to")), F.col("row") == F.col("r"), "left")
         .withColumn("shard", F.coalesce("to", "shard")).drop("r", "to")
-        # whole links stand together and before single documents
-        .withColumn("u", F.when(F.col("linked"), spread("link", seed=44) / 2).otherwise(0.5 + spread("row", seed=45) / 2))
     )
     kept = cut_lineage(
         running_total(labels, ["shard"], "u", ["link", "row"], F.col("size"), "before", rows=n)
