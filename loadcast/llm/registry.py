@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadcast.llm import licenses, lines, mixing, packing, quality, sharding, toxicity
+from loadcast.llm import licenses, lines, mixing, packing, quality, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
     "op7_balanced_shards": sharding.op7_balanced_shards,
     "op9_site_line_dedup": lines.op9_site_line_dedup,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.op1_sql(),
+    "op4_exact_top_k": topk.op4_sql(),
     "op9_site_line_dedup": lines.op9_sql(),
 }
