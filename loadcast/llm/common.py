@@ -188,6 +188,28 @@ def blocked(members: DataFrame, leaf: str, member: str, block: int) -> DataFrame
     )
 
 
+def first_shared(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """For rows of sorted leaf lists (filled up with the largest integer): whether ``here`` is the smallest in both."""
+    first = np.ones(len(here), bool)
+    for c in range(a.shape[1]):
+        own = a[:, c]
+        check = first & (own < here)
+        if check.any():
+            first[check] &= ~(b[check] == own[check, None]).any(1)
+    return first
+
+
+def padded(lists: pa.ListArray, fill: int = np.iinfo(np.int64).max) -> np.ndarray:
+    """Lists of longs as one matrix, filled up."""
+    offsets = lists.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    out = np.full((len(lists), max(1, int(sizes.max(initial=0)))), fill, np.int64)
+    flat = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+    rows = np.repeat(np.arange(len(lists)), sizes)
+    out[rows, np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = flat
+    return out
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 and edges (i, j): the smallest node of each one's component."""
     root = np.arange(n)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loadcast.llm import licenses, lines, mixing, packing, quality, sharding, topk, toxicity
+from loadcast.llm import jaccard, licenses, lines, mixing, packing, quality, sharding, topk, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,7 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_curriculum_mix": mixing.op5_curriculum_mix,
+    "op6_embedding_near_dedup": vectors.op6_embedding_near_dedup,
     "op7_balanced_shards": sharding.op7_balanced_shards,
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_site_line_dedup": lines.op9_site_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
