@@ -268,7 +268,8 @@ def _verify(threshold: float):
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = JACCARD, recall: float = RECALL,
                     depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
-    """One row per input row: (id, text_key, n_links, component_id, kept).
+    """One row per input row: (id, text_key, n_links, component_id, kept); of a
+    class the row of smallest id, then text key, is kept.
 
     Texts are linked if their sets of five-word shingles (words as in license
     scans) have the given Jaccard similarity or more; ``n_links`` counts the
@@ -285,12 +286,12 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .mapInArrow(_mark, "id long, text_key binary, size long, s1 long, s2 long, sketch binary")
     )
     same = ["size", "s1", "s2"]
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")  # null ids come last
     sets = stored(
         marks.where("size > 0").groupBy(*same)
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"), F.min(F.struct("id", "text_key")).alias("own"), F.max("sketch").alias("sketch"))
-        .select(*same, "copies", "least", "own.id", "own.text_key", "sketch")
-    ).withColumn("uid", F.monotonically_increasing_id())
-    sets = stored(sets)
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("own"), F.max("sketch").alias("sketch"))
+        .select(*same, "copies", "own", "own.id", "own.text_key", "sketch").withColumn("uid", F.monotonically_increasing_id())
+    )
     held = stored(buckets(sets.select("uid", "sketch"), threshold, recall, depth, bucket))
     lists = held.groupBy("uid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     order = ["leaf", "lo", "hi", "uid"]
@@ -321,17 +322,43 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     united = components(found.select("a", "b")).withColumnRenamed("node", "uid")
     counted = found.groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
     known = cut_lineage(
-        sets.select("uid", *same, "copies", "least").join(united, "uid", "left").join(counted, "uid", "left")
+        sets.select("uid", *same, "copies", "own").join(united, "uid", "left").join(counted, "uid", "left")
         .withColumn("component", F.coalesce("component", "uid"))
     )
-    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    smallest = known.groupBy("component").agg(F.min("own").alias("first"))
     known = known.join(smallest, "component").select(
-        *[F.col(c).alias(f"of_{c}") for c in same], (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id",
+        *[F.col(c).alias(f"of_{c}") for c in same], (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "first",
     )
     key = (F.col("size") == F.col("of_size")) & (F.col("s1") == F.col("of_s1")) & (F.col("s2") == F.col("of_s2"))
-    linked = marks.where("size > 0").join(known, key).select("id", "text_key", "n_links", "component_id")
-    alone = marks.where("size = 0").select("id", "text_key", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    linked = marks.where("size > 0").join(known, key).select(
+        "id", "text_key", "n_links", F.col("first.id").alias("component_id"),
+        (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"),
+    )
+    alone = marks.where("size = 0").select(
+        "id", "text_key", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")
+    )
+    return linked.union(alone)
+
+
+def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of every class
+    the document of smallest id (then text key) stays.  Texts without words
+    all stay.  Of repeated rows that are alike in id and text one stays."""
+    classes = stored(jaccard_classes(docs, doc_id, text, **options))
+    key = [F.col("id").alias("__id"), F.col("text_key").alias("__key")]
+    empty = F.unhex(F.md5(F.lit("").cast("binary")))
+    gone = cut_lineage(classes.where(~F.col("kept")).select(*key).distinct())
+    twice = cut_lineage(
+        classes.where(F.col("kept") & (F.col("text_key") != empty)).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    )
+    own = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    keyed = docs.withColumn("__own_id", F.col(doc_id).cast("long")).withColumn("__own_key", own)
+    same = F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own_key") == F.col("__key"))
+    kept = keyed.join(checked_broadcast(gone, "__key"), same, "left_anti")
+    if twice.limit(1).count():
+        small = checked_broadcast(twice, "__key")
+        kept = kept.join(small, same, "left_anti").union(kept.join(small, same, "left_semi").dropDuplicates(["__own_id", "__own_key"]))
+    return kept.drop("__own_id", "__own_key")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, root: str) -> DataFrame:

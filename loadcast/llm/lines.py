@@ -68,6 +68,8 @@ def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float
     key that carries the positions to drop back to the rows.
     """
     keyed = pages.withColumn("__site", F.coalesce(site, F.lit(""))).withColumn("__lines", lines)
+    if "__text" in keyed.columns:
+        keyed = keyed.drop("__text")
     blank = lambda x: F.when(F.trim(x) == "", F.lit(None)).otherwise(F.xxhash64(x, F.octet_length(x)))
     keyed = stored(
         keyed.withColumn("__keys", F.transform("__lines", blank))
@@ -91,6 +93,18 @@ def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float
     )
 
 
+def clean_documents(docs: DataFrame, text: str = "text", site: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """The rows and columns of ``docs``; their texts without boilerplate lines,
+    and ``n_chars``, where there is one, counted anew for texts that changed.
+    No row is dropped; null texts stay null."""
+    lean = docs.withColumn("__null", F.col(text).isNull()).withColumn("__text", text_lines(text)).drop(text)
+    found = drop_boilerplate(lean, F.col(site).cast("string"), F.col("__text"), ratio, least_pages)
+    found = found.withColumn(text, F.when(~F.col("__null"), F.array_join("__lines", "\n")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(docs.columns)
+
+
 def op9_site_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     pages = table(spark, root, "pages", "page_id", "url", "html")
     lines = pages.select("page_id", host_of("url").alias("host"), html_lines("html").alias("lines"))

@@ -137,6 +137,17 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return global_index(copies, ["position", "source_rank", "id", "row", "copy"], "place")
 
 
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, all columns, repeated as often as
+    it takes them and range-sorted by training time."""
+    # the scan's partitions are the same every time it is read, and so are its row numbers
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    mixed = mix(numbered, carry=["__row"], **options)
+    copies = training_order(mixed).select(F.col("carried___row").alias("__taken"), F.col("place").alias("__place"))
+    taken = numbered.join(copies, F.col("__row") == F.col("__taken"))
+    return taken.repartitionByRange("__place").sortWithinPartitions("__place").drop("__place", "__row", "__taken")
+
+
 def op5_curriculum_mix(spark: SparkSession, root: str) -> DataFrame:
     mixed = cut_lineage(mix(table(spark, root, "documents", "doc_id", "text", "source")))
     first = training_order(mixed).where("copy = 0").select(F.col("row").alias("taken_row"), "place")
