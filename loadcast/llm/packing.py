@@ -28,7 +28,7 @@ from loadcast.llm.tokens import encoder, public_files
 from loadcast.session import cut_lineage
 
 CAPACITY = 2048
-STALLED = 0.02  # a sweep that places less than this share of the items left opens new sequences
+STALLED = 0.1   # a sweep that places less than this share of the items left opens new sequences
 TAIL = 0.005    # items left of less than this share of all tokens are laid end to end
 
 
@@ -112,37 +112,48 @@ def _across(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int
     return out
 
 
-def _round(items: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(placed: uid, size, mate, gap), items left and gaps left after one round."""
+def _narrow(df: DataFrame, rows: int) -> DataFrame:
+    """Materialised, and read back in as few partitions as so many rows need."""
+    return cut_lineage(df).coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // 50_000))
+
+
+def _round(items: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(placed: uid, size, mate, gap), items left, gaps left and the number of
+    items left after one round.  The segments tell which items and gaps meet
+    across ranges, so one join pairs them and filters leave the others."""
     spark = items.sparkSession
     order = ["size", "kind", "uid"]
     events = items.select("size", F.lit(0).alias("kind"), "uid").union(gaps.select("size", F.lit(1).alias("kind"), "uid"))
-    swept = cut_lineage(
+    swept = _narrow(
         events.repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_sweep, "uid long, size long, kind int, mate long, gap long, rank long, range int")
+        .mapInArrow(_sweep, "uid long, size long, kind int, mate long, gap long, rank long, range int"), rows,
     )
     # one row per range, which are as many as shuffle partitions
     counts = (
         swept.where("rank is not null").groupBy("range")
         .agg(F.sum("kind").alias("g"), F.sum(1 - F.col("kind")).alias("i")).orderBy("range").collect()
     )
+    left = sum(r["i"] for r in counts)
     segments = _across([(r["range"], r["g"], r["i"]) for r in counts])
     placed = swept.where("mate is not null").select("uid", "size", "mate", "gap")
     free_items, free_gaps = swept.where("kind = 0 and rank is not null"), swept.where("kind = 1 and rank is not null")
     if segments:
-        seg = F.broadcast(spark.createDataFrame(segments, "range int, first long, after long, item_range int, item_rank long"))
+        seg = spark.createDataFrame(segments, "gap_range int, first long, after long, item_range int, item_rank long")
+        of_gap = F.broadcast(seg)
+        of_item = F.broadcast(seg.select("item_range", "item_rank", (F.col("item_rank") - (F.col("after") - F.col("first"))).alias("below")))
+        gap_met = (F.col("range") == F.col("gap_range")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))
+        item_met = (F.col("range") == F.col("item_range")) & (F.col("rank") <= F.col("item_rank")) & (F.col("rank") > F.col("below"))
         pairs = (
-            free_gaps.join(seg, "range").where("rank >= first and rank < after")
+            free_gaps.join(of_gap, gap_met)
             .select(F.col("uid").alias("mate"), F.col("size").alias("gap"), F.col("item_range").alias("range"),
                     (F.col("item_rank") - (F.col("rank") - F.col("first"))).alias("rank"))
-            .join(free_items.select("uid", "size", "range", "rank"), ["range", "rank"])
+            .join(free_items.join(of_item, item_met, "left_semi").select("uid", "size", "range", "rank"), ["range", "rank"])
         )
-        crossed = cut_lineage(pairs.select("uid", "size", "mate", "gap"))
-        placed = placed.union(crossed)
-        free_items = free_items.join(crossed.select("uid"), "uid", "left_anti")
-        free_gaps = free_gaps.join(crossed.select(F.col("mate").alias("uid")), "uid", "left_anti")
+        placed = placed.union(_narrow(pairs.select("uid", "size", "mate", "gap"), rows))
+        free_items, free_gaps = free_items.join(of_item, item_met, "left_anti"), free_gaps.join(of_gap, gap_met, "left_anti")
+        left -= sum(after - first for _, first, after, _, _ in segments)
     shrunk = placed.select(F.col("mate").alias("uid"), (F.col("gap") - F.col("size")).alias("size")).where("size > 0")
-    return placed, free_items.select("uid", "size"), free_gaps.select("uid", "size").union(shrunk)
+    return placed, free_items.select("uid", "size"), free_gaps.select("uid", "size").union(shrunk), left
 
 
 def _end_to_end(items: DataFrame, unit: int, longest: int, total: int) -> DataFrame:
@@ -186,22 +197,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     places = [items.where(own), sized.where(F.col("size") == capacity)]
     places = [p.select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")) for p in places]
     items, gaps = items.where(~own), opened.where("size > 0")
-    left = _size(items)
-    while left[0]:
-        placed, items, gaps = _round(items, gaps)
+    n = items.count()
+    while n:
+        placed, items, gaps, left = _round(items, gaps, counts["n"])
         places.append(placed.select("uid", F.col("mate").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).alias("offset")))
-        before, left = left, _size(items)
-        if not left[0] or before[0] - left[0] > STALLED * before[0]:
+        before, n = n, left
+        if not n or before - n > STALLED * before:
             continue
-        if left[1] <= TAIL * counts["tokens"]:
-            tail = _end_to_end(items, capacity, left[2], left[0])
+        _, tokens, longest = _size(items)
+        if tokens <= TAIL * counts["tokens"]:
+            tail = _end_to_end(items, capacity, longest, n)
             name = F.min(F.struct("offset", "uid")).over(Window.partitionBy("part"))["uid"]
             places.append(tail.select("uid", name.alias("sequence_id"), "offset"))
             break
-        first, rest = _largest(items, -(-left[1] // capacity))
+        first, items, opened = _largest(items, -(-tokens // capacity), counts["n"])
         places.append(first.select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
         gaps = gaps.union(first.select("uid", (capacity - F.col("size")).alias("size")))
-        items, left = rest, _size(rest)
+        n -= opened
     # sequence_id of a bundle's members: their bundle's; everything else has its own row
     placed = reduce(DataFrame.union, places)
     in_bundle = bundles.select("uid", "bundle", F.col("offset").alias("inner"))
@@ -218,23 +230,24 @@ def _size(items: DataFrame) -> tuple[int, int, int]:
     return r[0], r[1] or 0, r[2] or 0
 
 
-def _largest(items: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """About the ``n`` largest items and the rest.  Sizes are at most the
-    capacity, so their histogram is small; of the size at the border, the
-    share that is still needed goes by hash."""
+def _largest(items: DataFrame, n: int, rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """About the ``n`` largest items, the rest, and how many were taken.  Sizes
+    are at most the capacity, so their histogram is small; of the size at the
+    border, the share that is still needed goes by hash."""
     need, border, share = n, 0, 1.0
     for r in items.groupBy("size").count().orderBy(F.desc("size")).collect():
         border, share = r["size"], min(1.0, need / r["count"])
         need -= r["count"]
         if need <= 0:
             break
-    marked = cut_lineage(items.withColumn(
+    marked = _narrow(items.withColumn(
         "first", (F.col("size") > border) | ((F.col("size") == border) & (spread("uid", seed=6) < share))
-    ))
-    # a share of one may leave none: the largest sizes always open at least one
-    if not marked.where("first").limit(1).count():
+    ), rows)
+    taken = marked.where("first").count()
+    if not taken:  # a small share may pick none: at least one sequence opens
         marked = marked.withColumn("first", F.col("size") == border)
-    return marked.where("first").drop("first"), marked.where("not first").drop("first")
+        taken = marked.where("first").count()
+    return marked.where("first").drop("first"), marked.where("not first").drop("first"), taken
 
 
 def op3_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
