@@ -6,11 +6,10 @@ library pulls a data-sized frame to the driver.
 
 Sub-packages
 ------------
-sources    reading the fact and the lookup tables, typed frames
+sources    reading the fact and the lookup tables
 functions  column expressions: clocks, slot arithmetic, null guards
 operators  series, windows, enrichment, profiles, clustering, models, audits
 plans      end-to-end forecasters and the registry of checkable queries
-streaming  (empty: the workload is batch only)
 """
 
 __version__ = "0.1.0"

@@ -22,6 +22,5 @@ from loadcast.functions.exprs import (  # noqa: F401
     mean_from_milli,
     null_safe_mean,
     row_sum_null_as_zero,
-    safe_divide,
     to_milli,
 )

@@ -138,10 +138,6 @@ def py_slot_index(value: str | _dt.datetime) -> int:
     return int(delta.total_seconds() // (SLOT_MINUTES * 60))
 
 
-def sql_interval(slots: int) -> str:
-    return f"{slots * SLOT_MINUTES} minutes"
-
-
 def clock_parts(ts: str | Column) -> dict[str, Column]:
     """hour, minute and day of week (1 = Sunday ... 7 = Saturday)."""
     t = _c(ts)

@@ -39,10 +39,9 @@ def mean_from_milli(sum_milli: str | Column, count: str | Column) -> Column:
     return F.when(_c(count) > 0, from_milli(sum_milli) / _c(count))
 
 
-def safe_divide(num: str | Column, den: str | Column, default: Column | None = None) -> Column:
-    """``num / den`` when ``den > 0``, else ``default`` (null by default)."""
-    expr = F.when(_c(den) > 0, _c(num) / _c(den))
-    return expr if default is None else expr.otherwise(default)
+def count_non_null(cols: list[str | Column]) -> Column:
+    """How many of the columns hold a value."""
+    return reduce(add, [_c(c).isNotNull().cast("int") for c in cols])
 
 
 def null_safe_mean(cols: list[str | Column]) -> Column:
@@ -53,8 +52,7 @@ def null_safe_mean(cols: list[str | Column]) -> Column:
     arithmetic so it stays inside generated code.
     """
     total = reduce(add, [F.coalesce(_c(c), F.lit(0.0)) for c in cols], F.lit(0.0))
-    count = reduce(add, [F.when(_c(c).isNotNull(), 1).otherwise(0) for c in cols])
-    return total / F.greatest(count, F.lit(1))
+    return total / F.greatest(count_non_null(cols), F.lit(1))
 
 
 def row_sum_null_as_zero(cols: list[str | Column]) -> Column:

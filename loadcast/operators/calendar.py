@@ -33,15 +33,6 @@ def slot_sequence(start: str, end: str):
     return F.sequence(ntz(start), ntz(end) - _step(), _step())
 
 
-def keyed_spine(keys: DataFrame, start: str, end: str, local_shift: str = DEFAULT_LOCAL_SHIFT) -> DataFrame:
-    """Every key row times every slot of the window, generated per key row
-    (a generator, not a join): columns ``*keys, datetime_utc, datetime_local``."""
-    cols = keys.columns
-    return keys.select(*cols, F.explode(slot_sequence(start, end)).alias("datetime_utc")).withColumn(
-        "datetime_local", to_local("datetime_utc", local_shift)
-    )
-
-
 def densify(
     series: DataFrame,
     key: str,

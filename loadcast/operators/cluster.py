@@ -28,6 +28,7 @@ from loadcast.session import cut_lineage
 # Bytes per cluster-map row assumed when deciding to broadcast it.
 MAP_ROW_BYTES = 48
 MAP_BROADCAST_BYTES = 256 * 1024 * 1024
+CLIENTS_PER_PARTITION = 50_000
 
 
 def assemble(vectors: DataFrame, cols: list[str] = VECTOR_COLS) -> DataFrame:
@@ -39,7 +40,7 @@ def cluster_clients(
     k: int = 5,
     n_init: int = 20,
     seed: int = 42,
-    max_iter: int = 100,
+    max_iter: int = 300,
     parallelism: int = 4,
 ) -> tuple[DataFrame, dict]:
     """M1 + M3: ``(client_id, cluster_id)`` from the best of ``n_init`` fits.
@@ -47,10 +48,14 @@ def cluster_clients(
     The assembled features are checkpointed once (the fits iterate over
     them many times, and an executor lost mid-fit must not rescan the fact
     table).  ``k`` is lowered to the number of clients when there are fewer.
-    Returns the map and a summary ``{"k", "n_clients", "cost", "seed"}``.
+    Returns the map and a summary ``{"k", "n_clients", "cost", "seed", "centres"}``.
     """
     feats = cut_lineage(assemble(vectors))
     n_clients = feats.count()
+    # the same rows in the same places whatever the session's partitions: fits repeat exactly
+    feats = cut_lineage(
+        feats.repartition(max(1, -(-n_clients // CLIENTS_PER_PARTITION)), "client_id").sortWithinPartitions("client_id")
+    )
     if n_clients == 0:
         raise ValueError("no client has a reading in the profile window")
     k_eff = max(1, min(k, n_clients))
@@ -67,7 +72,8 @@ def cluster_clients(
         F.col("client_id").cast("long").alias("client_id"),
         F.col("prediction").cast("int").alias("cluster_id"),
     )
-    return mapping, {"k": k_eff, "n_clients": n_clients, "cost": cost, "seed": best_seed}
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    return mapping, {"k": k_eff, "n_clients": n_clients, "cost": cost, "seed": best_seed, "centres": centres}
 
 
 def initial_centres(vectors: DataFrame, k: int, cols: list[str] = VECTOR_COLS) -> list[list[float]]:

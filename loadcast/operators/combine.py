@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +20,15 @@ def combine_by_instant(forecasts: DataFrame) -> DataFrame:
     )
 
 
-def combine_outer(per_series: dict, on: str = "datetime_local") -> DataFrame:
-    """J8 + A9, the reference's form: each series' forecast renamed to
-    ``prediction_cluster_<s>``, all lined up by a chain of full outer joins
-    on the local time, then added across the row with null read as 0.
-    Correct only while ``on`` is unique per frame."""
-    frames = [
-        df.select(on, F.col("prediction").alias(f"{PREFIX}{key}"))
-        for key, df in sorted(per_series.items())
-    ]
-    wide = reduce(lambda a, b: a.join(b, [on], "outer"), frames)
-    cols = [c for c in wide.columns if c.startswith(PREFIX)]
+def combine_wide(forecasts: DataFrame, key: str, on: str = "datetime_local") -> DataFrame:
+    """J8 + P8 + A9: one row per local label with a column
+    ``prediction_cluster_<s>`` for every series, lined up by a single grouped
+    aggregation whatever the number of series, then added across the
+    prefixed columns with null read as 0.  ``forecasts`` is long (key, label,
+    prediction).  A label that repeats adds up; combine by instant instead
+    where the clock changes."""
+    wide = forecasts.groupBy(on).pivot(key).agg(F.sum("prediction"))
+    names = sorted(c for c in wide.columns if c != on)
+    wide = wide.select(on, *[F.col(f"`{c}`").alias(f"{PREFIX}{c}") for c in names])
+    cols = [f"`{c}`" for c in wide.columns if c.startswith(PREFIX)]
     return wide.select(F.col(on).alias("datetime_15min"), row_sum_null_as_zero(cols).alias("prediction"))

@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 
 from loadcast.functions.clock import floor_hour
 from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small
+from loadcast.session import cut_lineage
 
 # Bytes per lookup row assumed when a row-count bound decides a broadcast.
 LOOKUP_ROW_BYTES = 64
+# Most distinct values that a dense code may have.
+MAX_CODES = 1_000_000
 
 
 def broadcast_bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast a lookup whose row count is bounded by the caller (hours or
-    days of a window it has filtered to); without a bound, fall back to the
-    planner's estimate."""
+    days of a window it has filtered to); without a bound the join is left to
+    the planner, which re-plans it at run time from measured sizes."""
     if max_rows is not None and max_rows * LOOKUP_ROW_BYTES <= DEFAULT_BROADCAST_BYTES:
         return F.broadcast(df)
-    return broadcast_if_small(df)
+    return df
+
 
 _AGGS = {"max": F.max, "min": F.min, "avg": F.avg, "sum": F.sum, "first": F.min}
 
@@ -53,8 +57,10 @@ def next_hour_carry(hourly: DataFrame, cols: list[str], max_rows: int | None = N
     last hour).  An equi-join on ``hour + 1h`` instead of ``lead`` over an
     unpartitioned window, so it runs in parallel and a hole never pulls in a
     later hour.  One row per hour is enforced first (duplicate hours are
-    averaged), so the join cannot multiply rows."""
-    hourly = one_row_per_key(hourly, "datetime_utc", {c: "avg" for c in cols})
+    averaged), so the join cannot multiply rows; that hourly table, bounded by
+    the hours it covers, is materialised, so its source is read once and not
+    once more for its own next hour."""
+    hourly = cut_lineage(one_row_per_key(hourly, "datetime_utc", {c: "avg" for c in cols}))
     base = hourly.select(F.col("datetime_utc").alias("hour_start"), *cols)
     nxt = hourly.select(
         (F.col("datetime_utc") - F.expr("INTERVAL 1 HOUR")).alias("hour_start"),
@@ -76,7 +82,8 @@ def interpolation_weight(ts: str = "datetime_utc") -> Column:
 def enrich_interpolated(df: DataFrame, hourly: DataFrame, cols: list[str], max_rows: int | None = None) -> DataFrame:
     """Hourly signals to quarter hours by linear interpolation,
     ``(1 - alpha) * curr + alpha * next``."""
-    prep = broadcast_bounded(next_hour_carry(hourly, cols, max_rows), max_rows)
+    prep = next_hour_carry(hourly, cols, max_rows)  # materialised: cheap to count
+    prep = broadcast_if_small(prep) if max_rows is None else broadcast_bounded(prep, max_rows)
     alpha = interpolation_weight("datetime_utc")
     out = df.withColumn("hour_start", floor_hour("datetime_utc")).join(prep, "hour_start", "left")
     out = out.select(
@@ -89,22 +96,24 @@ def enrich_interpolated(df: DataFrame, hourly: DataFrame, cols: list[str], max_r
     return out
 
 
-def enrich_by_local_date(df: DataFrame, daily: DataFrame, cols: list[str], max_rows: int | None = None) -> DataFrame:
-    """Left join of a daily table on ``to_date(datetime_local)``."""
-    day = broadcast_bounded(daily.select(F.col("date").alias("_date_local"), *cols), max_rows)
-    return (
-        df.withColumn("_date_local", F.to_date("datetime_local"))
-        .join(day, "_date_local", "left")
-        .drop("_date_local")
-    )
+def enrich_daily(df: DataFrame, *tables: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Every column of the daily tables (key ``date``) by the row's
+    local date.  The tables, one row per date each, are put together first,
+    so the series is joined once however many there are."""
+    together = tables[0]
+    for t in tables[1:]:
+        together = together.join(t, "date", "full_outer")
+    columns = [c for c in together.columns if c != "date"]
+    days = broadcast_bounded(together, max_rows)
+    return df.join(days, F.to_date(df["datetime_local"]) == days["date"], "left").select(*df.columns, *columns)
 
 
 def enrich_weekday(df: DataFrame, weekday: DataFrame, max_rows: int | None = None) -> DataFrame:
-    return enrich_by_local_date(df, weekday, ["day_of_week", "is_weekend"], max_rows)
+    return enrich_daily(df, weekday, max_rows=max_rows)
 
 
 def enrich_visitors(df: DataFrame, visitors: DataFrame, max_rows: int | None = None) -> DataFrame:
-    return enrich_by_local_date(df, visitors, ["visitors"], max_rows)
+    return enrich_daily(df, visitors, max_rows=max_rows)
 
 
 def enrich_price(
@@ -136,9 +145,12 @@ def enrich_price(
 
 def dense_code(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Integer code of ``col``: dense rank over its distinct values,
-    from 0.  The rank runs over the distinct values only (a small set), and
-    the codes are joined back with a size-checked broadcast."""
+    from 0.  The rank runs over the distinct values in one task, so a column
+    of more than ``MAX_CODES`` values is refused; the codes are joined back
+    with a size-checked broadcast."""
     out = out or f"{col}_num"
-    codes = df.select(col).where(F.col(col).isNotNull()).distinct()
+    codes = cut_lineage(df.select(col).where(F.col(col).isNotNull()).distinct())
+    if codes.limit(MAX_CODES + 1).count() > MAX_CODES:
+        raise ValueError(f"{col} has more than {MAX_CODES} values: too many to be codes")
     codes = codes.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).alias(out))
     return df.join(broadcast_if_small(codes), col, "left")

@@ -31,16 +31,21 @@ def mean_error(err: str):
 def mae(
     actual: DataFrame,
     forecast: DataFrame,
-    on: str = "datetime_15min",
+    on: str = "datetime_utc",
     actual_col: str = "actual",
     forecast_col: str = "prediction",
     by: list[str] | None = None,
 ) -> DataFrame:
-    """``[by...], mae, n_slots`` over the slots present in both frames."""
+    """``[by...], mae, n_slots, n_missing``: the error over the slots that have
+    a forecast, and how many actuals have none (a partial forecast shows).
+    The join is on the instant: a local label may repeat."""
     by = by or []
-    joined = actual.join(forecast, by + [on], "inner")
-    err = joined.select(*by, abs_error(actual_col, forecast_col).alias("_err"))
-    return err.groupBy(*by).agg(mean_error("_err").alias("mae"), F.count("_err").alias("n_slots"))
+    joined = actual.join(forecast.withColumnRenamed(forecast_col, "_forecast"), by + [on], "left")
+    err = joined.where(F.col(actual_col).isNotNull()).select(*by, abs_error(actual_col, "_forecast").alias("_err"))
+    return err.groupBy(*by).agg(
+        mean_error("_err").alias("mae"), F.count("_err").alias("n_slots"),
+        F.count(F.when(F.col("_err").isNull(), 1)).alias("n_missing"),
+    )
 
 
 def fold_starts(first_start: str, n_folds: int, step_days: int) -> list[str]:
@@ -80,3 +85,26 @@ def backtest_seasonal_naive(
     err = scored.select(key, "fold", abs_error("sum_active_kw", "prediction").alias("_err"))
     out = err.groupBy("fold", key).agg(mean_error("_err").alias("mae"), F.count("_err").alias("n_slots"))
     return out.select("fold", F.element_at(start_ts, F.col("fold") + 1).alias("fold_start"), key, "mae", "n_slots")
+
+
+def backtest(
+    forecaster, readings: DataFrame, actual: DataFrame, first_start: str, n_folds: int, step_days: int, horizon_days: int, local_shift: str,
+) -> DataFrame:
+    """Rolling-origin evaluation of any forecaster: ``fold, fold_start, mae,
+    n_slots, n_missing``.  ``actual``: ``datetime_utc, actual``.  Each fold is a
+    forecast of its own window, which sees nothing from its start on."""
+    from loadcast.operators.horizon import window_slots
+    from loadcast.functions.clock import slot_start
+
+    out = None
+    for fold, start in enumerate(fold_starts(first_start, n_folds, step_days)):
+        end = fold_starts(start, 2, horizon_days)[1]
+        lo, hi = window_slots(start, end, local_shift)
+        spark = readings.sparkSession
+        a, b = (spark.range(1).select(slot_start(F.lit(x)).alias("t")).first()["t"] for x in (lo, hi))
+        inside = actual.where((F.col("datetime_utc") >= F.lit(a)) & (F.col("datetime_utc") < F.lit(b)))
+        scored = mae(inside, forecaster.predict_utc(readings, start, end)).select(
+            F.lit(fold).alias("fold"), F.lit(start).cast("timestamp_ntz").alias("fold_start"), "mae", "n_slots", "n_missing"
+        )
+        out = scored if out is None else out.unionByName(scored)
+    return out

@@ -76,16 +76,6 @@ def series_window(key: str):
     return Window.partitionBy(key).orderBy("datetime_utc")
 
 
-def lag_column(target: str, n: int, w) -> Column:
-    return F.lag(F.col(target), n).over(w)
-
-
-def add_lags(df: DataFrame, key: str, lags: dict[str, int], target: str = "sum_active_kw") -> DataFrame:
-    """``lag(target, n)`` for each named n."""
-    w = series_window(key)
-    return df.select("*", *[lag_column(target, n, w).alias(name) for name, n in lags.items()])
-
-
 def add_running_totals(df: DataFrame, key: str, milli: str = "load_milli", tag: str = "") -> DataFrame:
     """Running sum and running count of the non-null exact load."""
     run = series_window(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,6 +1,6 @@
 """Join strategy helpers.
 
-Broadcasting is only ever requested for a side whose *estimated* size is
+Broadcasting is only ever requested for a side whose counted rows are
 checked against a bound; otherwise the plan is left to Catalyst, and AQE
 re-plans at run time from the measured shuffle sizes (it turns a sort-merge
 join into a broadcast join when a side turns out small, and splits skewed
@@ -16,18 +16,9 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimised plan (no job is run)."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - e.g. Spark Connect sessions
-        return None
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimate is known and under the bound."""
-    size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
-        return F.broadcast(df)
-    return df
+def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES, row_bytes: int = 128) -> DataFrame:
+    """Hint a broadcast only when the counted rows times a row's width are under
+    the bound.  The count reads the frame: pass one that is materialised or
+    cheap to read."""
+    rows = max_bytes // row_bytes
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from loadcast.functions.exprs import MILLI
 
 
+# Rows of a series' training partition: a series has a row per slot.
+ROWS_PER_PARTITION = 50_000
+
+
 @dataclass(frozen=True)
 class BoostParams:
     """Defaults follow the reference's booster: squared error, 100 rounds,
@@ -29,7 +33,7 @@ class BoostParams:
     depth: int = 6
     step: float = 0.3
     seed: int = 42
-    max_bins: int = 32
+    max_bins: int = 256
     min_instances: int = 1
 
 
@@ -73,11 +77,17 @@ def train_per_series(
     complete training row gets no model (the caller falls back)."""
     counts = training_counts(train, key, feature_cols, label)
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="skip")
-    data = assembler.transform(complete_rows(train, feature_cols, label)).select(key, "features", label)
+    data = assembler.transform(complete_rows(train, feature_cols, label)).select(key, "datetime_utc", "features", label)
 
     def fit(series_value):
+        # the same rows in the same places whatever the session's partitions,
+        # so that a fit can be repeated exactly
         part = data.filter(F.col(key) == F.lit(series_value))
-        return series_value, regressor(params, label).fit(part)
+        part = part.repartition(-(-counts[series_value] // ROWS_PER_PARTITION), "datetime_utc").sortWithinPartitions("datetime_utc")
+        part = part.select("features", label).persist()
+        model = regressor(params, label).fit(part)
+        part.unpersist()
+        return series_value, model
 
     todo = sorted(k for k, n in counts.items() if n > 0)
     if not todo:
@@ -92,15 +102,18 @@ def predict_per_series(
     rows: DataFrame,
     key: str,
     feature_cols: list[str],
+    carry: list[str] | None = None,
 ) -> DataFrame | None:
-    """M5: ``key, datetime_utc, datetime_local, prediction`` for the rows of
-    every series with a model; missing features are kept (NaN)."""
+    """M5: ``key, datetime_utc, datetime_local, prediction`` (and the ``carry``
+    columns) for the rows of every series with a model; missing features are
+    kept (NaN)."""
+    carry = carry or []
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
-    features = assembler.transform(rows.select(key, "datetime_utc", "datetime_local", *feature_cols))
+    features = assembler.transform(rows.select(key, "datetime_utc", "datetime_local", *carry, *feature_cols))
     parts = []
     for series_value, model in sorted(models.items()):
         part = features.filter(F.col(key) == F.lit(series_value))
-        parts.append(model.transform(part).select(key, "datetime_utc", "datetime_local", "prediction"))
+        parts.append(model.transform(part).select(key, "datetime_utc", "datetime_local", *carry, "prediction"))
     if not parts:
         return None
     out = parts[0]
@@ -111,8 +124,7 @@ def predict_per_series(
 
 def training_error(models: dict, train: DataFrame, key: str, feature_cols: list[str], label: str = "sum_active_kw") -> DataFrame:
     """Mean absolute in-sample error per series (milli-kW resolution)."""
-    pred = predict_per_series(models, complete_rows(train, feature_cols, label), key, feature_cols)
-    scored = pred.join(train.select(key, "datetime_utc", label), [key, "datetime_utc"])
+    scored = predict_per_series(models, complete_rows(train, feature_cols, label), key, feature_cols, carry=[label])
     err = F.abs(F.col(label) - F.col("prediction"))
     return scored.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_train_rows"),

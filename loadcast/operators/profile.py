@@ -1,18 +1,18 @@
-"""Client load profiles over a quarter-hour grid.
-
-A client's profile is defined on the dense grid of every slot of the window
-``[start, end)`` (UTC), a missing reading counting as zero load.  The grid
-is never built: each grid mean is an exact integer sum over the client's
-readings divided by a slot count that depends only on the window (computed
-from the parameters in ``operators.calendar.slot_counts``).  One
-``groupBy(client_id)`` pass with map-side partial aggregation produces all
-of it, so a client holding a third of all rows costs one partial row per
-task, not a hot partition.
-
-Columns: ``h00 .. h23`` (mean load per local hour), ``mean_kw``,
-``pct_zero`` (share of grid slots with zero load), ``wd_avg``, ``we_avg``,
-``we_wd_ratio`` (weekend / weekday mean, 1.0 when the weekday mean is not
-positive).
+"""Client load profiles.
+
+``h00 .. h23`` (mean load per local hour), ``mean_kw``, ``pct_zero`` (share of
+zero load), ``wd_avg``, ``we_avg``, ``we_wd_ratio`` (weekend / weekday mean, 1.0
+when either is missing or the weekday mean is not positive).
+
+By default the means run over the readings that exist, a null reading being
+none: one ``groupBy(client_id)`` straight on the readings, combined map side,
+so a client holding a third of all rows costs one partial row per task.
+
+With ``grid`` a profile is defined on every slot of the window ``[start, end)``
+(UTC), a slot without a (non-null) reading counting as zero load.  The grid is
+never built: each mean is an exact integer sum divided by a slot count that
+depends only on the window (``operators.calendar.slot_counts``).  Only the
+zero share needs the readings added up per (client, slot) first.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, is_weekend, ntz
-from loadcast.functions.exprs import clip, from_milli
+from loadcast.functions.exprs import clip, from_milli, mean_from_milli
 
 HOUR_COLS = [f"h{h:02d}" for h in range(24)]
 VECTOR_HOUR_COLS = [f"p{h:02d}" for h in range(24)]
@@ -37,54 +37,60 @@ def _grid_mean(sum_milli, n_slots: int):
 
 def client_profiles(
     readings: DataFrame,
-    start: str,
-    end: str,
+    start: str | None = None,
+    end: str | None = None,
     local_shift: str = DEFAULT_LOCAL_SHIFT,
     readings_are_cells: bool = False,
+    grid: bool = False,
 ) -> DataFrame:
-    """``client_id, h00..h23, mean_kw, pct_zero, wd_avg,
-    we_avg, we_wd_ratio`` for every client with a reading in the window.
-
-    ``readings`` may hold several readings per (client, slot); the zero
-    share counts slots, so they are added up per slot first (a shuffle of
-    three narrow columns on (client, slot)).  A source that already holds
-    one reading per client and slot (a meter table) passes
-    ``readings_are_cells=True`` and skips that shuffle: the per-client
-    aggregation then combines everything map side."""
-    from loadcast.operators.calendar import slot_counts
+    """A1-A5 and J1 for every client with a reading in the window (all readings
+    where ``start`` or ``end`` is open, which only the grid form needs)."""
+    rows = readings
+    if start is not None:
+        rows = rows.filter(F.col("datetime_utc") >= ntz(start))
+    if end is not None:
+        rows = rows.filter(F.col("datetime_utc") < ntz(end))
+    hour, weekend, milli = F.hour("datetime_local"), is_weekend("datetime_local"), F.col("kw_milli")
+    parts = {f"h{h:02d}": hour == h for h in range(24)} | {"mean_kw": F.lit(True), "wd_avg": ~weekend, "we_avg": weekend}
+    if grid:
+        sums = _grid_sums(rows, parts, start, end, local_shift, readings_are_cells)
+    else:
+        agg = rows.groupBy("client_id").agg(
+            *[F.sum(F.when(on, milli)).alias(f"_s_{name}") for name, on in parts.items()],
+            *[F.count(F.when(on, milli)).alias(f"_n_{name}") for name, on in parts.items()],
+            F.count(F.when(milli == 0, 1)).alias("_zero"),
+        )
+        held = F.col("_n_mean_kw")
+        sums = agg.select(
+            "client_id", *[mean_from_milli(f"_s_{name}", f"_n_{name}").alias(name) for name in parts],
+            F.when(held > 0, F.col("_zero") / held).alias("pct_zero"),
+        )
+    ratio = F.when((F.col("wd_avg") > 0) & F.col("we_avg").isNotNull(), F.col("we_avg") / F.col("wd_avg")).otherwise(F.lit(1.0))
+    return sums.select("client_id", *HOUR_COLS, "mean_kw", "pct_zero", "wd_avg", "we_avg", ratio.alias("we_wd_ratio"))
 
+
+def _grid_sums(rows: DataFrame, parts: dict, start: str | None, end: str | None, local_shift: str, readings_are_cells: bool) -> DataFrame:
+    """Sums over readings, divided by slot counts.  Readings are added up per
+    (client, slot) for the zero share (a shuffle of three narrow columns),
+    unless the source holds one reading per client and slot already."""
+    from loadcast.operators.calendar import slot_counts
     from loadcast.sources.consumption import to_cells
 
+    if start is None or end is None:
+        raise ValueError("the grid form needs a window")
     counts = slot_counts(start, end, local_shift)
     if counts["total"] == 0:
         raise ValueError(f"empty profile window [{start}, {end})")
-    window = (F.col("datetime_utc") >= ntz(start)) & (F.col("datetime_utc") < ntz(end))
-    rows = readings.filter(window)
-    if not readings_are_cells:
-        rows = to_cells(rows)
-    hour = F.hour("datetime_local")
-    weekend = is_weekend("datetime_local")
+    slots = dict(zip(HOUR_COLS, counts["per_hour"])) | {"mean_kw": counts["total"], "wd_avg": counts["weekday"], "we_avg": counts["weekend"]}
     milli = F.col("kw_milli")
-    agg = rows.groupBy("client_id").agg(
-        *[F.sum(F.when(hour == h, milli)).alias(f"_s{h}") for h in range(24)],
-        F.sum(milli).alias("_s_all"),
-        F.count(F.when(milli != 0, milli)).alias("_nz"),
-        F.sum(F.when(~weekend, milli)).alias("_s_wd"),
-        F.sum(F.when(weekend, milli)).alias("_s_we"),
-    )
-    n = counts["total"]
-    wd = _grid_mean(F.col("_s_wd"), counts["weekday"])
-    we = _grid_mean(F.col("_s_we"), counts["weekend"])
-    out = agg.select(
-        "client_id",
-        *[_grid_mean(F.col(f"_s{h}"), counts["per_hour"][h]).alias(HOUR_COLS[h]) for h in range(24)],
-        _grid_mean(F.col("_s_all"), n).alias("mean_kw"),
-        ((F.lit(n) - F.col("_nz")) / F.lit(n)).alias("pct_zero"),
-        wd.alias("wd_avg"),
-        we.alias("we_avg"),
+    agg = (rows if readings_are_cells else to_cells(rows)).groupBy("client_id").agg(
+        *[F.sum(F.when(on, milli)).alias(f"_s_{name}") for name, on in parts.items()],
+        F.count(F.when(milli != 0, milli)).alias("_nonzero"),
     )
-    return out.withColumn(
-        "we_wd_ratio", F.when(F.col("wd_avg") > 0, F.col("we_avg") / F.col("wd_avg")).otherwise(F.lit(1.0))
+    n = F.lit(counts["total"])
+    return agg.select(
+        "client_id", *[_grid_mean(F.col(f"_s_{name}"), slots[name]).alias(name) for name in parts],
+        ((n - F.col("_nonzero")) / n).alias("pct_zero"),
     )
 
 

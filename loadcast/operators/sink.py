@@ -27,6 +27,16 @@ def write_submission(stamped: DataFrame, path: str) -> None:
     )
 
 
+def save_submission(stamped: DataFrame, table: str) -> None:
+    """The same into a table partitioned by team: made where there is none, else
+    only this team's partition is replaced."""
+    spark = stamped.sparkSession
+    if spark.catalog.tableExists(table):
+        stamped.select(spark.table(table).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    else:
+        stamped.write.partitionBy("team_name").saveAsTable(table)
+
+
 def count_predictions(df: DataFrame) -> DataFrame:
     """Rows written, as a one-row frame."""
     return df.agg(F.count(F.lit(1)).alias("n_predictions"))

@@ -2,11 +2,16 @@
 
 ``predict(readings, predict_start, predict_end)`` returns
 ``datetime_15min`` (local slot start, timestamp_ntz) and ``prediction``
-(double), exactly one row per 15-minute slot of the local window.
-
-Leak-free by construction: clusters are fitted on readings before the
-window, and every actual at or after ``predict_start`` is hidden before a
-feature is computed, so a table that also holds the future cannot leak it.
+(double), exactly one row per 15-minute slot of the local window;
+``predict_utc`` returns the same rows keyed by ``datetime_utc``.  A slot that
+no series forecasts has a null prediction (``submission_audit`` counts it).
+
+Nothing at or after ``predict_start`` is read: readings are cut there before
+clusters are fitted and features are built, and every feature of a row lies
+before its origin (``operators.horizon``), so it exists for any window
+length.  Lookups are the caller's: tables known in advance, or stand-ins
+projected from the history (``sources.lookups``).  The
+``forecast_leak_audit`` query changes the future and counts forecasts that move.
 """
 
 from __future__ import annotations
@@ -15,15 +20,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, ntz, parse_instant, py_slot_index, py_to_utc, to_local
 from loadcast.functions.exprs import from_milli
-from loadcast.operators import audit, baseline, cluster, combine, enrich, features, model, profile, series
+from loadcast.operators import audit, baseline, cluster, combine, enrich, horizon, model, profile, series
 from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES
+from loadcast.session import cut_lineage
 
 # Bytes per (slot, prediction) row assumed when bounding a forecast's size.
 FORECAST_ROW_BYTES = 32
-from loadcast.session import cut_lineage
 
 
 def local_to_utc(value: str, local_shift: str) -> str:
@@ -34,11 +40,9 @@ def local_to_utc(value: str, local_shift: str) -> str:
 def _on_window_spine(
     combined: DataFrame, predict_start: str, predict_end: str, local_shift: str = DEFAULT_LOCAL_SHIFT
 ) -> DataFrame:
-    """Exactly one row per real 15-minute interval of the local window,
-    labelled with its local start; an interval no series forecast is zero
-    load.  The spine runs over UTC instants and is joined on them, so a
-    clock change neither merges nor drops intervals (in autumn a local label
-    appears twice, once per instant).  The combined forecast has at most one
+    """Exactly one row per real 15-minute interval of the local window, keyed by
+    its UTC instant; an interval no series forecast is null.  A clock change
+    neither merges nor drops intervals.  The combined forecast has at most one
     row per instant of the window, a bound set by the window parameters, so
     it is broadcast when that bound is small."""
     u0, u1 = local_to_utc(predict_start, local_shift), local_to_utc(predict_end, local_shift)
@@ -47,18 +51,23 @@ def _on_window_spine(
     n_slots = py_slot_index(u1) - py_slot_index(u0)
     if n_slots * FORECAST_ROW_BYTES <= DEFAULT_BROADCAST_BYTES:
         got = F.broadcast(got)
-    return spine.join(got, "datetime_utc", "left").select(
-        to_local("datetime_utc", local_shift).alias("datetime_15min"),
-        F.coalesce(F.col("prediction"), F.lit(0.0)).alias("prediction"),
-    )
+    return spine.join(got, "datetime_utc", "left")
 
 
 class Forecaster:
-    """Extension point: anything with this ``predict`` plugs into scoring."""
+    """Extension point: anything with ``predict_utc`` plugs into scoring and backtests."""
 
-    def predict(self, readings: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
+    local_shift: str = DEFAULT_LOCAL_SHIFT
+
+    def predict_utc(self, readings: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
         raise NotImplementedError
 
+    def predict(self, readings: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
+        """The same forecast labelled with the local start of each interval (in
+        autumn a label appears twice, once per instant)."""
+        out = self.predict_utc(readings, predict_start, predict_end)
+        return out.select(to_local("datetime_utc", self.local_shift).alias("datetime_15min"), "prediction")
+
 
 @dataclass
 class SeasonalNaiveForecaster(Forecaster):
@@ -67,7 +76,7 @@ class SeasonalNaiveForecaster(Forecaster):
     history_start: str
     local_shift: str = DEFAULT_LOCAL_SHIFT
 
-    def predict(self, readings, predict_start, predict_end):
+    def predict_utc(self, readings, predict_start, predict_end):
         end_utc = local_to_utc(predict_end, self.local_shift)
         total = series.total_load(readings, self.history_start, end_utc, self.local_shift)
         pred = baseline.seasonal_naive(total, "series_id", predict_start, predict_end)
@@ -91,10 +100,9 @@ class Lookups:
             out.append("demand_forecast")
             if "AvgPrice" in self.hourly.columns:
                 out.append("AvgPrice")
-        if self.weekday is not None:
-            out += ["day_of_week", "is_weekend"]
-        if self.visitors is not None:
-            out.append("visitors")
+        for daily in (self.weekday, self.visitors):
+            if daily is not None:
+                out += [f.name for f in daily.schema.fields if f.name != "date" and isinstance(f.dataType, NumericType)]
         return out
 
     def apply(self, df: DataFrame, start_utc: str, end_utc: str) -> DataFrame:
@@ -103,9 +111,9 @@ class Lookups:
         Each lookup is first cut to that span (the next hour and the local
         dates at both ends included), which bounds it by the hours or days of
         the window; it is then broadcast on that bound.  As model inputs, an
-        instant without a holiday row is not a holiday, a signal with no
-        event in an hour that is present is zero, a price holds until the next
-        quote; a missing hour (a hole) stays missing."""
+        instant without a holiday row is not a holiday and a price holds until
+        the next quote; a signal that is null or missing stays missing.  Every
+        column of a daily table comes along."""
         t0, t1 = ntz(start_utc), ntz(end_utc)
         slots = py_slot_index(end_utc) - py_slot_index(start_utc)
         hours, days = slots // 4 + 2, slots // 96 + 3
@@ -117,9 +125,7 @@ class Lookups:
             hour_span = (F.col("datetime_utc") >= t0 - F.expr("INTERVAL 1 HOUR")) & (
                 F.col("datetime_utc") < t1 + F.expr("INTERVAL 1 HOUR")
             )
-            hourly = self.hourly.filter(hour_span).withColumn(
-                "demand_forecast", F.coalesce(F.col("demand_forecast"), F.lit(0.0))
-            )
+            hourly = self.hourly.filter(hour_span)
             if "AvgPrice" in hourly.columns:
                 # a price holds until the next quote: carry the last known one
                 # (one ordered pass over the window's hours, a bounded table)
@@ -130,11 +136,8 @@ class Lookups:
         day_span = (F.col("date") >= F.to_date(t0 - F.expr("INTERVAL 1 DAY"))) & (
             F.col("date") <= F.to_date(t1 + F.expr("INTERVAL 1 DAY"))
         )
-        if self.weekday is not None:
-            df = enrich.enrich_weekday(df, self.weekday.filter(day_span), max_rows=days)
-        if self.visitors is not None:
-            df = enrich.enrich_visitors(df, self.visitors.filter(day_span), max_rows=days)
-        return df
+        daily = [t.filter(day_span) for t in (self.weekday, self.visitors) if t is not None]
+        return enrich.enrich_daily(df, *daily, max_rows=days) if daily else df
 
 
 @dataclass
@@ -152,19 +155,18 @@ class ClusterBoostForecaster(Forecaster):
     n_init: int = 20
     seed: int = 42
     boost: model.BoostParams = field(default_factory=model.BoostParams)
-    spec: features.FeatureSpec = field(default_factory=features.FeatureSpec)
     local_shift: str = DEFAULT_LOCAL_SHIFT
     parallelism: int = 8
     key: str = "cluster_id"
-    # Use only window features that every slot of the forecast window can
-    # see (nearest lag >= horizon); False keeps the reference's full set,
-    # whose short lags are missing for most of a multi-day window.
-    horizon_safe_only: bool = True
-    # Hide actuals at or after the forecast start before building features.
-    # False reproduces the reference, whose features read the window's actuals.
-    hide_future: bool = True
+    # What happens to a series without a complete training row: "naive" gives it
+    # its own seasonal-naive forecast (listed in ``info["fallback_series"]``),
+    # "error" raises.  No model at all always raises.
+    on_missing: str = "naive"
     # True when the readings hold one row per (client, slot) already
     readings_are_cells: bool = False
+    # profile means over the slots of the history (a missing one is zero load)
+    # instead of over the readings that exist
+    profile_grid: bool = False
     # largest client -> cluster map broadcast to the readings (bytes)
     map_broadcast_bytes: int = cluster.MAP_BROADCAST_BYTES
     info: dict = field(default_factory=dict)
@@ -174,7 +176,7 @@ class ClusterBoostForecaster(Forecaster):
         """Profiles over the history before the window -> k-means map."""
         start_utc = local_to_utc(predict_start, self.local_shift)
         prof = profile.client_profiles(
-            readings, self.history_start, start_utc, self.local_shift, self.readings_are_cells
+            readings, self.history_start, start_utc, self.local_shift, self.readings_are_cells, grid=self.profile_grid
         )
         mapping, info = cluster.cluster_clients(
             profile.profile_vector(prof), self.k, self.n_init, self.seed, parallelism=self.parallelism
@@ -182,15 +184,8 @@ class ClusterBoostForecaster(Forecaster):
         self.info.update(info)
         return mapping
 
-    def window_features(self, predict_start: str | None = None, predict_end: str | None = None) -> list[str]:
-        lags = self.spec.min_lag()
-        if not self.horizon_safe_only or predict_start is None or predict_end is None:
-            return list(lags)
-        horizon = py_slot_index(predict_end) - py_slot_index(predict_start)
-        return [n for n, lag in lags.items() if lag >= horizon]
-
-    def feature_names(self, predict_start: str | None = None, predict_end: str | None = None) -> list[str]:
-        return self.window_features(predict_start, predict_end) + self.lookups.feature_names()
+    def feature_names(self) -> list[str]:
+        return list(horizon.FEATURES) + self.lookups.feature_names()
 
     def feature_columns(self, feats: DataFrame) -> list[str]:
         """Every column of the feature frame except the series key, the
@@ -199,19 +194,16 @@ class ClusterBoostForecaster(Forecaster):
         return [c for c in feats.columns if c not in base]
 
     def feature_frame(self, readings: DataFrame, mapping: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
-        """Dense per-cluster series, actuals hidden from the window start,
-        window features and lookups; checkpointed (it feeds k fits and k
-        predictions)."""
-        end_utc = local_to_utc(predict_end, self.local_shift)
-        clustered = cluster.attach_cluster(readings, mapping, self.info.get("n_clients"), self.map_broadcast_bytes)
+        """Dense per-cluster series up to the window start, features of every
+        slot before the window end, lookups; checkpointed (it feeds k fits and
+        k predictions)."""
+        start_utc, end_utc = local_to_utc(predict_start, self.local_shift), local_to_utc(predict_end, self.local_shift)
+        past = readings.filter(F.col("datetime_utc") < ntz(start_utc))
+        clustered = cluster.attach_cluster(past, mapping, self.info.get("n_clients"), self.map_broadcast_bytes)
         ser = series.dense_series(clustered, self.key, self.history_start, end_utc, self.local_shift)
-        hidden = series.mask_from(ser, predict_start) if self.hide_future else ser
-        hidden = hidden.withColumn("sum_active_kw", from_milli("load_milli"))
-        feats = features.build_features(hidden, self.key, self.spec)
+        feats = horizon.horizon_features(ser, self.key, self.history_start, predict_start, predict_end, self.local_shift)
         feats = self.lookups.apply(feats, self.history_start, end_utc)
-        feats = feats.filter(F.col("datetime_local") < ntz(predict_end))
-        names = self.feature_names(predict_start, predict_end)
-        cols = [self.key, "datetime_utc", "datetime_local", "load_milli", "sum_active_kw", *names]
+        cols = [self.key, "datetime_utc", "datetime_local", "load_milli", "sum_active_kw", *self.feature_names()]
         return cut_lineage(feats.select(*cols))
 
     def fit(self, feats: DataFrame, predict_start: str) -> dict:
@@ -220,11 +212,13 @@ class ClusterBoostForecaster(Forecaster):
             train, self.key, self.feature_columns(feats), self.boost, parallelism=self.parallelism
         )
         self.info["train_rows"] = counts
+        self.info["fitted_series"] = sorted(models)
+        if not models:
+            raise ValueError(f"no series has a complete training row before {predict_start}: no model was fitted")
         return models
 
     def predict_rows(self, models: dict, feats: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
-        """Per-series forecasts; a series without a model falls back to the
-        seasonal-naive forecast of its own series."""
+        """Per-series forecasts; see ``on_missing`` for a series without a model."""
         _, rows = series.time_split(feats, predict_start, predict_end)
         parts = []
         modelled = model.predict_per_series(models, rows, self.key, self.feature_columns(feats))
@@ -234,6 +228,8 @@ class ClusterBoostForecaster(Forecaster):
         keys = [r[0] for r in feats.select(self.key).distinct().collect()]
         missing = sorted(k for k in keys if k not in models)
         self.info["fallback_series"] = missing
+        if missing and self.on_missing == "error":
+            raise ValueError(f"series without a complete training row: {missing}")
         if missing:
             # the naive forecast reads only rows before the window start
             lonely = feats.filter(F.col(self.key).isin(missing))
@@ -247,7 +243,7 @@ class ClusterBoostForecaster(Forecaster):
         return out
 
     # -- whole ---------------------------------------------------------
-    def predict(self, readings, predict_start, predict_end):
+    def predict_utc(self, readings, predict_start, predict_end):
         mapping = self.cluster(readings, predict_start)
         feats = self.feature_frame(readings, mapping, predict_start, predict_end)
         models = self.fit(feats, predict_start)

@@ -29,7 +29,6 @@ readings AS (
          {FLOOR15} + {LOCAL} AS datetime_local,
          CAST(SUM({MILLI}) AS BIGINT) AS kw_milli
   FROM events
-  WHERE ts >= {ts(H0)} AND ts < {ts(H1)}
   GROUP BY 1, 2, 3
 )"""
 
@@ -123,7 +122,7 @@ ORACLE["resample_15min"] = f"""
 SELECT user_id AS client_id, {FLOOR15} AS datetime_15min,
        CAST(SUM({MILLI}) AS BIGINT) AS kw_milli, COUNT(value) AS n_readings,
        CAST(SUM({MILLI}) AS BIGINT) / 1000.0 AS active_kw
-FROM events WHERE ts >= {ts(H0)} AND ts < {ts(H1)}
+FROM events
 GROUP BY 1, 2"""
 
 ORACLE["slot_spine"] = f"""WITH {COMMUNITY_SERIES}
@@ -138,9 +137,10 @@ SELECT datetime_local AS datetime_15min, datetime_utc, prediction FROM naive"""
 
 ORACLE["mae_total"] = f"""WITH {TOTAL}, ser AS (SELECT * FROM total), {naive('ser', None)}
 SELECT CAST(SUM(CAST(abs(t.load_milli / 1000.0 - n.prediction) AS DECIMAL(28,6))) AS DOUBLE)
-         / COUNT(*) AS mae,
-       COUNT(*) AS n_slots
-FROM naive n JOIN total t ON t.datetime_local = n.datetime_local"""
+         / COUNT(n.prediction) AS mae,
+       COUNT(n.prediction) AS n_slots, COUNT(*) - COUNT(n.prediction) AS n_missing
+FROM total t LEFT JOIN naive n ON t.datetime_utc = n.datetime_utc
+WHERE t.datetime_local >= {ts(S0)} AND t.datetime_local < {ts(S1)}"""
 
 # ------------------------------------------------------------------ windows
 
@@ -212,9 +212,78 @@ def _pick(cols: str) -> str:
     return f"WITH {FEATURES} SELECT {KEY}, datetime_utc, {cols} FROM feat2"
 
 
-FLAGSHIP_FEATURES = ("lag_2d_same_slot, lag_7d_same_slot, same_slot_mean_4w, rolling_mean_48h_safe, "
-                     "rolling_mean_7d_safe, short_ma_minus_long_ma, last_measured_value, "
-                     "time_slots_distance, weekly_trend_smooth")
+# Features that reach back from a row's origin: every looked-up value is a join of its own here.
+START = f"({idx(ts(S0))} - 4)"  # the window's first slot, UTC
+HORIZON = f"({idx(ts(S1))} - {idx(ts(S0))})"
+SPACING = f"least({HORIZON}, greatest(672, ({START} - {idx(ts(H0))}) // 2 // 672 * 672))"
+
+
+def _seen(name: str, at: str) -> str:
+    return f"LEFT JOIN src {name} ON {name}.{KEY} IS NOT DISTINCT FROM o.{KEY} AND {name}.u = {at}"
+
+
+def _level(a: str, b: str) -> str:
+    return (f"CASE WHEN o1.n - COALESCE({b}.n, 0) > 0 THEN ((COALESCE(o1.s, 0) - COALESCE({b}.s, 0)) / 1000.0) "
+            f"/ (o1.n - COALESCE({b}.n, 0)) END AS {a}")
+
+
+HORIZON_FEATURES = f"""{COMMUNITY_SERIES},
+known AS (
+  SELECT {KEY}, datetime_utc, datetime_local, {idx('datetime_utc')} AS u,
+         CASE WHEN {idx('datetime_utc')} < {START} THEN load_milli END AS milli
+  FROM cseries WHERE {idx('datetime_utc')} < {START} + {HORIZON}
+),
+src AS (
+  SELECT {KEY}, u, milli, SUM(milli) OVER r AS s, COUNT(milli) OVER r AS n,
+         last_value(milli IGNORE NULLS) OVER r AS last_milli,
+         last_value(CASE WHEN milli IS NOT NULL THEN u END IGNORE NULLS) OVER r AS last_u
+  FROM known WHERE u < {START}
+  WINDOW r AS (PARTITION BY {KEY} ORDER BY u ROWS UNBOUNDED PRECEDING)
+),
+o0 AS (
+  SELECT *, CASE WHEN u >= {START} THEN {START} ELSE {START} - {SPACING} * CAST(ceil(({START} - u) / ({SPACING})) AS BIGINT) END AS origin
+  FROM known
+),
+o AS (
+  SELECT *, ((u - origin) // 672 + 1) * 672 AS weeks, greatest((u - origin) // 96 + 1, 2) * 96 AS days,
+         greatest(CAST(ceil((u - origin + 1 - 288) / 672.0) AS BIGINT), 0) * 672 AS turn
+  FROM o0
+),
+looked AS (
+  SELECT o.{KEY}, o.datetime_utc, o.datetime_local, o.u, o.milli,
+         w0.milli / 1000.0 AS w0, w1.milli / 1000.0 AS w1, w2.milli / 1000.0 AS w2, w3.milli / 1000.0 AS w3, d2.milli / 1000.0 AS d2,
+         (COALESCE(w0.milli, 0) + COALESCE(w1.milli, 0) + COALESCE(w2.milli, 0) + COALESCE(w3.milli, 0)) / 1000.0 AS wsum,
+         CAST(w0.milli IS NOT NULL AS INT) + CAST(w1.milli IS NOT NULL AS INT) + CAST(w2.milli IS NOT NULL AS INT)
+           + CAST(w3.milli IS NOT NULL AS INT) AS held,
+         ((t0.milli / 1000.0 - t1.milli / 1000.0) + (t2.milli / 1000.0 - t3.milli / 1000.0)) / 2.0 AS trend,
+         CASE WHEN o1.n > 0 THEN (o1.s / 1000.0) / o1.n END AS level,
+         {_level('short', 'os')}, {_level('long', 'ol')},
+         o1.last_milli / 1000.0 AS last_measured_value, CAST(o.u - o1.last_u AS INTEGER) AS time_slots_distance
+  FROM o
+  {_seen('w0', 'o.u - o.weeks')} {_seen('w1', 'o.u - o.weeks - 672')}
+  {_seen('w2', 'o.u - o.weeks - 1344')} {_seen('w3', 'o.u - o.weeks - 2016')} {_seen('d2', 'o.u - o.days')}
+  {_seen('t0', 'o.u - 288 - o.turn')} {_seen('t1', 'o.u - 384 - o.turn')}
+  {_seen('t2', 'o.u - 960 - o.turn')} {_seen('t3', 'o.u - 1056 - o.turn')}
+  {_seen('o1', 'o.origin - 1')} {_seen('os', 'o.origin - 192')} {_seen('ol', 'o.origin - 672')}
+),
+means AS (SELECT *, COALESCE(CASE WHEN held > 0 THEN wsum / held END, level) AS same_slot_mean_4w FROM looked),
+horizon AS (
+  SELECT {KEY}, datetime_utc, datetime_local, milli / 1000.0 AS sum_active_kw,
+         COALESCE(d2, w0, same_slot_mean_4w) AS lag_2d_same_slot,
+         COALESCE(w0, same_slot_mean_4w) AS lag_7d_same_slot, COALESCE(w1, same_slot_mean_4w) AS lag_14d_same_slot,
+         COALESCE(w2, same_slot_mean_4w) AS lag_21d_same_slot, COALESCE(w3, same_slot_mean_4w) AS lag_28d_same_slot,
+         same_slot_mean_4w, COALESCE(short, level) AS rolling_mean_48h_safe, COALESCE(long, level) AS rolling_mean_7d_safe,
+         COALESCE(short, level) - COALESCE(long, level) AS short_ma_minus_long_ma,
+         last_measured_value, time_slots_distance,
+         CASE WHEN level IS NOT NULL THEN COALESCE(trend, 0.0) END AS weekly_trend_smooth
+  FROM means
+)"""
+
+HORIZON_NAMES = ("lag_2d_same_slot, lag_7d_same_slot, lag_14d_same_slot, lag_21d_same_slot, lag_28d_same_slot, "
+                 "same_slot_mean_4w, rolling_mean_48h_safe, rolling_mean_7d_safe, short_ma_minus_long_ma, "
+                 "last_measured_value, time_slots_distance, weekly_trend_smooth")
+ORACLE["horizon_features"] = f"""WITH {HORIZON_FEATURES}
+SELECT {KEY}, datetime_utc, datetime_local, sum_active_kw, {HORIZON_NAMES} FROM horizon"""
 
 ORACLE["series_load"] = f"""WITH {CONSUMPTION}
 SELECT {KEY}, datetime_utc, MIN(datetime_local) AS datetime_local,
@@ -246,14 +315,13 @@ SELECT {KEY}, datetime_utc, datetime_local,
        CASE WHEN datetime_local < {ts(S0)} THEN 'train'
             WHEN datetime_local >= {ts(S0)} AND datetime_local < {ts(S1)} THEN 'predict' END AS split
 FROM cseries"""
-ORACLE["drop_incomplete"] = f"""WITH {FEATURES}
-SELECT {KEY}, datetime_utc, sum_active_kw, {FLAGSHIP_FEATURES} FROM feat2
+ORACLE["drop_incomplete"] = f"""WITH {HORIZON_FEATURES}
+SELECT {KEY}, datetime_utc, sum_active_kw, {HORIZON_NAMES} FROM horizon
 WHERE datetime_local < {ts(S0)}
-  AND {' AND '.join(c.strip() + ' IS NOT NULL' for c in ('sum_active_kw, ' + FLAGSHIP_FEATURES).split(','))}"""
-ORACLE["feature_columns"] = f"""WITH {FEATURES}
-""" + "\nUNION ALL\n".join(
-    f"SELECT '{c.strip()}' AS feature, COUNT(*) AS n_rows, COUNT({c.strip()}) AS n_non_null FROM feat2"
-    for c in FLAGSHIP_FEATURES.split(",")
+  AND {' AND '.join(c.strip() + ' IS NOT NULL' for c in ('sum_active_kw, ' + HORIZON_NAMES).split(','))}"""
+ORACLE["feature_columns"] = f"WITH {HORIZON_FEATURES}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c.strip()}' AS feature, COUNT(*) AS n_rows, COUNT({c.strip()}) AS n_non_null FROM horizon"
+    for c in HORIZON_NAMES.split(",")
 )
 
 # ------------------------------------------------------------------ functions
@@ -301,7 +369,7 @@ hourly AS (
            (SUM({MILLI}) FILTER (WHERE event_type = 'purchase') / 1000.0)
              / COUNT(value) FILTER (WHERE event_type = 'purchase') END AS "AvgPrice"
   FROM events
-  WHERE ts >= {ts(H0)} AND ts < {ts(H1)} AND event_type IN ('view', 'click', 'signup', 'purchase')
+  WHERE event_type IN ('view', 'click', 'signup', 'purchase')
   GROUP BY 1
 )"""
 
@@ -315,7 +383,14 @@ holidays AS (
 LOCAL_DATES = f"""
 ldates AS (
   SELECT CAST({FLOOR15} + {LOCAL} AS DATE) AS date, user_id
-  FROM events WHERE ts >= {ts(H0)} AND ts < {ts(H1)}
+  FROM events
+)"""
+
+# the calendar of the window's local dates
+DATES = f"""
+dates AS (
+  SELECT CAST(range AS DATE) AS date
+  FROM range({ts(H0)}, date_trunc('day', {ts(H1)} + {LOCAL}) + INTERVAL 1 DAY, INTERVAL 1 DAY)
 )"""
 
 
@@ -343,10 +418,10 @@ ORACLE["scan_hourly_forecast"] = f"""WITH {HOURLY}
 SELECT datetime_utc AS hour_start, demand_forecast AS demand_curr FROM hourly"""
 ORACLE["scan_holidays"] = f"""WITH {HOLIDAYS}
 SELECT datetime_utc, community_code, is_normal_holiday FROM holidays"""
-ORACLE["scan_weekday"] = f"""WITH {LOCAL_DATES}
-SELECT DISTINCT date, CAST(dayofweek(date) + 1 AS INTEGER) AS day_of_week,
+ORACLE["scan_weekday"] = f"""WITH {DATES}
+SELECT date, CAST(dayofweek(date) + 1 AS INTEGER) AS day_of_week,
        CAST(dayofweek(date) IN (0, 6) AS INTEGER) AS is_weekend
-FROM ldates"""
+FROM dates"""
 ORACLE["scan_visitors"] = f"""WITH {LOCAL_DATES}
 SELECT date, COUNT(DISTINCT user_id) AS visitors FROM ldates GROUP BY 1"""
 ORACLE["dedup_by_key"] = f"""WITH {HOLIDAYS}
@@ -359,8 +434,7 @@ FROM spine s LEFT JOIN (SELECT datetime_utc, MAX(is_normal_holiday) AS is_normal
                         FROM holidays GROUP BY 1) h ON h.datetime_utc = s.datetime_utc"""
 ORACLE["enrich_demand_interp"] = interp(["demand_forecast"])
 ORACLE["interp_many"] = interp(["demand_forecast", "pv_forecast", "wind_forecast"])
-ORACLE["enrich_weekday"] = f"""WITH {SPINE}, {LOCAL_DATES},
-wd AS (SELECT DISTINCT date FROM ldates)
+ORACLE["enrich_weekday"] = f"""WITH {SPINE}, {DATES}, wd AS (SELECT date FROM dates)
 SELECT s.datetime_utc,
        CASE WHEN wd.date IS NOT NULL THEN CAST(dayofweek(wd.date) + 1 AS INTEGER) END AS day_of_week,
        CASE WHEN wd.date IS NOT NULL THEN CAST(dayofweek(wd.date) IN (0, 6) AS INTEGER) END AS is_weekend
@@ -443,11 +517,29 @@ assign AS (
   ) WHERE rn = 1
 )"""
 
-ORACLE["profile_hourly"] = f"""WITH {PROFILES} SELECT client_id, {', '.join(f'h{h:02d}' for h in HOURS)} FROM prof"""
-ORACLE["profile_scalars"] = f"""WITH {PROFILES} SELECT client_id, mean_kw, pct_zero FROM prof"""
-ORACLE["profile_weekend"] = f"""WITH {PROFILES} SELECT client_id, wd_avg, we_avg, we_wd_ratio FROM prof"""
-ORACLE["join_profile_ratio"] = f"""WITH {PROFILES}
-SELECT client_id, {', '.join(f'h{h:02d}' for h in HOURS)}, mean_kw, pct_zero, we_wd_ratio FROM prof"""
+def _rmean(name: str, on: str) -> str:
+    return (f"CASE WHEN COUNT(milli) FILTER ({on}) > 0 THEN (SUM(milli) FILTER ({on}) / 1000.0)"
+            f" / COUNT(milli) FILTER ({on}) END AS {name}")
+
+
+# profiles over the readings that exist
+PROFILE_ROWS = f"""
+raw AS (SELECT user_id AS client_id, {FLOOR15} + {LOCAL} AS datetime_local, {MILLI} AS milli FROM events),
+rprof0 AS (
+  SELECT client_id, {', '.join(_rmean(f'h{h:02d}', f'WHERE hour(datetime_local) = {h}') for h in HOURS)},
+         {_rmean('mean_kw', 'WHERE true')},
+         CASE WHEN COUNT(milli) > 0 THEN COUNT(*) FILTER (WHERE milli = 0) / COUNT(milli) END AS pct_zero,
+         {_rmean('wd_avg', 'WHERE dayofweek(datetime_local) NOT IN (0, 6)')}, {_rmean('we_avg', 'WHERE dayofweek(datetime_local) IN (0, 6)')}
+  FROM raw GROUP BY client_id
+),
+rprof AS (SELECT *, CASE WHEN wd_avg > 0 AND we_avg IS NOT NULL THEN we_avg / wd_avg ELSE 1.0 END AS we_wd_ratio FROM rprof0)"""
+_H = ", ".join(f"h{h:02d}" for h in HOURS)
+ORACLE["profile_hourly"] = f"""WITH {PROFILE_ROWS} SELECT client_id, {_H} FROM rprof"""
+ORACLE["profile_scalars"] = f"""WITH {PROFILE_ROWS} SELECT client_id, mean_kw, pct_zero FROM rprof"""
+ORACLE["profile_weekend"] = f"""WITH {PROFILE_ROWS} SELECT client_id, wd_avg, we_avg, we_wd_ratio FROM rprof"""
+ORACLE["join_profile_ratio"] = f"""WITH {PROFILE_ROWS} SELECT client_id, {_H}, mean_kw, pct_zero, we_wd_ratio FROM rprof"""
+ORACLE["profile_grid"] = f"""WITH {PROFILES}
+SELECT client_id, {_H}, mean_kw, pct_zero, wd_avg, we_avg, we_wd_ratio FROM prof"""
 ORACLE["profile_vector"] = f"""WITH {PROFILES} SELECT client_id, {', '.join(VCOLS)} FROM vec"""
 ORACLE["kmeans_step"] = f"""WITH {PROFILES}, {ASSIGN}
 SELECT a.cluster_id, COUNT(*) AS n_clients, {', '.join(f'round(AVG(v.{x}), 9) AS {x}' for x in VCOLS)}
@@ -512,7 +604,8 @@ FROM nv{f} n JOIN total t ON t.datetime_utc = n.datetime_utc"""
 ORACLE["backtest_folds"] = _fold_sql()
 
 LEAK_NAMES = {
-    "lag_2d_same_slot": 192, "lag_7d_same_slot": 672, "same_slot_mean_4w": 672,
+    "lag_2d_same_slot": 192, "lag_7d_same_slot": 672, "lag_14d_same_slot": 1344, "lag_21d_same_slot": 2016,
+    "lag_28d_same_slot": 2688, "same_slot_mean_4w": 672,
     "rolling_mean_48h_safe": 193, "rolling_mean_7d_safe": 193, "short_ma_minus_long_ma": 193,
     "last_measured_value": 1, "time_slots_distance": 1, "weekly_trend_smooth": 288,
 }
@@ -538,3 +631,20 @@ j AS (
 FROM j"""
     for n, lag in LEAK_NAMES.items()
 )
+
+# ------------------------------------------------------------------ facts of the learned results
+
+_PAST = f"SELECT DISTINCT user_id FROM events WHERE ts >= {ts(H0)} AND ts < {ts(S0)} - {LOCAL}"
+ORACLE["cluster_check"] = f"""WITH past AS ({_PAST})
+SELECT COUNT(*) AS n_rows, COUNT(*) AS n_clients, COUNT(*) AS n_nearest,
+       CAST(least({P.FLAGSHIP_K}, COUNT(*)) AS BIGINT) AS n_clusters
+FROM past"""
+ORACLE["forecast_check"] = f"""WITH past AS ({_PAST}), k AS (SELECT CAST(least({P.FLAGSHIP_K}, COUNT(*)) AS BIGINT) AS k FROM past),
+slots AS (SELECT COUNT(*) AS n FROM range({ts(S0)}, {ts(S1)}, INTERVAL 15 MINUTE))
+SELECT n AS n_slots, CAST(n * k AS BIGINT) AS n_parts, CAST(0 AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_off,
+       k AS n_models, CAST(0 AS BIGINT) AS n_fallback
+FROM slots, k"""
+ORACLE["forecast_leak_audit"] = f"""
+SELECT (SELECT COUNT(*) FROM range({ts(S0)}, {ts(S1)}, INTERVAL 15 MINUTE)) AS n_rows, CAST(0 AS BIGINT) AS changed_rows,
+       COUNT(*) > 0 AS future_exists
+FROM events WHERE ts >= {ts(S0)} - {LOCAL}"""

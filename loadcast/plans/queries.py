@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcast.functions import clock
-from loadcast.functions.exprs import from_milli
-from loadcast.operators import audit, baseline, cluster, combine, enrich, evaluate, features, model, profile, series, sink
+from loadcast.functions.exprs import count_non_null, from_milli
+from loadcast.operators import audit, baseline, cluster, combine, enrich, evaluate, features, horizon, model, profile, series, sink
 from loadcast.plans import params as P
 from loadcast.session import cut_lineage
-from loadcast.plans.forecast import ClusterBoostForecaster, Lookups, SeasonalNaiveForecaster
+from loadcast.plans.forecast import ClusterBoostForecaster, Lookups, SeasonalNaiveForecaster, local_to_utc
+from loadcast.plans.score import lookups_from_tables
 from loadcast.sources import (
     Catalog,
     attach_community,
@@ -24,40 +25,38 @@ from loadcast.sources import (
     lookups,
     raw_readings,
     readings_from_events,
-    restrict_time,
 )
-
-# Feature set of the flagship on 30 days of data: lags up to 1,056 slots, so
-# complete training rows exist before the forecast window.
-FLAGSHIP_SPEC = features.FeatureSpec(
-    lags={"lag_2d_same_slot": 192, "lag_7d_same_slot": 672},
-)
-
+from loadcast.sources.tables import replace_table
 
 def _cat(spark: SparkSession, root: str) -> Catalog:
     return Catalog(spark, root)
 
 
 def _readings(c: Catalog) -> DataFrame:
-    """Cells: one row per (client, slot)."""
-    return readings_from_events(c.events, P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
+    """Cells of the whole table: one row per (client, slot)."""
+    return readings_from_events(c.events, local_shift=P.LOCAL_SHIFT)
 
 
 def _raw(c: Catalog) -> DataFrame:
-    """Raw readings (a projection of the scan)."""
+    """Raw readings of the whole table (a projection of the scan)."""
+    return raw_readings(c.events, local_shift=P.LOCAL_SHIFT)
+
+
+def _window_raw(c: Catalog) -> DataFrame:
+    """Raw readings of the series' window."""
     return raw_readings(c.events, P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
 
 
 def _consumption(c: Catalog) -> DataFrame:
-    return consumption(c.events, c.customer, c.nation, P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
+    return consumption(c.events, c.customer, c.nation, local_shift=P.LOCAL_SHIFT)
 
 
 def _total(c: Catalog) -> DataFrame:
-    return series.total_load(_raw(c), P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
+    return series.total_load(_window_raw(c), P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
 
 
 def _raw_with_community(c: Catalog) -> DataFrame:
-    return attach_community(_raw(c), community_map(c.customer, c.nation))
+    return attach_community(_window_raw(c), community_map(c.customer, c.nation))
 
 
 def _community_series(c: Catalog) -> DataFrame:
@@ -76,10 +75,8 @@ def q_resample_15min(spark, root):
     c = _cat(spark, root)
     from loadcast.functions.clock import floor_15min
     from loadcast.functions.exprs import from_milli, to_milli
-    from loadcast.sources.consumption import restrict_time
 
-    ev = restrict_time(c.events, P.HISTORY_START, P.HISTORY_END)
-    return ev.groupBy(
+    return c.events.groupBy(
         F.col("user_id").alias("client_id"), floor_15min("ts").alias("datetime_15min")
     ).agg(
         F.sum(to_milli("value")).alias("kw_milli"),
@@ -112,12 +109,18 @@ def q_seasonal_naive(spark, root):
     )
 
 
+def _actual(c: Catalog) -> DataFrame:
+    return _total(c).select("datetime_utc", "datetime_local", F.col("sum_active_kw").alias("actual"))
+
+
+def _window_actual(c: Catalog) -> DataFrame:
+    _, inside = series.time_split(_actual(c), P.PREDICT_START, P.PREDICT_END)
+    return inside.select("datetime_utc", "actual")
+
+
 def q_mae_total(spark, root):
     c = _cat(spark, root)
-    actual = _total(c).select(F.col("datetime_local").alias("datetime_15min"), F.col("sum_active_kw").alias("actual"))
-    pred = _naive_total(c).select(F.col("datetime_local").alias("datetime_15min"), "prediction")
-    return evaluate.mae(actual, pred)
-
+    return evaluate.mae(_window_actual(c), _naive_total(c).select("datetime_utc", "prediction"))
 
 
 # ---------------------------------------------------------------- windows
@@ -195,15 +198,23 @@ def q_time_split(spark, root):
     return s.select(KEY, "datetime_utc", "datetime_local", "split")
 
 
+def _horizon(c: Catalog) -> DataFrame:
+    return horizon.horizon_features(_community_series(c), KEY, P.HISTORY_START, P.PREDICT_START, P.PREDICT_END, P.LOCAL_SHIFT)
+
+
+def q_horizon_features(spark, root):
+    return _horizon(_cat(spark, root)).drop("load_milli")
+
+
 def q_drop_incomplete(spark, root):
-    feats = _features(_cat(spark, root), FLAGSHIP_SPEC)
-    train, _ = series.time_split(feats, P.PREDICT_START, P.PREDICT_END)
-    return train.na.drop(how="any").select(KEY, "datetime_utc", "sum_active_kw", *FLAGSHIP_SPEC.names())
+    train, _ = series.time_split(_horizon(_cat(spark, root)), P.PREDICT_START, P.PREDICT_END)
+    names = ClusterBoostForecaster(P.HISTORY_START, key=KEY).feature_columns(train)
+    return model.complete_rows(train, names).select(KEY, "datetime_utc", "sum_active_kw", *names)
 
 
 def q_feature_columns(spark, root):
-    feats = _features(_cat(spark, root), FLAGSHIP_SPEC)
-    names = FLAGSHIP_SPEC.names()
+    feats = _horizon(_cat(spark, root))
+    names = ClusterBoostForecaster(P.HISTORY_START, key=KEY).feature_columns(feats)
     long = feats.select(KEY, "datetime_utc", *[F.col(n).cast("double").alias(n) for n in names]).unpivot(
         [KEY, "datetime_utc"], names, "feature", "value"
     )
@@ -251,7 +262,7 @@ def q_conditional_exprs(spark, root):
 def q_null_guards(spark, root):
     f = _features(_cat(spark, root))
     lags = [f"lag_{d}d_same_slot" for d in (7, 14, 21, 28)]
-    count = sum(F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in lags)
+    count = count_non_null(lags)
     return f.select(
         KEY, "datetime_utc",
         F.coalesce(F.col("lag_7d_same_slot"), F.col("sum_active_kw")).alias("lag_or_current"),
@@ -263,24 +274,21 @@ def q_null_guards(spark, root):
 # ---------------------------------------------------------------- lookups and enrichment
 
 def _hourly(c: Catalog) -> DataFrame:
-    return lookups.hourly_forecasts(c.events, P.HISTORY_START, P.HISTORY_END)
+    return lookups.hourly_forecasts(c.events)
 
 
 def _holidays(c: Catalog) -> DataFrame:
-    return lookups.holiday_flags(_consumption_keyed(c))
-
-
-def _consumption_keyed(c: Catalog) -> DataFrame:
-    readings = _raw(c)
-    return attach_community(readings, community_map(c.customer, c.nation))
+    return lookups.holiday_flags(attach_community(_raw(c), community_map(c.customer, c.nation)))
 
 
 def _weekday(c: Catalog) -> DataFrame:
-    return lookups.weekday_table(restrict_time(c.events, P.HISTORY_START, P.HISTORY_END), P.LOCAL_SHIFT)
+    # the local dates of the series' window: the calendar, no table
+    last = clock.py_to_local(clock.parse_instant(P.HISTORY_END), P.LOCAL_SHIFT)
+    return lookups.weekday_dates(c.spark, P.HISTORY_START[:10], f"{last:%Y-%m-%d}")
 
 
 def _visitors(c: Catalog) -> DataFrame:
-    return lookups.daily_visitors(restrict_time(c.events, P.HISTORY_START, P.HISTORY_END), P.LOCAL_SHIFT)
+    return lookups.daily_visitors(c.events, P.LOCAL_SHIFT)
 
 
 def _total_slots(c: Catalog) -> DataFrame:
@@ -315,10 +323,10 @@ def q_lead_carry(spark, root):
 
 def q_enrich_holiday(spark, root):
     c = _cat(spark, root)
-    # the holiday table is built from the history window: at most one row per
-    # slot of it after the per-instant reduction
+    # the holidays of the window's slots: at most one row each after the per-instant reduction
     n_slots = clock.py_slot_index(P.HISTORY_END) - clock.py_slot_index(P.HISTORY_START)
-    return enrich.enrich_holiday(_total_slots(c), _holidays(c), max_rows=n_slots).select(
+    inside = (F.col("datetime_utc") >= clock.ntz(P.HISTORY_START)) & (F.col("datetime_utc") < clock.ntz(P.HISTORY_END))
+    return enrich.enrich_holiday(_total_slots(c), _holidays(c).filter(inside), max_rows=n_slots).select(
         "datetime_utc", "is_normal_holiday"
     )
 
@@ -355,44 +363,51 @@ def q_community_code_num(spark, root):
     c = _cat(spark, root)
     # one row per client: materialised once, read by the code ranking and
     # by the join back (instead of two passes over the fact)
-    clients = cut_lineage(_consumption(c).select("client_id", "community_code").distinct())
+    clients = attach_community(_raw(c).select("client_id").distinct(), community_map(c.customer, c.nation))
+    clients = cut_lineage(clients.select("client_id", "community_code"))
     return enrich.dense_code(clients, "community_code")
 
 
 # ---------------------------------------------------------------- profiles and clusters
 
-def _profiles(c: Catalog) -> DataFrame:
-    return profile.client_profiles(_raw(c), P.PROFILE_START, P.PROFILE_END, P.LOCAL_SHIFT)
+def _grid_profiles(c: Catalog) -> DataFrame:
+    return profile.client_profiles(_raw(c), P.PROFILE_START, P.PROFILE_END, P.LOCAL_SHIFT, grid=True)
 
 
 def q_profile_hourly(spark, root):
-    return _profiles(_cat(spark, root)).select("client_id", *profile.HOUR_COLS)
+    return profile.client_profiles(_raw(_cat(spark, root))).select("client_id", *profile.HOUR_COLS)
 
 
 def q_profile_scalars(spark, root):
-    return _profiles(_cat(spark, root)).select("client_id", "mean_kw", "pct_zero")
+    return profile.client_profiles(_raw(_cat(spark, root))).select("client_id", "mean_kw", "pct_zero")
 
 
 def q_profile_weekend(spark, root):
-    return _profiles(_cat(spark, root)).select("client_id", "wd_avg", "we_avg", "we_wd_ratio")
+    return profile.client_profiles(_raw(_cat(spark, root))).select("client_id", "wd_avg", "we_avg", "we_wd_ratio")
 
 
 def q_join_profile_ratio(spark, root):
-    return _profiles(_cat(spark, root)).select("client_id", *profile.HOUR_COLS, "mean_kw", "pct_zero", "we_wd_ratio")
+    return profile.client_profiles(_raw(_cat(spark, root))).select(
+        "client_id", *profile.HOUR_COLS, "mean_kw", "pct_zero", "we_wd_ratio"
+    )
+
+
+def q_profile_grid(spark, root):
+    return _grid_profiles(_cat(spark, root))
 
 
 def q_profile_vector(spark, root):
-    return profile.profile_vector(_profiles(_cat(spark, root)))
+    return profile.profile_vector(_grid_profiles(_cat(spark, root)))
 
 
 def q_kmeans_step(spark, root):
-    vec = profile.profile_vector(_profiles(_cat(spark, root)))
+    vec = profile.profile_vector(_grid_profiles(_cat(spark, root)))
     return cluster.kmeans_step(vec, P.FLAGSHIP_K)
 
 
 def q_attach_cluster(spark, root):
     c = _cat(spark, root)
-    vec = cut_lineage(profile.profile_vector(_profiles(c)))
+    vec = cut_lineage(profile.profile_vector(_grid_profiles(c)))
     centres = cluster.initial_centres(vec, P.FLAGSHIP_K)
     mapping = cluster.assign_nearest(vec, centres).select("client_id", "cluster_id")
     return cluster.attach_cluster(_readings(c), mapping).select("client_id", "datetime_utc", "cluster_id", "active_kw")
@@ -401,37 +416,45 @@ def q_attach_cluster(spark, root):
 # ---------------------------------------------------------------- models and the flagship
 
 def _lookups(c: Catalog) -> Lookups:
-    return Lookups(hourly=_hourly(c), holidays=_holidays(c), weekday=_weekday(c), visitors=_visitors(c))
+    return lookups_from_tables(c, P.HISTORY_START, P.PREDICT_START, P.PREDICT_END, P.LOCAL_SHIFT)
 
 
-def _forecaster(c: Catalog) -> ClusterBoostForecaster:
+def _forecaster(c: Catalog, n_init: int = P.FLAGSHIP_N_INIT, rounds: int | None = None) -> ClusterBoostForecaster:
+    boost = model.BoostParams() if rounds is None else model.BoostParams(rounds=rounds)
     return ClusterBoostForecaster(
-        history_start=P.HISTORY_START,
-        lookups=_lookups(c),
-        k=P.FLAGSHIP_K,
-        n_init=P.FLAGSHIP_N_INIT,
-        boost=model.BoostParams(
-            rounds=P.FLAGSHIP_ROUNDS, depth=P.FLAGSHIP_DEPTH, min_instances=P.FLAGSHIP_MIN_INSTANCES
-        ),
-        spec=FLAGSHIP_SPEC,
-        local_shift=P.LOCAL_SHIFT,
+        history_start=P.HISTORY_START, lookups=_lookups(c), k=P.FLAGSHIP_K, n_init=n_init, boost=boost, local_shift=P.LOCAL_SHIFT,
     )
 
 
 def q_cluster_clients(spark, root):
     c = _cat(spark, root)
-    mapping = _forecaster(c).cluster(_raw(c), P.PREDICT_START)
+    mapping = _forecaster(c).cluster(_window_raw(c), P.PREDICT_START)
     return mapping.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_clients"))
 
 
 def q_cluster_map(spark, root):
     c = _cat(spark, root)
-    return _forecaster(c).cluster(_raw(c), P.PREDICT_START)
+    return _forecaster(c).cluster(_window_raw(c), P.PREDICT_START)
+
+
+def q_cluster_check(spark, root):
+    """Every client of the history is mapped once, to its nearest centre."""
+    c = _cat(spark, root)
+    fc = _forecaster(c)
+    mapping = fc.cluster(_window_raw(c), P.PREDICT_START)
+    past = raw_readings(c.events, P.HISTORY_START, local_to_utc(P.PREDICT_START, P.LOCAL_SHIFT), P.LOCAL_SHIFT)
+    vectors = profile.profile_vector(profile.client_profiles(past))
+    nearest = cluster.assign_nearest(vectors, fc.info["centres"]).select("client_id", F.col("cluster_id").alias("nearest"))
+    return nearest.join(mapping, "client_id", "full_outer").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("client_id").alias("n_clients"),
+        F.count(F.when(F.col("nearest").eqNullSafe(F.col("cluster_id")), 1)).alias("n_nearest"),
+        F.countDistinct("cluster_id").alias("n_clusters"),
+    )
 
 
 def _fitted(c: Catalog):
     fc = _forecaster(c)
-    readings = _raw(c)
+    readings = _window_raw(c)
     mapping = fc.cluster(readings, P.PREDICT_START)
     feats = fc.feature_frame(readings, mapping, P.PREDICT_START, P.PREDICT_END)
     models = fc.fit(feats, P.PREDICT_START)
@@ -451,7 +474,50 @@ def q_predict_per_series(spark, root):
 
 def q_forecast_total(spark, root):
     c = _cat(spark, root)
-    return _forecaster(c).predict(_raw(c), P.PREDICT_START, P.PREDICT_END)
+    return _forecaster(c).predict(_window_raw(c), P.PREDICT_START, P.PREDICT_END)
+
+
+def q_forecast_check(spark, root):
+    """What must hold of the forecast: a model and a row per slot for every
+    series, and a total that is their sum at every instant."""
+    c = _cat(spark, root)
+    fc, feats, models = _fitted(c)
+    per = cut_lineage(fc.predict_rows(models, feats, P.PREDICT_START, P.PREDICT_END))
+    exact = F.col("prediction").cast(evaluate.ERROR_DECIMAL)
+    sums = per.groupBy("datetime_utc").agg(F.sum(exact).alias("parts"), F.count("prediction").alias("n_parts"))
+    total = combine.combine_by_instant(per).select("datetime_utc", "prediction")
+    off = F.abs(F.col("parts") - exact) > F.lit("0.001").cast(evaluate.ERROR_DECIMAL)
+    return sums.join(total, "datetime_utc", "full_outer").agg(
+        F.count(F.lit(1)).alias("n_slots"), F.sum("n_parts").alias("n_parts"),
+        F.count(F.when(F.col("prediction").isNull() | F.isnan("prediction"), 1)).alias("n_null"),
+        F.count(F.when(off, 1)).alias("n_off"),
+    ).withColumns({"n_models": F.lit(len(models)).cast("long"), "n_fallback": F.lit(len(fc.info["fallback_series"])).cast("long")})
+
+
+def q_mae_forecast(spark, root):
+    c = _cat(spark, root)
+    return evaluate.mae(_window_actual(c), _forecaster(c).predict_utc(_window_raw(c), P.PREDICT_START, P.PREDICT_END))
+
+
+def q_forecast_leak_audit(spark, root):
+    """The forecast with every lookup on, made from the readings as they are and
+    again with all readings from the forecast start on multiplied: how many
+    rows differ."""
+    c = _cat(spark, root)
+    start = clock.ntz(local_to_utc(P.PREDICT_START, P.LOCAL_SHIFT))
+
+    def forecast(events: DataFrame) -> DataFrame:
+        tables = replace_table(c, "events", events)
+        fc = _forecaster(tables, P.AUDIT_N_INIT, P.AUDIT_ROUNDS)
+        return cut_lineage(fc.predict_utc(_window_raw(tables), P.PREDICT_START, P.PREDICT_END))
+
+    changed = F.when(F.col("ts") >= start, F.col("value") * P.AUDIT_FACTOR).otherwise(F.col("value"))
+    a, b = forecast(c.events), forecast(c.events.withColumn("value", changed))
+    both = a.withColumnRenamed("prediction", "a").join(b.withColumnRenamed("prediction", "b"), "datetime_utc", "full_outer")
+    touched = c.events.filter(F.col("ts") >= start).agg((F.count(F.lit(1)) > 0).alias("future_exists"))
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1)).alias("changed_rows"),
+    ).crossJoin(touched)  # one row each
 
 
 FLAGSHIP = q_forecast_total
@@ -461,18 +527,15 @@ FLAGSHIP = q_forecast_total
 
 def _naive_forecast(c: Catalog) -> DataFrame:
     return SeasonalNaiveForecaster(P.HISTORY_START, P.LOCAL_SHIFT).predict(
-        _raw(c), P.PREDICT_START, P.PREDICT_END
+        _window_raw(c), P.PREDICT_START, P.PREDICT_END
     )
 
 
 def q_combine_outer(spark, root):
     c = _cat(spark, root)
-    # the per-series forecasts are materialised once, as any combine step
-    # reads its inputs from stored frames
+    # materialised once: the series' names are read before the aggregation
     per = cut_lineage(baseline.seasonal_naive(_community_series(c), KEY, P.PREDICT_START, P.PREDICT_END))
-    keys = [r[KEY] for r in per.select(KEY).distinct().collect()]
-    frames = {k: per.filter(F.col(KEY) == k) for k in keys}
-    return combine.combine_outer(frames)
+    return combine.combine_wide(per, KEY)
 
 
 def q_sorted_result(spark, root):
@@ -499,7 +562,7 @@ def q_backtest_folds(spark, root):
 
 
 def q_leak_audit(spark, root):
-    return audit.leak_audit(_community_series(_cat(spark, root)), KEY, FLAGSHIP_SPEC, P.PREDICT_START, P.PREDICT_END)
+    return audit.leak_audit(_community_series(_cat(spark, root)), KEY, features.FeatureSpec(), P.PREDICT_START, P.PREDICT_END)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -520,6 +583,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "slots_since_measured": q_slots_since_measured,
     "filter_series": q_filter_series,
     "time_split": q_time_split,
+    "horizon_features": q_horizon_features,
     "drop_incomplete": q_drop_incomplete,
     "feature_columns": q_feature_columns,
     "project_rename": q_project_rename,
@@ -544,14 +608,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_scalars": q_profile_scalars,
     "profile_weekend": q_profile_weekend,
     "join_profile_ratio": q_join_profile_ratio,
+    "profile_grid": q_profile_grid,
     "profile_vector": q_profile_vector,
     "kmeans_step": q_kmeans_step,
     "attach_cluster": q_attach_cluster,
     "cluster_clients": q_cluster_clients,
     "cluster_map": q_cluster_map,
+    "cluster_check": q_cluster_check,
     "train_per_series": q_train_per_series,
     "predict_per_series": q_predict_per_series,
     "forecast_total": q_forecast_total,
+    "forecast_check": q_forecast_check,
+    "mae_forecast": q_mae_forecast,
+    "forecast_leak_audit": q_forecast_leak_audit,
     "combine_outer": q_combine_outer,
     "sorted_result": q_sorted_result,
     "stamp_submission": q_stamp_submission,

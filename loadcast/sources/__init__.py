@@ -10,17 +10,13 @@ from loadcast.sources.consumption import (  # noqa: F401
     restrict_time,
     to_cells,
 )
-from loadcast.sources.frames import (  # noqa: F401
-    CLUSTER_MAP_SCHEMA,
-    FORECAST_SCHEMA,
-    cluster_map_from_lists,
-    empty_frame,
-    frame_from_rows,
-)
 from loadcast.sources.lookups import (  # noqa: F401
+    calendar_holidays,
     daily_visitors,
     holiday_flags,
     hourly_forecasts,
-    weekday_table,
+    project_daily,
+    project_hourly,
+    weekday_dates,
 )
-from loadcast.sources.tables import TABLE_NAMES, Catalog, read_table  # noqa: F401
+from loadcast.sources.tables import TABLE_NAMES, Catalog, read_source, read_table  # noqa: F401

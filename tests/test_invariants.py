@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loadcast.operators import cluster, evaluate, features, model, profile, series
+from loadcast.operators import cluster, evaluate, horizon, model, profile, series
 from loadcast.plans.forecast import ClusterBoostForecaster, SeasonalNaiveForecaster
 
 from .conftest import readings_frame, slots
@@ -43,7 +43,6 @@ def forecaster():
         k=2,
         n_init=2,
         boost=model.BoostParams(rounds=15, depth=3),
-        spec=features.FeatureSpec(lags={"lag_7d_same_slot": 672}, trend_lags=None),
     )
 
 
@@ -54,7 +53,8 @@ def forecast(planted, forecaster):
 
 def _actual(planted):
     tot = series.total_load(planted, START, "2024-02-12 00:00:00")
-    return tot.select(F.col("datetime_local").alias("datetime_15min"), F.col("sum_active_kw").alias("actual"))
+    _, inside = series.time_split(tot, PRED_START, PRED_END)
+    return inside.select("datetime_utc", F.col("sum_active_kw").alias("actual"))
 
 
 def test_clusters_follow_the_planted_shapes(forecaster, planted):
@@ -75,10 +75,12 @@ def test_forecast_has_one_row_per_slot_and_no_nulls(forecast):
 
 def test_model_beats_or_ties_seasonal_naive(spark, planted, forecast):
     actual = _actual(planted)
-    naive = SeasonalNaiveForecaster(START).predict(planted, PRED_START, PRED_END)
-    m = evaluate.mae(actual, forecast).collect()[0].mae
-    n = evaluate.mae(actual, naive).collect()[0].mae
-    assert m <= n
+    naive = SeasonalNaiveForecaster(START).predict_utc(planted, PRED_START, PRED_END)
+    fixed = forecast.select((F.col("datetime_15min") - F.expr("INTERVAL 1 HOUR")).alias("datetime_utc"), "prediction")
+    m = evaluate.mae(actual, fixed).collect()[0]
+    n = evaluate.mae(actual, naive).collect()[0]
+    # (the planted series ends an hour before the local window does)
+    assert m.mae <= n.mae and m.n_slots == n.n_slots == 672 and m.n_missing == 0
 
 
 def test_same_seed_same_forecast(planted, forecast):
@@ -87,33 +89,92 @@ def test_same_seed_same_forecast(planted, forecast):
         k=2,
         n_init=2,
         boost=model.BoostParams(rounds=15, depth=3),
-        spec=features.FeatureSpec(lags={"lag_7d_same_slot": 672}, trend_lags=None),
     ).predict(planted, PRED_START, PRED_END)
     a = sorted(tuple(r) for r in forecast.collect())
     b = sorted(tuple(r) for r in again.collect())
     assert a == b
 
 
-def test_only_horizon_safe_window_features_are_used(forecaster):
-    names = forecaster.feature_names(PRED_START, PRED_END)
-    assert "lag_7d_same_slot" in names and "same_slot_mean_4w" in names
-    assert "last_measured_value" not in names and "rolling_mean_7d_safe" not in names
+@pytest.mark.parametrize("days", [1, 7, 90, 365])
+def test_every_window_length_keeps_all_features(planted, days):
+    end = (dt.datetime.fromisoformat(PRED_START) + dt.timedelta(days=days)).strftime("%Y-%m-%d %H:%M:%S")
+    total = series.total_load(planted, START, _utc(end))
+    feats = horizon.horizon_features(total, "series_id", START, PRED_START, end, "1 hour").cache()
+    inside = feats.where(F.col("datetime_local") >= PRED_START)
+    n = inside.count()
+    assert n == 96 * days
+    assert inside.select(*[F.count(c).alias(c) for c in horizon.FEATURES]).first() == (n,) * len(horizon.FEATURES)
+    train = model.complete_rows(feats, list(horizon.FEATURES))
+    assert train.count() >= 672
+    feats.unpersist()
 
 
-def test_series_without_training_rows_falls_back_to_naive(spark, planted):
-    fc = ClusterBoostForecaster(
-        history_start=START, k=2, n_init=1, boost=model.BoostParams(rounds=3, depth=2),
-        # lag of 8 weeks: no complete training row exists in six weeks of data
-        spec=features.FeatureSpec(lags={"lag_8w": 672 * 8}, same_slot_lags=None, rolling={}, spread=None,
-                                  last_measured=False, trend_lags=None),
-    )
-    out = fc.predict(planted, PRED_START, PRED_END)
-    assert out.count() == 672
-    assert sorted(fc.info["fallback_series"]) == [0, 1]
+def _utc(local: str) -> str:
+    return (dt.datetime.fromisoformat(local) - dt.timedelta(hours=1)).strftime("%Y-%m-%d %H:%M:%S")
+
+
+def test_features_come_from_before_the_origin_alone(planted):
+    """Against plain Python on one series, for a window of nine days."""
+    end = "2024-02-14 00:00:00"
+    total = series.total_load(planted, START, _utc(end)).cache()
+    load = {r.datetime_utc: r.load_milli for r in total.collect()}
+    t0 = dt.datetime.fromisoformat(START)
+    start = dt.datetime.fromisoformat(_utc(PRED_START))
+    spacing = horizon.origin_spacing(96 * 9, (start - t0) // dt.timedelta(minutes=15))
+    slot = dt.timedelta(minutes=15)
+    rows = horizon.horizon_features(total, "series_id", START, PRED_START, end, "1 hour").collect()
+    for r in rows[::37]:
+        t = r.datetime_utc
+        origin = start
+        while origin > t:
+            origin -= spacing * slot
+        week = t
+        while week >= origin:
+            week -= 672 * slot
+        past = [load[t0 + k * slot] for k in range(max(0, (origin - t0) // slot))]
+        if not past:
+            assert r.same_slot_mean_4w is None
+            continue
+        held = [load[week - k * 672 * slot] / 1000 for k in range(4) if week - k * 672 * slot in load and week - k * 672 * slot >= t0]
+        mean = sum(past) / 1000 / len(past)
+        assert r.lag_7d_same_slot == pytest.approx(held[0] if held else mean)
+        assert r.same_slot_mean_4w == pytest.approx(sum(held) / len(held) if held else mean)
+        assert r.rolling_mean_48h_safe == pytest.approx(sum(past[-191:]) / 1000 / len(past[-191:]))
+        assert r.rolling_mean_7d_safe == pytest.approx(sum(past[-671:]) / 1000 / len(past[-671:]))
+        assert r.last_measured_value == past[-1] / 1000 and r.time_slots_distance == (t - origin) // slot + 1
+        assert (r.sum_active_kw is None) == (t >= start)
+
+
+def test_no_model_at_all_is_an_error(planted):
+    fc = ClusterBoostForecaster(history_start=START, k=2, n_init=1, boost=model.BoostParams(rounds=2, depth=2))
+    with pytest.raises(ValueError, match="no model"):
+        fc.predict(planted, "2024-01-02 00:00:00", "2024-01-03 00:00:00")  # less than a week of history
+
+
+def test_the_future_does_not_move_the_forecast_and_partitions_do_not_either(spark, planted, forecast):
+    late = F.col("datetime_utc") >= F.lit(_utc(PRED_START)).cast("timestamp_ntz")
+    changed = planted.withColumn("kw_milli", F.when(late, F.col("kw_milli") * 7 + 1).otherwise(F.col("kw_milli")))
+    make = lambda: ClusterBoostForecaster(history_start=START, k=2, n_init=2, boost=model.BoostParams(rounds=15, depth=3))
+    want = sorted(tuple(r) for r in forecast.collect())
+    assert sorted(tuple(r) for r in make().predict(changed, PRED_START, PRED_END).collect()) == want
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted(tuple(r) for r in make().predict(planted, PRED_START, PRED_END).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_backtest_of_any_forecaster(planted):
+    actual = series.total_load(planted, START, "2024-02-12 00:00:00").select("datetime_utc", F.col("sum_active_kw").alias("actual"))
+    folds = evaluate.backtest(SeasonalNaiveForecaster(START), planted, actual, "2024-01-22 00:00:00", 2, 7, 1, "1 hour").collect()
+    own = evaluate.backtest_seasonal_naive(series.total_load(planted, START, "2024-02-12 00:00:00"), "series_id", "2024-01-22 00:00:00", 2, 7, 1).collect()
+    assert [(r.fold, r.fold_start, r.mae, r.n_slots, r.n_missing) for r in folds] == [(r.fold, r.fold_start, r.mae, r.n_slots, 0) for r in sorted(own, key=lambda r: r.fold)]
 
 
 def test_kmeans_step_assigns_every_client_to_its_nearest_start(spark, planted):
-    vec = profile.profile_vector(profile.client_profiles(planted, START, "2024-02-04 23:00:00"))
+    vec = profile.profile_vector(profile.client_profiles(planted, START, "2024-02-04 23:00:00", grid=True))
     centres = cluster.initial_centres(vec, 2)
     assigned = cluster.assign_nearest(vec, centres).collect()
     for r in assigned:
@@ -126,7 +187,7 @@ def test_kmeans_step_assigns_every_client_to_its_nearest_start(spark, planted):
 def test_kmeans_cost_never_rises_with_more_iterations(spark, planted):
     from pyspark.ml.clustering import KMeans
 
-    vec = profile.profile_vector(profile.client_profiles(planted, START, "2024-02-04 23:00:00"))
+    vec = profile.profile_vector(profile.client_profiles(planted, START, "2024-02-04 23:00:00", grid=True))
     feats = cluster.assemble(vec).cache()
     costs = [KMeans(k=3, seed=5, maxIter=it, tol=0.0).fit(feats).summary.trainingCost for it in (1, 2, 4, 8)]
     assert all(b <= a + 1e-9 for a, b in zip(costs, costs[1:]))
@@ -147,5 +208,27 @@ def test_scoring_run_writes_one_row_per_slot_for_its_team(spark, tmp_path):
     assert score(spark, fc, readings, "2024-01-24 00:00:00", "2024-01-31 00:00:00", "a", out) == 672
     assert score(spark, fc, readings, "2024-01-24 00:00:00", "2024-01-25 00:00:00", "b", out) == 96
     assert spark.read.parquet(out).count() == 672 + 96
-    lk = lookups_from_tables(tables, "2024-01-01 00:00:00", "2024-01-31 00:00:00", "1 hour")
+    lk = lookups_from_tables(tables, "2024-01-01 00:00:00", "2024-01-24 00:00:00", "2024-01-31 00:00:00", "1 hour")
     assert lk.feature_names()[:2] == ["is_normal_holiday", "demand_forecast"]
+
+
+def test_scoring_run_on_stored_tables(spark, planted, tmp_path, capsys):
+    """Consumption and lookups by name and by path, a window in the future of
+    both, every weekday column, and a table sink that keeps other teams."""
+    from loadcast.plans import score as run
+
+    t = planted.select("client_id", F.col("datetime_local"), F.lit("X").alias("community_code"), F.col("active_kw"))
+    path = str(tmp_path / "consumption")
+    t.write.parquet(path)
+    days = spark.range(60).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"))
+    days.select("date", F.dayofweek("date").alias("day_of_week"), F.weekofyear("date").alias("week")).createOrReplaceTempView("weekday_view")
+    spark.sql("DROP TABLE IF EXISTS loadcast_submissions")
+    args = ["--consumption", path, "--weekday", "weekday_view", "--start", PRED_START, "--end", "2024-02-09 00:00:00",
+            "--k", "2", "--n-init", "1", "--out-table", "loadcast_submissions"]
+    try:
+        for team in ("a", "b", "a"):
+            assert run.main([*args, "--team", team]) == 0
+        assert {r.team_name: r["count"] for r in spark.table("loadcast_submissions").groupBy("team_name").count().collect()} == {"a": 384, "b": 384}
+        assert "models fitted for series [0, 1]" in capsys.readouterr().out
+    finally:
+        spark.sql("DROP TABLE IF EXISTS loadcast_submissions")

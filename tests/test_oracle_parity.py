@@ -53,9 +53,11 @@ def test_matches_duckdb(spark, duck, name):
 
 
 def test_every_query_has_a_callable_and_oracles_are_a_subset():
-    q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q)
-    # only the learning operators are checked on rows alone
-    assert set(q) - set(o) == {
-        "cluster_clients", "cluster_map", "train_per_series", "predict_per_series", "forecast_total",
+    from loadcast.plans.oracle import ORACLE
+    from loadcast.plans.queries import QUERIES
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    # what only the learning operators' values decide is checked on rows and by facts (*_check, *_audit)
+    assert set(QUERIES) - set(ORACLE) == {
+        "cluster_clients", "cluster_map", "train_per_series", "predict_per_series", "forecast_total", "mae_forecast",
     }

@@ -64,6 +64,26 @@ def test_seasonal_naive_and_backtest_are_one_scan_without_joins(spark):
         assert "Join" not in plan and "CartesianProduct" not in plan, name
 
 
+def test_wide_combination_is_one_aggregation_whatever_the_number_of_series(spark):
+    plan = _plan(entry.queries()["combine_outer"](spark, SMOKE_DIR))
+    assert "Join" not in plan and len(re.findall(r"Exchange hashpartitioning", plan)) <= 2
+
+
+def test_hourly_means_do_not_shuffle_the_fact(spark):
+    plan = _plan(entry.queries()["profile_hourly"](spark, SMOKE_DIR))
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1 and "partial_sum" in plan
+    assert not re.search(r"hashpartitioning\(client_id#\d+L, datetime_utc", plan)
+
+
+def test_weekdays_read_no_table(spark):
+    assert _scans(_plan(entry.queries()["scan_weekday"](spark, SMOKE_DIR)), "events") == 0
+
+
+def test_interpolation_reads_the_fact_once_besides_the_total(spark):
+    for name in ("enrich_demand_interp", "interp_many"):
+        assert _scans(_plan(entry.queries()[name](spark, SMOKE_DIR)), "events") <= 1, name
+
+
 def test_forecast_window_spine_join_is_broadcast(spark):
     plan = _plan(entry.queries()["sorted_result"](spark, SMOKE_DIR))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -29,7 +29,8 @@ def test_q1_missing_slot_is_filled_so_row_lag_is_time_lag(spark):
     dense = series.dense_series(r.withColumn("sid", F.lit("a")), "sid", "2024-01-01 00:00:00", "2024-01-01 01:00:00")
     rows = dense.orderBy("datetime_utc").collect()
     assert [x.load_milli for x in rows] == [1000, 2000, 0, 4000]
-    lagged = features.add_lags(dense, "sid", {"lag1": 1}).orderBy("datetime_utc").collect()
+    spec = features.FeatureSpec(lags={"lag1": 1}, same_slot_lags=None, rolling={}, spread=None, last_measured=False, trend_lags=None)
+    lagged = features.build_features(dense, "sid", spec).orderBy("datetime_utc").collect()
     assert lagged[3].lag1 == 0.0  # the missing slot, not the value two slots back
 
 
@@ -79,8 +80,13 @@ def _clock_change_forecasts(spark, n_series=5):
     return per
 
 
-def test_q4_outer_join_on_local_time_multiplies_rows(spark):
-    assert combine.combine_outer(_clock_change_forecasts(spark)).count() == 32
+def test_q4_wide_combination_keeps_one_row_per_local_label(spark):
+    long = None
+    for k, df in _clock_change_forecasts(spark).items():
+        df = df.withColumn("cluster_id", F.lit(k))
+        long = df if long is None else long.unionByName(df)
+    out = combine.combine_wide(long, "cluster_id").collect()
+    assert [r.prediction for r in out] == [15.0]  # both instants of the repeated label
 
 
 def test_q4_sum_by_utc_keeps_one_row_per_instant(spark):
@@ -227,31 +233,63 @@ def test_f9_a5_guards_all_zero_profile_and_zero_weekday_mean(spark):
 def test_profile_grid_means_count_missing_slots_as_zero(spark):
     t = slots("2024-01-01 00:00:00", 96)
     r = readings_frame(spark, [(7, t[0], 4.0), (7, t[0], 4.0)])  # two readings in one slot
-    p = profile.client_profiles(r, "2024-01-01 00:00:00", "2024-01-02 00:00:00").collect()[0]
+    p = profile.client_profiles(r, "2024-01-01 00:00:00", "2024-01-02 00:00:00", grid=True).collect()[0]
     assert p.h01 == 8.0 / 4  # local hour 1 = UTC 00:00..00:45, 4 slots
     assert p.mean_kw == 8.0 / 96
     assert p.pct_zero == 95 / 96
 
 
-def test_slot_counts_follow_the_local_clock():
-    c = calendar.slot_counts("2024-01-01 00:00:00", "2024-01-02 00:00:00")
-    assert c["total"] == 96 and c["per_hour"] == [4] * 24
-    assert c["weekday"] == 96 and c["weekend"] == 0  # Monday, local = UTC + 1 h
+def test_profile_means_run_over_the_readings_that_exist(spark):
+    t = slots("2024-01-01 00:00:00", 96)  # a Monday
+    rows = [(7, t[0], 4.0), (7, t[1], None), (7, t[2], 0.0), (8, t[0], None)]
+    got = {r.client_id: r for r in profile.client_profiles(readings_frame(spark, rows)).collect()}
+    p = got[7]
+    assert (p.h01, p.h02, p.mean_kw, p.pct_zero) == (2.0, None, 2.0, 0.5)  # the null is neither load nor zero load
+    assert (p.wd_avg, p.we_avg, p.we_wd_ratio) == (2.0, None, 1.0)
+    assert (got[8].mean_kw, got[8].pct_zero, got[8].we_wd_ratio) == (None, None, 1.0)
 
 
-def test_s7_empty_frame_has_the_forecast_schema(spark):
-    from loadcast.sources.frames import FORECAST_SCHEMA, empty_frame
-
-    df = empty_frame(spark)
-    assert df.count() == 0 and df.schema == FORECAST_SCHEMA
+def test_a_partial_forecast_does_not_win(spark):
+    from loadcast.operators import evaluate
 
+    t = slots("2024-01-01 00:00:00", 4)
+    actual = spark.createDataFrame([(x, 1.0) for x in t], "datetime_utc timestamp_ntz, actual double")
+    part = spark.createDataFrame([(t[0], 1.0), (t[1], None)], "datetime_utc timestamp_ntz, prediction double")
+    assert tuple(evaluate.mae(actual, part).collect()[0]) == (0.0, 1, 3)
+
+
+def test_lookups_are_carried_into_the_window_by_whole_weeks(spark):
+    from loadcast.sources import project_daily, project_hourly, weekday_dates
+
+    h = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=k) for k in range(24 * 20)]
+    hourly = spark.createDataFrame([(x, float(k)) for k, x in enumerate(h)], "datetime_utc timestamp_ntz, demand_forecast double")
+    out = {r.datetime_utc: r.demand_forecast for r in project_hourly(hourly, "2024-01-10 00:00:00", "2024-01-25 00:00:00").collect()}
+    start = dt.datetime(2024, 1, 10)
+    assert len(out) == 24 * 24
+    for x, v in out.items():
+        back = x
+        while back >= start:
+            back -= dt.timedelta(days=7)
+        assert v == float(h.index(back))
+    daily = spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(days=k), k) for k in range(20)], "date date, visitors long")
+    got = {r.date: r.visitors for r in project_daily(daily, "2024-01-10", "2024-01-25").collect()}
+    assert got[dt.date(2024, 1, 9)] == 8 and got[dt.date(2024, 1, 10)] == 2 and got[dt.date(2024, 1, 24)] == 2
+    days = weekday_dates(spark, "2024-01-01", "2024-01-07").collect()
+    assert [(r.day_of_week, r.is_weekend) for r in days] == [(2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (7, 1), (1, 1)]
+
+
+def test_daily_tables_bring_every_column(spark):
+    base = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5), "x")], "datetime_local timestamp_ntz, date string")
+    a = spark.createDataFrame([(dt.date(2024, 1, 1), 1, "Mon", 9)], "date date, day_of_week int, name string, week int")
+    b = spark.createDataFrame([(dt.date(2024, 1, 2), 4)], "date date, visitors long")
+    row = enrich.enrich_daily(base, a, b).collect()[0]
+    assert (row.date, row.day_of_week, row["name"], row.week, row.visitors) == ("x", 1, "Mon", 9, None)
 
-def test_s6_cluster_map_from_lists(spark):
-    from loadcast.sources.frames import cluster_map_from_lists
 
-    df = cluster_map_from_lists(spark, [[10, 11], [12]])
-    assert sorted(tuple(r) for r in df.collect()) == [(10, 0), (11, 0), (12, 1)]
-    assert [f.nullable for f in df.schema.fields] == [False, False]
+def test_slot_counts_follow_the_local_clock():
+    c = calendar.slot_counts("2024-01-01 00:00:00", "2024-01-02 00:00:00")
+    assert c["total"] == 96 and c["per_hour"] == [4] * 24
+    assert c["weekday"] == 96 and c["weekend"] == 0  # Monday, local = UTC + 1 h
 
 
 def test_submission_audit_counts_defects(spark):
@@ -291,8 +329,8 @@ def test_profiles_from_cells_equal_profiles_from_raw_readings(spark):
     rows = [(c, x, float((i * 7 + c) % 5)) for c in range(3) for i, x in enumerate(t)]
     rows += [(0, t[5], 1.5), (2, t[9], 0.25)]  # second readings in two slots
     raw = readings_frame(spark, rows)
-    a = profile.client_profiles(raw, "2024-01-01 00:00:00", "2024-01-03 00:00:00")
-    b = profile.client_profiles(to_cells(raw), "2024-01-01 00:00:00", "2024-01-03 00:00:00", readings_are_cells=True)
+    a = profile.client_profiles(raw, "2024-01-01 00:00:00", "2024-01-03 00:00:00", grid=True)
+    b = profile.client_profiles(to_cells(raw), "2024-01-01 00:00:00", "2024-01-03 00:00:00", readings_are_cells=True, grid=True)
     assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
 
 
