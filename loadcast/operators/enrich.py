@@ -103,9 +103,8 @@ def enrich_daily(df: DataFrame, *tables: DataFrame, max_rows: int | None = None)
     together = tables[0]
     for t in tables[1:]:
         together = together.join(t, "date", "full_outer")
-    columns = [c for c in together.columns if c != "date"]
-    days = broadcast_bounded(together, max_rows)
-    return df.join(days, F.to_date(df["datetime_local"]) == days["date"], "left").select(*df.columns, *columns)
+    days = broadcast_bounded(together.withColumnRenamed("date", "_local_date"), max_rows)
+    return df.join(days, F.to_date("datetime_local") == F.col("_local_date"), "left").drop("_local_date")
 
 
 def enrich_weekday(df: DataFrame, weekday: DataFrame, max_rows: int | None = None) -> DataFrame:

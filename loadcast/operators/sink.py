@@ -31,10 +31,16 @@ def save_submission(stamped: DataFrame, table: str) -> None:
     """The same into a table partitioned by team: made where there is none, else
     only this team's partition is replaced."""
     spark = stamped.sparkSession
-    if spark.catalog.tableExists(table):
-        stamped.select(spark.table(table).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
-    else:
+    if not spark.catalog.tableExists(table):
         stamped.write.partitionBy("team_name").saveAsTable(table)
+        return
+    # an insert takes the mode from the session alone
+    key, before = "spark.sql.sources.partitionOverwriteMode", spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set(key, "dynamic")
+    try:
+        stamped.select(spark.table(table).columns).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def count_predictions(df: DataFrame) -> DataFrame:

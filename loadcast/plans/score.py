@@ -21,7 +21,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.operators import sink
+from loadcast.operators import model, sink
 from loadcast.plans.forecast import ClusterBoostForecaster, Forecaster, Lookups, local_to_utc
 from loadcast.sources import (
     Catalog,
@@ -100,6 +100,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--local-shift", default="1 hour")
     ap.add_argument("--k", type=int, default=5)
     ap.add_argument("--n-init", type=int, default=20)
+    ap.add_argument("--rounds", type=int, default=model.BoostParams().rounds, help="boosting rounds")
     ap.add_argument("--on-missing", choices=("naive", "error"), default="naive", help="series without a complete training row")
     args = ap.parse_args(argv)
 
@@ -113,7 +114,8 @@ def main(argv: list[str] | None = None) -> int:
         derived = lookups_from_tables(tables, args.history_start, args.start, args.end, args.local_shift)
         lookups = Lookups(**{**vars(derived), **given})
     fc = ClusterBoostForecaster(
-        history_start=args.history_start, lookups=lookups, k=args.k, n_init=args.n_init, local_shift=args.local_shift,
+        history_start=args.history_start, lookups=lookups, k=args.k, n_init=args.n_init,
+        boost=model.BoostParams(rounds=args.rounds), local_shift=args.local_shift,
         readings_are_cells=bool(args.consumption), on_missing=args.on_missing,
     )
     n = score(spark, fc, readings, args.start, args.end, args.team, args.out, args.out_table)

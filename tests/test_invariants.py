@@ -224,7 +224,7 @@ def test_scoring_run_on_stored_tables(spark, planted, tmp_path, capsys):
     days.select("date", F.dayofweek("date").alias("day_of_week"), F.weekofyear("date").alias("week")).createOrReplaceTempView("weekday_view")
     spark.sql("DROP TABLE IF EXISTS loadcast_submissions")
     args = ["--consumption", path, "--weekday", "weekday_view", "--start", PRED_START, "--end", "2024-02-09 00:00:00",
-            "--k", "2", "--n-init", "1", "--out-table", "loadcast_submissions"]
+            "--k", "2", "--n-init", "1", "--rounds", "3", "--out-table", "loadcast_submissions"]
     try:
         for team in ("a", "b", "a"):
             assert run.main([*args, "--team", team]) == 0

@@ -47,7 +47,7 @@ def test_profiles_under_skew_match_brute_force(skewed):
     for c, t, kw in rows:
         cells[(c, t)] += round(kw * 1000)
     hot = {(t, v) for (c, t), v in cells.items() if c == 0}
-    prof = {p.client_id: p for p in profile.client_profiles(df, START, END).collect()}
+    prof = {p.client_id: p for p in profile.client_profiles(df, START, END, grid=True).collect()}
     n = 192
     nz = sum(1 for _t, v in hot if v != 0)
     assert prof[0].pct_zero == (n - nz) / n
@@ -58,7 +58,7 @@ def test_profiles_under_skew_match_brute_force(skewed):
 
 def test_no_big_shuffle_is_keyed_on_the_client_alone(skewed):
     _rows, df = skewed
-    plan = profile.client_profiles(df, START, END)._jdf.queryExecution().executedPlan().toString()
+    plan = profile.client_profiles(df, START, END, grid=True)._jdf.queryExecution().executedPlan().toString()
     keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     # raw readings are shuffled on (client, slot); the client-only exchange
     # carries one partial row per client and task
