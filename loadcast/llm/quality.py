@@ -49,13 +49,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     """At most ``rows`` texts of each class, in hashed order, as (text, label).  Texts
     of more than ``chars`` characters give a window at a hashed place or, where
     the label may rest on a word outside of it (``windows`` false), are left out."""
-    joined = (
-        labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"])
-        .join(docs.select("doc_id", "text").where("doc_id is not null and length(text) > 0"), "doc_id")
-        .where(learn if windows else learn & (F.length("text") <= chars))
-        .withColumn("u", spread("doc_id", seed=11))
-        .withColumn("from", (F.greatest(F.length("text") - chars, F.lit(0)) * spread("doc_id", seed=12)).cast("int") + 1)
-    )
+    # the rows are chosen among the labels, so that of the texts only theirs move
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    known = known.where(learn).withColumn("u", spread("doc_id", seed=11))
+    of = lambda y: known.where(F.col("y") == y).orderBy("u", "doc_id").limit(rows)
+    picked = of(0).union(of(1)).select(F.col("doc_id").alias("id"), "y", "u")
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0)
+    # at most twice ``rows`` short rows are broadcast
+    joined = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("id"))
+    if not windows:
+        joined = joined.where(F.length("text") <= chars)
+    joined = joined.withColumn("from", (F.greatest(F.length("text") - chars, F.lit(0)) * spread("doc_id", seed=12)).cast("int") + 1)
     window = joined.select("u", "doc_id", "y", F.col("text").substr(F.col("from"), F.lit(chars)).alias("text"))
     out: list[tuple[str, int]] = []
     for y in (0, 1):
