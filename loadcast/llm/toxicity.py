@@ -61,7 +61,10 @@ def words_of(text: str) -> set[str]:
 
 
 def features_of(word: str) -> list[str]:
-    """The word itself, and its beginnings marked by a star."""
+    """The word itself, and its beginnings marked by a star; of an identity term
+    the word alone, which the swaps keep in check."""
+    if word in _KIND:
+        return [word]
     return [word] + [word[:n] + "*" for n in STEMS if len(word) > n]
 
 

@@ -57,7 +57,8 @@ def test_naming_a_group_does_not_move_the_score():
     neutral, other = "my muslim neighbours sing", "my christian neighbours sing"
     gap = lambda s: abs(s.logit(neutral) - s.logit(other))
     assert gap(tight) < 0.2 * gap(loose)
-    assert tight.logit(neutral) < 0 < tight.logit("what a stupid fool")
+    edge = 0.847  # the logit of the threshold
+    assert tight.logit(neutral) < edge < tight.logit("what a stupid fool")
 
 
 @pytest.mark.skipif(not os.path.isdir(BIG), reason="needs the larger tables")
