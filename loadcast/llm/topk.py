@@ -103,11 +103,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_id
     shards, blocks = max(1, -(-counts["n"] // shard_rows)), max(1, -(-counts["q"] // query_rows))
     deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sharded = rows.select("id", "row", "v", deal(51, shards).alias("shard")).withColumn("block", every(blocks))
-    asked = rows.where("q").select("id", "row", "v", deal(52, blocks).alias("block")).withColumn("shard", every(shards))
+    columns = ["id", "row", "v", "shard", "block", "asks"]
+    sharded = rows.withColumn("shard", deal(51, shards)).withColumn("block", every(blocks)).withColumn("asks", F.lit(False))
+    asked = rows.where("q").withColumn("block", deal(52, blocks)).withColumn("shard", every(shards)).withColumn("asks", F.lit(True))
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(both: pd.DataFrame) -> pd.DataFrame:
         found = []
+        left, right = both[~both["asks"]], both[both["asks"]]
         if len(left) and len(right):
             docs, asks = quantised(list(left["v"])), quantised(list(right["v"]))
             width = max(docs.shape[1], asks.shape[1])
@@ -122,7 +124,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_id
         return pd.concat(found) if found else empty
 
     lists = (
-        sharded.groupBy("block", "shard").cogroup(asked.groupBy("block", "shard"))
+        sharded.select(columns).union(asked.select(columns)).groupBy("block", "shard")
         .applyInPandas(search, "query_id long, query_row long, vec_id long, vec_row long, score long")
     )
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
