@@ -28,7 +28,7 @@ from loadcast.llm.tokens import encoder, public_files
 from loadcast.session import cut_lineage
 
 CAPACITY = 2048
-STALLED = 0.1   # a sweep that places less than this share of the items left opens new sequences
+STALLED = 0.02  # a sweep that fills at most this share of the gaps opens new sequences
 TAIL = 0.005    # items left of less than this share of all tokens are laid end to end
 
 
@@ -117,9 +117,9 @@ def _narrow(df: DataFrame, rows: int) -> DataFrame:
     return cut_lineage(df).coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // 50_000))
 
 
-def _round(items: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(placed: uid, size, mate, gap), items left, gaps left and the number of
-    items left after one round.  The segments tell which items and gaps meet
+def _round(items: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
+    """(placed: uid, size, mate, gap), items left, gaps left, how many items are
+    left, and how many gaps were free before ranges were matched, after one round.  The segments tell which items and gaps meet
     across ranges, so one join pairs them and filters leave the others."""
     spark = items.sparkSession
     order = ["size", "kind", "uid"]
@@ -133,7 +133,7 @@ def _round(items: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, Dat
         swept.where("rank is not null").groupBy("range")
         .agg(F.sum("kind").alias("g"), F.sum(1 - F.col("kind")).alias("i")).orderBy("range").collect()
     )
-    left = sum(r["i"] for r in counts)
+    left, free = sum(r["i"] for r in counts), sum(r["g"] for r in counts)
     segments = _across([(r["range"], r["g"], r["i"]) for r in counts])
     placed = swept.where("mate is not null").select("uid", "size", "mate", "gap")
     free_items, free_gaps = swept.where("kind = 0 and rank is not null"), swept.where("kind = 1 and rank is not null")
@@ -153,7 +153,7 @@ def _round(items: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, Dat
         free_items, free_gaps = free_items.join(of_item, item_met, "left_anti"), free_gaps.join(of_gap, gap_met, "left_anti")
         left -= sum(after - first for _, first, after, _, _ in segments)
     shrunk = placed.select(F.col("mate").alias("uid"), (F.col("gap") - F.col("size")).alias("size")).where("size > 0")
-    return placed, free_items.select("uid", "size"), free_gaps.select("uid", "size").union(shrunk), left
+    return placed, free_items.select("uid", "size"), free_gaps.select("uid", "size").union(shrunk), left, free
 
 
 def _end_to_end(items: DataFrame, unit: int, longest: int, total: int) -> DataFrame:
@@ -199,10 +199,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items, gaps = items.where(~own), opened.where("size > 0")
     n = items.count()
     while n:
-        placed, items, gaps, left = _round(items, gaps, counts["n"])
+        placed, items, gaps, left, free = _round(items, gaps, counts["n"])
         places.append(placed.select("uid", F.col("mate").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).alias("offset")))
         before, n = n, left
-        if not n or before - n > STALLED * before:
+        # of all gaps, next to none took an item
+        if not n or before - n > STALLED * min(before, before - n + free):
             continue
         _, tokens, longest = _size(items)
         if tokens <= TAIL * counts["tokens"]:
@@ -231,22 +232,18 @@ def _size(items: DataFrame) -> tuple[int, int, int]:
 
 
 def _largest(items: DataFrame, n: int, rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """About the ``n`` largest items, the rest, and how many were taken.  Sizes
-    are at most the capacity, so their histogram is small; of the size at the
-    border, the share that is still needed goes by hash."""
-    need, border, share = n, 0, 1.0
+    """The ``n`` largest items, the rest, and how many were taken.  Sizes are at
+    most the capacity, so their histogram is small; of the size at the border
+    as many as are still needed are taken in hashed order."""
+    taken, need, border = 0, 0, 0
     for r in items.groupBy("size").count().orderBy(F.desc("size")).collect():
-        border, share = r["size"], min(1.0, need / r["count"])
-        need -= r["count"]
-        if need <= 0:
+        border, need = r["size"], min(r["count"], n - taken)
+        taken += need
+        if taken >= n:
             break
-    marked = _narrow(items.withColumn(
-        "first", (F.col("size") > border) | ((F.col("size") == border) & (spread("uid", seed=6) < share))
-    ), rows)
-    taken = marked.where("first").count()
-    if not taken:  # a small share may pick none: at least one sequence opens
-        marked = marked.withColumn("first", F.col("size") == border)
-        taken = marked.where("first").count()
+    at_border = cut_lineage(items.where(F.col("size") == border).withColumn("u", spread("uid", seed=6)))
+    ranked = running_total(at_border, [], "u", ["uid"], F.lit(1), "before").select("uid", "size", (F.col("before") < need).alias("first"))
+    marked = _narrow(items.where(F.col("size") != border).select("uid", "size", (F.col("size") > border).alias("first")).union(ranked), rows)
     return marked.where("first").drop("first"), marked.where("not first").drop("first"), taken
 
 
