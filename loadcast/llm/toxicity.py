@@ -26,7 +26,7 @@ from loadcast.llm.quality import held_out, labelled_sample
 SAMPLE_ROWS = 4_000     # labelled rows of each class for the fit, at most
 SAMPLE_CHARS = 20_000   # longer labelled texts take no part in the fit
 FEATURES = 3_000        # features of the model, at most
-STRENGTH = 4.0          # least z-value of a feature's log odds
+STRENGTH = 2.5          # least z-value of a feature's log odds
 ODDS = 1.5              # least log odds
 STEMS = (4, 5)          # lengths of the word beginnings that are features
 KEPT_WORDS = 500_000    # words whose features one Python worker remembers
@@ -81,20 +81,32 @@ def swaps(text: str) -> list[tuple[set[str], set[str]]]:
     return out
 
 
-def _vocabulary(bags: list[set[str]], y: np.ndarray) -> list[str]:
-    """Features that speak for label 1, by the z-value of their smoothed log
-    odds; identity terms that occur always count."""
-    pos, neg = Counter(), Counter()
-    for b, v in zip(bags, y, strict=True):
-        (pos if v else neg).update({f for w in b for f in features_of(w)})
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    names = list(pos)
-    a = np.array([pos[w] for w in names]) + 0.5
-    b = np.array([neg[w] for w in names]) + 0.5
+def _bags(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """All features of the texts by name, and for each text the numbers of its own.
+    Words are kept once as strings, so memory follows the distinct words."""
+    words: dict[str, int] = {}
+    held = [np.fromiter({words.setdefault(w, len(words)) for w in words_of(t)}, np.int64) for t in texts]
+    names: dict[str, int] = {}
+    wide = 1 + len(STEMS)
+    of_word = np.full((len(words), wide), -1, np.int64)
+    for w, i in words.items():
+        fs = [names.setdefault(f, len(names)) for f in features_of(w)]
+        of_word[i, : len(fs)] = fs
+    bags = [np.unique(of_word[h]) for h in held]
+    return list(names), [b[b >= 0] for b in bags]
+
+
+def _vocabulary(names: list[str], bags: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Numbers of the features that speak for label 1, by the z-value of their
+    smoothed log odds; identity terms that occur always count."""
+    count = lambda v: np.bincount(np.concatenate([b for b, w in zip(bags, y, strict=True) if w == v]), minlength=len(names))
+    n1, n0 = y.sum(), (1 - y).sum()
+    a, b = count(1) + 0.5, count(0) + 0.5
     odds = np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b))
     z = odds / np.sqrt(1 / a + 1 / b)
-    strong = sorted((-z[i], names[i]) for i in np.flatnonzero((z >= STRENGTH) & (odds >= ODDS)))[:FEATURES]
-    return sorted({w for _, w in strong} | (_KIND.keys() & (pos.keys() | neg.keys())))
+    strong = sorted((-z[i], names[i], i) for i in np.flatnonzero((z >= STRENGTH) & (odds >= ODDS)))[:FEATURES]
+    terms = [i for i, w in enumerate(names) if w in _KIND]
+    return np.array(sorted({i for _, _, i in strong} | set(terms)), int)
 
 
 def fit_toxicity(sample: list[tuple[str, int]], swap_penalty: float = SWAP_PENALTY, ridge: float = 0.005, steps: int = 3000) -> ToxicityModel:
@@ -105,12 +117,15 @@ def fit_toxicity(sample: list[tuple[str, int]], swap_penalty: float = SWAP_PENAL
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return ToxicityModel({}, float(np.log(share / (1 - share))))
-    bags = [words_of(t) for t, _ in sample]
-    vocabulary = _vocabulary(bags, y)
+    names, bags = _bags([t for t, _ in sample])
+    chosen = _vocabulary(names, bags, y)
+    vocabulary = [names[i] for i in chosen]
     index = {w: i for i, w in enumerate(vocabulary)}
-    found = [sorted({index[f] for w in b for f in features_of(w) if f in index}) for b in bags]
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    found = [place[b][place[b] >= 0] for b in bags]
     rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    cols = np.array([c for f in found for c in f], int)
+    cols = np.concatenate(found) if found else np.zeros(0, int)
     # swaps that the model can see: +1 for the word that comes, -1 for the one that goes
     change: Counter = Counter()
     for t, _ in sample:
