@@ -4,6 +4,8 @@ given share of its site's pages is boilerplate and goes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +60,10 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
     )
 
 
-def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """All columns of ``pages`` and __site, __lines (kept, in order), __n_lines and __n_dropped.
+def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES,
+                     raw: Sequence[str] = ()) -> DataFrame:
+    """All columns of ``pages`` but the ``raw`` ones, whose text the lines hold, and
+    __site, __lines (kept, in order), __n_lines and __n_dropped.
 
     A page is a row: repeated rows count as pages of their own.  A null site
     counts as the empty one, a null text has no lines (or, split at line
@@ -67,9 +71,7 @@ def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float
     dropped lines depend on the page's site and lines alone, which is the
     key that carries the positions to drop back to the rows.
     """
-    keyed = pages.withColumn("__site", F.coalesce(site, F.lit(""))).withColumn("__lines", lines)
-    if "__text" in keyed.columns:
-        keyed = keyed.drop("__text")
+    keyed = pages.withColumn("__site", F.coalesce(site, F.lit(""))).withColumn("__lines", lines).drop(*raw)
     blank = lambda x: F.when(F.trim(x) == "", F.lit(None)).otherwise(F.xxhash64(x, F.octet_length(x)))
     keyed = stored(
         keyed.withColumn("__keys", F.transform("__lines", blank))
@@ -97,8 +99,8 @@ def clean_documents(docs: DataFrame, text: str = "text", site: str = "source", r
     """The rows and columns of ``docs``; their texts without boilerplate lines,
     and ``n_chars``, where there is one, counted anew for texts that changed.
     No row is dropped; null texts stay null."""
-    lean = docs.withColumn("__null", F.col(text).isNull()).withColumn("__text", text_lines(text)).drop(text)
-    found = drop_boilerplate(lean, F.col(site).cast("string"), F.col("__text"), ratio, least_pages)
+    marked = docs.withColumn("__null", F.col(text).isNull())
+    found = drop_boilerplate(marked, F.col(site).cast("string"), text_lines(text), ratio, least_pages, raw=[text])
     found = found.withColumn(text, F.when(~F.col("__null"), F.array_join("__lines", "\n")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -107,9 +109,8 @@ def clean_documents(docs: DataFrame, text: str = "text", site: str = "source", r
 
 def op9_site_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     pages = table(spark, root, "pages", "page_id", "url", "html")
-    lines = pages.select("page_id", host_of("url").alias("host"), html_lines("html").alias("lines"))
-    return drop_boilerplate(lines, F.col("host"), F.col("lines")).select(
-        "page_id", "host", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_dropped").cast("long").alias("n_dropped"),
+    return drop_boilerplate(pages, host_of("url"), html_lines("html"), raw=["url", "html"]).select(
+        "page_id", F.col("__site").alias("host"), F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_dropped").cast("long").alias("n_dropped"),
         F.array_join("__lines", "\n").alias("text"),
     )
 
