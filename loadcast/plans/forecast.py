@@ -65,8 +65,10 @@ class Forecaster:
     def predict(self, readings: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
         """The same forecast labelled with the local start of each interval (in
         autumn a label appears twice, once per instant)."""
-        out = self.predict_utc(readings, predict_start, predict_end)
-        return out.select(to_local("datetime_utc", self.local_shift).alias("datetime_15min"), "prediction")
+        return self.label(self.predict_utc(readings, predict_start, predict_end))
+
+    def label(self, forecast: DataFrame) -> DataFrame:
+        return forecast.select(to_local("datetime_utc", self.local_shift).alias("datetime_15min"), "prediction")
 
 
 @dataclass
@@ -243,13 +245,20 @@ class ClusterBoostForecaster(Forecaster):
         return out
 
     # -- whole ---------------------------------------------------------
-    def predict_utc(self, readings, predict_start, predict_end):
+    def fit_window(self, readings: DataFrame, predict_start: str, predict_end: str) -> tuple[DataFrame, dict]:
+        """Clusters, feature frame and models for one window: (frame, models)."""
         mapping = self.cluster(readings, predict_start)
         feats = self.feature_frame(readings, mapping, predict_start, predict_end)
-        models = self.fit(feats, predict_start)
+        return feats, self.fit(feats, predict_start)
+
+    def total(self, models: dict, feats: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
+        """``datetime_utc, prediction``: the series' forecasts added per instant."""
         per_series = self.predict_rows(models, feats, predict_start, predict_end)
-        combined = combine.combine_by_instant(per_series)
-        return _on_window_spine(combined, predict_start, predict_end, self.local_shift)
+        return _on_window_spine(combine.combine_by_instant(per_series), predict_start, predict_end, self.local_shift)
+
+    def predict_utc(self, readings, predict_start, predict_end):
+        feats, models = self.fit_window(readings, predict_start, predict_end)
+        return self.total(models, feats, predict_start, predict_end)
 
 
 __all__ = [

@@ -16,7 +16,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from loadcast.plans.oracle import ORACLE  # noqa: E402
+from loadcast.plans.queries import QUERIES  # noqa: E402
 from loadcast.session import build_session  # noqa: E402
 
 
@@ -37,7 +38,7 @@ def main() -> None:
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.1")
     args = ap.parse_args()
     spark = build_session(app_name="loadcast-plans")
-    oracles = entry.oracle_sql()
+    oracles = ORACLE
     print("# Plan shapes\n")
     print(f"Physical plans of the registered queries on `{args.sf_dir}` (AQE's initial plan; generated by "
           "`scripts/plan_summary.py`). `events` = parquet scans of the fact; exchanges = hash/range/single "
@@ -46,7 +47,7 @@ def main() -> None:
           "their fact scans happen before (see README, 'Designed for 100 TB').\n")
     print("| query | oracle | scans | events | exchanges | bhj | smj | windows | cross |")
     print("|---|---|---|---|---|---|---|---|---|")
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, args.sf_dir)
         s = summary(df._jdf.queryExecution().executedPlan().toString())
         kind = "exact" if name in oracles else "rows"
