@@ -11,6 +11,7 @@ not seen.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ SAMPLE_CHARS = 4_000   # characters of each: longer texts give a window at a has
 DICTIONARY = 110_000   # bytes
 CHUNK = 4_096          # bytes compressed at a time when scoring
 LEVEL = 3
+FRAME = 12             # bytes that a compressed chunk has besides its content, about
+FEATURES = 6
 KEEP = 0.3
 
 
@@ -92,23 +95,26 @@ def _compressors(good: bytes, bad: bytes):
     return made
 
 
-def features(text: str, good: bytes, bad: bytes) -> tuple[float, float, float]:
-    """Difference of the compressed sizes a byte, and the size a byte with the
-    dictionary that suits better, also squared; all zero for an empty text."""
+def features(text: str, good: bytes, bad: bytes) -> tuple[float, ...]:
+    """The difference of the compressed sizes, normalised by the length and by its
+    root (its spread in short texts), and the size a byte with the dictionary
+    that suits better, with terms that let the curve depend on the length;
+    all zero for an empty text."""
     data = text.encode("utf-8", "replace")
-    if not data:
-        return 0.0, 0.0, 0.0
+    n = len(data)
+    if not n:
+        return (0.0,) * FEATURES
     g, b = _compressors(good, bad)
     cg = cb = 0
-    for at in range(0, len(data), CHUNK):
+    for at in range(0, n, CHUNK):
         part = data[at : at + CHUNK]
         cg += len(g.compress(part))
         cb += len(b.compress(part))
-    size = min(cg, cb) / len(data)
-    return (cb - cg) / len(data), size, size * size
+    size, long = (min(cg, cb) - FRAME) / n, math.log(n + 1)
+    return (cb - cg) / n, (cb - cg) / math.sqrt(n), size, size * size, long, long * size
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5, steps: int = 100) -> np.ndarray:
     """Newton steps of a logistic regression; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -131,7 +137,7 @@ def fit_quality(sample: list[tuple[str, int]], dictionary: int = DICTIONARY) ->
     rest = [(t.decode("utf-8", "replace"), y) for y in (0, 1) for t in parts[y][1::2]]
     if len({y for _, y in rest}) < 2:
         share = (len(parts[1]) + 1) / (len(sample) + 2)
-        return QualityModel(good, bad, (0.0, 0.0, 0.0, float(np.log(share / (1 - share)))), (0.0,) * 3, (1.0,) * 3)
+        return QualityModel(good, bad, (0.0,) * FEATURES + (float(np.log(share / (1 - share))),), (0.0,) * FEATURES, (1.0,) * FEATURES)
     x = np.array([features(t, good, bad) for t, _ in rest])
     y = np.array([v for _, v in rest], float)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -145,8 +151,8 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py() or "", model.good, model.bad) for t in batch.column(1)]).reshape(-1, 3)
-            z = (x - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights[:3]) + model.weights[3]
+            x = np.array([features(t.as_py() or "", model.good, model.bad) for t in batch.column(1)]).reshape(-1, FEATURES)
+            z = (x - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights[:-1]) + model.weights[-1]
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
