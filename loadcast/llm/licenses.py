@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loadcast.llm.common import ASCII_UPPER, WORD_SEPARATORS, ascii_lower, table
+from loadcast.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,8 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     apart by id and text, so repeated ids, null ids and repeated rows each
     keep their own row.  Other columns are not looked at.
     """
-    hits = gram_hits(docs, doc_id, text, templates)
+    # read twice: for the word counts and for the spans
+    hits = cut_lineage(gram_hits(docs, doc_id, text, templates))
     found = (
         spans(hits, templates, slack, coverage)
         .groupBy(F.col("id").alias("fid"), F.col("text_hash").alias("fhash"))
