@@ -150,7 +150,7 @@ def group_starts(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def pairs_within(starts: np.ndarray, n: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def pairs_within(starts: np.ndarray, n: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs i < j of rows of the same group as index arrays, in pieces of
     about ``most`` pairs, with each pair's group number."""
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
