@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -23,7 +24,7 @@ from pyspark.sql.functions import pandas_udf
 from loadcast.llm.common import table
 from loadcast.llm.quality import held_out, labelled_sample
 
-SAMPLE_ROWS = 4_000     # labelled rows of each class for the fit, at most
+SAMPLE_ROWS = 2_500     # labelled rows of each class for the fit, at most
 SAMPLE_CHARS = 20_000   # longer labelled texts take no part in the fit
 FEATURES = 3_000        # features of the model, at most
 STRENGTH = 2.5          # least z-value of a feature's log odds
@@ -81,32 +82,44 @@ def swaps(text: str) -> list[tuple[set[str], set[str]]]:
     return out
 
 
-def _bags(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    """All features of the texts by name, and for each text the numbers of its own.
-    Words are kept once as strings, so memory follows the distinct words."""
-    words: dict[str, int] = {}
-    held = [np.fromiter({words.setdefault(w, len(words)) for w in words_of(t)}, np.int64) for t in texts]
-    names: dict[str, int] = {}
-    wide = 1 + len(STEMS)
-    of_word = np.full((len(words), wide), -1, np.int64)
-    for w, i in words.items():
-        fs = [names.setdefault(f, len(names)) for f in features_of(w)]
-        of_word[i, : len(fs)] = fs
-    bags = [np.unique(of_word[h]) for h in held]
-    return list(names), [b[b >= 0] for b in bags]
-
-
-def _vocabulary(names: list[str], bags: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Numbers of the features that speak for label 1, by the z-value of their
-    smoothed log odds; identity terms that occur always count."""
-    count = lambda v: np.bincount(np.concatenate([b for b, w in zip(bags, y, strict=True) if w == v]), minlength=len(names))
+def _hashes(text: str) -> np.ndarray:
+    """The features of a text as 64-bit hashes: memory follows their number, not their strings."""
+    found = {f for w in words_of(text) for f in features_of(w)}
+    return np.fromiter((xxhash.xxh3_64_intdigest(f) for f in found), np.uint64, len(found))
+
+
+def _vocabulary(texts: list[str], y: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
+    """The features that speak for label 1, by the z-value of their smoothed log
+    odds, and each text's own by number; identity terms that occur always count."""
+    bags = [_hashes(t) for t in texts]
+    every = np.unique(np.concatenate(bags))
+
+    def count(v: float) -> np.ndarray:
+        values, n = np.unique(np.concatenate([b for b, w in zip(bags, y, strict=True) if w == v]), return_counts=True)
+        out = np.zeros(len(every))
+        out[np.searchsorted(every, values)] = n
+        return out + 0.5
+
     n1, n0 = y.sum(), (1 - y).sum()
-    a, b = count(1) + 0.5, count(0) + 0.5
+    a, b = count(1), count(0)
     odds = np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b))
     z = odds / np.sqrt(1 / a + 1 / b)
-    strong = sorted((-z[i], names[i], i) for i in np.flatnonzero((z >= STRENGTH) & (odds >= ODDS)))[:FEATURES]
-    terms = [i for i, w in enumerate(names) if w in _KIND]
-    return np.array(sorted({i for _, _, i in strong} | set(terms)), int)
+    good = np.flatnonzero((z >= STRENGTH) & (odds >= ODDS))
+    good = good[np.lexsort((every[good], -z[good]))][:FEATURES]
+    terms = np.array([xxhash.xxh3_64_intdigest(t) for t in _KIND], np.uint64)
+    chosen = np.union1d(every[good], np.intersect1d(every, terms))
+    keep = set(chosen.tolist())
+    names: dict[int, str] = {}
+    for t in texts:  # their strings, from the texts again
+        if len(names) == len(keep):
+            break
+        for w in words_of(t):
+            names |= {h: f for f in features_of(w) if (h := xxhash.xxh3_64_intdigest(f)) in keep}
+    found = []
+    for bag in bags:
+        at = np.minimum(np.searchsorted(chosen, bag), max(0, len(chosen) - 1))
+        found.append(np.sort(at[chosen[at] == bag]) if len(chosen) else np.zeros(0, int))
+    return [names[h] for h in chosen.tolist()], found
 
 
 def fit_toxicity(sample: list[tuple[str, int]], swap_penalty: float = SWAP_PENALTY, ridge: float = 0.005, steps: int = 3000) -> ToxicityModel:
@@ -117,13 +130,8 @@ def fit_toxicity(sample: list[tuple[str, int]], swap_penalty: float = SWAP_PENAL
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return ToxicityModel({}, float(np.log(share / (1 - share))))
-    names, bags = _bags([t for t, _ in sample])
-    chosen = _vocabulary(names, bags, y)
-    vocabulary = [names[i] for i in chosen]
+    vocabulary, found = _vocabulary([t for t, _ in sample], y)
     index = {w: i for i, w in enumerate(vocabulary)}
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    found = [place[b][place[b] >= 0] for b in bags]
     rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
     cols = np.concatenate(found) if found else np.zeros(0, int)
     # swaps that the model can see: +1 for the word that comes, -1 for the one that goes
@@ -147,7 +155,7 @@ def fit_toxicity(sample: list[tuple[str, int]], swap_penalty: float = SWAP_PENAL
             d = swap_penalty * often * (at(came) - at(gone))
             np.add.at(gw, came[came >= 0], d[came >= 0])
             np.add.at(gw, gone[gone >= 0], -d[gone >= 0])
-        step = 1.0 / (0.25 * spreads * 8 + (swap_penalty if len(often) else 0) * 1.0 * np.isin(np.arange(len(w)), np.concatenate([gone, came])))
+        step = 1.0 / (0.25 * spreads * 3 + (swap_penalty if len(often) else 0) * 1.0 * np.isin(np.arange(len(w)), np.concatenate([gone, came])))
         vw, vb = 0.9 * vw - 0.1 * step * gw, 0.9 * vb - 0.1 * 2.0 * e.sum()
         w, b = w + vw, b + vb
     return ToxicityModel(dict(zip(vocabulary, map(float, w), strict=True)), float(b))
