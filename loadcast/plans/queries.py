@@ -6,6 +6,7 @@ the stored tables below ``root``.  Their DuckDB twins live in
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -420,7 +421,9 @@ def _lookups(c: Catalog) -> Lookups:
 
 
 def _forecaster(c: Catalog, n_init: int = P.FLAGSHIP_N_INIT, rounds: int | None = None) -> ClusterBoostForecaster:
-    boost = model.BoostParams() if rounds is None else model.BoostParams(rounds=rounds)
+    boost = model.BoostParams(min_instances=P.FLAGSHIP_MIN_INSTANCES)
+    if rounds is not None:
+        boost = replace(boost, rounds=rounds)
     return ClusterBoostForecaster(
         history_start=P.HISTORY_START, lookups=_lookups(c), k=P.FLAGSHIP_K, n_init=n_init, boost=boost, local_shift=P.LOCAL_SHIFT,
     )
