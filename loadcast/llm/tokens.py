@@ -10,8 +10,8 @@ from array import array
 
 import numpy as np
 
-#: Kept chunks and their longest length: bounds the cache of one Python worker (about 150 MB).
-CACHED_CHUNKS = 700_000
+#: Kept chunks and their longest length: bounds the cache of one Python worker (about 75 MB).
+CACHED_CHUNKS = 350_000
 CACHED_CHARS = 40
 #: Marks after a word that are always a piece of their own, when nothing but the word stands before them.
 MARKS = frozenset(".,;:!?")

@@ -10,7 +10,6 @@ gives its k best; the shards' lists are merged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

@@ -30,7 +30,7 @@ FEATURES = 3_000        # features of the model, at most
 STRENGTH = 2.5          # least z-value of a feature's log odds
 ODDS = 1.5              # least log odds
 STEMS = (4, 5)          # lengths of the word beginnings that are features
-KEPT_WORDS = 500_000    # words whose features one Python worker remembers
+KEPT_WORDS = 150_000    # words whose features one Python worker remembers
 SWAP_PENALTY = 10.0
 REJECT = 0.7
 WORD = re.compile(r"\w+")
