@@ -61,11 +61,13 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
 
 
 def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float = RATIO, least_pages: int = LEAST_PAGES,
-                     raw: Sequence[str] = ()) -> DataFrame:
+                     raw: Sequence[str] = (), copies_once: bool = False) -> DataFrame:
     """All columns of ``pages`` but the ``raw`` ones, whose text the lines hold, and
     __site, __lines (kept, in order), __n_lines and __n_dropped.
 
-    A page is a row: repeated rows count as pages of their own.  A null site
+    A page is a row: repeated rows count as pages of their own, unless
+    ``copies_once``: then the rows of a site with the same lines count as one
+    page, so that copies do not make their own lines boilerplate.  A null site
     counts as the empty one, a null text has no lines (or, split at line
     ends, one empty line); blank lines are never boilerplate.  Kept and
     dropped lines depend on the page's site and lines alone, which is the
@@ -77,7 +79,9 @@ def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float
         keyed.withColumn("__keys", F.transform("__lines", blank))
         .withColumn("__page", F.md5(F.concat_ws("\n", "__lines").cast("binary")))
     )
-    pages_of = keyed.select(F.col("__site").alias("site"), F.filter("__keys", lambda x: x.isNotNull()).alias("keys"))
+    pages_of = keyed.select(F.col("__site").alias("site"), F.col("__page").alias("page"), F.filter("__keys", lambda x: x.isNotNull()).alias("keys"))
+    if copies_once:
+        pages_of = pages_of.dropDuplicates(["site", "page"])
     junk = stored(boilerplate(pages_of, ratio, least_pages))
     at = keyed.select("__site", "__page", F.posexplode("__keys").alias("at", "key")).where("key is not null")
     drops = (
@@ -95,12 +99,13 @@ def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float
     )
 
 
-def clean_documents(docs: DataFrame, text: str = "text", site: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def clean_documents(docs: DataFrame, text: str = "text", site: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES,
+                    copies_once: bool = False) -> DataFrame:
     """The rows and columns of ``docs``; their texts without boilerplate lines,
     and ``n_chars``, where there is one, counted anew for texts that changed.
-    No row is dropped; null texts stay null."""
+    No row is dropped; null texts stay null.  ``copies_once`` as in ``drop_boilerplate``."""
     marked = docs.withColumn("__null", F.col(text).isNull())
-    found = drop_boilerplate(marked, F.col(site).cast("string"), text_lines(text), ratio, least_pages, raw=[text])
+    found = drop_boilerplate(marked, F.col(site).cast("string"), text_lines(text), ratio, least_pages, raw=[text], copies_once=copies_once)
     found = found.withColumn(text, F.when(~F.col("__null"), F.array_join("__lines", "\n")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

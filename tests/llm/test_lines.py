@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loadcast.llm import lines
 from tests.llm.data import documents, texts
 
@@ -32,6 +33,17 @@ def test_documents_lose_lines_that_their_site_repeats(spark):
     assert lines.clean_documents(documents(spark, [])).count() == 0
 
 
+def test_copies_keep_their_lines_in_the_pipeline(spark):
+    copy = "First line of the copy\n\nSecond line of it"
+    rows = [(k, copy, "src0") for k in range(30)]                                       # a third of the source
+    rows += [(100 + k, f"Same head\nown line {k}", "src0") for k in range(60)] + [(200, "Same head\n" + copy, "src0")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(spark, rows), "").collect()}
+    want = {i: t.removeprefix("Same head\n") for i, t, _ in rows}
+    assert got == want
+    by_row = {r.doc_id: r.text for r in lines.clean_documents(documents(spark, rows), ratio=0.1).collect()}
+    assert by_row[0] == "" and by_row[100] == "own line 0"
+
+
 def test_html_lines_and_hosts(spark):
     html = ("<!DOCTYPE html><html><head><style>p{}</style><script>var t='</p>';</script><title>T</title></head><body><!-- x -->"
             "<p>One <b>two</b><br>three<li> four </li></body>")
