@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loadcast.llm import jaccard, lines, mixing, packing, toxicity
 from loadcast.llm.common import stored, table
 
-LINE_RATIO = 0.1  # of a source's documents, copies counted once: they are the next stage's work
+LINE_RATIO = lines.RATIO  # of a source's documents, copies counted once: they are the next stage's work
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand in over a tenth of their source's distinct documents."""
+    """Documents without lines that stand in over ``LINE_RATIO`` of their source's distinct documents."""
     return lines.clean_documents(docs, ratio=LINE_RATIO, copies_once=True)
 
 

@@ -44,6 +44,13 @@ def test_copies_keep_their_lines_in_the_pipeline(spark):
     assert by_row[0] == "" and by_row[100] == "own line 0"
 
 
+def test_pipeline_drops_lines_above_the_ratio_of_op9(spark):
+    rows = [(k, ("Rare head\n" if k < 5 else "") + ("Four times\n" if 5 <= k < 9 else "") + f"own line {k}", "src0") for k in range(200)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(spark, rows), "").collect()}
+    assert got == {i: t.removeprefix("Rare head\n") for i, t, _ in rows}
+    assert corpus_pipeline.LINE_RATIO == lines.RATIO
+
+
 def test_html_lines_and_hosts(spark):
     html = ("<!DOCTYPE html><html><head><style>p{}</style><script>var t='</p>';</script><title>T</title></head><body><!-- x -->"
             "<p>One <b>two</b><br>three<li> four </li></body>")
