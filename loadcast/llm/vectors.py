@@ -1,8 +1,8 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Every tree splits its nodes level by level at the median of a random
-projection; vectors near the split go to both sides (spill), so a close pair
-is rarely parted.  Vectors are compared only inside leaves, each pair in one
+projection of the unit vectors; those near the split go to both sides (spill),
+so a close pair is rarely parted, whatever the vectors' norms.  Vectors are compared only inside leaves, each pair in one
 leaf alone, verified in double precision, and linked vectors are united.
 """
 
@@ -43,7 +43,9 @@ def _split(nodes: DataFrame, level: int, margin: float, leaf: int) -> tuple[Data
         out = np.zeros(len(v))
         sizes = v.map(len)
         for (t, width), at in pd.Series(range(len(v))).groupby([tree.to_numpy(), sizes.to_numpy()]):
-            out[at] = np.stack(v.iloc[at].to_list()).astype(float) @ direction(int(t), level, int(width))
+            m = np.stack(v.iloc[at].to_list()).astype(float)
+            m /= np.abs(m).max(1, keepdims=True)  # the squares of very large or small components leave the range of doubles
+            out[at] = m @ direction(int(t), level, int(width)) / np.sqrt((m * m).sum(1))
         return pd.Series(out)
 
     placed = cut_lineage(nodes.withColumn("x", project("v", "tree")))

@@ -81,6 +81,20 @@ def test_links_and_components_against_brute_force(spark, leaf):
         assert by_id[i].n_links == 0 and by_id[i].component_id == i and by_id[i].kept
 
 
+def test_links_of_vectors_of_mixed_norms(spark):
+    rng = np.random.default_rng(3)
+    half = rng.standard_normal((1500, 64))
+    half /= np.linalg.norm(half, axis=1, keepdims=True)
+    near = half + rng.standard_normal(half.shape) * 0.19 / 8                            # cosines about 0.982
+    m = np.concatenate([half, near]) * 30 * np.exp(2 * rng.standard_normal((3000, 1)))
+    m = m.astype(np.float32).astype(float)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    total = int((np.triu(unit @ unit.T, 1) >= 0.98).sum())
+    assert total > 1000
+    got = vectors.link_vectors(frame(spark, [(k, v.tolist(), 0) for k, v in enumerate(m)])).collect()
+    assert 0.999 * 2 * total <= sum(r.n_links for r in got) <= 2 * total
+
+
 def test_no_vectors(spark):
     assert vectors.link_vectors(frame(spark, [])).count() == 0
     one = vectors.link_vectors(frame(spark, [(5, None, None)])).collect()
