@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm.common import checked_broadcast, global_index, running_total, spread, table
+from loadcast.llm.common import checked_broadcast, global_index, running_total, spread, stored, table
 from loadcast.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -140,8 +140,8 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, all columns, repeated as often as
     it takes them and range-sorted by training time."""
-    # the scan's partitions are the same every time it is read, and so are its row numbers
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    # a scan that is planned again may be split otherwise and number its rows otherwise: the numbers are stored with the texts
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     mixed = mix(numbered, carry=["__row"], **options)
     copies = training_order(mixed).select(F.col("carried___row").alias("__taken"), F.col("place").alias("__place"))
     taken = numbered.join(copies, F.col("__row") == F.col("__taken"))

@@ -86,3 +86,20 @@ def test_mixed_documents_repeat_and_keep_their_columns(spark):
     order = mixing.training_order(mixing.mix(docs)).orderBy("place").collect()
     assert [r.place for r in order] == list(range(want))
     assert all(a.position <= b.position for a, b in zip(order, order[1:]))
+
+
+def test_mixed_documents_when_the_scan_is_split_anew(spark, tmp_path, monkeypatch):
+    rows = [(k, words(5 + 7 * k % 40, k), f"src{k % 3}") for k in range(60)]
+    documents(spark, rows).repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    split, cost = "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"
+    monkeypatch.setattr(mixing, "mix", lambda *a, mix=mixing.mix, **b: (mix(*a, **b), spark.conf.set(split, "64"))[0])
+    try:
+        spark.conf.set(cost, "0"), spark.conf.set(split, "1")
+        before = docs.rdd.getNumPartitions()
+        got = sorted(r.doc_id for r in mixing.mix_documents(docs).collect())
+        assert spark.read.parquet(str(tmp_path / "docs")).rdd.getNumPartitions() > before
+    finally:
+        spark.conf.unset(split), spark.conf.unset(cost)
+    monkeypatch.undo()
+    assert got == sorted(r.id for r in mixing.mix(documents(spark, rows)).collect() for _ in range(r.copies))
