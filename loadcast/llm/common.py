@@ -26,15 +26,16 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
     return read_table(spark, root, name).select(*columns)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, *by: str) -> DataFrame:
     """Writes ``df`` as a table of its own below the shared checkpoint folder and
-    reads it back: columns that a later step does not need are not read.
+    reads it back: columns that a later step does not need are not read, and
+    files hold one value of the columns ``by`` each.
     The driver removes the tables when it ends."""
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.partitionBy(*by).parquet(folder)
     _TABLES.append(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder).select(*df.columns)
 
 
 _TABLES: list[str] = []

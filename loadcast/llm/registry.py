@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loadcast.llm import jaccard, licenses, lines, mixing, packing, quality, sharding, topk, toxicity, vectors
+from loadcast.llm import chat, jaccard, licenses, lines, lloyd, mixing, packing, quality, sharding, topk, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -21,10 +21,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_site_line_dedup": lines.op9_site_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_centroid_clustering": lloyd.op11_centroid_clustering,
+    "op12_chat_formatting": chat.op12_chat_formatting,
 }
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.op1_sql(),
     "op4_exact_top_k": topk.op4_sql(),
     "op9_site_line_dedup": lines.op9_sql(),
+    "op11_centroid_clustering": lloyd.op11_sql(),
+    "op12_chat_formatting": chat.op12_sql(),
 }
