@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loadcast.llm import chat, jaccard, licenses, lines, lloyd, mixing, packing, quality, sharding, topk, toxicity, vectors
+from loadcast.llm import chat, jaccard, licenses, lines, lloyd, mixing, packing, quality, sharding, spelling, topk, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_centroid_clustering": lloyd.op11_centroid_clustering,
     "op12_chat_formatting": chat.op12_chat_formatting,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
