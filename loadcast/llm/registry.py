@@ -32,4 +32,5 @@ ORACLE: dict[str, str] = {
     "op9_site_line_dedup": lines.op9_sql(),
     "op11_centroid_clustering": lloyd.op11_sql(),
     "op12_chat_formatting": chat.op12_sql(),
+    "op13_spelling_variants": spelling.op13_sql(),
 }

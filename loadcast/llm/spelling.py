@@ -344,3 +344,43 @@ def count_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def op13_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
     return group_spellings(count_words(table(spark, root, "documents", "doc_id", "text")))
+
+
+def op13_sql() -> str:
+    """The same by deletions: words one edit apart share what is left without one letter.  The checksum is written out byte by byte."""
+    return r"""
+    WITH RECURSIVE bits(i, c, k) AS (
+        SELECT i, i::UBIGINT, 0 FROM range(256) t(i)
+        UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+    ), crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+    runs AS MATERIALIZED (
+        SELECT doc_id, run, count(*) AS m FROM (
+            SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+        WHERE length(run) >= 5 GROUP BY 1, 2
+    ), hashed AS (
+        SELECT run, m, xor(list_reduce(
+            list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+                lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::UBIGINT] ELSE [195::UBIGINT, (ord(x) - 64)::UBIGINT] END))),
+            lambda a, b: xor(a >> 8, t[(xor(a, b) % 256 + 1)::BIGINT])), 4294967295::UBIGINT) AS h
+        FROM runs, crc
+    ), words AS MATERIALIZED (
+        SELECT word, sum(m)::BIGINT AS n FROM (
+            SELECT m, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM hashed)
+        WHERE length(word) >= 5 GROUP BY 1 HAVING sum(m) >= 3
+    ), less AS MATERIALIZED (
+        SELECT word, n, i, left(word, i) || substr(word, i + 2) AS d FROM words, range((SELECT max(length(word)) FROM words)) t(i) WHERE i < length(word)
+    ), pairs AS (
+        SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.d = b.word
+        UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.d = b.word
+    ), near AS (SELECT word, count(*) AS n_near, max(m) AS best_n FROM pairs GROUP BY word),
+    best AS (SELECT word, min(other) AS best FROM pairs JOIN near USING (word) WHERE m = best_n GROUP BY word),
+    forms AS MATERIALIZED (
+        SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n
+        FROM words w LEFT JOIN near USING (word) LEFT JOIN best USING (word)
+    ), chain(word, far) AS (
+        SELECT word, word FROM forms
+        UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.far = f.word WHERE f.form IS NOT NULL
+    ), root AS (SELECT c.word, c.far AS root FROM chain c JOIN forms f ON c.far = f.word WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN root USING (word)
+    """
