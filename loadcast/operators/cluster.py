@@ -1,23 +1,28 @@
 """Clustering clients by the shape of their day.
 
-``cluster_clients`` fits Spark ML ``KMeans`` on the 26 profile features
-(distributed Lloyd iterations; only the k centres live on the driver) and
-keeps the best of ``n_init`` seeds by training cost.  The map
-``client_id -> cluster_id`` never leaves Spark.
+``cluster_clients`` runs Lloyd's rounds for all its starts at once: every pass
+over the profile vectors assigns each client in every start that still moves, so
+twenty starts take the passes of one.  Vectors are held in whole millionths
+and centres are whole too: sums and costs do not depend on the order of
+tasks, and a fit ends when its centres stand still.  Starts are seeded by
+distance-weighted sampling, one pass a centre.  Only the centres (starts x
+k) live on the driver; the map ``client_id -> cluster_id`` never leaves
+Spark.
 
 ``kmeans_step`` is one assignment + update from fixed starting centres,
-written with plain column expressions: the deterministic core of a fit,
-checkable exactly against another engine.
+written with plain column expressions.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import pickle
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,52 +33,138 @@ from loadcast.session import cut_lineage
 # Bytes per cluster-map row assumed when deciding to broadcast it.
 MAP_ROW_BYTES = 48
 MAP_BROADCAST_BYTES = 256 * 1024 * 1024
-CLIENTS_PER_PARTITION = 50_000
-
-
-def assemble(vectors: DataFrame, cols: list[str] = VECTOR_COLS) -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(vectors).select("client_id", "features")
+UNIT = 1_000_000  # vectors are held in whole millionths
+# Odd constants of the 64-bit mix that deals the seeds (fixed values).
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def fixed(vectors: DataFrame, cols: list[str] = VECTOR_COLS) -> DataFrame:
+    """``client_id`` and the features in whole millionths."""
+    return vectors.select(F.col("client_id").cast("long").alias("client_id"), *[F.floor(F.col(c) * UNIT + 0.5).alias(c) for c in cols])
+
+
+def uniform(ids: np.ndarray, seed: int, start: int, step: int) -> np.ndarray:
+    """A reproducible number in (0, 1] for every id."""
+    with np.errstate(over="ignore"):
+        z = ids.astype(np.uint64) * np.uint64(MIX[0]) + np.uint64((seed * 1_000_003 + start) * 1_009 + step)
+        for shift, factor in ((30, MIX[1]), (27, MIX[2])):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)).astype(float) + 1.0) / float(1 << 53)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            ids, *cols = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((ids, np.stack(cols, 1).astype(float)))], pa.binary())], ["block"])
+
+
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances (rows x centres); whole numbers under 2**53, so exact in doubles."""
+    return (x * x).sum(1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(1)
+
+
+def exact_total(d: np.ndarray) -> int:
+    whole = d.astype(np.int64)
+    return (int((whole >> 20).sum()) << 20) + int((whole & ((1 << 20) - 1)).sum())
+
+
+def seed_centres(blocks, k: int, starts: int, seed: int) -> list[np.ndarray]:
+    """``k`` centres for every start, all starts together, one pass a centre:
+    the first is any client, each further one a client drawn with a weight
+    of its squared distance to the nearest centre so far.  The draw is the
+    smallest of ``-ln(u) / weight`` (ties: the smaller id), so it combines in
+    any order.  Where every client stands on a centre, the first repeats."""
+    centres: list[np.ndarray] = [np.zeros((0, 0))] * starts
+    for step in range(k):
+
+        def draw(block, centres=centres, step=step):
+            ids, x = block
+            out = []
+            for s in range(starts):
+                w = distances(x, centres[s]).min(1) if step else np.ones(len(ids))
+                race = np.where(w > 0, -np.log(uniform(ids, seed, s, step)) / np.where(w > 0, w, 1), np.inf)
+                at = np.lexsort((ids, race))[0]
+                out.append((float(race[at]), int(ids[at]), x[at]))
+            return out
+
+        best = blocks.map(draw).treeReduce(lambda a, b: [min(p, q, key=lambda t: t[:2]) for p, q in zip(a, b, strict=True)])
+        drawn = [x if np.isfinite(race) else centres[s][0] for s, (race, _, x) in enumerate(best)]
+        centres = [np.vstack([c, x]) if step else x[None, :] for c, x in zip(centres, drawn, strict=True)]
+    return centres
+
+
+def lloyd(blocks, centres: list[np.ndarray], rounds: int) -> tuple[list[np.ndarray], list[int], int]:
+    """(centres, costs, passes): at most ``rounds`` rounds for every start, each pass serving
+    all starts that still move; a mean is rounded down, an empty cluster stays.
+    ``costs`` are those of the final centres."""
+    moving, cost, passes = set(range(len(centres))), [0] * len(centres), 0
+    for done in range(rounds + 1):
+        passes += 1
+
+        def sums(block, centres=centres, moving=sorted(moving)):
+            _, x = block
+            out = {}
+            for s in moving:
+                d = distances(x, centres[s])
+                near = d.argmin(1)  # the first of equal ones
+                own = np.zeros((len(centres[s]), len(x)))
+                own[near, np.arange(len(x))] = 1
+                out[s] = ((own @ x).astype(np.int64), own.sum(1).astype(np.int64), exact_total(d[np.arange(len(x)), near]))
+            return out
+
+        total = blocks.map(sums).treeReduce(lambda a, b: {s: tuple(p + q for p, q in zip(a[s], b[s], strict=True)) for s in a})
+        for s, (t, n, c) in total.items():
+            cost[s] = c
+            if done == rounds:
+                continue
+            mean = np.where(n[:, None] > 0, t // np.maximum(n, 1)[:, None], centres[s]).astype(float)
+            if (mean == centres[s]).all():
+                moving.discard(s)
+            centres = [*centres[:s], mean, *centres[s + 1 :]]
+        if not moving:
+            break
+    return centres, cost, passes
+
+
+def vector_blocks(vectors: DataFrame, cols: list[str] = VECTOR_COLS):
+    """(blocks of ids and vectors on the executors, the fixed-point frame)."""
+    points = cut_lineage(fixed(vectors, cols))  # an executor lost mid-fit must not rescan the fact table
+    packed = points.mapInArrow(_blocks, "block binary")
+    return packed.rdd.map(lambda r: pickle.loads(r["block"])).persist(StorageLevel.MEMORY_AND_DISK), points
 
 
 def cluster_clients(
-    vectors: DataFrame,
-    k: int = 5,
-    n_init: int = 20,
-    seed: int = 42,
-    max_iter: int = 300,
-    parallelism: int = 4,
+    vectors: DataFrame, k: int = 5, n_init: int = 20, seed: int = 42, max_iter: int = 300, cols: list[str] = VECTOR_COLS,
 ) -> tuple[DataFrame, dict]:
-    """M1 + M3: ``(client_id, cluster_id)`` from the best of ``n_init`` fits.
-
-    The assembled features are checkpointed once (the fits iterate over
-    them many times, and an executor lost mid-fit must not rescan the fact
-    table).  ``k`` is lowered to the number of clients when there are fewer.
-    Returns the map and a summary ``{"k", "n_clients", "cost", "seed", "centres"}``.
-    """
-    feats = cut_lineage(assemble(vectors))
-    n_clients = feats.count()
-    # the same rows in the same places whatever the session's partitions: fits repeat exactly
-    feats = cut_lineage(
-        feats.repartition(max(1, -(-n_clients // CLIENTS_PER_PARTITION)), "client_id").sortWithinPartitions("client_id")
-    )
+    """M1 + M3: ``(client_id, cluster_id)`` from the cheapest of ``n_init`` starts
+    (ties: the earlier start).  ``k`` is lowered to the number of clients when
+    there are fewer.  Returns the map and a summary ``{"k", "n_clients",
+    "cost", "start", "centres", "passes"}``, centres in the features' own units."""
+    blocks, points = vector_blocks(vectors, cols)
+    n_clients = points.count()
     if n_clients == 0:
         raise ValueError("no client has a reading in the profile window")
     k_eff = max(1, min(k, n_clients))
-
-    def fit(s: int):
-        model = KMeans(k=k_eff, seed=s, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(feats)
-        return model.summary.trainingCost, s, model
-
-    seeds = [seed + i for i in range(max(1, n_init))]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(seeds)))) as pool:
-        fits = list(pool.map(fit, seeds))
-    cost, best_seed, model = min(fits, key=lambda t: (t[0], t[1]))
-    mapping = model.transform(feats).select(
-        F.col("client_id").cast("long").alias("client_id"),
-        F.col("prediction").cast("int").alias("cluster_id"),
-    )
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    return mapping, {"k": k_eff, "n_clients": n_clients, "cost": cost, "seed": best_seed, "centres": centres}
+    centres, cost, passes = lloyd(blocks, seed_centres(blocks, k_eff, max(1, n_init), seed), max_iter)
+    blocks.unpersist()
+    best = min(range(len(cost)), key=lambda s: (cost[s], s))
+    whole = [[int(x) for x in c] for c in centres[best]]
+    mapping = assign_nearest(points, whole, cols).select("client_id", "cluster_id")
+    return mapping, {
+        "k": k_eff, "n_clients": n_clients, "cost": cost[best] / UNIT**2, "start": best, "passes": k_eff + passes,
+        "centres": [[x / UNIT for x in c] for c in whole], "whole_centres": whole,
+    }
+
+
+def kmeans_fit(vectors: DataFrame, k: int, n_init: int, seed: int, rounds: int, cols: list[str] = VECTOR_COLS) -> DataFrame:
+    """Every start's centres after so many rounds: ``start, cluster_id, cost`` and the features in whole millionths."""
+    blocks, points = vector_blocks(vectors, cols)
+    centres, cost, _ = lloyd(blocks, seed_centres(blocks, min(k, points.count()), n_init, seed), rounds)
+    blocks.unpersist()
+    rows = [(s, i, cost[s], *map(int, c)) for s, own in enumerate(centres) for i, c in enumerate(own)]
+    return vectors.sparkSession.createDataFrame(rows, ", ".join(["start int, cluster_id int, cost long", *[f"{c} long" for c in cols]]))
 
 
 def initial_centres(vectors: DataFrame, k: int, cols: list[str] = VECTOR_COLS) -> list[list[float]]:

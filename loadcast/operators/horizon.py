@@ -47,7 +47,7 @@ def origin_spacing(horizon: int, history: int) -> int:
 
 def horizon_features(
     series: DataFrame, key: str, history_start: str, predict_start: str, predict_end: str, local_shift: str,
-    milli: str = "load_milli",
+    milli: str = "load_milli", fill: bool = True,
 ) -> DataFrame:
     """``key, datetime_utc, datetime_local, load_milli, sum_active_kw`` and
     ``FEATURES`` for every slot of a dense series before ``predict_end``.
@@ -55,7 +55,7 @@ def horizon_features(
     A seasonal value that lies before the history is replaced by the mean of
     the row's other same-slot values, else by the mean of all history before
     the origin; so a feature is null only where no value at all precedes
-    the origin.  ``load_milli`` and ``sum_active_kw`` are null in the window.
+    the origin.  Without ``fill`` such a value stays missing.  ``load_milli`` and ``sum_active_kw`` are null in the window.
     """
     start, end = window_slots(predict_start, predict_end, local_shift)
     spacing = origin_spacing(end - start, start - py_slot_index(history_start))
@@ -90,10 +90,10 @@ def horizon_features(
         *[F.coalesce(pick(n, "_n"), F.lit(0)).alias(f"_n_{n}") for n in ("o", "os", "ol")],
         pick("o", "_last").alias("_last"), pick("o", "_last_at").alias("_last_at"),
     )
-    return _derive(wide, key)
+    return _derive(wide, key, fill)
 
 
-def _derive(wide: DataFrame, key: str) -> DataFrame:
+def _derive(wide: DataFrame, key: str, fill: bool) -> DataFrame:
     """Row-local arithmetic on the values that were looked up."""
     level = mean_from_milli("_sum_o", "_n_o")
     same = [from_milli(f"_w{k}") for k in range(WEEKS)]
@@ -105,13 +105,14 @@ def _derive(wide: DataFrame, key: str) -> DataFrame:
     out = out.withColumn("rolling_mean_48h_safe", frame("os")).withColumn("rolling_mean_7d_safe", frame("ol"))
     trend = ((from_milli("_t0") - from_milli("_t1")) + (from_milli("_t2") - from_milli("_t3"))) / F.lit(2.0)
     seen = F.col("_level").isNotNull()
+    either = (lambda *cols: F.coalesce(*cols)) if fill else (lambda first, *rest: first)
     return out.select(
         key, "datetime_utc", "datetime_local", "load_milli", from_milli("load_milli").alias("sum_active_kw"),
-        F.coalesce(from_milli("_d2"), same[0], mean).alias("lag_2d_same_slot"),
-        *[F.coalesce(c, mean).alias(f"lag_{7 * (k + 1)}d_same_slot") for k, c in enumerate(same)],
+        either(from_milli("_d2"), same[0], mean).alias("lag_2d_same_slot"),
+        *[either(c, mean).alias(f"lag_{7 * (k + 1)}d_same_slot") for k, c in enumerate(same)],
         "same_slot_mean_4w", "rolling_mean_48h_safe", "rolling_mean_7d_safe",
         (F.col("rolling_mean_48h_safe") - F.col("rolling_mean_7d_safe")).alias("short_ma_minus_long_ma"),
         from_milli("_last").alias("last_measured_value"),
         (F.col("_u") - F.col("_last_at")).cast("int").alias("time_slots_distance"),
-        F.when(seen, F.coalesce(trend, F.lit(0.0))).alias("weekly_trend_smooth"),
+        F.when(seen, either(trend, F.lit(0.0))).alias("weekly_trend_smooth"),
     )

@@ -1,57 +1,12 @@
-"""One boosted-tree regressor per series (Spark ML ``GBTRegressor``).
-
-The series frame is small whatever the data volume (series x slots rows),
-so each fit is a short distributed job; the k fits are submitted from a
-thread pool so their jobs run side by side instead of one after another.
-Training uses complete rows only; prediction keeps rows with missing
-features (they reach the trees as NaN, which take the right branch).
-"""
+"""One boosted-tree model per series (M4, M5); the trees are ``operators.boost``."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadcast.functions.exprs import MILLI
-
-
-# Rows of a series' training partition: a series has a row per slot.
-ROWS_PER_PARTITION = 50_000
-
-
-@dataclass(frozen=True)
-class BoostParams:
-    """Defaults follow the reference's booster: squared error, 100 rounds,
-    learning rate 0.3, depth 6, seed 42."""
-
-    rounds: int = 100
-    depth: int = 6
-    step: float = 0.3
-    seed: int = 42
-    max_bins: int = 256
-    min_instances: int = 1
-
-
-def regressor(params: BoostParams, label: str = "sum_active_kw") -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="features",
-        labelCol=label,
-        predictionCol="prediction",
-        lossType="squared",
-        maxIter=params.rounds,
-        maxDepth=params.depth,
-        stepSize=params.step,
-        seed=params.seed,
-        maxBins=params.max_bins,
-        minInstancesPerNode=params.min_instances,
-        subsamplingRate=1.0,
-        featureSubsetStrategy="all",
-    )
+from loadcast.operators.boost import BoostParams, fit_boosted, predict_boosted
 
 
 def complete_rows(df: DataFrame, feature_cols: list[str], label: str = "sum_active_kw") -> DataFrame:
@@ -59,42 +14,24 @@ def complete_rows(df: DataFrame, feature_cols: list[str], label: str = "sum_acti
     return df.na.drop(how="any", subset=list(feature_cols) + [label])
 
 
-def training_counts(train: DataFrame, key: str, feature_cols: list[str], label: str = "sum_active_kw") -> dict:
-    """Complete training rows per series (one small aggregate: k rows)."""
-    rows = complete_rows(train, feature_cols, label).groupBy(key).count().collect()
-    return {r[key]: r["count"] for r in rows}
-
-
 def train_per_series(
     train: DataFrame,
     key: str,
     feature_cols: list[str],
     params: BoostParams = BoostParams(),
     label: str = "sum_active_kw",
-    parallelism: int = 8,
+    incomplete: str = "drop",
+    held_out: str | None = None,
 ) -> tuple[dict, dict]:
-    """M4: ``({series: model}, {series: n_rows})``.  A series without a
-    complete training row gets no model (the caller falls back)."""
-    counts = training_counts(train, key, feature_cols, label)
-    assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="skip")
-    data = assembler.transform(complete_rows(train, feature_cols, label)).select(key, "datetime_utc", "features", label)
-
-    def fit(series_value):
-        # the same rows in the same places whatever the session's partitions,
-        # so that a fit can be repeated exactly
-        part = data.filter(F.col(key) == F.lit(series_value))
-        part = part.repartition(-(-counts[series_value] // ROWS_PER_PARTITION), "datetime_utc").sortWithinPartitions("datetime_utc")
-        part = part.select("features", label).persist()
-        model = regressor(params, label).fit(part)
-        part.unpersist()
-        return series_value, model
-
-    todo = sorted(k for k, n in counts.items() if n > 0)
-    if not todo:
-        return {}, counts
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(todo)))) as pool:
-        models = dict(pool.map(fit, todo))
-    return models, counts
+    """M4: ``({series: model}, {series: n_rows})``.  Rows with a missing feature
+    are dropped, as in the reference, or kept (``incomplete="learn"``): splits then
+    learn which way a missing value goes.  A series without a row to learn from
+    gets no model (the caller falls back)."""
+    if incomplete not in ("drop", "learn"):
+        raise ValueError(f"incomplete must be 'drop' or 'learn', not {incomplete!r}")
+    rows = complete_rows(train, feature_cols, label) if incomplete == "drop" else train
+    models = fit_boosted(rows, key, feature_cols, params, label, held_out=held_out)
+    return models, {k: m.n_rows for k, m in models.items()}
 
 
 def predict_per_series(
@@ -105,21 +42,9 @@ def predict_per_series(
     carry: list[str] | None = None,
 ) -> DataFrame | None:
     """M5: ``key, datetime_utc, datetime_local, prediction`` (and the ``carry``
-    columns) for the rows of every series with a model; missing features are
-    kept (NaN)."""
-    carry = carry or []
-    assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
-    features = assembler.transform(rows.select(key, "datetime_utc", "datetime_local", *carry, *feature_cols))
-    parts = []
-    for series_value, model in sorted(models.items()):
-        part = features.filter(F.col(key) == F.lit(series_value))
-        parts.append(model.transform(part).select(key, "datetime_utc", "datetime_local", *carry, "prediction"))
-    if not parts:
-        return None
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    columns) for the rows of every series with a model; rows with missing
+    features are kept and go the way the splits learned."""
+    return predict_boosted(models, rows, key, feature_cols, carry) if models else None
 
 
 def training_error(models: dict, train: DataFrame, key: str, feature_cols: list[str], label: str = "sum_active_kw") -> DataFrame:

@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from loadcast.functions.clock import DEFAULT_LOCAL_SHIFT, ntz, parse_instant, py_slot_index, py_to_utc, to_local
+from loadcast.functions.clock import (
+    DEFAULT_LOCAL_SHIFT, SLOTS_PER_WEEK, ntz, parse_instant, py_slot_index, py_to_utc, slot_start, to_local,
+)
 from loadcast.functions.exprs import from_milli
 from loadcast.operators import audit, baseline, cluster, combine, enrich, horizon, model, profile, series
 from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES
@@ -158,12 +160,17 @@ class ClusterBoostForecaster(Forecaster):
     seed: int = 42
     boost: model.BoostParams = field(default_factory=model.BoostParams)
     local_shift: str = DEFAULT_LOCAL_SHIFT
-    parallelism: int = 8
     key: str = "cluster_id"
     # What happens to a series without a complete training row: "naive" gives it
     # its own seasonal-naive forecast (listed in ``info["fallback_series"]``),
     # "error" raises.  No model at all always raises.
     on_missing: str = "naive"
+    # Training rows with a missing feature: "drop" as the reference does (features are
+    # then filled where a value is missing), or "learn": features stay missing and the
+    # splits learn which way they go.
+    incomplete: str = "drop"
+    # with ``boost.choose_rounds``: slots before the window start that are held out to choose the rounds
+    validation_slots: int = SLOTS_PER_WEEK
     # True when the readings hold one row per (client, slot) already
     readings_are_cells: bool = False
     # profile means over the slots of the history (a missing one is zero load)
@@ -180,9 +187,7 @@ class ClusterBoostForecaster(Forecaster):
         prof = profile.client_profiles(
             readings, self.history_start, start_utc, self.local_shift, self.readings_are_cells, grid=self.profile_grid
         )
-        mapping, info = cluster.cluster_clients(
-            profile.profile_vector(prof), self.k, self.n_init, self.seed, parallelism=self.parallelism
-        )
+        mapping, info = cluster.cluster_clients(profile.profile_vector(prof), self.k, self.n_init, self.seed)
         self.info.update(info)
         return mapping
 
@@ -203,15 +208,21 @@ class ClusterBoostForecaster(Forecaster):
         past = readings.filter(F.col("datetime_utc") < ntz(start_utc))
         clustered = cluster.attach_cluster(past, mapping, self.info.get("n_clients"), self.map_broadcast_bytes)
         ser = series.dense_series(clustered, self.key, self.history_start, end_utc, self.local_shift)
-        feats = horizon.horizon_features(ser, self.key, self.history_start, predict_start, predict_end, self.local_shift)
+        feats = horizon.horizon_features(
+            ser, self.key, self.history_start, predict_start, predict_end, self.local_shift, fill=self.incomplete == "drop",
+        )
         feats = self.lookups.apply(feats, self.history_start, end_utc)
         cols = [self.key, "datetime_utc", "datetime_local", "load_milli", "sum_active_kw", *self.feature_names()]
         return cut_lineage(feats.select(*cols))
 
     def fit(self, feats: DataFrame, predict_start: str) -> dict:
         train, _ = series.time_split(feats, predict_start)
+        held = None
+        if self.boost.choose_rounds:  # the last window's length before the start chooses the rounds
+            held, slot = "_held", py_slot_index(predict_start) - self.validation_slots
+            train = train.withColumn(held, F.col("datetime_local") >= slot_start(F.lit(slot)))
         models, counts = model.train_per_series(
-            train, self.key, self.feature_columns(feats), self.boost, parallelism=self.parallelism
+            train, self.key, self.feature_columns(feats), self.boost, incomplete=self.incomplete, held_out=held,
         )
         self.info["train_rows"] = counts
         self.info["fitted_series"] = sorted(models)

@@ -8,6 +8,8 @@ outputs cast to the Spark type, ``dayofweek + 1`` (1 = Sunday).
 
 from __future__ import annotations
 
+from loadcast.operators import cluster
+from loadcast.operators.boost import BoostParams
 from loadcast.plans import params as P
 
 H0, H1 = P.HISTORY_START, P.HISTORY_END
@@ -324,6 +326,61 @@ ORACLE["feature_columns"] = f"WITH {HORIZON_FEATURES}\n" + "\nUNION ALL\n".join(
     for c in HORIZON_NAMES.split(",")
 )
 
+# ------------------------------------------------------------------ boosting
+
+BINS, L2, STEP, LEAST = BoostParams.max_bins, BoostParams.l2, BoostParams.step, P.FLAGSHIP_MIN_INSTANCES
+PROBS = ", ".join(f"{i / BINS!r}" for i in range(1, BINS + 1))
+UNITS = "CAST(floor({} * 1000000.0 + 0.5) AS BIGINT)"
+
+
+def score(g: str, n: str) -> str:
+    return f"(({g}) / 1000000.0) * (({g}) / 1000000.0) / (({n}) + {L2})"
+
+
+def weight(g: str, n: str) -> str:
+    return f"{STEP} * ((({g}) / 1000000.0) / (({n}) + {L2}))"
+
+
+# One row per (series, feature, bin) with the sums at or under it, every split with the missing rows on either side.
+ORACLE["boost_step"] = f"""WITH {FEATURES},
+seen AS MATERIALIZED (
+  SELECT coalesce({KEY}, '') AS k, row_number() OVER () AS r, sum_active_kw AS y, {', '.join(P.BOOST_STEP_FEATURES)}
+  FROM feat2 WHERE datetime_local < {ts(S0)}
+),
+base AS (SELECT k, (CAST(SUM({UNITS.format('y')}) AS DOUBLE) / COUNT(*)) / 1000000.0 AS base FROM seen GROUP BY k),
+grads AS MATERIALIZED (SELECT s.*, {UNITS.format('(y - base)')} AS g FROM seen s JOIN base USING (k)),
+total AS (SELECT k, SUM(g)::BIGINT AS g, COUNT(*) AS n FROM grads GROUP BY k),
+values AS MATERIALIZED ({' UNION ALL '.join(f"SELECT k, g, {i} AS f, {c} AS x FROM grads" for i, c in enumerate(P.BOOST_STEP_FEATURES))}),
+edges AS MATERIALIZED (
+  SELECT DISTINCT k, f, unnest(q) AS e FROM (SELECT k, f, quantile_disc(x, [{PROBS}]) AS q FROM values WHERE x IS NOT NULL GROUP BY k, f)
+),
+bins AS (
+  SELECT v.k, v.f, e.e, SUM(g)::BIGINT AS g, COUNT(*) AS n
+  FROM values v ASOF JOIN edges e ON v.k = e.k AND v.f = e.f AND v.x <= e.e WHERE v.x IS NOT NULL GROUP BY 1, 2, 3
+),
+upto AS (
+  SELECT k, f, e, SUM(g) OVER w AS g, SUM(n) OVER w AS n FROM bins WINDOW w AS (PARTITION BY k, f ORDER BY e ROWS UNBOUNDED PRECEDING)
+),
+missing AS (SELECT k, f, SUM(g)::BIGINT AS g, COUNT(*) AS n FROM values WHERE x IS NULL GROUP BY k, f),
+sides AS (
+  SELECT k, f, e, false AS missing_left, g::BIGINT AS g, n::BIGINT AS n FROM upto
+  UNION ALL SELECT u.k, u.f, u.e, true, (u.g + coalesce(m.g, 0))::BIGINT, (u.n + coalesce(m.n, 0))::BIGINT
+  FROM upto u LEFT JOIN missing m ON u.k = m.k AND u.f = m.f
+),
+gains AS (
+  SELECT s.*, t.g AS tg, t.n AS tn, {score('s.g', 's.n')} + {score('t.g - s.g', 't.n - s.n')} - {score('t.g', 't.n')} AS gain
+  FROM sides s JOIN total t USING (k) WHERE s.n >= {LEAST} AND t.n - s.n >= {LEAST}
+),
+best AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, e, missing_left) = 1),
+nodes AS (
+  SELECT k, 1 AS node, {list(P.BOOST_STEP_FEATURES)}[f + 1] AS feature, e AS threshold, missing_left, gain, tn AS n, tg AS g FROM best
+  UNION ALL SELECT k, 2, NULL, NULL, NULL, NULL, n, g FROM best
+  UNION ALL SELECT k, 3, NULL, NULL, NULL, NULL, tn - n, tg - g FROM best
+  UNION ALL SELECT k, 1, NULL, NULL, NULL, NULL, n, g FROM total WHERE k NOT IN (SELECT k FROM best)
+)
+SELECT nullif(k, '') AS {KEY}, node::INTEGER AS node, feature, threshold, missing_left, gain, n::BIGINT AS n_rows, {weight('g', 'n')} AS weight
+FROM nodes"""
+
 # ------------------------------------------------------------------ functions
 
 ORACLE["project_rename"] = f"""WITH {CONSUMPTION}
@@ -548,6 +605,46 @@ ORACLE["attach_cluster"] = f"""WITH {PROFILES}, {ASSIGN}
 SELECT r.client_id, r.datetime_utc, a.cluster_id, r.kw_milli / 1000.0 AS active_kw
 FROM readings r JOIN assign a ON a.client_id = r.client_id"""
 
+
+
+def kmeans_fit_sql() -> str:
+    """Seeding and rounds of all starts, written out: whole numbers under 2**53 in doubles."""
+    far = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+    wrap = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    steps = [f"""points AS MATERIALIZED (
+  SELECT client_id, [{', '.join(f'floor({c} * {cluster.UNIT} + 0.5)' for c in VCOLS)}] AS v FROM vec
+), drawn AS MATERIALIZED (
+  SELECT *, (xor(z2, z2 >> 31) >> 11)::DOUBLE AS z FROM (
+    SELECT *, {wrap(f"xor(z1, z1 >> 27)::UHUGEINT * {cluster.MIX[2]}::UHUGEINT")} AS z2 FROM (
+      SELECT *, {wrap(f"xor(z0, z0 >> 30)::UHUGEINT * {cluster.MIX[1]}::UHUGEINT")} AS z1 FROM (
+        SELECT client_id, v, s, j, {wrap(f"client_id::UHUGEINT * {cluster.MIX[0]}::UHUGEINT + (({P.KMEANS_SEED} * 1000003 + s) * 1009 + j)::UHUGEINT")} AS z0
+        FROM points, range({P.KMEANS_STARTS}) a(s), range({P.FLAGSHIP_K}) b(j))))
+)"""]
+    for j in range(P.FLAGSHIP_K):
+        weights = f"SELECT client_id, s, min({far}) AS w FROM points, c{j - 1} GROUP BY 1, 2" if j else "SELECT client_id, s, 1.0 AS w FROM drawn WHERE j = 0"
+        earlier = f"SELECT * FROM c{j - 1} UNION ALL " if j else ""
+        steps.append(f"""c{j} AS MATERIALIZED (
+  {earlier}SELECT s, {j} AS i, v AS c FROM drawn JOIN ({weights}) USING (client_id, s) WHERE j = {j} AND w > 0
+  QUALIFY row_number() OVER (PARTITION BY s ORDER BY -ln((z + 1.0) / 9007199254740992.0) / w, client_id) = 1
+)""")
+    steps.append(f"m0 AS (SELECT * FROM c{P.FLAGSHIP_K - 1})")
+    for r in range(P.KMEANS_ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT client_id, s, min([{far}, i]) AS best FROM points, m{r} GROUP BY 1, 2)")
+        if r < P.KMEANS_ROUNDS:
+            steps.append(f"""m{r + 1} AS MATERIALIZED (
+  SELECT m.s, m.i, coalesce(n.c, m.c) AS c FROM m{r} m LEFT JOIN (
+    SELECT s, i, list(x ORDER BY d) AS c FROM (
+      SELECT s, best[2] AS i, d, floor(sum(v[d]) / count(*)) AS x FROM a{r} JOIN points USING (client_id), range(1, {len(VCOLS) + 1}) t(d) GROUP BY 1, 2, 3
+    ) GROUP BY 1, 2) n ON m.s = n.s AND m.i = n.i
+)""")
+    last = P.KMEANS_ROUNDS
+    return f"""WITH {PROFILES}, {', '.join(steps)}
+SELECT s::INTEGER AS start, i::INTEGER AS cluster_id, cost, {', '.join(f'c[{n + 1}]::BIGINT AS {x}' for n, x in enumerate(VCOLS))}
+FROM m{last} JOIN (SELECT s, sum(best[1])::BIGINT AS cost FROM a{last} GROUP BY s) USING (s)"""
+
+
+ORACLE["kmeans_fit"] = kmeans_fit_sql()
+
 # ------------------------------------------------------------------ combine, sink, audits
 
 NAIVE_TOTAL = f"""{TOTAL}, ser AS (SELECT * FROM total), {naive('ser', None)}"""

@@ -28,6 +28,15 @@ TEAM_NAME = "loadcast"
 FLAGSHIP_K = 5
 FLAGSHIP_N_INIT = 20
 FLAGSHIP_MIN_INSTANCES = 200
+# The whole fit that is checked value by value: seeding and so many rounds of so many starts.
+KMEANS_SEED = 42
+KMEANS_STARTS = 3
+KMEANS_ROUNDS = 3
+# Features of the first boosting step that is checked value by value.
+BOOST_STEP_FEATURES = (
+    "lag_2d_same_slot", "lag_7d_same_slot", "lag_14d_same_slot", "lag_21d_same_slot", "same_slot_mean_4w",
+    "rolling_mean_48h_safe", "rolling_mean_7d_safe", "short_ma_minus_long_ma", "weekly_trend_smooth",
+)
 # The forecast is made twice to audit it for leaks; what it may see does not
 # depend on how many trees look at it.
 AUDIT_N_INIT = 2

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loadcast.functions import clock
 from loadcast.functions.exprs import count_non_null, from_milli
-from loadcast.operators import audit, baseline, cluster, combine, enrich, evaluate, features, horizon, model, profile, series, sink
+from loadcast.operators import audit, baseline, boost, cluster, combine, enrich, evaluate, features, horizon, model, profile, series, sink
 from loadcast.plans import params as P
 from loadcast.session import cut_lineage
 from loadcast.plans.forecast import ClusterBoostForecaster, Lookups, SeasonalNaiveForecaster, local_to_utc
@@ -406,6 +406,11 @@ def q_kmeans_step(spark, root):
     return cluster.kmeans_step(vec, P.FLAGSHIP_K)
 
 
+def q_kmeans_fit(spark, root):
+    vec = profile.profile_vector(_grid_profiles(_cat(spark, root)))
+    return cluster.kmeans_fit(vec, P.FLAGSHIP_K, P.KMEANS_STARTS, P.KMEANS_SEED, P.KMEANS_ROUNDS)
+
+
 def q_attach_cluster(spark, root):
     c = _cat(spark, root)
     vec = cut_lineage(profile.profile_vector(_grid_profiles(c)))
@@ -447,7 +452,7 @@ def q_cluster_check(spark, root):
     mapping = fc.cluster(_window_raw(c), P.PREDICT_START)
     past = raw_readings(c.events, P.HISTORY_START, local_to_utc(P.PREDICT_START, P.LOCAL_SHIFT), P.LOCAL_SHIFT)
     vectors = profile.profile_vector(profile.client_profiles(past))
-    nearest = cluster.assign_nearest(vectors, fc.info["centres"]).select("client_id", F.col("cluster_id").alias("nearest"))
+    nearest = cluster.assign_nearest(cluster.fixed(vectors), fc.info["whole_centres"]).select("client_id", F.col("cluster_id").alias("nearest"))
     return nearest.join(mapping, "client_id", "full_outer").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("client_id").alias("n_clients"),
         F.count(F.when(F.col("nearest").eqNullSafe(F.col("cluster_id")), 1)).alias("n_nearest"),
@@ -473,6 +478,16 @@ def _fitted(c: Catalog):
     return _FITS[key]
 
 
+def q_boost_step(spark, root):
+    """The first split of every community's first tree over the reference's
+    features, whose lags are missing at the start of the history."""
+    feats = _features(_cat(spark, root))
+    train, _ = series.time_split(feats, P.PREDICT_START)
+    train = cut_lineage(train.select(KEY, "datetime_utc", "sum_active_kw", *P.BOOST_STEP_FEATURES))
+    models = boost.fit_boosted(train, KEY, list(P.BOOST_STEP_FEATURES), boost.BoostParams(rounds=1, depth=1, min_instances=P.FLAGSHIP_MIN_INSTANCES))
+    return boost.model_nodes(models, train, KEY, list(P.BOOST_STEP_FEATURES)).drop("round")
+
+
 def q_train_per_series(spark, root):
     fc, feats, models = _fitted(_cat(spark, root))
     train, _ = series.time_split(feats, P.PREDICT_START)
@@ -624,10 +639,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_grid": q_profile_grid,
     "profile_vector": q_profile_vector,
     "kmeans_step": q_kmeans_step,
+    "kmeans_fit": q_kmeans_fit,
     "attach_cluster": q_attach_cluster,
     "cluster_clients": q_cluster_clients,
     "cluster_map": q_cluster_map,
     "cluster_check": q_cluster_check,
+    "boost_step": q_boost_step,
     "train_per_series": q_train_per_series,
     "predict_per_series": q_predict_per_series,
     "forecast_total": q_forecast_total,

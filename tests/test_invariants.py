@@ -184,14 +184,55 @@ def test_kmeans_step_assigns_every_client_to_its_nearest_start(spark, planted):
     assert sum(r.n_clients for r in step) == 8
 
 
-def test_kmeans_cost_never_rises_with_more_iterations(spark, planted):
-    from pyspark.ml.clustering import KMeans
-
+def test_kmeans_cost_never_rises_and_a_fit_stands_still(spark, planted):
     vec = profile.profile_vector(profile.client_profiles(planted, START, "2024-02-04 23:00:00", grid=True))
-    feats = cluster.assemble(vec).cache()
-    costs = [KMeans(k=3, seed=5, maxIter=it, tol=0.0).fit(feats).summary.trainingCost for it in (1, 2, 4, 8)]
-    assert all(b <= a + 1e-9 for a, b in zip(costs, costs[1:]))
-    feats.unpersist()
+    costs = [{r.start: r.cost for r in cluster.kmeans_fit(vec, 3, 4, 5, rounds).collect()} for rounds in (0, 1, 3, 20)]
+    for s in range(4):
+        assert all(b[s] <= a[s] for a, b in zip(costs, costs[1:]))
+    mapping, info = cluster.cluster_clients(vec, 3, 4, 5)
+    assert round(info["cost"] * cluster.UNIT**2) == min(costs[-1].values())
+    # the passes of all starts are those of the one that moves longest, not their sum
+    assert info["passes"] <= 3 + 20
+
+
+def test_kmeans_against_plain_rounds(spark):
+    """Seeding and rounds in plain Python, ties and equal vectors included; partitions do not matter."""
+    rng = random.Random(9)
+    rows = [(i, float(rng.randint(0, 6)), float(rng.randint(0, 6)) / 8) for i in range(60)] + [(100 + i, 2.0, 0.25) for i in range(20)]
+    points = {i: [int(math.floor(v * cluster.UNIT + 0.5)) for v in (a, b)] for i, a, b in rows}
+    far = lambda x, c: sum((p - q) ** 2 for p, q in zip(x, c))
+
+    def plain(start, k, rounds):
+        centres = []
+        for step in range(k):
+            race = {}
+            for i, x in points.items():
+                z = (i * cluster.MIX[0] + (7 * 1_000_003 + start) * 1_009 + step) % 2**64
+                for shift, factor in ((30, cluster.MIX[1]), (27, cluster.MIX[2])):
+                    z = (z ^ (z >> shift)) * factor % 2**64
+                z ^= z >> 31
+                w = min((far(x, c) for c in centres), default=1)
+                if w:
+                    race[i] = -math.log(((z >> 11) + 1) / 2**53) / w
+            centres.append(points[min(race, key=lambda i: (race[i], i))])
+        for _ in range(rounds):
+            near = {i: min(range(k), key=lambda c: (far(x, centres[c]), c)) for i, x in points.items()}
+            for c in range(k):
+                own = [points[i] for i, at in near.items() if at == c]
+                if own:
+                    centres[c] = [sum(v) // len(own) for v in zip(*own)]
+        return centres, sum(min(far(x, c) for c in centres) for x in points.values())
+
+    want = [(s, i, cost, *c) for s in range(3) for centres, cost in [plain(s, 4, 5)] for i, c in enumerate(centres)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "client_id long, a double, b double").repartition(parts)
+        assert sorted(tuple(r) for r in cluster.kmeans_fit(df, 4, 3, 7, 5, ["a", "b"]).collect()) == want
+
+
+def test_kmeans_with_fewer_places_than_centres(spark):
+    df = spark.createDataFrame([(i, 1.0, 2.0) for i in range(9)], "client_id long, a double, b double")
+    mapping, info = cluster.cluster_clients(df, 3, 2, cols=["a", "b"])
+    assert info["cost"] == 0 and {r.cluster_id for r in mapping.collect()} == {0}
 
 
 def test_scoring_run_writes_one_row_per_slot_for_its_team(spark, tmp_path):
