@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadcast.llm.common import checked_broadcast, global_index, running_total, spread, stored, table
+from loadcast.llm.common import checked_broadcast, global_index, running_total, spread, table
 from loadcast.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -137,15 +137,26 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return global_index(copies, ["position", "source_rank", "id", "row", "copy"], "place")
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes, all columns, repeated as often as
-    it takes them and range-sorted by training time."""
-    # a scan that is planned again may be split otherwise and number its rows otherwise: the numbers are stored with the texts
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    mixed = mix(numbered, carry=["__row"], **options)
-    copies = training_order(mixed).select(F.col("carried___row").alias("__taken"), F.col("place").alias("__place"))
-    taken = numbered.join(copies, F.col("__row") == F.col("__taken"))
-    return taken.repartitionByRange("__place").sortWithinPartitions("__place").drop("__place", "__row", "__taken")
+    it takes them and range-sorted by training time.
+
+    Texts are not stored again: what is taken is found by id, source and the
+    text's hash.  Of rows alike in all three one stands for all, repeated as
+    often as the mix takes them together.
+    """
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))))
+    mixed = cut_lineage(mix(keyed, doc_id, text, source, carry=["__key"], **options))
+    same = ["id", "source", "carried___key"]
+    alike = cut_lineage(mixed.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(same)]))
+    taken = cut_lineage(training_order(mixed).select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(same)], F.col("place").alias("__place")))
+    match = F.col(doc_id).eqNullSafe(F.col("__0")) & F.col(source).eqNullSafe(F.col("__1")) & (F.col("__key") == F.col("__2"))
+    if alike.limit(1).count():
+        few = checked_broadcast(alike, "__1", "__2")
+        one = keyed.join(few, match, "left_semi").dropDuplicates([doc_id, source, "__key"])
+        keyed = keyed.join(few, match, "left_anti").union(one)
+    found = keyed.join(checked_broadcast(taken, "__1", "__2"), match).drop("__key", "__0", "__1", "__2")
+    return found.repartitionByRange("__place").sortWithinPartitions("__place").drop("__place")
 
 
 def op5_curriculum_mix(spark: SparkSession, root: str) -> DataFrame:

@@ -103,3 +103,12 @@ def test_mixed_documents_when_the_scan_is_split_anew(spark, tmp_path, monkeypatc
         spark.conf.unset(split), spark.conf.unset(cost)
     monkeypatch.undo()
     assert got == sorted(r.id for r in mixing.mix(documents(spark, rows)).collect() for _ in range(r.copies))
+
+
+def test_rows_alike_are_mixed_together(spark):
+    rows = [(1, words(30, 1), "src0")] * 7 + [(1, words(30, 1), "src1"), (2, words(30, 1), "src0"), (None, None, None), (None, "", None), (3, words(9, 2), None)]
+    docs = documents(spark, rows)
+    key = lambda r: (r[0], r[1] or "", r[2])
+    got = sorted((key((r.doc_id, r.text, r.source)) for r in mixing.mix_documents(docs).collect()), key=str)
+    mixed = mixing.mix(docs.withColumn("own", F.coalesce("text", F.lit(""))), carry=["own"]).collect()
+    assert got == sorted((key((r.id, r.carried_own, r.source)) for r in mixed for _ in range(r.copies)), key=str)
