@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from loadcast.llm.common import stored, table
 
-RATIO = 0.01      # of a host's pages
-LEAST_PAGES = 5   # pages that hold a line before it can be boilerplate
+RATIO = 0.1       # of a host's pages
+LEAST_PAGES = 2   # pages that hold a line before it can be boilerplate: what stands on one page repeats nowhere
 
 # What ends a line in HTML, and what is no text.
 BLOCKS = (r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"

@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from loadcast.llm import chat, jaccard, licenses, lines, lloyd, mixing, packing, quality, sharding, spelling, topk, toxicity, vectors
+from loadcast.llm import chat, jaccard, licenses, lines, lloyd, mixing, packing, pipeline, quality, sharding, spelling, topk, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
     "op1_license_scan": licenses.op1_license_scan,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_best_fit_packing": packing.op3_best_fit_packing,

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from loadcast.llm import toxicity
+from loadcast.llm import pipeline, toxicity
 from loadcast.llm.common import stored
 from loadcast.llm.registry import ORACLE, QUERIES
 from tests.conftest import SMOKE_DIR
@@ -21,7 +20,7 @@ def rows_of(frame):
 def test_stages(spark):
     docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet")
     labels = spark.read.parquet(f"{SMOKE_DIR}/labels.parquet")
-    stages = dict(corpus_pipeline.STAGES)
+    stages = dict(pipeline.STAGES)
     assert list(stages) == ["toxicity", "line dedup", "n-gram jaccard join", "source mixing", "best-fit packing"]
 
     calm = stored(stages["toxicity"](spark, docs, SMOKE_DIR))
@@ -30,7 +29,7 @@ def test_stages(spark):
     assert rows_of(calm) == [r for r in rows_of(docs) if scorer.logit(r[1]) < edge]
 
     lean = stored(stages["line dedup"](spark, calm, SMOKE_DIR))
-    assert rows_of(lean) == sorted(clean(rows_of(calm), corpus_pipeline.LINE_RATIO, 5), key=str)
+    assert rows_of(lean) == sorted(clean(rows_of(calm), pipeline.LINE_RATIO, pipeline.LINE_LEAST_TEXTS), key=str)
 
     single = stored(stages["n-gram jaccard join"](spark, lean, SMOKE_DIR))
     rows = sorted(rows_of(lean))
@@ -46,5 +45,5 @@ def test_stages(spark):
 
 
 def test_registered_queries(spark):
-    assert {q.split("_")[0] for q in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert {q.split("_")[0] for q in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
     assert set(ORACLE) <= set(QUERIES)
