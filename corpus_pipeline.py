@@ -1,68 +1,5 @@
-"""A corpus pipeline: from raw documents to packed training sequences.
+"""The corpus pipeline: its stages, their run and its SQL (none)."""
 
-Toxic documents go, boilerplate lines go, one document of every class of
-near duplicates stays, sources are mixed to their target weights, and what
-is taken is packed into sequences.  Every stage reads what the one before it
-has written.
-"""
+from loadcast.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loadcast.llm import jaccard, lines, mixing, packing, toxicity
-from loadcast.llm.common import stored, table
-
-LINE_RATIO = lines.RATIO  # of a source's documents, copies counted once: they are the next stage's work
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the rejection threshold, all columns."""
-    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    scored = toxicity.score_toxicity(docs, model, out="__toxicity")
-    return scored.where(F.col("__toxicity") < toxicity.REJECT).drop("__toxicity")
-
-
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand in over ``LINE_RATIO`` of their source's distinct documents."""
-    return lines.clean_documents(docs, ratio=LINE_RATIO, copies_once=True)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near duplicates."""
-    return jaccard.one_of_each_class(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, repeated as often as it takes them, in training order."""
-    return mixing.mix_documents(docs)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 2048 tokens."""
-    return packing.pack(packing.token_pieces(docs)).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
-    )
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("line dedup", drop_lines),
-    ("n-gram jaccard join", drop_near_duplicates),
-    ("source mixing", mix_sources),
-    ("best-fit packing", pack_sequences),
-]
-
-#: A learned classifier, min-hash joins and token ids are beyond SQL: the tests hold each stage against brute force.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, on the documents below ``sf_dir``."""
-    frame = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        frame = stored(stage(spark, frame, sf_dir))
-    return STAGES[-1][1](spark, frame, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
