@@ -60,13 +60,23 @@ def client_profiles(
             *[F.count(F.when(on, milli)).alias(f"_n_{name}") for name, on in parts.items()],
             F.count(F.when(milli == 0, 1)).alias("_zero"),
         )
-        held = F.col("_n_mean_kw")
-        sums = agg.select(
-            "client_id", *[mean_from_milli(f"_s_{name}", f"_n_{name}").alias(name) for name in parts],
-            F.when(held > 0, F.col("_zero") / held).alias("pct_zero"),
-        )
+        return profiles_of_sums(agg, list(parts))
+    return _with_ratio(sums)
+
+
+def profiles_of_sums(agg: DataFrame, parts: list[str], by: list[str] | None = None) -> DataFrame:
+    """Profiles from exact sums ``_s_<part>``, counts ``_n_<part>`` and the count of zero readings ``_zero``."""
+    held, by = F.col("_n_mean_kw"), by or []
+    sums = agg.select(
+        *by, "client_id", *[mean_from_milli(f"_s_{name}", f"_n_{name}").alias(name) for name in parts],
+        F.when(held > 0, F.col("_zero") / held).alias("pct_zero"),
+    )
+    return _with_ratio(sums, by)
+
+
+def _with_ratio(sums: DataFrame, by: list[str] | None = None) -> DataFrame:
     ratio = F.when((F.col("wd_avg") > 0) & F.col("we_avg").isNotNull(), F.col("we_avg") / F.col("wd_avg")).otherwise(F.lit(1.0))
-    return sums.select("client_id", *HOUR_COLS, "mean_kw", "pct_zero", "wd_avg", "we_avg", ratio.alias("we_wd_ratio"))
+    return sums.select(*(by or []), "client_id", *HOUR_COLS, "mean_kw", "pct_zero", "wd_avg", "we_avg", ratio.alias("we_wd_ratio"))
 
 
 def _grid_sums(rows: DataFrame, parts: dict, start: str | None, end: str | None, local_shift: str, readings_are_cells: bool) -> DataFrame:
@@ -94,7 +104,7 @@ def _grid_sums(rows: DataFrame, parts: dict, start: str | None, end: str | None,
     )
 
 
-def profile_vector(profiles: DataFrame) -> DataFrame:
+def profile_vector(profiles: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The 26 clustering features.  Hour means (null as 0) scaled by
     the client's largest hour mean (divided by 1 when that is 0), the
     weekend ratio (null as 1) clipped to [0, 3], and the zero share (null as
@@ -103,7 +113,7 @@ def profile_vector(profiles: DataFrame) -> DataFrame:
     row_max = F.greatest(*filled)
     denom = F.when(row_max == 0, F.lit(1.0)).otherwise(row_max)
     return profiles.select(
-        "client_id",
+        *(by or []), "client_id",
         *[(filled[h] / denom).alias(VECTOR_HOUR_COLS[h]) for h in range(24)],
         clip(F.coalesce(F.col("we_wd_ratio"), F.lit(1.0)), 0.0, 3.0).alias("ratio_feat"),
         F.coalesce(F.col("pct_zero"), F.lit(0.0)).alias("zero_feat"),

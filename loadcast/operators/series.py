@@ -36,7 +36,11 @@ def dense_series(
 ) -> DataFrame:
     """``series_load`` laid on the spine of ``[start, end)``; missing slots
     carry zero load."""
-    sparse = series_load(readings, key)
+    return densify_series(series_load(readings, key), key, start, end, local_shift)
+
+
+def densify_series(sparse: DataFrame, key: str, start: str, end: str, local_shift: str = DEFAULT_LOCAL_SHIFT) -> DataFrame:
+    """A sparse series laid on the spine."""
     dense = densify(sparse, key, start, end, fill={"load_milli": 0}, local_shift=local_shift)
     return dense.withColumn("sum_active_kw", from_milli("load_milli"))
 

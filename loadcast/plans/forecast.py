@@ -176,6 +176,8 @@ class ClusterBoostForecaster(Forecaster):
     # profile means over the slots of the history (a missing one is zero load)
     # instead of over the readings that exist
     profile_grid: bool = False
+    # centres of an earlier fit: clients, also those seen since, go to the nearest and nothing is fitted
+    centres: list[list[int]] | None = None
     # largest client -> cluster map broadcast to the readings (bytes)
     map_broadcast_bytes: int = cluster.MAP_BROADCAST_BYTES
     info: dict = field(default_factory=dict)
@@ -187,7 +189,12 @@ class ClusterBoostForecaster(Forecaster):
         prof = profile.client_profiles(
             readings, self.history_start, start_utc, self.local_shift, self.readings_are_cells, grid=self.profile_grid
         )
-        mapping, info = cluster.cluster_clients(profile.profile_vector(prof), self.k, self.n_init, self.seed)
+        vectors = profile.profile_vector(prof)
+        if self.centres is not None:
+            points = cut_lineage(cluster.fixed(vectors))
+            self.info.update(n_clients=points.count(), whole_centres=self.centres)
+            return cluster.assign_nearest(points, self.centres).select("client_id", "cluster_id")
+        mapping, info = cluster.cluster_clients(vectors, self.k, self.n_init, self.seed)
         self.info.update(info)
         return mapping
 
@@ -262,6 +269,14 @@ class ClusterBoostForecaster(Forecaster):
         feats = self.feature_frame(readings, mapping, predict_start, predict_end)
         return feats, self.fit(feats, predict_start)
 
+    def predict_fitted(self, models: dict, readings: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
+        """``predict_utc`` with the models and ``centres`` of an earlier fit."""
+        if self.centres is None:
+            raise ValueError("no centres of an earlier fit")
+        mapping = self.cluster(readings, predict_start)
+        feats = self.feature_frame(readings, mapping, predict_start, predict_end)
+        return self.total(models, feats, predict_start, predict_end)
+
     def total(self, models: dict, feats: DataFrame, predict_start: str, predict_end: str) -> DataFrame:
         """``datetime_utc, prediction``: the series' forecasts added per instant."""
         per_series = self.predict_rows(models, feats, predict_start, predict_end)

@@ -645,6 +645,10 @@ FROM m{last} JOIN (SELECT s, sum(best[1])::BIGINT AS cost FROM a{last} GROUP BY
 
 ORACLE["kmeans_fit"] = kmeans_fit_sql()
 
+# merged from day states: the same as from all readings
+ORACLE["profile_from_days"] = ORACLE["join_profile_ratio"]
+ORACLE["series_from_days"] = ORACLE["slot_spine"]
+
 # ------------------------------------------------------------------ combine, sink, audits
 
 NAIVE_TOTAL = f"""{TOTAL}, ser AS (SELECT * FROM total), {naive('ser', None)}"""

@@ -32,6 +32,10 @@ FLAGSHIP_MIN_INSTANCES = 200
 KMEANS_SEED = 42
 KMEANS_STARTS = 3
 KMEANS_ROUNDS = 3
+# Daily deliveries (local days): first day, last day of the first delivery, the day delivered
+# again (its readings above LATE_VALUE came late), last day, which is delivered twice.
+DELIVERIES = ("2024-01-01", "2024-01-20", "2024-01-10", "2024-01-31")
+LATE_VALUE = 50.0
 # Features of the first boosting step that is checked value by value.
 BOOST_STEP_FEATURES = (
     "lag_2d_same_slot", "lag_7d_same_slot", "lag_14d_same_slot", "lag_21d_same_slot", "same_slot_mean_4w",

@@ -5,6 +5,8 @@ the stored tables below ``root``.  Their DuckDB twins live in
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcast.functions import clock
+from loadcast.functions.clock import parse_instant
 from loadcast.functions.exprs import count_non_null, from_milli
-from loadcast.operators import audit, baseline, boost, cluster, combine, enrich, evaluate, features, horizon, model, profile, series, sink
+from loadcast.operators import audit, baseline, boost, cluster, combine, enrich, evaluate, features, horizon, model, partials, profile, series, sink
 from loadcast.plans import params as P
-from loadcast.session import cut_lineage
+from loadcast.session import cut_lineage, ensure_checkpoint_dir
 from loadcast.plans.forecast import ClusterBoostForecaster, Lookups, SeasonalNaiveForecaster, local_to_utc
 from loadcast.plans.score import lookups_from_tables
 from loadcast.sources import (
@@ -397,6 +400,40 @@ def q_profile_grid(spark, root):
     return _grid_profiles(_cat(spark, root))
 
 
+def _day_state(c: Catalog) -> partials.DayState:
+    """The state as daily deliveries leave it: the first days, one of them delivered
+    again because readings came late, the other days, and one twice."""
+    state = partials.DayState(c.spark, f"{ensure_checkpoint_dir(c.spark)}/days-{uuid.uuid4().hex}", KEY)
+
+    def reader(events: DataFrame):
+        def read(first: str, last: str) -> DataFrame:
+            # the UTC span of the local days, so that the scan skips all others
+            after = f"{parse_instant(f'{last} 00:00:00') + dt.timedelta(days=1):%Y-%m-%d %H:%M:%S}"
+            span = [local_to_utc(t, P.LOCAL_SHIFT) for t in (f"{first} 00:00:00", after)]
+            return attach_community(raw_readings(events, *span, P.LOCAL_SHIFT), community_map(c.customer, c.nation))
+
+        return read
+
+    late = F.col("value") > F.lit(P.LATE_VALUE)  # came after the first delivery of their day
+    (first, middle, again, last) = P.DELIVERIES
+    own_day = F.to_date(clock.to_local("ts", P.LOCAL_SHIFT)) == F.lit(again).cast("date")
+    state.put(reader(c.events.where(~F.coalesce(late & own_day, F.lit(False)))), first, middle)
+    state.put(reader(c.events), again, again)
+    state.put(reader(c.events), partials.day_range(middle, last)[1], last)
+    state.put(reader(c.events), last, last)
+    return state
+
+
+def q_profile_from_days(spark, root):
+    """The profiles of the whole table, merged from day states."""
+    return _day_state(_cat(spark, root)).profiles().select("client_id", *profile.HOUR_COLS, "mean_kw", "pct_zero", "we_wd_ratio")
+
+
+def q_series_from_days(spark, root):
+    """The communities' gap-free series, merged from day states."""
+    return _day_state(_cat(spark, root)).dense_series(P.HISTORY_START, P.HISTORY_END, P.LOCAL_SHIFT)
+
+
 def q_profile_vector(spark, root):
     return profile.profile_vector(_grid_profiles(_cat(spark, root)))
 
@@ -637,6 +674,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "profile_weekend": q_profile_weekend,
     "join_profile_ratio": q_join_profile_ratio,
     "profile_grid": q_profile_grid,
+    "profile_from_days": q_profile_from_days,
+    "series_from_days": q_series_from_days,
     "profile_vector": q_profile_vector,
     "kmeans_step": q_kmeans_step,
     "kmeans_fit": q_kmeans_fit,

@@ -8,8 +8,8 @@
 Every input is a table of the catalog by its name or Parquet files by their
 path.  ``--tables DIR`` reads the stored test tables instead and derives the
 lookups that are not given from their history.  The forecast is written to
-``--out`` (a path, partitioned by team; only this team's partition is
-replaced) or appended to ``--out-table``, then counted from what was written.
+``--out`` (a path) or ``--out-table`` (a table partitioned by team), where it replaces this
+team's rows in one step or not at all, then counted from what was written.
 The run reports which series got a model and which fell back, and fails
 when none was fitted.
 """
@@ -21,6 +21,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loadcast.functions.clock import py_slot_index
 from loadcast.operators import model, sink
 from loadcast.plans.forecast import ClusterBoostForecaster, Forecaster, Lookups, local_to_utc
 from loadcast.sources import (
@@ -49,17 +50,19 @@ def score(
     out_path: str | None = None,
     out_table: str | None = None,
 ) -> int:
-    """Predict, stamp, write, and return the number of rows of this submission
-    read back from where they were written."""
+    """Predict, stamp, write (a row for every interval of the window, or nothing), and return the number
+    of rows of this submission read back from where they were written."""
     if (out_path is None) == (out_table is None):
         raise ValueError("name a path or a table to write to")
     stamped = sink.stamp_submission(forecaster.predict(readings, predict_start, predict_end), team_name)
+    start, end = (local_to_utc(t, forecaster.local_shift) for t in (predict_start, predict_end))
+    slots = py_slot_index(end) - py_slot_index(start)
     if out_table is not None:
-        sink.save_submission(stamped, out_table)
+        sink.save_submission(stamped, out_table, team_name, slots)
         written = spark.table(out_table)
     else:
-        sink.write_submission(stamped, out_path)
-        written = spark.read.parquet(out_path)
+        sink.write_submission(stamped, out_path, team_name, slots)
+        written = sink.submissions(spark, out_path).read([team_name])
     return sink.count_predictions(written.filter(F.col("team_name") == team_name)).collect()[0]["n_predictions"]
 
 

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loadcast.operators import cluster, evaluate, horizon, model, profile, series
+from loadcast.operators import cluster, evaluate, horizon, model, profile, series, sink
 from loadcast.plans.forecast import ClusterBoostForecaster, SeasonalNaiveForecaster
 
 from .conftest import readings_frame, slots
@@ -248,7 +248,7 @@ def test_scoring_run_writes_one_row_per_slot_for_its_team(spark, tmp_path):
     fc = SeasonalNaiveForecaster("2024-01-01 00:00:00")
     assert score(spark, fc, readings, "2024-01-24 00:00:00", "2024-01-31 00:00:00", "a", out) == 672
     assert score(spark, fc, readings, "2024-01-24 00:00:00", "2024-01-25 00:00:00", "b", out) == 96
-    assert spark.read.parquet(out).count() == 672 + 96
+    assert sink.submissions(spark, out).read().count() == 672 + 96
     lk = lookups_from_tables(tables, "2024-01-01 00:00:00", "2024-01-24 00:00:00", "2024-01-31 00:00:00", "1 hour")
     assert lk.feature_names()[:2] == ["is_normal_holiday", "demand_forecast"]
 

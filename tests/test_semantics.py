@@ -204,7 +204,7 @@ def test_q12_sink_overwrites_only_its_team(spark, tmp_path):
     sink.write_submission(sink.stamp_submission(base, "a"), path)
     sink.write_submission(sink.stamp_submission(base, "b"), path)
     sink.write_submission(sink.stamp_submission(base.withColumn("prediction", F.lit(2.0)), "a"), path)
-    got = {(r.team_name, r.prediction) for r in spark.read.parquet(path).collect()}
+    got = {(r.team_name, r.prediction) for r in sink.submissions(spark, path).read().collect()}
     assert got == {("a", 2.0), ("b", 1.0)}
     assert sink.count_predictions(base).collect()[0].n_predictions == 1
 
