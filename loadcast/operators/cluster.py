@@ -38,9 +38,13 @@ UNIT = 1_000_000  # vectors are held in whole millionths
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+def fixed_columns(cols: list[str]) -> dict:
+    return {"client_id": F.col("client_id").cast("long")} | {c: F.floor(F.col(c) * UNIT + 0.5) for c in cols}
+
+
 def fixed(vectors: DataFrame, cols: list[str] = VECTOR_COLS) -> DataFrame:
     """``client_id`` and the features in whole millionths."""
-    return vectors.select(F.col("client_id").cast("long").alias("client_id"), *[F.floor(F.col(c) * UNIT + 0.5).alias(c) for c in cols])
+    return vectors.select(*[c.alias(n) for n, c in fixed_columns(cols).items()])
 
 
 def uniform(ids: np.ndarray, seed: int, start: int, step: int) -> np.ndarray:
@@ -53,11 +57,14 @@ def uniform(ids: np.ndarray, seed: int, start: int, step: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(float) + 1.0) / float(1 << 53)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch as its groups' ids and vectors."""
     for batch in batches:
         if batch.num_rows:
-            ids, *cols = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((ids, np.stack(cols, 1).astype(float)))], pa.binary())], ["block"])
+            ids, group, *cols = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.stack(cols, 1).astype(float)
+            own = [(int(g), ids[group == g], x[group == g]) for g in np.unique(group)]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], ["block"])
 
 
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -70,69 +77,101 @@ def exact_total(d: np.ndarray) -> int:
     return (int((whole >> 20).sum()) << 20) + int((whole & ((1 << 20) - 1)).sum())
 
 
-def seed_centres(blocks, k: int, starts: int, seed: int) -> list[np.ndarray]:
-    """``k`` centres for every start, all starts together, one pass a centre:
+def merged(a: dict, b: dict, join) -> dict:
+    """Both dicts, their common keys' values joined."""
+    return {**a, **{k: join(a[k], v) if k in a else v for k, v in b.items()}}
+
+
+def seed_centres(blocks, k: int, starts: int, seed: int, groups: list[int]) -> dict[tuple[int, int], np.ndarray]:
+    """``{(group, start): k centres}``, all groups and starts together, one pass a centre:
     the first is any client, each further one a client drawn with a weight
     of its squared distance to the nearest centre so far.  The draw is the
     smallest of ``-ln(u) / weight`` (ties: the smaller id), so it combines in
     any order.  Where every client stands on a centre, the first repeats."""
-    centres: list[np.ndarray] = [np.zeros((0, 0))] * starts
+    centres: dict[tuple[int, int], np.ndarray] = {}
+    wanted = set(groups)
     for step in range(k):
 
         def draw(block, centres=centres, step=step):
-            ids, x = block
-            out = []
-            for s in range(starts):
-                w = distances(x, centres[s]).min(1) if step else np.ones(len(ids))
+            g, ids, x = block
+            out = {}
+            for s in range(starts) if g in wanted else ():
+                w = distances(x, centres[g, s]).min(1) if step else np.ones(len(ids))
                 race = np.where(w > 0, -np.log(uniform(ids, seed, s, step)) / np.where(w > 0, w, 1), np.inf)
                 at = np.lexsort((ids, race))[0]
-                out.append((float(race[at]), int(ids[at]), x[at]))
+                out[g, s] = (float(race[at]), int(ids[at]), x[at])
             return out
 
-        best = blocks.map(draw).treeReduce(lambda a, b: [min(p, q, key=lambda t: t[:2]) for p, q in zip(a, b, strict=True)])
-        drawn = [x if np.isfinite(race) else centres[s][0] for s, (race, _, x) in enumerate(best)]
-        centres = [np.vstack([c, x]) if step else x[None, :] for c, x in zip(centres, drawn, strict=True)]
+        best = blocks.map(draw).treeReduce(lambda a, b: merged(a, b, lambda p, q: min(p, q, key=lambda t: t[:2])))
+        drawn = {key: x if np.isfinite(race) else centres[key][0] for key, (race, _, x) in best.items()}
+        centres = {key: np.vstack([centres[key], x]) if step else x[None, :] for key, x in drawn.items()}
     return centres
 
 
-def lloyd(blocks, centres: list[np.ndarray], rounds: int) -> tuple[list[np.ndarray], list[int], int]:
-    """(centres, costs, passes): at most ``rounds`` rounds for every start, each pass serving
-    all starts that still move; a mean is rounded down, an empty cluster stays.
+def lloyd(blocks, centres: dict, rounds: int) -> tuple[dict, dict, int]:
+    """(centres, costs, passes) by (group, start): at most ``rounds`` rounds, each pass serving
+    every start that still moves; a mean is rounded down, an empty cluster stays.
     ``costs`` are those of the final centres."""
-    moving, cost, passes = set(range(len(centres))), [0] * len(centres), 0
+    centres, moving, cost, passes = dict(centres), set(centres), {}, 0
     for done in range(rounds + 1):
         passes += 1
 
-        def sums(block, centres=centres, moving=sorted(moving)):
-            _, x = block
+        def sums(block, own={k: centres[k] for k in sorted(moving)}):
+            g, _, x = block
             out = {}
-            for s in moving:
-                d = distances(x, centres[s])
-                near = d.argmin(1)  # the first of equal ones
-                own = np.zeros((len(centres[s]), len(x)))
-                own[near, np.arange(len(x))] = 1
-                out[s] = ((own @ x).astype(np.int64), own.sum(1).astype(np.int64), exact_total(d[np.arange(len(x)), near]))
+            for key, c in own.items():
+                if key[0] == g:
+                    d = distances(x, c)
+                    near = d.argmin(1)  # the first of equal ones
+                    hot = np.zeros((len(c), len(x)))
+                    hot[near, np.arange(len(x))] = 1
+                    out[key] = ((hot @ x).astype(np.int64), hot.sum(1).astype(np.int64), exact_total(d[np.arange(len(x)), near]))
             return out
 
-        total = blocks.map(sums).treeReduce(lambda a, b: {s: tuple(p + q for p, q in zip(a[s], b[s], strict=True)) for s in a})
-        for s, (t, n, c) in total.items():
-            cost[s] = c
+        total = blocks.map(sums).treeReduce(lambda a, b: merged(a, b, lambda p, q: tuple(x + y for x, y in zip(p, q, strict=True))))
+        for key, (t, n, c) in total.items():
+            cost[key] = c
             if done == rounds:
                 continue
-            mean = np.where(n[:, None] > 0, t // np.maximum(n, 1)[:, None], centres[s]).astype(float)
-            if (mean == centres[s]).all():
-                moving.discard(s)
-            centres = [*centres[:s], mean, *centres[s + 1 :]]
+            mean = np.where(n[:, None] > 0, t // np.maximum(n, 1)[:, None], centres[key]).astype(float)
+            if (mean == centres[key]).all():
+                moving.discard(key)
+            centres[key] = mean
         if not moving:
             break
     return centres, cost, passes
 
 
-def vector_blocks(vectors: DataFrame, cols: list[str] = VECTOR_COLS):
-    """(blocks of ids and vectors on the executors, the fixed-point frame)."""
-    points = cut_lineage(fixed(vectors, cols))  # an executor lost mid-fit must not rescan the fact table
-    packed = points.mapInArrow(_blocks, "block binary")
-    return packed.rdd.map(lambda r: pickle.loads(r["block"])).persist(StorageLevel.MEMORY_AND_DISK), points
+def cluster_groups(
+    vectors: DataFrame, by: str, k: int = 5, n_init: int = 20, seed: int = 42, max_iter: int = 300, cols: list[str] = VECTOR_COLS,
+) -> tuple[DataFrame, dict]:
+    """``cluster_clients`` of every group of ``vectors`` (column ``by``, whole numbers from 0) by itself, with
+    the passes of one fit: the groups' starts move together.  ``(<by>, client_id, cluster_id)`` and ``{group: summary}``."""
+    points = cut_lineage(vectors.select(by, *[c.alias(n) for n, c in fixed_columns(cols).items()]))
+    packed = points.select("client_id", by, *cols).mapInArrow(_group_blocks, "block binary")
+    blocks = packed.rdd.flatMap(lambda r: pickle.loads(r["block"])).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = {r[by]: r["count"] for r in points.groupBy(by).count().collect()}
+    if not counts:
+        raise ValueError("no client has a reading in the profile window")
+    starts = max(1, n_init)
+    ks = {g: max(1, min(k, n)) for g, n in counts.items()}
+    seeds = {}
+    for size in sorted(set(ks.values())):  # groups of fewer clients than k are seeded apart
+        own = [g for g, n in ks.items() if n == size]
+        seeds |= seed_centres(blocks, size, starts, seed, own)
+    centres, cost, passes = lloyd(blocks, seeds, max_iter)
+    blocks.unpersist()
+    info, mapping = {}, None
+    for g in sorted(counts):
+        best = min(range(starts), key=lambda s: (cost[g, s], s))
+        whole = [[int(x) for x in c] for c in centres[g, best]]
+        info[g] = {
+            "k": ks[g], "n_clients": counts[g], "cost": cost[g, best] / UNIT**2, "start": best, "passes": ks[g] + passes,
+            "centres": [[x / UNIT for x in c] for c in whole], "whole_centres": whole,
+        }
+        part = assign_nearest(points.where(F.col(by) == g), whole, cols).select(by, "client_id", "cluster_id")
+        mapping = part if mapping is None else mapping.union(part)
+    return mapping, info
 
 
 def cluster_clients(
@@ -142,28 +181,18 @@ def cluster_clients(
     (ties: the earlier start).  ``k`` is lowered to the number of clients when
     there are fewer.  Returns the map and a summary ``{"k", "n_clients",
     "cost", "start", "centres", "passes"}``, centres in the features' own units."""
-    blocks, points = vector_blocks(vectors, cols)
-    n_clients = points.count()
-    if n_clients == 0:
-        raise ValueError("no client has a reading in the profile window")
-    k_eff = max(1, min(k, n_clients))
-    centres, cost, passes = lloyd(blocks, seed_centres(blocks, k_eff, max(1, n_init), seed), max_iter)
-    blocks.unpersist()
-    best = min(range(len(cost)), key=lambda s: (cost[s], s))
-    whole = [[int(x) for x in c] for c in centres[best]]
-    mapping = assign_nearest(points, whole, cols).select("client_id", "cluster_id")
-    return mapping, {
-        "k": k_eff, "n_clients": n_clients, "cost": cost[best] / UNIT**2, "start": best, "passes": k_eff + passes,
-        "centres": [[x / UNIT for x in c] for c in whole], "whole_centres": whole,
-    }
+    mapping, info = cluster_groups(vectors.withColumn("_group", F.lit(0)), "_group", k, n_init, seed, max_iter, cols)
+    return mapping.drop("_group"), info[0]
 
 
 def kmeans_fit(vectors: DataFrame, k: int, n_init: int, seed: int, rounds: int, cols: list[str] = VECTOR_COLS) -> DataFrame:
     """Every start's centres after so many rounds: ``start, cluster_id, cost`` and the features in whole millionths."""
-    blocks, points = vector_blocks(vectors, cols)
-    centres, cost, _ = lloyd(blocks, seed_centres(blocks, min(k, points.count()), n_init, seed), rounds)
+    points = cut_lineage(fixed(vectors, cols)).withColumn("_group", F.lit(0))
+    blocks = points.select("client_id", "_group", *cols).mapInArrow(_group_blocks, "block binary").rdd.flatMap(lambda r: pickle.loads(r["block"]))
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    centres, cost, _ = lloyd(blocks, seed_centres(blocks, min(k, points.count()), n_init, seed, [0]), rounds)
     blocks.unpersist()
-    rows = [(s, i, cost[s], *map(int, c)) for s, own in enumerate(centres) for i, c in enumerate(own)]
+    rows = [(s, i, cost[0, s], *map(int, c)) for (_, s), own in centres.items() for i, c in enumerate(own)]
     return vectors.sparkSession.createDataFrame(rows, ", ".join(["start int, cluster_id int, cost long", *[f"{c} long" for c in cols]]))
 
 

@@ -59,8 +59,19 @@ def horizon_features(
     """
     start, end = window_slots(predict_start, predict_end, local_shift)
     spacing = origin_spacing(end - start, start - py_slot_index(history_start))
+    return features_before(series, key, F.lit(start), F.lit(end), F.lit(spacing), milli, fill)
+
+
+def features_before(series: DataFrame, key: str, start: Column, end: Column, spacing: Column, milli: str = "load_milli", fill: bool = True) -> DataFrame:
+    """``horizon_features`` where the window (UTC slots) and the spacing of the origins are
+    functions of the row's key: every series of the frame may have a window of its own."""
+    start, end, spacing = (c.cast("long") for c in (start, end, spacing))
     u = slot_index("datetime_utc").cast("long")
-    rows = series.select(key, "datetime_utc", "datetime_local", u.alias("_u"), F.col(milli).alias("_all")).where(F.col("_u") < end)
+    rows = series.select(
+        key, "datetime_utc", "datetime_local", u.alias("_u"), F.col(milli).alias("_all"),
+        start.alias("_start"), end.alias("_end"), spacing.alias("_spacing"),
+    ).where(F.col("_u") < F.col("_end")).drop("_end")
+    start, spacing = F.col("_start"), F.col("_spacing")
     rows = rows.withColumn("load_milli", F.when(F.col("_u") < start, F.col("_all"))).drop("_all")
     upto = Window.partitionBy(key).orderBy("_u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = rows.where(F.col("_u") < start).select(
@@ -69,8 +80,8 @@ def horizon_features(
         F.last("load_milli", ignorenulls=True).over(upto).alias("_last"),
         F.last(F.when(F.col("load_milli").isNotNull(), F.col("_u")), ignorenulls=True).over(upto).alias("_last_at"),
     )
-    back = F.ceil((start - F.col("_u")) / F.lit(float(spacing))).cast("long")
-    rows = rows.withColumn("_origin", F.when(F.col("_u") >= start, F.lit(start)).otherwise(start - back * spacing).cast("long"))
+    back = F.ceil((start - F.col("_u")) / spacing.cast("double")).cast("long")
+    rows = rows.withColumn("_origin", F.when(F.col("_u") >= start, start).otherwise(start - back * spacing).cast("long"))
     d = F.col("_u") - F.col("_origin")
     weeks = (F.floor(d / SLOTS_PER_WEEK) + 1) * SLOTS_PER_WEEK
     days = F.greatest(F.floor(d / SLOTS_PER_DAY) + 1, F.lit(2)) * SLOTS_PER_DAY

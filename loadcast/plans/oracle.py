@@ -645,6 +645,14 @@ FROM m{last} JOIN (SELECT s, sum(best[1])::BIGINT AS cost FROM a{last} GROUP BY
 
 ORACLE["kmeans_fit"] = kmeans_fit_sql()
 
+# every slot of every fold is scored, and every fold agrees with a forecast of its own
+ORACLE["backtest_model_check"] = f"""WITH {TOTAL},
+folds AS (
+  SELECT i AS fold, {ts(P.BACKTEST_FIRST)} + i * INTERVAL {P.BACKTEST_STEP_DAYS} DAY AS a FROM range({P.BACKTEST_FOLDS}) t(i)
+)
+SELECT COUNT(DISTINCT fold) AS n_folds, COUNT(DISTINCT fold) AS n_agree, COUNT(*)::BIGINT AS n_slots
+FROM total JOIN folds ON datetime_local >= a AND datetime_local < a + INTERVAL {P.BACKTEST_HORIZON_DAYS} DAY"""
+
 # merged from day states: the same as from all readings
 ORACLE["profile_from_days"] = ORACLE["join_profile_ratio"]
 ORACLE["series_from_days"] = ORACLE["slot_spine"]

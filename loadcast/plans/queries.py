@@ -17,7 +17,7 @@ from loadcast.functions import clock
 from loadcast.functions.clock import parse_instant
 from loadcast.functions.exprs import count_non_null, from_milli
 from loadcast.operators import audit, baseline, boost, cluster, combine, enrich, evaluate, features, horizon, model, partials, profile, series, sink
-from loadcast.plans import params as P
+from loadcast.plans import backtest, params as P
 from loadcast.session import cut_lineage, ensure_checkpoint_dir
 from loadcast.plans.forecast import ClusterBoostForecaster, Lookups, SeasonalNaiveForecaster, local_to_utc
 from loadcast.plans.score import lookups_from_tables
@@ -626,6 +626,38 @@ def q_backtest_folds(spark, root):
     ).drop("series_id")
 
 
+def _backtest_forecaster(c: Catalog) -> ClusterBoostForecaster:
+    # lookups that are known ahead of every fold: the calendar's
+    known = Lookups(
+        holidays=lookups.calendar_holidays(c.nation, P.HISTORY_START, P.HISTORY_END),
+        weekday=lookups.weekday_dates(c.spark, P.HISTORY_START[:10], P.HISTORY_END[:10]),
+    )
+    boost_params = model.BoostParams(rounds=P.AUDIT_ROUNDS, min_instances=P.FLAGSHIP_MIN_INSTANCES)
+    return ClusterBoostForecaster(P.HISTORY_START, known, P.FLAGSHIP_K, P.AUDIT_N_INIT, boost=boost_params, local_shift=P.LOCAL_SHIFT)
+
+
+def q_backtest_model(spark, root):
+    """The cluster forecaster over three folds in the passes of one forecast, profiles from stored day states."""
+    c = _cat(spark, root)
+    actual = _total(c).select("datetime_utc", F.col("sum_active_kw").alias("actual"))
+    return backtest.backtest_boosted(
+        _backtest_forecaster(c), _window_raw(c), actual, P.BACKTEST_FIRST, P.BACKTEST_FOLDS, P.BACKTEST_STEP_DAYS, P.BACKTEST_HORIZON_DAYS,
+        client_days=_day_state(c).client_days(),
+    )
+
+
+def q_backtest_model_check(spark, root):
+    """The same against one forecast after another: folds, and folds whose errors agree."""
+    c = _cat(spark, root)
+    actual = cut_lineage(_total(c).select("datetime_utc", F.col("sum_active_kw").alias("actual")))
+    spec = (P.BACKTEST_FIRST, P.BACKTEST_FOLDS, P.BACKTEST_STEP_DAYS, P.BACKTEST_HORIZON_DAYS)
+    loop = evaluate.backtest(_backtest_forecaster(c), _window_raw(c), actual, *spec, P.LOCAL_SHIFT)
+    both = q_backtest_model(spark, root).join(loop.withColumnsRenamed({"mae": "m", "n_slots": "n", "n_missing": "o", "fold_start": "s"}), "fold", "full_outer")
+    # errors are sums of doubles over a handful of series: the last digit may differ
+    agree = (F.abs(F.col("mae") - F.col("m")) < 1e-5) & (F.col("n_slots") == F.col("n")) & (F.col("n_missing") == F.col("o")) & (F.col("fold_start") == F.col("s"))
+    return both.agg(F.count(F.lit(1)).alias("n_folds"), F.count(F.when(agree, 1)).alias("n_agree"), F.sum("n_slots").alias("n_slots"))
+
+
 def q_leak_audit(spark, root):
     return audit.leak_audit(_community_series(_cat(spark, root)), KEY, features.FeatureSpec(), P.PREDICT_START, P.PREDICT_END)
 
@@ -696,5 +728,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "count_predictions": q_count_predictions,
     "submission_audit": q_submission_audit,
     "backtest_folds": q_backtest_folds,
+    "backtest_model": q_backtest_model,
+    "backtest_model_check": q_backtest_model_check,
     "leak_audit": q_leak_audit,
 }

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadcast.operators import cluster, evaluate, horizon, model, profile, series, sink
+from loadcast.plans.backtest import backtest_boosted
 from loadcast.plans.forecast import ClusterBoostForecaster, SeasonalNaiveForecaster
 
 from .conftest import readings_frame, slots
@@ -173,6 +174,21 @@ def test_backtest_of_any_forecaster(planted):
     assert [(r.fold, r.fold_start, r.mae, r.n_slots, r.n_missing) for r in folds] == [(r.fold, r.fold_start, r.mae, r.n_slots, 0) for r in sorted(own, key=lambda r: r.fold)]
 
 
+def test_parallel_folds_equal_one_forecast_after_another(planted):
+    """Also where an early fold has a series without a row to learn from."""
+    actual = series.total_load(planted, START, "2024-02-12 00:00:00").select("datetime_utc", F.col("sum_active_kw").alias("actual"))
+    make = lambda: ClusterBoostForecaster(history_start=START, k=3, n_init=2, boost=model.BoostParams(rounds=4, depth=3))
+    for spec in (("2024-01-29 00:00:00", 3, 7, 1), ("2024-01-25 00:00:00", 2, 9, 3)):
+        loop = evaluate.backtest(make(), planted, actual, *spec, "1 hour").collect()
+        folds = backtest_boosted(make(), planted, actual, *spec).collect()
+        assert sorted(r.fold for r in folds) == list(range(spec[1]))
+        for a, b in zip(sorted(loop), sorted(folds)):
+            assert (a.fold, a.fold_start, a.n_slots, a.n_missing) == (b.fold, b.fold_start, b.n_slots, b.n_missing)
+            assert a.mae == pytest.approx(b.mae, abs=1e-5)
+    with pytest.raises(ValueError, match="midnight"):
+        backtest_boosted(make(), planted, actual, "2024-01-29 01:00:00", 1, 1, 1)
+
+
 def test_kmeans_step_assigns_every_client_to_its_nearest_start(spark, planted):
     vec = profile.profile_vector(profile.client_profiles(planted, START, "2024-02-04 23:00:00", grid=True))
     centres = cluster.initial_centres(vec, 2)
