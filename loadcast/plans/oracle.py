@@ -220,8 +220,16 @@ HORIZON = f"({idx(ts(S1))} - {idx(ts(S0))})"
 SPACING = f"least({HORIZON}, greatest(672, ({START} - {idx(ts(H0))}) // 2 // 672 * 672))"
 
 
-def _seen(name: str, at: str) -> str:
-    return f"LEFT JOIN src {name} ON {name}.{KEY} IS NOT DISTINCT FROM o.{KEY} AND {name}.u = {at}"
+def _seen(name: str) -> str:
+    return f"LEFT JOIN src {name} ON {name}.k = o.k AND {name}.u = o.at_{name}"
+
+
+# The slots that a row looks up, computed once: the joins are plain equalities on keys that are never null.
+WANTED = {
+    "w0": "u - weeks", "w1": "u - weeks - 672", "w2": "u - weeks - 1344", "w3": "u - weeks - 2016", "d2": "u - days",
+    "t0": "u - 288 - turn", "t1": "u - 384 - turn", "t2": "u - 960 - turn", "t3": "u - 1056 - turn",
+    "o1": "origin - 1", "os": "origin - 192", "ol": "origin - 672",
+}
 
 
 def _level(a: str, b: str) -> str:
@@ -230,27 +238,28 @@ def _level(a: str, b: str) -> str:
 
 
 HORIZON_FEATURES = f"""{COMMUNITY_SERIES},
-known AS (
-  SELECT {KEY}, datetime_utc, datetime_local, {idx('datetime_utc')} AS u,
+known AS MATERIALIZED (
+  SELECT {KEY}, coalesce({KEY}, '') AS k, datetime_utc, datetime_local, {idx('datetime_utc')} AS u,
          CASE WHEN {idx('datetime_utc')} < {START} THEN load_milli END AS milli
   FROM cseries WHERE {idx('datetime_utc')} < {START} + {HORIZON}
 ),
-src AS (
-  SELECT {KEY}, u, milli, SUM(milli) OVER r AS s, COUNT(milli) OVER r AS n,
+src AS MATERIALIZED (
+  SELECT k, u, milli, SUM(milli) OVER r AS s, COUNT(milli) OVER r AS n,
          last_value(milli IGNORE NULLS) OVER r AS last_milli,
          last_value(CASE WHEN milli IS NOT NULL THEN u END IGNORE NULLS) OVER r AS last_u
   FROM known WHERE u < {START}
-  WINDOW r AS (PARTITION BY {KEY} ORDER BY u ROWS UNBOUNDED PRECEDING)
+  WINDOW r AS (PARTITION BY k ORDER BY u ROWS UNBOUNDED PRECEDING)
 ),
 o0 AS (
   SELECT *, CASE WHEN u >= {START} THEN {START} ELSE {START} - {SPACING} * CAST(ceil(({START} - u) / ({SPACING})) AS BIGINT) END AS origin
   FROM known
 ),
-o AS (
+o2 AS (
   SELECT *, ((u - origin) // 672 + 1) * 672 AS weeks, greatest((u - origin) // 96 + 1, 2) * 96 AS days,
          greatest(CAST(ceil((u - origin + 1 - 288) / 672.0) AS BIGINT), 0) * 672 AS turn
   FROM o0
 ),
+o AS MATERIALIZED (SELECT *, {', '.join(f'{at} AS at_{n}' for n, at in WANTED.items())} FROM o2),
 looked AS (
   SELECT o.{KEY}, o.datetime_utc, o.datetime_local, o.u, o.milli,
          w0.milli / 1000.0 AS w0, w1.milli / 1000.0 AS w1, w2.milli / 1000.0 AS w2, w3.milli / 1000.0 AS w3, d2.milli / 1000.0 AS d2,
@@ -262,11 +271,7 @@ looked AS (
          {_level('short', 'os')}, {_level('long', 'ol')},
          o1.last_milli / 1000.0 AS last_measured_value, CAST(o.u - o1.last_u AS INTEGER) AS time_slots_distance
   FROM o
-  {_seen('w0', 'o.u - o.weeks')} {_seen('w1', 'o.u - o.weeks - 672')}
-  {_seen('w2', 'o.u - o.weeks - 1344')} {_seen('w3', 'o.u - o.weeks - 2016')} {_seen('d2', 'o.u - o.days')}
-  {_seen('t0', 'o.u - 288 - o.turn')} {_seen('t1', 'o.u - 384 - o.turn')}
-  {_seen('t2', 'o.u - 960 - o.turn')} {_seen('t3', 'o.u - 1056 - o.turn')}
-  {_seen('o1', 'o.origin - 1')} {_seen('os', 'o.origin - 192')} {_seen('ol', 'o.origin - 672')}
+  {' '.join(_seen(n) for n in WANTED)}
 ),
 means AS (SELECT *, COALESCE(CASE WHEN held > 0 THEN wsum / held END, level) AS same_slot_mean_4w FROM looked),
 horizon AS (
