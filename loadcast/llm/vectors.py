@@ -1,9 +1,12 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Every tree splits its nodes level by level at the median of a random
-projection of the unit vectors; those near the split go to both sides (spill),
-so a close pair is rarely parted, whatever the vectors' norms.  Vectors are compared only inside leaves, each pair in one
-leaf alone, verified in double precision, and linked vectors are united.
+Every tree splits the vectors of a label again and again at the median of a
+random projection of the unit vectors; those near a split go to both sides (spill),
+so a close pair is rarely parted, whatever the vectors' norms.  The splits are
+fitted on a bounded sample; every vector is sent down every tree in one
+pass, so that only (vector, leaf) rows are written.  Vectors are compared
+only inside leaves, each pair in one leaf alone, verified in double precision,
+and linked vectors are united.
 """
 
 from __future__ import annotations
@@ -11,22 +14,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from loadcast.llm.common import blocked, components, first_shared, forest, grouped, padded, table
+from loadcast.llm.common import blocked, components, first_shared, forest, grouped, padded, spread, table
 from loadcast.llm.topk import finite
 from loadcast.session import cut_lineage
 
 COSINE = 0.98
 TREES = 4
-LEAF = 512        # vectors that are compared as they are; larger nodes are split further
+LEAF = 1_024          # vectors of a leaf, about: larger nodes are split further
 MOST_LEVELS = 40
-SPILL = 1.0       # half width of the spill band, in standard deviations of a borderline pair's projected difference
-DENSE = 4.0       # a node of which four fifths lie within so many half widths is not split but compared in blocks
+SPILL = 1.0           # half width of the spill band, in standard deviations of a borderline pair's projected difference
+DENSE = 4.0           # a node of which four fifths lie within so many half widths is not split but compared in blocks
+SAMPLE_VECTORS = 40_000   # vectors that the splits are fitted on, about
+LEAST_SAMPLE = 16     # sampled vectors of a node before it is split
 SEED = 61
 
 
@@ -35,50 +39,98 @@ def direction(tree: int, level: int, width: int) -> np.ndarray:
     return d / np.linalg.norm(d)
 
 
-def _split(nodes: DataFrame, level: int, margin: float, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Leaves and children of the nodes of one level: rows (uid, v, tree, label, node)."""
-
-    @pandas_udf("double")
-    def project(v: pd.Series, tree: pd.Series) -> pd.Series:
-        out = np.zeros(len(v))
-        sizes = v.map(len)
-        for (t, width), at in pd.Series(range(len(v))).groupby([tree.to_numpy(), sizes.to_numpy()]):
-            m = np.stack(v.iloc[at].to_list()).astype(float)
-            m /= np.abs(m).max(1, keepdims=True)  # the squares of very large or small components leave the range of doubles
-            out[at] = m @ direction(int(t), level, int(width)) / np.sqrt((m * m).sum(1))
-        return pd.Series(out)
-
-    placed = cut_lineage(nodes.withColumn("x", project("v", "tree")))
-    # summaries combine before the shuffle: a node of any size costs a small sketch a task
-    stats = placed.groupBy("tree", "label", "node").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), 1000).alias("p"),
-    ).select(
-        "tree", "label", "node", F.get("p", F.lit(1)).alias("middle"),
-        ((F.col("n") > leaf) & (F.get("p", F.lit(2)) - F.get("p", F.lit(0)) > DENSE * margin)).alias("wide"),
-    )
-    marked = cut_lineage(placed.join(stats, ["tree", "label", "node"]))
-    sides = F.array_compact(F.array(
-        F.when(F.col("x") <= F.col("middle") + margin, F.lit(0)), F.when(F.col("x") > F.col("middle") - margin, F.lit(1)),
-    ))
-    children = (
-        marked.where("wide").withColumn("side", F.explode(sides))
-        .withColumn("node", F.xxhash64("node", F.lit(level), "side")).select("uid", "v", "tree", "label", "node")
-    )
-    return marked.where("not wide").select("uid", "tree", "label", "node"), children
+def unit(rows: list) -> np.ndarray:
+    """Vectors of one width at length one."""
+    m = np.array(rows, float)
+    m /= np.abs(m).max(1, keepdims=True)  # the squares of very large or small components leave the range of doubles
+    return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
+def grow(sample: np.ndarray, each: float, tree: int, margin: float, leaf: int) -> list:
+    """Nested [level, middle, left, right], or a leaf's number.  A sampled vector stands for ``each`` vectors."""
+    leaves = 0
+
+    def build(own: np.ndarray, level: int) -> list | int:
+        nonlocal leaves
+        if len(own) * each > leaf and len(own) >= LEAST_SAMPLE and level < MOST_LEVELS:
+            x = own @ direction(tree, level, own.shape[1])
+            low, middle, high = np.quantile(x, [0.1, 0.5, 0.9])
+            if high - low > DENSE * margin:
+                return [level, float(middle), build(own[x <= middle + margin], level + 1), build(own[x > middle - margin], level + 1)]
+        leaves += 1
+        return leaves - 1
+
+    return build(sample, 0)
+
+
+def descend(tree: list | int, number: int, m: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of unit vectors sent down one tree, both ways inside the spill band."""
+    todo, rows, found = [(tree, np.arange(len(m)))], [np.zeros(0, int)], [np.zeros(0, int)]
+    shown: dict[int, np.ndarray] = {}  # a level has one direction, whatever the node
+    while todo:
+        node, at = todo.pop()
+        if isinstance(node, int):
+            rows.append(at)
+            found.append(np.full(len(at), node))
+        elif len(at):
+            level, middle, left, right = node
+            if level not in shown:
+                shown[level] = m @ direction(number, level, m.shape[1])
+            x = shown[level][at]
+            todo += [(left, at[x <= middle + margin]), (right, at[x > middle - margin])]
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def forest_of(vectors: DataFrame, margin: float, trees: int, leaf: int) -> dict:
+    """``{(label, width): [tree, ...]}`` fitted on about ``SAMPLE_VECTORS`` vectors; where nothing splits
+    there is one tree, a single leaf."""
+    sizes = {(r.label, r.width): r["count"] for r in vectors.groupBy("label", F.size("v").alias("width")).count().where(F.col("count") > leaf).collect()}
+    total = sum(sizes.values())
+    if not total:
+        return {}
+    share = min(1.0, SAMPLE_VECTORS / total)
+    picked = vectors.where(spread("uid", seed=SEED) < share).select("label", "v") if share < 1 else vectors.select("label", "v")
+    own: dict = {}
+    for r in picked.collect():
+        if (r.label, len(r.v)) in sizes:
+            own.setdefault((r.label, len(r.v)), []).append(r.v)
+    out = {}
+    for key, rows in own.items():
+        m = unit(rows)
+        fitted = [grow(m, sizes[key] / len(rows), t, margin, leaf) for t in range(trees)]
+        if any(isinstance(t, list) for t in fitted):
+            out[key] = fitted
+    return out
 
 
 def leaves(vectors: DataFrame, margin: float, trees: int, leaf: int) -> DataFrame:
-    """(uid, leaf): the leaves of every tree that hold each vector, after spilling."""
-    nodes = vectors.select("uid", "v", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "label").withColumn("node", F.lit(0).cast("long"))
-    done: DataFrame | None = None
-    for level in range(MOST_LEVELS):
-        ended, nodes = _split(nodes, level, margin, leaf)
-        done = ended if done is None else done.union(ended)
-        if not nodes.limit(1).count():
-            break
-    else:
-        done = done.union(nodes.select("uid", "tree", "label", "node"))
-    return done.select("uid", F.xxhash64("tree", "label", "node").alias("leaf"))
+    """(uid, leaf): the leaves of every tree that hold each vector, after spilling; a
+    label that no tree splits is one leaf."""
+    fitted = vectors.sparkSession.sparkContext.broadcast(forest_of(vectors, margin, trees, leaf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, label, v = batch.column("uid").to_numpy(), batch.column("label").to_pylist(), batch.column("v")
+            groups: dict = {}
+            for i, key in enumerate(zip(label, pc.list_value_length(v).to_pylist(), strict=True)):
+                groups.setdefault(key, []).append(i)
+            for (name, width), at in groups.items():
+                at = np.array(at)
+                own = fitted.value.get((name, width))
+                sent = [(0, np.arange(len(at)), np.zeros(len(at), int))]
+                if own:
+                    m = unit(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), width))
+                    sent = [(t, *descend(tree, t, m, margin)) for t, tree in enumerate(own)]
+                for t, rows, number in sent:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(uid[at[rows]]), pa.array(np.full(len(rows), t, np.int32)), batch.column("label").take(pa.array(at[rows])),
+                         pa.array(np.full(len(rows), width, np.int32)), pa.array(number.astype(np.int32))],
+                        ["uid", "tree", "label", "width", "number"],
+                    )
+
+    kind = vectors.schema["label"].dataType.simpleString()
+    sent = vectors.select("uid", "v", "label").mapInArrow(run, f"uid long, tree int, label {kind}, width int, number int")
+    return sent.select("uid", F.xxhash64("tree", "label", "width", "number").alias("leaf"))
 
 
 def _compare(least: float):
@@ -130,15 +182,16 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     width.  Equal vectors of a label are compared once and counted as often as they occur.
     Repeated rows link with each other; a null id is never kept apart from null.
     """
-    rows = cut_lineage(vectors.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")))
+    rows = vectors.select(F.col(vec_id).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
+    rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(SEED), "v"))  # 128 bits stand for the vector
     able = finite("v") & F.col("label").isNotNull() & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    distinct = cut_lineage(rows.where(able).groupBy("label", "v").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")))
-    distinct = distinct.withColumn("uid", F.monotonically_increasing_id())
+    distinct = cut_lineage(rows.where(able).groupBy("label", "v", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least")))
+    distinct = distinct.withColumn("uid", F.monotonically_increasing_id())  # of the checkpoint's partitions, which stay
     width = distinct.agg(F.max(F.size("v"))).first()[0] or 1
     margin = SPILL * float(np.sqrt(2 - 2 * cosine)) / float(np.sqrt(width))
     held = cut_lineage(leaves(distinct.select("uid", "v", "label"), margin, trees, leaf))
     lists = held.groupBy("uid").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
-    tasks = blocked(held, "leaf", "uid", leaf)
+    tasks = blocked(held, "leaf", "uid", 2 * leaf)
     members = tasks.join(lists, "uid").join(distinct.select("uid", "v", "copies"), "uid")
     order = ["leaf", "lo", "hi", "uid"]
     found = cut_lineage(
@@ -148,13 +201,13 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     )
     united = components(found.select("a", "b")).withColumnRenamed("node", "uid")
     counted = found.groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
-    known = distinct.select("uid", "label", "v", "copies", "least").join(united, "uid", "left").join(counted, "uid", "left")
+    known = distinct.select("uid", "label", "h1", "h2", "copies", "least").join(united, "uid", "left").join(counted, "uid", "left")
     known = cut_lineage(known.withColumn("component", F.coalesce("component", "uid")))
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(smallest, "component").select(
-        F.col("label").alias("l"), F.col("v").alias("w"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id",
+        F.col("label").alias("l"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id",
     )
-    linked = rows.where(able).join(known, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")))
+    linked = rows.where(able).drop("v").join(known, (F.col("label") == F.col("l")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     alone = rows.where(~able).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.select("id", "n_links", "component_id").union(alone).select(
         F.col("id").alias(vec_id), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
