@@ -41,16 +41,28 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
 _TABLES: list[str] = []
 
 
+def tables() -> list[str]:
+    """The folders of the tables that ``stored`` has written and that still stand."""
+    return list(_TABLES)
+
+
+def drop_tables(spark: SparkSession, folders: Sequence[str]) -> None:
+    """Removes stored tables that no frame in use reads any more."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _TABLES:
+            _TABLES.remove(folder)
+
+
 @atexit.register
 def _remove_tables() -> None:
     spark = SparkSession.getActiveSession()
-    for folder in _TABLES if spark is not None else []:
-        try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001 - the session may have ended before; the folder is scratch space
-            return
+    try:
+        if spark is not None:
+            drop_tables(spark, tables())
+    except Exception:  # noqa: BLE001 - the session may have ended before; the folder is scratch space
+        return
 
 
 def ascii_lower(text: Column | str) -> Column:

@@ -152,10 +152,10 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     taken = cut_lineage(training_order(mixed).select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(same)], F.col("place").alias("__place")))
     match = F.col(doc_id).eqNullSafe(F.col("__0")) & F.col(source).eqNullSafe(F.col("__1")) & (F.col("__key") == F.col("__2"))
     if alike.limit(1).count():
-        few = checked_broadcast(alike, "__1", "__2")
-        one = keyed.join(few, match, "left_semi").dropDuplicates([doc_id, source, "__key"])
-        keyed = keyed.join(few, match, "left_anti").union(one)
-    found = keyed.join(checked_broadcast(taken, "__1", "__2"), match).drop("__key", "__0", "__1", "__2")
+        one = keyed.join(alike, match, "left_semi").dropDuplicates([doc_id, source, "__key"])
+        keyed = keyed.join(alike, match, "left_anti").union(one)
+    # a row per taken copy grows with the documents: the texts meet it in a shuffle, at every size alike
+    found = keyed.join(taken, match).drop("__key", "__0", "__1", "__2")
     return found.repartitionByRange("__place").sortWithinPartitions("__place").drop("__place")
 
 

@@ -15,13 +15,14 @@ so without any document no text is scored).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcast.llm import jaccard, lines, mixing, packing, toxicity
-from loadcast.llm.common import stored, table
+from loadcast.llm.common import drop_tables, stored, table, tables
 
 # A source holds hundreds of documents and more where a host holds tens of pages: a line that many distinct texts share
 # is boilerplate long before it stands in a tenth of them.
@@ -58,12 +59,32 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     )
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("line dedup", drop_lines),
-    ("n-gram jaccard join", drop_near_duplicates),
-    ("source mixing", mix_sources),
-    ("best-fit packing", pack_sequences),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_inner: dict[str, list[str]] = {}  # by folder of the input: tables that the stage before has left
+
+
+def _tidy(stage: Stage) -> Stage:
+    """The stage, without the tables that the one before it has needed inside: as
+    its result has been written and is read again here, nothing reads them any more."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _inner.pop(sf_dir, []))
+        before = tables()
+        out = stage(spark, docs, sf_dir)
+        _inner[sf_dir] = [t for t in tables() if t not in before]
+        return out
+
+    return run_stage
+
+
+#: Each stage's result is written before the next one is called.
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _tidy(drop_toxic)),
+    ("line dedup", _tidy(drop_lines)),
+    ("n-gram jaccard join", _tidy(drop_near_duplicates)),
+    ("source mixing", _tidy(mix_sources)),
+    ("best-fit packing", _tidy(pack_sequences)),
 ]
 
 #: A learned classifier, min-hash joins and token ids are beyond SQL: the tests hold each stage against brute force.
@@ -73,6 +94,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, on the documents below ``sf_dir``."""
     frame = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    read: list[str] = []  # the table that the stage in turn reads
     for _, stage in STAGES[:-1]:
+        before = read
         frame = stored(stage(spark, frame, sf_dir))
+        read = tables()[-1:]
+        drop_tables(spark, before)
     return STAGES[-1][1](spark, frame, sf_dir)
