@@ -52,11 +52,19 @@ def _coordinates() -> tuple[np.ndarray, np.ndarray]:
 
 def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
     """A borderline pair has one common child a node on average (Poisson): the
-    chance that a run loses it by the depth is q(d) = exp(q(d-1) - 1), q(0) = 0."""
+    chance that a run loses it by the depth is q(d) = exp(q(d-1) - 1), q(0) = 0.
+    (Roots have a child at least, which only lowers it.)  What the sketches
+    lose of borderline pairs is made up for by the runs."""
     q = 0.0
     for _ in range(depth):
         q = math.exp(q - 1)
-    return math.ceil(math.log(1 - recall) / math.log(q))
+    return math.ceil(math.log(1 - recall / (1 - sketch_loss())) / math.log(q))
+
+
+def sketch_loss(similarity: float = JACCARD) -> float:
+    """The chance that the sketches of a pair right at the threshold agree in too few coordinates to be looked at."""
+    need = math.floor((similarity - SKETCH_SLACK) * COORDINATES)
+    return sum(math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(need))
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +72,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tupl
     text; a shorter text that is not empty has one shingle, all its words."""
     n = np.diff(offsets)
     roll = np.zeros(len(words), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(words))):
         roll[: len(words) - k] = roll[: len(words) - k] * _ROLL + words[k:]
     count = np.maximum(n - width + 1, (n > 0).astype(n.dtype))
     out_offsets = np.append(0, np.cumsum(count))
@@ -132,8 +140,9 @@ def _word_hashes(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _children(threshold: float):
-    """Children of nodes: rows (node, uid) from (node, uid, sketch)."""
+def _children(threshold: float, root: bool):
+    """Children of nodes: rows (node, uid) from (node, uid, sketch).  A root
+    that picks no coordinate takes the one nearest to being picked, so that no run is empty."""
     limit = np.uint64(min(1.0, 1 / (threshold * COORDINATES)) * (2**64 - 1))
     coordinate = _scramble(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _ROLL)
 
@@ -142,7 +151,10 @@ def _children(threshold: float):
             for batch in batches:
                 node = batch.column(0).to_numpy().view(np.uint64)
                 picked = _scramble(_scramble(node)[:, None] ^ coordinate[None, :])
-                row, c = np.nonzero(picked < limit)
+                chosen = picked < limit
+                if root:
+                    chosen[np.arange(len(picked)), picked.argmin(1)] = True
+                row, c = np.nonzero(chosen)
                 sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, COORDINATES)
                 child = _scramble(_scramble(node[row] + coordinate[c]) ^ (sketch[row, c].astype(np.uint64) + _ROLL))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], ["node", "uid"])
@@ -162,7 +174,7 @@ def buckets(sets: DataFrame, threshold: float = JACCARD, recall: float = RECALL,
     roots = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
     open_nodes = sets.withColumn("run", roots).select(F.xxhash64(F.lit(SEED), "run").alias("node"), "uid", "sketch")
     for level in range(1, depth + 1):
-        held = cut_lineage(open_nodes.mapInArrow(_children(threshold), "node long, uid long"))
+        held = cut_lineage(open_nodes.mapInArrow(_children(threshold, level == 1), "node long, uid long"))
         sizes = held.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         held = cut_lineage(held.join(sizes, "node"))
         done = held if level == depth else held.where(F.col("n") <= bucket)

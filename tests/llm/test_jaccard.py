@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import pyarrow as pa
 import random
 
 import numpy as np
@@ -125,3 +127,18 @@ def test_running_total_over_buckets(spark):
         assert got[row] == total.get(key, 0)
         total[key] = total.get(key, 0) + v
     assert len(got) == 500
+
+
+def test_every_run_splits_and_the_sketches_are_in_the_target():
+    root = np.arange(1, 40, dtype=np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(root), pa.array(root), pa.array([b"\0" * 4 * jaccard.COORDINATES] * len(root))], ["node", "uid", "sketch"])
+    assert {u for b in jaccard._children(0.8, True)([batch]) for u in b.column(1).to_pylist()} == set(root.tolist())
+    assert 0.0005 < jaccard.sketch_loss() < 0.002
+    q = math.exp(math.exp(math.exp(-1) - 1) - 1)
+    assert (1 - jaccard.sketch_loss()) * (1 - q ** jaccard.runs_needed()) >= jaccard.RECALL
+
+
+def test_fewer_words_than_a_shingle_in_the_whole_table(spark):
+    rows = [(1, "a b", "s"), (2, "a b", "s"), (3, None, "s"), (4, "a", None)]
+    got = {r.id: r for r in jaccard.jaccard_classes(documents(spark, rows)).collect()}
+    assert got[2].component_id == 1 and got[1].n_links == got[2].n_links == 1 and got[4].n_links == got[3].n_links == 0

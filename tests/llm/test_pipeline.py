@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loadcast.llm import pipeline, toxicity
-from loadcast.llm.common import stored
+from loadcast.llm.common import stored, tables
 from loadcast.llm.registry import ORACLE, QUERIES
 from tests.conftest import SMOKE_DIR
 from tests.llm.test_jaccard import brute as near
@@ -47,3 +47,21 @@ def test_stages(spark):
 def test_registered_queries(spark):
     assert {q.split("_")[0] for q in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_whole_run_and_its_tables(spark):
+    before = tables()
+    got = pipeline.run(spark, SMOKE_DIR)
+    assert valid(got.collect(), 2048) and got.columns[0] == "doc_id"
+    left = [t for t in tables() if t not in before]
+    assert 0 < len(left) < 8  # those of the last stage and what it reads; a run writes some twenty
+
+
+def test_empty_and_awkward_documents(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("none", []), ("few", [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "one two", None, None, 7), (3, "x " * 3000, "en", "s", 6000)])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        out = pipeline.run(spark, folder).collect()
+        assert len(out) == 0 if name == "none" else {r.doc_id for r in out} <= {None, 1, 2, 3} and out
