@@ -9,17 +9,16 @@ series rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadcast.functions.clock import floor_hour
 from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES, broadcast_if_small
+from loadcast.operators.scan import dense_ranks, last_known
 from loadcast.session import cut_lineage
 
 # Bytes per lookup row assumed when a row-count bound decides a broadcast.
 LOOKUP_ROW_BYTES = 64
-# Most distinct values that a dense code may have.
-MAX_CODES = 1_000_000
 
 
 def broadcast_bounded(df: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -143,13 +142,14 @@ def enrich_price(
 
 
 def dense_code(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Integer code of ``col``: dense rank over its distinct values,
-    from 0.  The rank runs over the distinct values in one task, so a column
-    of more than ``MAX_CODES`` values is refused; the codes are joined back
-    with a size-checked broadcast."""
+    """Integer code of ``col``: dense rank over its distinct values, from 0.
+    Ranks run by ranges, so there may be any number of values; the codes are
+    joined back with a size-checked broadcast."""
     out = out or f"{col}_num"
-    codes = cut_lineage(df.select(col).where(F.col(col).isNotNull()).distinct())
-    if codes.limit(MAX_CODES + 1).count() > MAX_CODES:
-        raise ValueError(f"{col} has more than {MAX_CODES} values: too many to be codes")
-    codes = codes.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).alias(out))
-    return df.join(broadcast_if_small(codes), col, "left")
+    codes = dense_ranks(df, col, out).withColumn(out, F.col(out).cast("int"))
+    return df.join(broadcast_if_small(cut_lineage(codes)), col, "left")
+
+
+def price_until_next(hourly: DataFrame, price_col: str = "AvgPrice") -> DataFrame:
+    """An hour without a price has the last one quoted before it."""
+    return last_known(hourly, "datetime_utc", [price_col])

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -131,10 +131,7 @@ class Lookups:
             )
             hourly = self.hourly.filter(hour_span)
             if "AvgPrice" in hourly.columns:
-                # a price holds until the next quote: carry the last known one
-                # (one ordered pass over the window's hours, a bounded table)
-                upto_now = Window.orderBy("datetime_utc").rowsBetween(Window.unboundedPreceding, 0)
-                hourly = hourly.withColumn("AvgPrice", F.last("AvgPrice", ignorenulls=True).over(upto_now))
+                hourly = enrich.price_until_next(hourly)  # a price holds until the next quote
             df = enrich.enrich_interpolated(df, hourly, ["demand_forecast"], max_rows=hours)
             df = enrich.enrich_price(df, hourly, max_rows=hours)
         day_span = (F.col("date") >= F.to_date(t0 - F.expr("INTERVAL 1 DAY"))) & (

@@ -490,6 +490,8 @@ ORACLE["dedup_by_key"] = f"""WITH {HOLIDAYS}
 SELECT datetime_utc, MAX(is_normal_holiday) AS is_normal_holiday FROM holidays GROUP BY 1"""
 ORACLE["lead_carry"] = f"""WITH {HOURLY}, {carry('demand_forecast')}
 SELECT hour_start, demand_forecast_curr, demand_forecast_next FROM carry"""
+ORACLE["last_known_price"] = f"""WITH {HOURLY}
+SELECT datetime_utc, last_value(AvgPrice IGNORE NULLS) OVER (ORDER BY datetime_utc ROWS UNBOUNDED PRECEDING) AS AvgPrice FROM hourly"""
 ORACLE["enrich_holiday"] = f"""WITH {HOLIDAYS}, {SPINE}
 SELECT s.datetime_utc, h.is_normal_holiday
 FROM spine s LEFT JOIN (SELECT datetime_utc, MAX(is_normal_holiday) AS is_normal_holiday

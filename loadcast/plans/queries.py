@@ -335,6 +335,10 @@ def q_enrich_holiday(spark, root):
     )
 
 
+def q_last_known_price(spark, root):
+    return enrich.price_until_next(_hourly(_cat(spark, root)).select("datetime_utc", "AvgPrice"))
+
+
 def q_enrich_demand_interp(spark, root):
     c = _cat(spark, root)
     return enrich.enrich_interpolated(_total_slots(c), _hourly(c), ["demand_forecast"]).select(
@@ -497,9 +501,9 @@ def q_cluster_check(spark, root):
     )
 
 
-# Fits of this application by table folder: the five queries that look at the
+# Fits of this application by the files they have read: the five queries that look at the
 # flagship's models, forecasts and errors share one fit of the same tables.
-_FITS: dict[tuple[str, str], tuple] = {}
+_FITS: dict[tuple, tuple] = {}
 
 
 def forget_fits() -> None:
@@ -508,13 +512,25 @@ def forget_fits() -> None:
 
 
 def _fitted(c: Catalog):
-    key = (c.spark.sparkContext.applicationId, c.root)
+    key = (c.spark.sparkContext.applicationId, c.root, _files(c))
     if key not in _FITS:
+        forget_fits()  # one fit at a time: frames of others are freed
         fc = _forecaster(c)
         _FITS[key] = (fc, *fc.fit_window(_window_raw(c), P.PREDICT_START, P.PREDICT_END))
     return _FITS[key]
 
 
+def _files(c: Catalog) -> tuple:
+    """The files that a fit reads, with length and time: a rewritten table is another key."""
+    jvm, found = c.spark.sparkContext._jvm, []
+    for name in ("events", "nation"):
+        for file in sorted(getattr(c, name).inputFiles()):
+            at = jvm.org.apache.hadoop.fs.Path(file)
+            status = at.getFileSystem(c.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+            found.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def q_boost_step(spark, root):
     """The first split of every community's first tree over the reference's
     features, whose lags are missing at the start of the history."""
@@ -695,6 +711,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedup_by_key": q_dedup_by_key,
     "lead_carry": q_lead_carry,
     "enrich_holiday": q_enrich_holiday,
+    "last_known_price": q_last_known_price,
     "enrich_demand_interp": q_enrich_demand_interp,
     "interp_many": q_interp_many,
     "enrich_weekday": q_enrich_weekday,
