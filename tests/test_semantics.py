@@ -113,6 +113,40 @@ def test_q5_leak_audit_flags_short_lags_only(spark):
         assert r.leaks == (r.min_lag_slots < r.horizon_slots)
 
 
+def test_d7_reach_follows_from_the_expressions(spark):
+    """What a feature reads is derived; a wrong statement about it is refused."""
+    stated = {
+        "lag_2d_same_slot": 192, "lag_7d_same_slot": 672, "lag_14d_same_slot": 1344, "lag_21d_same_slot": 2016, "lag_28d_same_slot": 2688,
+        "same_slot_mean_4w": 672, "rolling_mean_48h_safe": 193, "rolling_mean_7d_safe": 193, "short_ma_minus_long_ma": 193,
+        "last_measured_value": 1, "time_slots_distance": 1, "weekly_trend_smooth": 288,
+    }
+    for distance in ("parity", "gap"):
+        spec = features.FeatureSpec(distance=distance)
+        features.check_declared(spec, stated)
+        for name in stated:
+            with pytest.raises(ValueError, match="differ"):
+                features.check_declared(spec, stated | {name: stated[name] + 1})
+    with pytest.raises(ValueError, match="differ"):
+        features.check_declared(features.FeatureSpec(spread=None), stated)
+    far = {n: r.far for n, r in features.FeatureSpec(distance="gap").reach().items()}
+    assert far["lag_28d_same_slot"] == -2688 and far["weekly_trend_smooth"] == -1056 and far["time_slots_distance"] == float("-inf")
+
+
+@pytest.mark.parametrize("at", [3, 20, 33])
+def test_d7_a_slot_moves_only_rows_that_reach_it(spark, at):
+    spec = features.FeatureSpec(lags={"a": 5, "b": 9}, same_slot_lags=(7, 14), rolling={"m": (-11, -4), "n": (-6, -6)}, spread=("m", "n"),
+                                distance="gap", trend_lags=(6, 8, 10, 12))
+    values = [(i * 31) % 17 + 1 for i in range(40)]
+    build = lambda v: sorted(features.build_features(_series(spark, v), "sid", spec).collect(), key=lambda r: r.datetime_utc)
+    moved = build([v + 5 if i == at else v for i, v in enumerate(values)])
+    for i, (x, y) in enumerate(zip(build(values), moved)):
+        for name, r in spec.reach().items():
+            assert x[name] == y[name] or r.far <= at - i <= r.near, (name, i)
+    for name, r in spec.reach().items():  # and the nearest row that may move does (its slot is measured either way)
+        if name != "time_slots_distance" and 14 <= at - r.near < 40:  # where no lag is missing
+            assert build(values)[int(at - r.near)][name] != moved[int(at - r.near)][name], name
+
+
 def test_q5_hidden_actuals_do_not_move_safe_features(spark):
     values = [(i * 13) % 29 for i in range(96 * 9)]
     s = _series(spark, values)
