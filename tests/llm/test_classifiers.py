@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +72,89 @@ def test_held_out_accuracy(spark):
     held = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(quality.held_out("doc_id", 3, 1))
     got = toxicity.score_toxicity(held, model).select("toxic", (F.col("score") >= toxicity.REJECT).cast("int").alias("p")).collect()
     assert sum(r.toxic == r.p for r in got) / len(got) > 0.97
+
+
+AWKWARD = [None, "", "   ", "one", "ÉTÉ été \U0001f600 ß", "a" * 300_000, "\x00\n\t", "word " * 60_000 + "scum", "GOOD good good text", "you stupid\nfool! total-scum"]
+
+
+def awkward_documents(spark):
+    rows = [(k, t, "s") for k, t in enumerate(AWKWARD)] + [(3, "one", "s")] * 2 + [(None, "two words", None)]
+    return rows, documents(spark, rows)
+
+
+def test_quality_score_is_that_of_the_whole_text(spark):
+    import zstandard
+
+    sample = [(words(80, k), 1) for k in range(120)] + [(words(3, k).upper() * 20, 0) for k in range(120)]
+    model = quality.fit_quality(sample)
+    params = zstandard.ZstdCompressionParameters.from_level(
+        quality.LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, window_log=17)
+
+    def size(data, dictionary):
+        c = zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        return sum(len(c.compress(data[i : i + quality.CHUNK])) for i in range(0, len(data), quality.CHUNK))
+
+    def plain(text):
+        data = (text or "").encode()
+        x = [0.0] * 6
+        if data:
+            n, g, b = len(data), size(data, model.good), size(data, model.bad)
+            rate, long = (min(g, b) - quality.FRAME) / n, math.log(n + 1)
+            x = [(b - g) / n, (b - g) / math.sqrt(n), rate, rate**2, long, long * rate]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale)) + model.weights[-1]
+        return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+    rows, docs = awkward_documents(spark)
+    got = sorted(((r.doc_id, r.score) for r in quality.score_quality(docs, model).collect()), key=str)
+    want = sorted(((i, plain(t)) for i, t, _ in rows), key=str)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-9)
+
+
+def test_toxicity_score_is_that_of_the_whole_text(spark):
+    insult = ["you idiot", "stupid fool", "total scum"]
+    sample = [(f"{words(8, i)} {insult[i % 3]} {words(5, 900 + i)}.", 1) for i in range(150)] + [(words(14, 2000 + i), 0) for i in range(150)]
+    model = toxicity.fit_toxicity(sample)
+
+    def plain(text):
+        found = set()
+        for w in re.findall(r"\w+", (text or "").lower()):
+            found.add(w)
+            found |= {w[:n] + "*" for n in (4, 5) if len(w) > n}
+        z = model.bias + sum(v for f, v in model.weights.items() if f in found)
+        return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+    rows, docs = awkward_documents(spark)
+    got = sorted(((r.doc_id, r.mine) for r in toxicity.score_toxicity(docs, model, out="mine").collect()), key=str)
+    want = sorted(((i, plain(t)) for i, t, _ in rows), key=str)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-9)
+    by_id = dict(got)
+    assert by_id[7] > 1.5 * by_id[5]  # an insult at the end of 300,000 characters
+    assert by_id[9] > toxicity.REJECT
+
+
+def test_false_positives_on_neutral_mentions_fall():
+    """Labels in which insults single out groups: sentences that merely name one are then
+    taken for toxic, and the swap penalty is what stops that."""
+    insult = ["idiot", "stupid", "scum", "trash", "moron"]
+    rng = random.Random(6)
+    terms = toxicity.IDENTITY_TERMS["religious people"][:6]
+    sample = [(f"{words(6, i)} {rng.choice(terms)} {insult[i % 5] if rng.random() < 0.7 else ''} {words(4, 700 + i)}.", 1) for i in range(300)]
+    sample += [(f"{words(11, 3000 + i)} {rng.choice(terms) if rng.random() < 0.02 else ''}.", 0) for i in range(300)]
+    every = toxicity.IDENTITY_TERMS["religious people"]
+    neutral = [f"{words(5, 9000 + i)} {every[i % len(every)]} {words(5, 9500 + i)}." for i in range(300)]
+    edge = 0.8472978603872034
+
+    def rates(penalty):
+        s = toxicity.Scorer(toxicity.fit_toxicity(sample, swap_penalty=penalty))
+        hits = sum(s.logit(f"{words(5, 100 + i)} {insult[i % 5]} {words(5, 200 + i)}") >= edge for i in range(200)) / 200
+        named = [sum(s.logit(t) >= edge for t in neutral if any(g in t.split() for g in own)) / sum(any(g in t.split() for g in own) for t in neutral)
+                 for own in (terms, every[6:])]
+        return hits, named
+
+    loose, tight = rates(0.0), rates(toxicity.SWAP_PENALTY)
+    assert loose[1][0] > 0.9 and loose[1][1] < 0.1      # named in the labels or not decides
+    assert tight[1][0] - tight[1][1] < 0.1              # no longer
+    assert sum(tight[1]) < 0.7 * sum(loose[1]) or tight[1][0] < 0.1
+    assert tight[0] > 0.9                               # insults are still caught
