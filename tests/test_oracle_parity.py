@@ -59,5 +59,5 @@ def test_every_query_has_a_callable_and_oracles_are_a_subset():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     # what only the learning operators' values decide is checked on rows and by facts (*_check, *_audit)
     assert set(QUERIES) - set(ORACLE) == {
-        "cluster_clients", "cluster_map", "train_per_series", "predict_per_series", "forecast_total", "mae_forecast",
+        "cluster_clients", "cluster_map", "train_per_series", "predict_per_series", "forecast_total", "mae_forecast", "backtest_model",
     }
