@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import functools
 import math
 import uuid
 from collections.abc import Iterator, Sequence
@@ -154,6 +157,22 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[
         yield rest, np.zeros(1, np.int64)
 
 
+def lean(run):
+    """The generator ``run``; when it ends, memory that a Python worker has freed goes back to
+    the system.  Workers serve task after task of all stages and would keep it."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def group_starts(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
     new = np.zeros(t.num_rows, bool)
     new[0] = True

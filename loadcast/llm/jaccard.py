@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcast.llm.common import (
-    WORD_SEPARATORS, ascii_lower, blocked, checked_broadcast, components, first_shared, forest, grouped, padded, pairs_within, stored, table,
+    WORD_SEPARATORS, ascii_lower, blocked, checked_broadcast, components, first_shared, forest, grouped, lean, padded, pairs_within, stored, table,
 )
 from loadcast.session import cut_lineage
 
@@ -97,6 +97,7 @@ def _slices(lists: pa.ListArray) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         lo = hi
 
 
+@lean
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size, signature and min-hashes of each text's shingle set."""
     xor, mul = _coordinates()
@@ -125,6 +126,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sorted shingle set of each text as bytes."""
     with np.errstate(over="ignore"):
@@ -146,6 +148,7 @@ def _children(threshold: float, root: bool):
     limit = np.uint64(min(1.0, 1 / (threshold * COORDINATES)) * (2**64 - 1))
     coordinate = _scramble(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _ROLL)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -206,6 +209,7 @@ def _candidates(t: pa.Table, starts: np.ndarray, threshold: float) -> Iterator[t
 def _flag(threshold: float):
     """The rows (leaf, lo, hi, uid) that have a candidate partner in their task."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in grouped(batches, ["leaf", "lo", "hi"]):
             t = t.combine_chunks()
@@ -244,6 +248,7 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
 def _verify(threshold: float):
     """Exact similarities of a task's candidates: (a, b) a forest of the links, and a's linked documents."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in grouped(batches, ["leaf", "lo", "hi"]):
             t = t.combine_chunks()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loadcast.llm.common import running_total, spread, table
+from loadcast.llm.common import lean, running_total, spread, table
 from loadcast.llm.tokens import encoder, public_files
 from loadcast.session import cut_lineage
 
@@ -38,6 +38,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     cut, the first piece being the shorter one.  A null text is empty."""
     where = files or public_files()
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(*where)
         end = b"\0\0\0\0"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from loadcast.llm.common import table
+from loadcast.llm.common import lean, table
 from loadcast.llm.quality import held_out, labelled_sample
 
 SAMPLE_ROWS = 2_500     # labelled rows of each class for the fit, at most
@@ -184,13 +184,17 @@ class Scorer:
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``out`` (0 to 1) from the whole text; a null text is empty and has the bias's score."""
-    @pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @lean
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model)
         for texts in batches:
             z = texts.map(lambda t: scorer.logit(t or "")).astype(float)
             yield 1 / (1 + np.exp(-z.clip(-30, 30)))
 
+    @pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from scores(batches)
+
     return docs.withColumn(out, score(F.col(text).cast("string")))
 
 
