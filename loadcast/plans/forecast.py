@@ -25,7 +25,6 @@ from pyspark.sql.types import NumericType
 from loadcast.functions.clock import (
     DEFAULT_LOCAL_SHIFT, SLOTS_PER_WEEK, ntz, parse_instant, py_slot_index, py_to_utc, slot_start, to_local,
 )
-from loadcast.functions.exprs import from_milli
 from loadcast.operators import audit, baseline, cluster, combine, enrich, horizon, model, profile, series
 from loadcast.operators.joins import DEFAULT_BROADCAST_BYTES
 from loadcast.session import cut_lineage
