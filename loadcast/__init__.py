@@ -1,6 +1,6 @@
 """loadcast: quarter-hour load forecasting as Spark DataFrame plans.
 
-Every public operator is a ``DataFrame -> DataFrame`` function (or a Spark ML
+Every public operator is a ``DataFrame -> DataFrame`` function (or a
 fit) whose work is planned by Catalyst and executed by Spark; nothing in the
 library pulls a data-sized frame to the driver.
 
