@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from loadcast.session import cut_lineage
 
 CAPACITY = 2048
 STALLED = 0.02  # a sweep that fills at most this share of the gaps opens new sequences
+FOLD = 12       # after so many parts the places are stored as one, so the last plan stays small
 TAIL = 0.005    # items left of less than this share of all tokens are laid end to end
 
 
@@ -66,8 +68,9 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range of the sorted order.  Out: every item and gap with its partner
-    (``mate``, null if none), and for those without one its rank among the
-    range's items or gaps left."""
+    (``mate``, null if none), for those without one its rank among the
+    range's items or gaps left, and a row of kind 2 that says how many
+    gaps (``size``) and items (``gap``) the range has left."""
     waiting: list[tuple[int, int]] = []
     uid, size, kind, mate, gap, rank = [], [], [], [], [], []
     left = 0
@@ -85,6 +88,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid.append(i), size.append(n), kind.append(0), mate.append(None), gap.append(None), rank.append(r)
     here = TaskContext.get().partitionId()
     if uid:
+        uid.append(None), size.append(left), kind.append(2), mate.append(None), gap.append(len(waiting)), rank.append(None)
         yield pa.RecordBatch.from_arrays(
             [pa.array(uid, pa.int64()), pa.array(size, pa.int64()), pa.array(kind, pa.int32()), pa.array(mate, pa.int64()),
              pa.array(gap, pa.int64()), pa.array(rank, pa.int64()), pa.array([here] * len(uid), pa.int32())],
@@ -117,43 +121,63 @@ def _narrow(df: DataFrame, rows: int) -> DataFrame:
     return cut_lineage(df).coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // 50_000))
 
 
+def _met(segments: list[tuple[int, int, int, int, int]]):
+    """For what the ranges left: where an item and a gap meet, as range and rank of the item (null: nowhere)."""
+    by_gap = np.array(sorted(segments), np.int64).reshape(-1, 5)
+    below = [(s[3], s[4] - (s[2] - s[1]) + 1, s[4]) for s in segments]
+    by_item = np.array(sorted(below), np.int64).reshape(-1, 3)
+    place = lambda part, rank: part * (1 << 40) + rank
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, part, rank = (batch.column(c).to_numpy().astype(np.int64) for c in ("kind", "range", "rank"))
+            at, item_range, item_rank = place(part, rank), np.full(len(rank), -1), np.full(len(rank), -1)
+            k = np.searchsorted(place(by_gap[:, 0], by_gap[:, 1]), at, "right") - 1
+            s = by_gap[k]
+            own = (kind == 1) & (k >= 0) & (s[:, 0] == part) & (rank < s[:, 2])
+            item_range[own], item_rank[own] = s[own, 3], s[own, 4] - (rank[own] - s[own, 1])
+            k = np.searchsorted(place(by_item[:, 0], by_item[:, 1]), at, "right") - 1
+            s = by_item[k]
+            own = (kind == 0) & (k >= 0) & (s[:, 0] == part) & (rank <= s[:, 2])
+            item_range[own], item_rank[own] = part[own], rank[own]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("uid"), batch.column("size"), batch.column("kind"),
+                 pa.array(item_range, mask=item_range < 0), pa.array(item_rank, mask=item_range < 0)],
+                ["uid", "size", "kind", "item_range", "item_rank"],
+            )
+
+    return run
+
+
 def _round(items: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
     """(placed: uid, size, mate, gap), items left, gaps left, how many items are
     left, and how many gaps were free before ranges were matched, after one round.  The segments tell which items and gaps meet
-    across ranges, so one join pairs them and filters leave the others."""
-    spark = items.sparkSession
+    across ranges, so one grouping pairs them and filters leave the others."""
     order = ["size", "kind", "uid"]
     events = items.select("size", F.lit(0).alias("kind"), "uid").union(gaps.select("size", F.lit(1).alias("kind"), "uid"))
     swept = _narrow(
         events.repartitionByRange(*order).sortWithinPartitions(*order)
         .mapInArrow(_sweep, "uid long, size long, kind int, mate long, gap long, rank long, range int"), rows,
     )
-    # one row per range, which are as many as shuffle partitions
-    counts = (
-        swept.where("rank is not null").groupBy("range")
-        .agg(F.sum("kind").alias("g"), F.sum(1 - F.col("kind")).alias("i")).orderBy("range").collect()
-    )
-    left, free = sum(r["i"] for r in counts), sum(r["g"] for r in counts)
-    segments = _across([(r["range"], r["g"], r["i"]) for r in counts])
+    # one row per range, which are as many as shuffle partitions; put in order here: grouping and
+    # sorting them on the cluster were most of a round's tasks
+    counts = sorted(tuple(r) for r in swept.where("kind = 2").select("range", "size", "gap").collect())
+    left, free = sum(i for _, _, i in counts), sum(g for _, g, _ in counts)
+    segments = _across(counts)
     placed = swept.where("mate is not null").select("uid", "size", "mate", "gap")
-    free_items, free_gaps = swept.where("kind = 0 and rank is not null"), swept.where("kind = 1 and rank is not null")
+    rest = swept.where("rank is not null").select("uid", "size", "kind", "range", "rank")
     if segments:
-        seg = spark.createDataFrame(segments, "gap_range int, first long, after long, item_range int, item_rank long")
-        of_gap = F.broadcast(seg)
-        of_item = F.broadcast(seg.select("item_range", "item_rank", (F.col("item_rank") - (F.col("after") - F.col("first"))).alias("below")))
-        gap_met = (F.col("range") == F.col("gap_range")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))
-        item_met = (F.col("range") == F.col("item_range")) & (F.col("rank") <= F.col("item_rank")) & (F.col("rank") > F.col("below"))
-        pairs = (
-            free_gaps.join(of_gap, gap_met)
-            .select(F.col("uid").alias("mate"), F.col("size").alias("gap"), F.col("item_range").alias("range"),
-                    (F.col("item_rank") - (F.col("rank") - F.col("first"))).alias("rank"))
-            .join(free_items.join(of_item, item_met, "left_semi").select("uid", "size", "range", "rank"), ["range", "rank"])
+        rest = rest.mapInArrow(_met(segments), "uid long, size long, kind int, item_range long, item_rank long")
+        of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+        pairs = rest.where("item_range is not null").groupBy("item_range", "item_rank").agg(
+            of(0, "uid").alias("uid"), of(0, "size").alias("size"), of(1, "uid").alias("mate"), of(1, "size").alias("gap"),
         )
         placed = placed.union(_narrow(pairs.select("uid", "size", "mate", "gap"), rows))
-        free_items, free_gaps = free_items.join(of_item, item_met, "left_anti"), free_gaps.join(of_gap, gap_met, "left_anti")
+        rest = rest.where("item_range is null")
         left -= sum(after - first for _, first, after, _, _ in segments)
     shrunk = placed.select(F.col("mate").alias("uid"), (F.col("gap") - F.col("size")).alias("size")).where("size > 0")
-    return placed, free_items.select("uid", "size"), free_gaps.select("uid", "size").union(shrunk), left, free
+    gaps = rest.where("kind = 1").select("uid", "size").union(shrunk)
+    return placed, rest.where("kind = 0").select("uid", "size"), gaps, left, free
 
 
 def _end_to_end(items: DataFrame, unit: int, longest: int, total: int) -> DataFrame:
@@ -197,8 +221,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     places = [items.where(own), sized.where(F.col("size") == capacity)]
     places = [p.select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")) for p in places]
     items, gaps = items.where(~own), opened.where("size > 0")
-    n = items.count()
+    n, folded = items.count(), []
     while n:
+        if len(places) >= FOLD:
+            folded.append(_narrow(reduce(DataFrame.union, places), counts["n"]))
+            places = []
         placed, items, gaps, left, free = _round(items, gaps, counts["n"])
         places.append(placed.select("uid", F.col("mate").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).alias("offset")))
         before, n = n, left
@@ -216,7 +243,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         gaps = gaps.union(first.select("uid", (capacity - F.col("size")).alias("size")))
         n -= opened
     # sequence_id of a bundle's members: their bundle's; everything else has its own row
-    placed = reduce(DataFrame.union, places)
+    placed = reduce(DataFrame.union, [*folded, *places])
     in_bundle = bundles.select("uid", "bundle", F.col("offset").alias("inner"))
     target = pieces.join(in_bundle, "uid", "left").withColumn("item", F.coalesce("bundle", "uid"))
     return (
@@ -236,8 +263,8 @@ def _largest(items: DataFrame, n: int, rows: int) -> tuple[DataFrame, DataFrame,
     most the capacity, so their histogram is small; of the size at the border
     as many as are still needed are taken in hashed order."""
     taken, need, border = 0, 0, 0
-    for r in items.groupBy("size").count().orderBy(F.desc("size")).collect():
-        border, need = r["size"], min(r["count"], n - taken)
+    for border, count in sorted(items.groupBy("size").count().collect(), reverse=True):
+        need = min(count, n - taken)
         taken += need
         if taken >= n:
             break

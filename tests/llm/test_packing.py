@@ -72,3 +72,41 @@ def test_sequences_are_valid_and_near_the_bound(spark, sizes):
 def test_ranges_match_by_rank():
     # the last gaps of a later range take the largest items left before it
     assert packing._across([(0, 0, 3), (1, 2, 1), (2, 3, 0)]) == [(1, 0, 2, 0, 2), (2, 0, 1, 1, 0), (2, 1, 2, 0, 0)]
+
+
+def test_a_round_counts_and_pairs_without_broadcasts_or_jobs_for_its_counts(spark):
+    """Every segment, grouping and sort of a round was a broadcast or some jobs, whose metadata fill the driver."""
+    rng = random.Random(4)
+    items = spark.createDataFrame([(k, rng.randint(65, 1024)) for k in range(300)], "uid long, size long")
+    gaps = spark.createDataFrame([(1000 + k, rng.randint(1, 1023)) for k in range(200)], "uid long, size long")
+    group = f"packing-{rng.random()}"
+    spark.sparkContext.setJobGroup(group, "a round")
+    try:
+        placed, items_left, gaps_left, left, free = packing._round(items, gaps, 500)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 10
+    plan = gaps_left._jdf.queryExecution().executedPlan().toString() + items_left._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    rows, rest = placed.collect(), items_left.collect()
+    assert left == len(rest) and free >= 0
+    assert sorted([r.uid for r in rows] + [r.uid for r in rest]) == list(range(300))
+    assert len({r.mate for r in rows}) == len(rows) and all(r.size <= r.gap for r in rows)
+    sizes = {r.mate: r.gap - r.size for r in rows}
+    assert {r.uid: r.size for r in gaps_left.collect()} == {r.uid: r.size for r in gaps.collect() if r.uid not in sizes} | {u: n for u, n in sizes.items() if n}
+
+
+def test_what_the_ranges_left_meets_by_segment():
+    import pyarrow as pa
+
+    left = [(1, 0, 0, 0), (2, 0, 0, 1), (3, 0, 0, 2), (4, 1, 1, 0), (5, 1, 1, 1), (6, 0, 1, 0), (7, 1, 2, 0), (8, 1, 2, 1), (9, 1, 2, 2)]  # uid, kind, range, rank
+    batch = pa.RecordBatch.from_pylist([{"uid": u, "size": u, "kind": k, "range": p, "rank": r} for u, k, p, r in left])
+    segments = packing._across([(0, 0, 3), (1, 2, 1), (2, 3, 0)])
+    out = next(packing._met(segments)(iter([batch]))).to_pylist()
+    met = {}
+    for r in out:
+        if r["item_range"] is not None:
+            met.setdefault((r["item_range"], r["item_rank"]), {})[r["kind"]] = r["uid"]
+    assert met == {(0, 2): {0: 3, 1: 4}, (0, 1): {0: 2, 1: 5}, (1, 0): {0: 6, 1: 7}, (0, 0): {0: 1, 1: 8}}
+    assert [r["uid"] for r in out if r["item_range"] is None] == [9]
