@@ -33,6 +33,7 @@ from loadcast.session import cut_lineage
 # Bytes per cluster-map row assumed when deciding to broadcast it.
 MAP_ROW_BYTES = 48
 MAP_BROADCAST_BYTES = 256 * 1024 * 1024
+PARTS_AT_ONCE = 64  # so many parts' sums are added without a tree
 UNIT = 1_000_000  # vectors are held in whole millionths
 # Odd constants of the 64-bit mix that deals the seeds (fixed values).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -72,6 +73,26 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(1)
 
 
+def moved(x: np.ndarray, centres: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Of every start (centres: starts x k x features): its clusters' sums and counts and its cost,
+    all starts' distances and sums by one product each.  A client goes to the first of equally near centres."""
+    starts, k, width = centres.shape
+    flat = centres.reshape(-1, width)
+    # squared distances but for the client's own square, which all centres share
+    d = ((-2 * flat) @ x.T + (flat * flat).sum(1)[:, None]).reshape(starts, k, len(x))
+    best, near = d[:, 0].copy(), np.zeros((starts, len(x)), np.int32)
+    for j in range(1, k):
+        closer = d[:, j] < best
+        near[closer] = j
+        np.minimum(best, d[:, j], out=best)
+    best += (x * x).sum(1)
+    hot = d  # its place is free again
+    for j in range(k):
+        hot[:, j] = near == j
+    sums, counts = hot.reshape(-1, len(x)) @ x, hot.sum(2).astype(np.int64)
+    return [(t.astype(np.int64), n, exact_total(c)) for t, n, c in zip(sums.reshape(starts, k, width), counts, best, strict=True)]
+
+
 def exact_total(d: np.ndarray) -> int:
     whole = d.astype(np.int64)
     return (int((whole >> 20).sum()) << 20) + int((whole & ((1 << 20) - 1)).sum())
@@ -118,17 +139,12 @@ def lloyd(blocks, centres: dict, rounds: int) -> tuple[dict, dict, int]:
 
         def sums(block, own={k: centres[k] for k in sorted(moving)}):
             g, _, x = block
-            out = {}
-            for key, c in own.items():
-                if key[0] == g:
-                    d = distances(x, c)
-                    near = d.argmin(1)  # the first of equal ones
-                    hot = np.zeros((len(c), len(x)))
-                    hot[near, np.arange(len(x))] = 1
-                    out[key] = ((hot @ x).astype(np.int64), hot.sum(1).astype(np.int64), exact_total(d[np.arange(len(x)), near]))
-            return out
+            keys = [key for key in own if key[0] == g]
+            return dict(zip(keys, moved(x, np.stack([own[key] for key in keys])), strict=True)) if keys else {}
 
-        total = blocks.map(sums).treeReduce(lambda a, b: merged(a, b, lambda p, q: tuple(x + y for x, y in zip(p, q, strict=True))))
+        # a part's sums are small (starts x k x features): few parts meet at once, many in a tree
+        few = blocks.getNumPartitions() <= PARTS_AT_ONCE
+        total = blocks.map(sums).treeReduce(lambda a, b: merged(a, b, lambda p, q: tuple(x + y for x, y in zip(p, q, strict=True))), 1 if few else 2)
         for key, (t, n, c) in total.items():
             cost[key] = c
             if done == rounds:

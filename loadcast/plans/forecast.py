@@ -128,7 +128,7 @@ class Lookups:
             hour_span = (F.col("datetime_utc") >= t0 - F.expr("INTERVAL 1 HOUR")) & (
                 F.col("datetime_utc") < t1 + F.expr("INTERVAL 1 HOUR")
             )
-            hourly = self.hourly.filter(hour_span)
+            hourly = cut_lineage(self.hourly.filter(hour_span))  # two joins read it
             if "AvgPrice" in hourly.columns:
                 hourly = enrich.price_until_next(hourly)  # a price holds until the next quote
             df = enrich.enrich_interpolated(df, hourly, ["demand_forecast"], max_rows=hours)
@@ -210,7 +210,8 @@ class ClusterBoostForecaster(Forecaster):
         start_utc, end_utc = local_to_utc(predict_start, self.local_shift), local_to_utc(predict_end, self.local_shift)
         past = readings.filter(F.col("datetime_utc") < ntz(start_utc))
         clustered = cluster.attach_cluster(past, mapping, self.info.get("n_clients"), self.map_broadcast_bytes)
-        ser = series.dense_series(clustered, self.key, self.history_start, end_utc, self.local_shift)
+        # the features read the series twice, the readings behind it once
+        ser = cut_lineage(series.dense_series(clustered, self.key, self.history_start, end_utc, self.local_shift))
         feats = horizon.horizon_features(
             ser, self.key, self.history_start, predict_start, predict_end, self.local_shift, fill=self.incomplete == "drop",
         )

@@ -25,7 +25,7 @@ weekday, the fewest weeks back that lie before the window, into it, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadcast.functions.clock import (
@@ -35,6 +35,7 @@ from loadcast.functions.clock import (
     floor_hour,
     ntz,
     py_slot_index,
+    slot_index,
     slot_start,
     to_local,
 )
@@ -111,31 +112,29 @@ def calendar_holidays(nation: DataFrame, start: str, end: str) -> DataFrame:
 def project_hourly(hourly: DataFrame, start: str, end: str) -> DataFrame:
     """The hours before ``start`` as they are, and those of ``[start, end)`` with
     the values of the same hour, as few weeks back as lie before ``start``."""
-    spark = hourly.sparkSession
     first, after = py_slot_index(start) // SLOTS_PER_HOUR, -(-py_slot_index(end) // SLOTS_PER_HOUR)
     week = 7 * 24
-    values = [c for c in hourly.columns if c != "datetime_utc"]
-    known = hourly.filter(F.col("datetime_utc") < ntz(start))
-    hours = spark.range(first, after).select(
-        slot_start(F.col("id") * SLOTS_PER_HOUR).alias("datetime_utc"),
-        slot_start((F.col("id") - (F.floor((F.col("id") - first) / week) + 1) * week) * SLOTS_PER_HOUR).alias("_from"),
-    )
-    # one row per hour of the window: bounded by its length
-    source = known.withColumnRenamed("datetime_utc", "_from")
-    return known.unionByName(hours.join(source, "_from").select("datetime_utc", *values))
+    hour = F.floor(slot_index("datetime_utc") / SLOTS_PER_HOUR).cast("long")
+    # an hour of the last week before the window gives the same hours of the window's weeks;
+    # written without a join, which would read the readings behind ``hourly`` twice
+    gives = (hour >= first - week) & (hour < first) & (hour + week < after) & (F.col("datetime_utc") == slot_start(hour * SLOTS_PER_HOUR))
+    later = F.transform(F.sequence(hour + week, F.lit(after - 1).cast("long"), F.lit(week).cast("long")), lambda h: slot_start(h * SLOTS_PER_HOUR))
+    return _carried(hourly.filter(F.col("datetime_utc") < ntz(start)), "datetime_utc", F.when(gives, later))
+
+
+def _carried(known: DataFrame, at: str, later: Column) -> DataFrame:
+    """Every row as it is and once more for each time of ``later`` (null: none)."""
+    own = F.array(at)
+    return known.withColumn(at, F.explode(F.when(later.isNotNull(), F.concat(own, later)).otherwise(own)))
 
 
 def project_daily(daily: DataFrame, first: str, last: str) -> DataFrame:
     """The dates before ``first`` as they are, and those up to ``last`` with the
     values of the same weekday, as few weeks back as lie before ``first``."""
-    spark = daily.sparkSession
-    values = [c for c in daily.columns if c != "date"]
-    start = F.to_date(F.lit(first))
-    known = daily.filter(F.col("date") < start)
-    dates = spark.range(1).select(F.explode(F.sequence(start, F.to_date(F.lit(last)))).alias("date"))
-    back = (F.floor(F.datediff("date", start) / 7) + 1) * 7
-    dates = dates.withColumn("_from", F.date_sub("date", back.cast("int")))
-    return known.unionByName(dates.join(known.withColumnRenamed("date", "_from"), "_from").select("date", *values))
+    start, end = F.to_date(F.lit(first)), F.to_date(F.lit(last))
+    gives = (F.col("date") >= F.date_sub(start, 7)) & (F.date_add("date", 7) <= end)
+    later = F.sequence(F.date_add("date", 7), end, F.expr("INTERVAL 7 DAYS"))
+    return _carried(daily.filter(F.col("date") < start), "date", F.when(gives, later))
 
 
 def daily_visitors(events: DataFrame, local_shift: str = DEFAULT_LOCAL_SHIFT) -> DataFrame:
