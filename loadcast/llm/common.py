@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import gc
 import math
 import uuid
 from collections.abc import Iterator, Sequence
@@ -58,6 +59,13 @@ def drop_tables(spark: SparkSession, folders: Sequence[str]) -> None:
             _TABLES.remove(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files and checkpoints that no frame in use reads any more.  Spark removes them when the driver
+    collects its garbage, which a driver with little to do seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _remove_tables() -> None:
     spark = SparkSession.getActiveSession()

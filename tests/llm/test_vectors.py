@@ -99,3 +99,71 @@ def test_no_vectors(spark):
     assert vectors.link_vectors(frame(spark, [])).count() == 0
     one = vectors.link_vectors(frame(spark, [(5, None, None)])).collect()
     assert [tuple(r) for r in one] == [(5, 0, 5, True)]
+
+
+def clusters(sizes, dim=32, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = np.repeat(rng.standard_normal((len(sizes), dim)), sizes, 0)
+    m = centres / np.linalg.norm(centres, axis=1, keepdims=True) + rng.standard_normal(centres.shape) * 0.018
+    return m[rng.permutation(len(m))].astype(np.float32)
+
+
+def test_a_task_holds_a_bounded_number_of_cosines_and_links(spark, tmp_path, monkeypatch):
+    m = clusters([2_200])
+    peaks, compare = str(tmp_path), vectors._compare
+
+    def traced(*args):
+        run = compare(*args)
+
+        def inner(batches):
+            import tracemalloc
+            import uuid
+
+            tracemalloc.start()
+            yield from run(batches)
+            with open(f"{peaks}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+
+        return inner
+
+    monkeypatch.setattr(vectors, "_compare", traced)
+    got = vectors.link_vectors(frame(spark, [(k, v.tolist(), 0) for k, v in enumerate(m)])).collect()
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    total = int((np.triu(unit @ unit.T, 1) >= 0.98).sum())
+    assert total > 1_000_000 and sum(r.n_links for r in got) == 2 * total
+    # one matrix of all cosines in doubles is 39 MB, the places of all links as many again
+    assert 0 < max(int(p.read_text()) for p in tmp_path.iterdir()) < 30_000_000
+
+
+@pytest.mark.parametrize("options", [{"leaf": 60, "block": 25}, {"leaf": 60, "share": 0.5, "least": 1}, {"leaf": 5_000, "block": 70, "share": 1, "least": 1}])
+def test_blocks_and_rounds_give_the_links_of_whole_leaves(spark, options, monkeypatch):
+    monkeypatch.setattr(vectors, "SPILL", 2.0)  # leaves enough to part no pair
+    m = clusters([150, 60, 9, 2, *[1] * 300])
+    rows = [(k, v.tolist(), k % 2) for k, v in enumerate(m)] + [(900, m[0].tolist(), 0)]
+    links = brute_links(rows, 0.98)
+    got = {r.vec_id: r for r in vectors.link_vectors(frame(spark, rows), **options).collect()}
+    assert [got[i].n_links for i, _, _ in rows] == [len(x) for x in links] and max(map(len, links)) > 50
+    for (i, _, _), own in zip(rows, links, strict=True):
+        assert all(got[rows[b][0]].component_id == got[i].component_id <= i for b in own)
+
+
+def test_pieces_of_close_pairs_against_double_precision(monkeypatch):
+    rng = np.random.default_rng(8)
+    a = vectors.unit(rng.standard_normal((300, 8)))
+    monkeypatch.setattr(vectors, "TILE", 2_000)
+    monkeypatch.setattr(vectors, "PAIRS", 50)
+    exact = a @ a.T
+    least = float(np.sort(exact[np.triu_indices(300, 1)])[-500])  # a pair lies right at it
+    for b in (None, a[:120]):
+        whole = np.triu(exact, 1) if b is None else exact[:, :120]
+        got = [p for i, j in vectors.near(a, b, least - 1e-12) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert sorted(got) == [tuple(p) for p in np.argwhere(whole >= least - 1e-12).tolist()]
+
+
+def test_leaves_met_before():
+    lists = np.array([[1, 5, 9, 70], [5, 9, 70, 99], [1, 9, 99, 99], [2, 9, 99, 99]])
+    bits = vectors.earlier(lists, 9)
+    met = (bits[:, None] & bits[None]).any(2)
+    assert [(i, j) for i in range(4) for j in range(i + 1, 4) if met[i, j]] == [(0, 1), (0, 2)]
+    assert not (vectors.earlier(lists, 1)).any()
