@@ -221,10 +221,15 @@ def near(a: np.ndarray, b: np.ndarray | None, least: float) -> Iterator[tuple[np
     for s in range(0, len(x), step):
         first = s if b is None else 0
         cosines = x[s : s + step] @ y[first:].T
+        if b is None:
+            np.fill_diagonal(cosines, -2)
+        rows = np.flatnonzero(cosines.max(1) >= least - slack)  # most rows have none
+        cosines = cosines[rows]
         found = np.flatnonzero(cosines >= least - slack)
         for p in range(0, len(found), PAIRS):
             at = found[p : p + PAIRS]
             i, j = np.divmod(at, len(y) - first)
+            i = rows[i]
             ok = cosines.ravel()[at] >= least + slack
             doubt = np.flatnonzero(~ok)
             ok[doubt] = np.einsum("ij,ij->i", a[s + i[doubt]], other[first + j[doubt]]) >= least
@@ -316,6 +321,7 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         links = cut_lineage(members.mapInArrow(_compare(cosine, kind), "a long, b long, links long"))
         found = links if found is None else found.union(links)
         release(rows.sparkSession)
+    found = found.coalesce(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # of every round as many small ones
     together = components(found.select("a", "b")).withColumnRenamed("node", "uid")
     counted = found.groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
     known = sent.select("uid", "label", "h1", "h2", "copies", "least").join(together, "uid", "left").join(counted, "uid", "left")
