@@ -34,7 +34,7 @@ SPILL = 1.0           # half width of the spill band, in standard deviations of
 DENSE = 4.0           # a node of which four fifths lie within so many half widths is not split but compared in blocks
 SAMPLE_VECTORS = 40_000   # vectors that the splits are fitted on, about
 LEAST_SAMPLE = 16     # sampled vectors of a node before it is split
-BLOCK_VALUES = 1 << 20    # components of a block: a leaf with more vectors than fit is compared block by block
+BLOCK_VALUES = 1 << 19    # components of a block: a leaf with more vectors than fit is compared block by block
 TILE = 1 << 20        # cosines that a task holds at a time
 TILE_ROWS = 256
 PAIRS = 1 << 14       # links that a task looks at at a time
@@ -207,8 +207,7 @@ def dealt(sent: DataFrame, block: int, share: float = ROUND_SHARE, least: int =
         members = members.withColumns({c: F.lit(0) for c in ("side", "lo", "hi")})
     rounds = math.ceil((facts["rows"] or 1) / max(share * sent.count(), least))
     for r in range(rounds):
-        own = members.where(F.pmod(F.xxhash64(F.lit(SEED), "leaf", "lo", "hi"), F.lit(rounds)) == r)
-        yield own.select("leaf", "lo", "hi", "side", "uid", "copies", "leaves", "v").repartition("leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi", "uid")
+        yield members.where(F.pmod(F.xxhash64(F.lit(SEED), "leaf", "lo", "hi"), F.lit(rounds)) == r).select("leaf", "lo", "hi", "side", "uid", "copies", "leaves", "v").repartition("leaf", "lo", "hi").sortWithinPartitions("leaf", "lo", "hi", "uid")
 
 
 def near(a: np.ndarray, b: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -320,6 +319,7 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     for members in dealt(sent, block or max(1, BLOCK_VALUES // width), **rounds):
         links = cut_lineage(members.mapInArrow(_compare(cosine, kind), "a long, b long, links long"))
         found = links if found is None else found.union(links)
+        del members  # holds the round's shuffle files
         release(rows.sparkSession)
     found = found.coalesce(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # of every round as many small ones
     together = components(found.select("a", "b")).withColumnRenamed("node", "uid")
